@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import host_rules
+from contactsheet.llm import host_rules, mixing, sharding, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,63 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, short OR repeats AS base_failed,
   NOT (short OR repeats) AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM j.source) AS kept FROM j
 """
+
+
+@query
+def op2_token_counts(spark, d):
+    import public_tokenizers
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+#: The rules of the query, and the names and ends of the domains on its block list.
+URL_RULES = [
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+]
+BLOCKED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+BLOCKED_ENDS = ["example.com", "example.net", "example.org"]
+
+
+@query
+def op4_url_filter(spark, d):
+    blocked = spark.createDataFrame([(f"{a}.{b}",) for a in BLOCKED_NAMES for b in BLOCKED_ENDS], "host string")
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, URL_RULES, blocked).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op4_url_filter"] = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+r(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+l AS (SELECT a || '.' || b AS d FROM unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) x(a),
+  unnest(['example.com', 'example.net', 'example.org']) y(b)),
+f AS (SELECT page_id, host, path, (SELECT struct_pack(k := h || q, v := v) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+  ORDER BY length(h || q) DESC LIMIT 1) AS best, EXISTS (SELECT 1 FROM l WHERE host = d OR ends_with(host, '.' || d)) AS hit FROM p)
+SELECT page_id, host, path, best.k AS rule, coalesce(best.v, CASE WHEN hit THEN 'block' ELSE 'allow' END) AS verdict FROM f
+"""
+
+
+MIX_WEIGHTS = [5, 2, 1]
+
+
+@query
+def op3_mixing(spark, d):
+    """A document's taken words are its own times its copies; rows that repeat a document are each taken as often."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    taken = mixing.mix(docs, MIX_WEIGHTS)
+    if not docs.groupBy("doc_id", "source").count().where("count > 1").isEmpty():
+        rows = docs.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), mixing.word_count(F.col("text")).alias("own"))
+        taken = taken.join(rows, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s"))).withColumn("size", F.col("own"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op7_sharding(spark, d):
+    return sharding.shard(table(spark, d, "documents").select("doc_id", "text"), 8)
