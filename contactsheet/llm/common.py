@@ -37,3 +37,17 @@ def words(text: Column) -> Column:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than that of it."""
     return df.limit(rows + 1).count() <= rows
+
+
+def slices(batch, column: int, most: int):
+    """A record batch in pieces of about so many bytes of one column, and of one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

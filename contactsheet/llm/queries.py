@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import host_rules, mixing, sharding, token_counts, url_filter
+from contactsheet.llm import decontamination, host_rules, jaccard_join, mixing, sharding, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,23 @@ def op3_mixing(spark, d):
 @query
 def op7_sharding(spark, d):
     return sharding.shard(table(spark, d, "documents").select("doc_id", "text"), 8)
+
+
+@query
+def op6_decontamination(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    leaks = decontamination.find_leaks(docs, table(spark, d, "benchmark"))
+    n_hit = F.aggregate("leaks.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return leaks.select(
+        "doc_id",
+        "leaks.n_words",
+        n_hit.alias("n_hit"),
+        F.size("leaks.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leaks.items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query
+def op9_jaccard_join(spark, d):
+    return jaccard_join.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
