@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import decontamination, host_rules, jaccard_join, mixing, sharding, token_counts, url_filter
+from contactsheet.llm import decontamination, host_rules, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,3 +138,19 @@ def op6_decontamination(spark, d):
 @query
 def op9_jaccard_join(spark, d):
     return jaccard_join.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def remainder(by: int):
+    """crc32 of the doc_id as text, modulo by."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % by
+
+
+@query
+def op5_lm_scoring(spark, d):
+    return lm_scoring.score_texts(table(spark, d, "documents").select("doc_id", "text"), remainder(7) == 2)
+
+
+@query
+def op8_quality_classifier(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select("doc_id", "quality")
+    return quality_classifier.classify(docs, labels, remainder(3) == 1)
