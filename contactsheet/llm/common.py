@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; a lost executor doesn't lose it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's spark.checkpoint.dir, or one of this machine where that is unset, as in tests."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder; a lost executor doesn't lose it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import decontamination, host_rules, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, url_filter
+from contactsheet.llm import decontamination, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,3 +154,8 @@ def op5_lm_scoring(spark, d):
 def op8_quality_classifier(spark, d):
     docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select("doc_id", "quality")
     return quality_classifier.classify(docs, labels, remainder(3) == 1)
+
+
+@query
+def op1_html_extraction(spark, d):
+    return html_extraction.extract(table(spark, d, "pages"))

@@ -1,11 +1,83 @@
-"""A corpus made ready for training: each stage works on what the one before it kept."""
+"""A corpus made ready for training: each stage works on all that the one before it kept.
+
+STAGES: (name, function); a function takes (spark, docs, sf_dir). All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from contactsheet.llm import common, decontamination, host_rules, jaccard_join, mixing, sharding
+
+WEIGHTS = [5, 2, 1]
+SHARDS = 8
+#: Ids of dropped copies that are broadcast at most, 16 MB; more are joined.
+BROADCAST_IDS = 1_000_000
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose source does, go."""
+    return host_rules.host_rules(docs).where("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least doc_id stays; of rows with one doc_id the first by text.
+
+    Documents without an id can't be told apart and stay.
+    """
+    found = common.checkpointed(jaccard_join.near_duplicates(docs))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = F.broadcast(gone) if common.small(gone, BROADCAST_IDS) else gone
+    out = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+        out = out.withColumn("first_of", first).where("first_of = 1 OR doc_id IS NULL").drop("first_of")
+    return out
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The benchmark's passages are cut out of the texts, and n_chars follows; documents that were nothing else go."""
+    out = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True)
+    hit = F.size("leaks.spans") > 0
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    empty = hit & (F.aggregate("leaks.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]) == F.col("leaks.n_words"))
+    return out.where(~empty).select(docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; one that it doesn't take goes."""
+    taken = mixing.mix(docs, WEIGHTS).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("id_of"), F.col("source").alias("source_of"), F.col("copies").alias("copies_of"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_of")) & F.col("source").eqNullSafe(F.col("source_of"))
+    out = docs.join(taken, same).withColumn("copy_of", F.explode(F.array_repeat(F.lit(1), F.col("copies_of"))))
+    return out.select(docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The manifest: for each row its shard and its place there."""
+    return sharding.shard(docs, SHARDS)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing_sources", mixing_sources),
+    ("sharding", shards),
+]
+#: The cube method and the packing can't be expressed in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on all documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid4()}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
