@@ -1,4 +1,4 @@
-"""The reference's queries over the harness tables: name -> (Spark query, SQL)."""
+"""The reference's queries over the harness tables: name -> Spark query, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.operators import aggregates
+from contactsheet.operators import aggregates as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+AS_OF = "2001-06-01"
+PAID, OPEN = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,4 +38,231 @@ SELECT o_orderpriority AS genre, count(*) AS bookings, count(*) FILTER (WHERE o_
  round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS avg_paid
 FROM orders GROUP BY o_orderpriority""")
 def agg_revenue_by_genre(spark, d):
-    return aggregates.revenue_by_genre(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", F.col("o_orderstatus") == "F")
+    return A.revenue_by_genre(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", PAID)
+
+
+@query("""
+SELECT count(*) AS bookings, round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 0.0), 2) AS paid_revenue,
+ round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus <> 'F'), 0.0), 2) AS pending_revenue,
+ round(coalesce(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 0.0), 2) AS avg_paid FROM orders""")
+def agg_revenue_totals(spark, d):
+    return A.revenue_totals(table(spark, d, "orders"), "o_totalprice", PAID)
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS bookings, round(sum(o_totalprice), 2) AS revenue FROM orders
+WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '2001-06-01' - INTERVAL 24 MONTH GROUP BY 1""")
+def agg_revenue_by_month(spark, d):
+    return A.revenue_by_month(table(spark, d, "orders"), "o_orderdate", "o_totalprice", PAID, AS_OF)
+
+
+@query("""
+SELECT strftime(o_orderdate, '%m') AS month, monthname(o_orderdate) AS month_name, count(*) AS bookings, round(sum(o_totalprice), 2) AS revenue
+FROM orders GROUP BY ALL""")
+def agg_busiest_months(spark, d):
+    return A.busiest_months(table(spark, d, "orders"), "o_orderdate", "o_totalprice")
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS bookings, round(sum(o_totalprice), 2) AS revenue,
+ array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS labels FROM orders
+WHERE o_orderdate >= DATE '2001-03-01' AND o_orderdate <= DATE '2001-03-01' + INTERVAL 3 MONTH GROUP BY 1""")
+def agg_projection(spark, d):
+    return A.projection(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "o_orderpriority", "2001-03-01")
+
+
+@query("""
+SELECT *, round(CASE WHEN total > 0 THEN completed * 100.0::DOUBLE / total ELSE 0 END, 1) AS conversion_pct FROM
+(SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus IN ('P', 'F')) AS booked, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed FROM orders)""")
+def agg_conversion_funnel(spark, d):
+    return A.conversion_funnel(table(spark, d, "orders"), "o_orderstatus", {"booked": ["P", "F"], "completed": ["F"]})
+
+
+PRICE, MARGIN = F.col("l_extendedprice"), F.col("l_extendedprice") * F.col("l_discount")
+
+
+@query("""
+SELECT l_returnflag AS channel, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 2) AS margin,
+ round(avg(l_extendedprice), 2) AS avg_price FROM lineitem GROUP BY 1""")
+def agg_sales_by_channel(spark, d):
+    return A.by_key(table(spark, d, "lineitem"), F.col("l_returnflag"), "channel", PRICE, MARGIN)
+
+
+@query("""
+SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 2) AS margin,
+ round(avg(l_extendedprice), 2) AS avg_price FROM lineitem GROUP BY 1""")
+def agg_sales_by_month(spark, d):
+    return A.by_key(table(spark, d, "lineitem"), F.date_format("l_shipdate", "yyyy-MM"), "month", PRICE, MARGIN)
+
+
+@query("""
+SELECT p_type AS technique, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 2) AS margin,
+ round(avg(l_extendedprice), 2) AS avg_price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def agg_sales_by_technique(spark, d):
+    sales = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return A.by_key(sales, F.col("p_type"), "technique", PRICE, MARGIN)
+
+
+@query("""
+SELECT l_returnflag, round(avg(l_extendedprice * l_discount) / nullif(avg(l_extendedprice), 0) * 100, 4) AS margin_pct FROM lineitem GROUP BY 1""")
+def agg_margin_ratio_of_avgs(spark, d):
+    return A.margin_ratio_of_averages(table(spark, d, "lineitem"), "l_returnflag", PRICE, PRICE - MARGIN)
+
+
+@query("""
+SELECT l_returnflag, round(avg(CASE WHEN l_extendedprice > 0 THEN l_extendedprice * l_discount / l_extendedprice * 100 ELSE 0 END), 4) AS margin_pct_zero,
+ round(avg(CASE WHEN l_extendedprice <> 0 THEN l_extendedprice * l_discount / l_extendedprice * 100 END), 4) AS margin_pct_null FROM lineitem GROUP BY 1""")
+def agg_margin_avg_of_ratios(spark, d):
+    return A.margin_average_of_ratios(table(spark, d, "lineitem"), "l_returnflag", PRICE, PRICE - MARGIN)
+
+
+@query("""
+SELECT strftime(l_shipdate, '%Y-%m') AS month, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1 ORDER BY revenue DESC, month LIMIT 1""")
+def agg_best_month(spark, d):
+    return A.best_key(table(spark, d, "lineitem"), F.date_format("l_shipdate", "yyyy-MM"), "month", PRICE)
+
+
+@query("""
+SELECT count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'F') AS finished,
+ count(*) FILTER (WHERE l_discount > 0.05) AS discounted, count(*) FILTER (WHERE l_quantity >= 45) AS bulk FROM lineitem""")
+def agg_filtered_counts(spark, d):
+    c = F.col
+    return A.filtered_counts(
+        table(spark, d, "lineitem"),
+        {"returned": c("l_returnflag") == "R", "finished": c("l_linestatus") == "F", "discounted": c("l_discount") > 0.05, "bulk": c("l_quantity") >= 45},
+    )
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS "n_F", count(*) FILTER (WHERE o_orderstatus = 'O') AS "n_O",
+ count(*) FILTER (WHERE o_orderstatus = 'P') AS "n_P", count(*) FILTER (WHERE o_orderstatus = 'X') AS "n_X" FROM orders GROUP BY 1""")
+def agg_status_counts(spark, d):
+    return A.status_counts(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P", "X"])
+
+
+@query("""
+SELECT total, done, total - done AS remaining, round(done * 100.0::DOUBLE / total, 2) AS pct, round((total - done) / 230.0::DOUBLE, 2) AS eta_hours
+FROM (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders)""")
+def agg_coverage_eta(spark, d):
+    return A.coverage(table(spark, d, "orders"), PAID)
+
+
+@query("""
+SELECT p_type AS value, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(p_type) FROM part), 2) AS pct FROM part
+WHERE p_type IS NOT NULL AND p_type <> '' GROUP BY p_type ORDER BY n DESC, value LIMIT 5""")
+def agg_topn_share(spark, d):
+    return A.top_share(table(spark, d, "part"), "p_type", 5)
+
+
+@query("""
+SELECT month, mode, n FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY n DESC, mode) AS r FROM
+ (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS mode, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1, 2)) WHERE r = 1""")
+def agg_mode_per_month(spark, d):
+    return A.mode_per_group(table(spark, d, "orders"), F.date_format("o_orderdate", "yyyy-MM"), "month", "o_orderpriority")
+
+
+@query("""
+SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n, round(count(*) FILTER (WHERE l_quantity >= 35) * 100.0::DOUBLE / count(*), 2) AS flag_pct,
+ round(avg(coalesce(l_quantity / 5, 0)), 4) AS avg_score FROM lineitem GROUP BY 1""")
+def agg_portfolio_share_per_month(spark, d):
+    return A.share_true(table(spark, d, "lineitem"), F.date_format("l_shipdate", "yyyy-MM"), "month", F.col("l_quantity") >= 35, F.col("l_quantity") / 5)
+
+
+@query("""
+SELECT *, n_b - n_a AS n_delta, round(avg_b - avg_a, 4) AS avg_delta FROM (SELECT
+ count(*) FILTER (WHERE ts >= '2024-01-01' AND ts < '2024-01-15') AS n_a, round(avg(value) FILTER (WHERE ts >= '2024-01-01' AND ts < '2024-01-15'), 4) AS avg_a,
+ count(*) FILTER (WHERE ts >= '2024-01-15' AND ts < '2024-01-29') AS n_b, round(avg(value) FILTER (WHERE ts >= '2024-01-15' AND ts < '2024-01-29'), 4) AS avg_b FROM events)""")
+def agg_period_compare(spark, d):
+    return A.period_compare(table(spark, d, "events"), "ts", "value", {"a": ("2024-01-01", "2024-01-15"), "b": ("2024-01-15", "2024-01-29")})
+
+
+@query("""
+WITH r AS (SELECT text, quality = 1 AS flag FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT count(*) FILTER (WHERE flag) AS nf, count(*) FILTER (WHERE NOT flag) AS no FROM r),
+t AS (SELECT flag, unnest(string_split(text, ' ')) AS tag FROM r),
+e AS (SELECT tag, count(*) FILTER (WHERE flag) AS in_flag, count(*) FILTER (WHERE NOT flag) AS in_other FROM t WHERE tag <> '' GROUP BY 1 HAVING count(*) FILTER (WHERE flag) >= 3)
+SELECT tag, in_flag, in_other, round((in_flag / nf::DOUBLE) / greatest(in_other / no::DOUBLE, 0.0001), 6) AS lift FROM e, c ORDER BY lift DESC, tag LIMIT 25""")
+def agg_tag_lift(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return A.tag_lift(rows, F.split("text", " "), F.col("quality") == 1)
+
+
+@query("""
+SELECT o_orderpriority AS source, count(*) AS bookings, round(sum(o_totalprice), 2) AS revenue,
+ coalesce(lower(o_orderpriority) IN ('1-urgent', '2-high'), false) AS is_referral, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM orders), 2) AS pct FROM orders GROUP BY 1""")
+def agg_referral_sources(spark, d):
+    return A.referral_shares(table(spark, d, "orders"), "o_orderpriority", F.col("o_totalprice"), ["1-urgent", "2-high"])
+
+
+@query("""
+WITH b AS (SELECT p_brand AS genre, count(*) AS posts FROM part WHERE p_brand IS NOT NULL AND p_size > 45 GROUP BY 1), m AS (SELECT avg(posts) AS m FROM b)
+SELECT genre, posts, round(m, 4) AS mean_posts FROM b, m WHERE posts < 0.5 * m""")
+def agg_content_gaps(spark, d):
+    return A.content_gaps(table(spark, d, "part").where("p_size > 45"), "p_brand")
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS n, round(avg((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0::DOUBLE), 4) AS avg_days
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def agg_turnaround(spark, d):
+    pairs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return A.turnaround(pairs, "o_orderpriority", "o_orderdate", "l_shipdate")
+
+
+@query("""
+WITH h AS (SELECT o_orderpriority, round(avg((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0::DOUBLE), 4) AS a FROM orders
+ JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority < '4' GROUP BY 1)
+SELECT o_orderkey, coalesce(round(a)::INT, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 28 ELSE 14 END) AS estimate_days FROM orders LEFT JOIN h USING (o_orderpriority)""")
+def agg_estimate_completion(spark, d):
+    orders = table(spark, d, "orders")
+    done = orders.where(PAID & (F.col("o_orderpriority") < "4")).join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    history = A.turnaround(done, "o_orderpriority", "o_orderdate", "l_shipdate").drop("n")
+    return A.estimate_completion(orders, history, "o_orderpriority", {"4-NOT SPECIFIED": 28}).select("o_orderkey", "estimate_days")
+
+
+@query("""
+SELECT event_type, count(*) AS n, round(median(value), 4) AS median_duration FROM
+ (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20 AND value > 0 GROUP BY 1""")
+def agg_median_last20(spark, d):
+    return A.median_recent(table(spark, d, "events"), "event_type", "ts", "event_id", "value")
+
+
+@query("""
+WITH c AS (SELECT o_custkey, min(o_orderdate) AS first, sum(o_totalprice) AS revenue FROM orders GROUP BY 1)
+SELECT o_custkey, round(revenue, 2) AS revenue, round(revenue / greatest(date_diff('day', first::DATE, DATE '2001-06-01') / 365.25::DOUBLE, 1.0), 2) AS ltv_per_year FROM c""")
+def agg_client_ltv(spark, d):
+    c = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.sum("o_totalprice").alias("revenue"))
+    return A.lifetime_value(c, "o_custkey", F.to_date("first"), F.col("revenue"), AS_OF)
+
+
+@query("""
+WITH i AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag <> 'R') AS ready, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus <> 'F') AS unused,
+ round(count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'F') * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE l_returnflag <> 'R'), 0), 2) AS pct_posted,
+ round(avg(l_quantity / 5) FILTER (WHERE l_returnflag <> 'R'), 4) AS avg_quality FROM lineitem GROUP BY 1 HAVING unused >= 3)
+SELECT o_orderkey, c_name, ready, unused, pct_posted, avg_quality FROM orders JOIN i ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey""")
+def agg_repurpose_having(spark, d):
+    shoots = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    ready, posted = F.col("l_returnflag") != "R", F.col("l_linestatus") == "F"
+    out = A.repurpose(shoots, table(spark, d, "lineitem"), "l_orderkey", ready, posted, F.col("l_quantity") / 5, 3)
+    out = out.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return out.select(F.col("l_orderkey").alias("o_orderkey"), "c_name", "ready", "unused", "pct_posted", "avg_quality")
+
+
+@query("""
+WITH i AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus <> 'F') AS unused FROM lineitem GROUP BY 1 HAVING unused >= 3)
+SELECT o_orderpriority AS genre, count(*) AS shoots, sum(unused)::BIGINT AS unused FROM orders JOIN i ON o_orderkey = l_orderkey GROUP BY 1""")
+def agg_repurpose_summary(spark, d):
+    shoots = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    ready, posted = F.col("l_returnflag") != "R", F.col("l_linestatus") == "F"
+    out = A.repurpose(shoots, table(spark, d, "lineitem"), "l_orderkey", ready, posted, F.col("l_quantity"), 3)
+    return out.groupBy(F.col("o_orderpriority").alias("genre")).agg(F.count(F.lit(1)).alias("shoots"), F.sum("unused").alias("unused"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
+def agg_count_distinct(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("SELECT DISTINCT p_brand, p_type FROM part")
+def agg_select_distinct(spark, d):
+    return table(spark, d, "part").select("p_brand", "p_type").distinct()
