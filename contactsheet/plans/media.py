@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactsheet.operators import aggregates as A
+from contactsheet.operators import joins as J
+from contactsheet.operators import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -266,3 +268,203 @@ def agg_count_distinct(spark, d):
 @query("SELECT DISTINCT p_brand, p_type FROM part")
 def agg_select_distinct(spark, d):
     return table(spark, d, "part").select("p_brand", "p_type").distinct()
+
+
+# Joins
+
+
+@query("""
+SELECT o_orderkey, count(l_orderkey) AS worthy FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity >= 45 WHERE o_orderstatus = 'F' GROUP BY 1""")
+def join_left_filtered_on(spark, d):
+    on = F.col("o_orderkey") == F.col("l_orderkey")
+    out = J.left_filtered_on(table(spark, d, "orders").where(PAID), table(spark, d, "lineitem"), on, F.col("l_quantity") >= 45)
+    return out.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("worthy"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey // 10 END AS referred_by FROM customer)
+SELECT r.c_custkey AS referrer, count(DISTINCT c.c_custkey) AS referrals, count(c.c_custkey) AS referral_rows, round(coalesce(sum(o_totalprice), 0.0), 2) AS revenue
+FROM c JOIN c r ON c.referred_by = r.c_custkey LEFT JOIN orders ON o_custkey = c.c_custkey AND o_orderstatus = 'F' GROUP BY 1""")
+def join_self_referrer(spark, d):
+    clients = table(spark, d, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey div 10 END AS referred_by"))
+    return J.referrers(clients, "c_custkey", "referred_by", table(spark, d, "orders"), "o_custkey", PAID, "o_totalprice")
+
+
+@query("""
+SELECT s_suppkey, s_name, count(l_orderkey) AS bookings, round(coalesce(sum(l_extendedprice), 0.0), 2) AS revenue FROM supplier
+LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_returnflag = 'R' AND l_quantity > 49 GROUP BY ALL""")
+def agg_vendor_attribution(spark, d):
+    source = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49)
+    return J.vendor_attribution(table(spark, d, "supplier"), "s_suppkey", "s_name", table(spark, d, "lineitem"), source, "l_suppkey", "l_extendedprice")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def join_anti_not_queued(spark, d):
+    return J.not_queued(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders").where("o_orderstatus = 'P'"), "o_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 500)")
+def join_anti_topk(spark, d):
+    return J.outside_top(table(spark, d, "part"), "p_partkey", "p_retailprice", 500).select("p_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def join_semi_topk(spark, d):
+    return J.having_any(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders").where("o_totalprice > 300000"), "o_custkey")
+
+
+@query("SELECT event_id, user_id FROM events WHERE abs(date_diff('second', ts, TIMESTAMP '2024-01-10 12:00:00')) <= 900")
+def join_interval_due(spark, d):
+    return J.due_within(table(spark, d, "events"), "ts", "2024-01-10 12:00:00").select("event_id", "user_id")
+
+
+@query("""
+SELECT day::DATE::VARCHAR AS day, count(o_orderkey) AS posts FROM unnest(generate_series(DATE '2001-07-01', DATE '2001-08-31', INTERVAL 1 DAY)) t(day)
+LEFT JOIN orders ON o_orderdate::DATE = day::DATE GROUP BY 1""")
+def join_calendar_spine(spark, d):
+    return J.calendar_spine(table(spark, d, "orders"), F.to_date("o_orderdate"), "2001-07-01", "2001-08-31").withColumn("day", F.col("day").cast("string"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS position FROM part WHERE p_size = 7)
+SELECT p_partkey, position::INT AS position, CASE WHEN position <= 28 THEN (DATE '2001-02-01' + (position - 1)::INT)::VARCHAR END AS post_date,
+ CASE WHEN position <= 28 THEN 'planned' ELSE 'overflow' END AS disposition FROM p""")
+def join_schedule_positions(spark, d):
+    picks = table(spark, d, "part").where("p_size = 7").select("p_partkey", "p_retailprice")
+    return J.schedule_positions(picks, [F.desc("p_retailprice"), F.col("p_partkey")], "2001-02-10").drop("p_retailprice").withColumn("post_date", F.col("post_date").cast("string"))
+
+
+@query("""
+WITH s(label, a, b, t) AS (VALUES ('n0', '01-10', '02-15', 0), ('n1', '03-01', '04-01', 0), ('n2', '06-15', '09-01', 0), ('n3', '11-20', '01-05', 1), ('n4', '07-15', '08-01', 0)),
+w AS (SELECT label, (y || '-' || a)::DATE AS "start", ((y + t) || '-' || b)::DATE AS "end" FROM s, (VALUES (2001), (2002)) v(y))
+SELECT label, "start"::VARCHAR AS "start", "end"::VARCHAR AS "end", greatest(date_diff('day', DATE '2001-06-01', w."start"), 0)::INT AS days_away FROM w WHERE w."end" >= DATE '2001-06-01' AND w."start" <= DATE '2001-06-01' + 60""")
+def join_season_windows(spark, d):
+    seasons = [("n0", "01-10", "02-15"), ("n1", "03-01", "04-01"), ("n2", "06-15", "09-01"), ("n3", "11-20", "01-05"), ("n4", "07-15", "08-01")]
+    out = J.windows_in_horizon(spark.createDataFrame(seasons, "label string, start_md string, end_md string"), AS_OF, 60)
+    return out.withColumns({"start": F.col("start").cast("string"), "end": F.col("end").cast("string")})
+
+
+@query("""
+WITH e AS (SELECT p_partkey AS edit_id, '/' || p_brand || '/' || p_size % 3 AS folder, p_type || p_size AS stem FROM part WHERE p_partkey % 4 = 0),
+o AS (SELECT p_partkey AS original_id, '/' || p_brand || '/' || p_size % 3 AS folder, p_type || p_size AS stem, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 7 END AS rated_at FROM part WHERE p_partkey % 4 <> 0),
+j AS (SELECT edit_id, original_id, rated_at, CASE WHEN e.folder = o.folder THEN 0 WHEN regexp_replace(e.folder, '/[^/]*$', '') = regexp_replace(o.folder, '/[^/]*$', '') THEN 1 ELSE 2 END AS tier
+ FROM e JOIN o USING (stem))
+SELECT edit_id, original_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY edit_id ORDER BY tier, rated_at DESC NULLS LAST, original_id) AS r FROM j) WHERE r = 1""")
+def join_edit_parents(spark, d):
+    p = table(spark, d, "part").withColumns({"folder": F.expr("concat('/', p_brand, '/', p_size % 3)"), "stem": F.expr("concat(p_type, p_size)")})
+    edits = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("edit_id"), "folder", "stem")
+    originals = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("original_id"), "folder", "stem", F.expr("CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 7 END AS rated_at"))
+    return J.edit_parents(edits, originals)
+
+
+@query("""
+WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings), r AS (SELECT min(vec_id) AS id, b FROM h GROUP BY b),
+p AS (SELECT x.id AS a, y.id AS b, len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) AS distance FROM r x JOIN r y ON x.id < y.id)
+SELECT a, b, distance::INT AS distance FROM p WHERE distance <= 16""")
+def join_hamming_pairs_k16(spark, d):
+    h = table(spark, d, "embeddings").select("vec_id", J.bits_of(F.col("embedding")).alias("bits"))
+    return J.hamming_pairs(h, "vec_id", "bits", 16)
+
+
+@query("""
+WITH h AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
+p AS (SELECT x.vec_id AS id, y.vec_id AS other, len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) AS distance FROM h x JOIN h y ON x.label = y.label AND x.vec_id <> y.vec_id)
+SELECT id, other, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS r FROM p WHERE distance <= 24) WHERE r = 1""")
+def join_hamming_nearest(spark, d):
+    h = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", J.bits_of(F.col("embedding")).alias("bits"))
+    return J.nearest_in_section(h, h.withColumnRenamed("id", "other"), "label", 24)
+
+
+@query("""
+SELECT n_name, count(DISTINCT c_custkey) AS clients, count(o_orderkey) AS bookings, round(coalesce(sum(o_totalprice), 0.0), 2) AS revenue
+FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def join_dimensions(spark, d):
+    """JOIN-01, JOIN-02: inner joins with small sides and a left join; Catalyst picks broadcasts by size."""
+    out = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    out = out.join(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return out.groupBy("n_name").agg(F.count_distinct("c_custkey").alias("clients"), F.count("o_orderkey").alias("bookings"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("revenue"))
+
+
+# Windows
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY strftime(o_orderdate, '%Y-%m')), 2) AS pct
+FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1, 2""")
+def win_share_of_month(spark, d):
+    return W.share_within(table(spark, d, "orders"), F.date_format("o_orderdate", "yyyy-MM"), "month", "o_orderpriority")
+
+
+@query("""
+SELECT p_type, p_partkey, r::INT AS rank_in_group FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY 0.6 * p_retailprice + 0.4 * p_size DESC NULLS LAST, p_partkey) AS r FROM part) WHERE r <= 20""")
+def win_topn_per_genre(spark, d):
+    score = F.lit(0.6) * F.col("p_retailprice") + F.lit(0.4) * F.col("p_size")
+    return W.top_per_group(table(spark, d, "part"), "p_type", score, "p_partkey", 20).select("p_type", "p_partkey", "rank_in_group")
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC NULLS LAST, p_partkey) <= 20 AS portfolio FROM part")
+def win_flag_top(spark, d):
+    return W.flag_top(table(spark, d, "part").select("p_partkey", "p_type", "p_retailprice"), "p_type", F.col("p_retailprice"), "p_partkey", 20).select("p_partkey", "portfolio")
+
+
+@query("""
+SELECT tier, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5('0:' || k), k) AS r FROM
+ (SELECT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS k, CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' WHEN l_quantity < 50 THEN 'high' END AS tier FROM lineitem)
+ WHERE tier IS NOT NULL) WHERE r <= 6""")
+def win_stratified_sample(spark, d):
+    q = F.col("l_quantity")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", q, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).distinct()
+    return W.stratified(rows, F.when(q < 10, "low").when(q < 30, "mid").when(q < 50, "high"), "k", 6).select("tier", "l_orderkey", "l_linenumber")
+
+
+@query("""
+SELECT user_id, event_type, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
+def win_latest_per_key(spark, d):
+    return W.latest_per_key(table(spark, d, "events"), ["user_id", "event_type"], "event_id", ["ts", "value"])
+
+
+@query("SELECT event_id, event_type, rank() OVER (PARTITION BY event_type ORDER BY user_id % 5 DESC, ts)::INT AS position FROM events")
+def win_queue_position(spark, d):
+    jobs = table(spark, d, "events").withColumn("priority", F.col("user_id") % 5)
+    return W.queue_position(jobs, "event_type", "priority", "ts").select("event_id", "event_type", "position")
+
+
+@query("""
+SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size % 10 = 0 THEN p_size END NULLS LAST, p_retailprice, p_partkey) - 1 AS sort_index FROM part""")
+def win_resequence(spark, d):
+    p = table(spark, d, "part").withColumn("requested", F.expr("CASE WHEN p_size % 10 = 0 THEN p_size END"))
+    return W.resequence(p, "p_brand", "requested", "p_retailprice", "p_partkey").select("p_partkey", "sort_index")
+
+
+@query("""
+SELECT p_brand, p_brand || '-' || CASE WHEN max(p_size) + 1 < 10 THEN '0' ELSE '' END || (max(p_size) + 1) AS next_slug FROM part GROUP BY 1""")
+def win_next_slug(spark, d):
+    return W.next_slug(table(spark, d, "part").withColumn("slug", F.concat_ws("-", "p_brand", F.col("p_size").cast("string"))), "p_brand", "slug")
+
+
+@query("SELECT p_brand, coalesce(max(p_size), -1) + 1 AS next_index FROM part GROUP BY 1")
+def win_next_index(spark, d):
+    return W.next_index(table(spark, d, "part"), "p_brand", "p_size")
+
+
+@query("""
+SELECT p_partkey, tier FROM (SELECT p_partkey, p_retailprice, CASE WHEN p_retailprice >= 1800 THEN 1 WHEN p_size = 7 THEN 2 WHEN p_retailprice >= 1500 THEN 3 ELSE 4 END AS tier FROM part)
+ORDER BY tier, p_retailprice DESC NULLS LAST, p_partkey LIMIT 300""")
+def win_tiered_batch(spark, d):
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    tier = F.when(price >= 1800, 1).when(size == 7, 2).when(price >= 1500, 3).otherwise(4)
+    return W.tiered_batch(table(spark, d, "part"), tier, "p_retailprice", "p_partkey", 300).select("p_partkey", "tier")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, ['warm', 'cool', 'neutral'][(p_size % 3) + 1] AS palette, p_type AS mood, p_brand AS genre, (p_size % 4)::VARCHAR AS composition FROM part),
+g AS (SELECT *, row_number() OVER (ORDER BY p_partkey DESC) AS r FROM p WHERE p_partkey % 11 = 0), l AS (SELECT * FROM g WHERE r <= 9), f AS (SELECT * FROM g WHERE r = 1),
+n AS (SELECT CASE WHEN w > c THEN 'warm' WHEN c > w THEN 'cool' ELSE 'neutral' END AS dom FROM (SELECT count(*) FILTER (WHERE palette = 'warm') AS w, count(*) FILTER (WHERE palette = 'cool') AS c FROM l)),
+s AS (SELECT p.*, dom, f.palette AS fp, f.mood AS fm, f.composition AS fc, (SELECT count(*) FROM l WHERE r <= 3 AND l.mood = p.mood) AS tm, (SELECT count(*) FROM l WHERE r <= 3 AND l.genre = p.genre) AS tg FROM p, n, f),
+q AS (SELECT *, CASE WHEN palette = dom THEN 0.9 WHEN palette = 'neutral' OR dom = 'neutral' THEN 0.7 ELSE 0.4 END::DOUBLE AS pf FROM s)
+SELECT p_partkey, round(CASE WHEN palette = fp AND palette <> 'neutral' THEN greatest(0.3::DOUBLE, pf - 0.15::DOUBLE) ELSE pf END * 0.30::DOUBLE
+ + CASE WHEN mood = fm THEN 0.3 WHEN tm > 0 THEN 0.6 ELSE 0.95 END::DOUBLE * 0.25::DOUBLE + CASE WHEN tg >= 2 THEN 0.3 WHEN tg = 1 THEN 0.7 ELSE 0.95 END::DOUBLE * 0.20::DOUBLE
+ + CASE WHEN composition = fc THEN 0.4 ELSE 0.9 END::DOUBLE * 0.15::DOUBLE + 0.08::DOUBLE, 4) AS grid_fit FROM q""")
+def win_grid_fit(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.expr("array('warm', 'cool', 'neutral')[p_size % 3] AS palette"), F.col("p_type").alias("mood"), F.col("p_brand").alias("genre"), F.expr("cast(p_size % 4 AS string) AS composition"))
+    return W.grid_fit(p, p.where("p_partkey % 11 = 0").withColumnRenamed("p_partkey", "posted"), "p_partkey")
