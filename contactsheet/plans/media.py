@@ -345,15 +345,15 @@ def join_season_windows(spark, d):
 
 
 @query("""
-WITH e AS (SELECT p_partkey AS edit_id, '/' || p_brand || '/' || p_size % 3 AS folder, p_type || p_size AS stem FROM part WHERE p_partkey % 4 = 0),
-o AS (SELECT p_partkey AS original_id, '/' || p_brand || '/' || p_size % 3 AS folder, p_type || p_size AS stem, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 7 END AS rated_at FROM part WHERE p_partkey % 4 <> 0),
+WITH e AS (SELECT p_partkey AS edit_id, '/' || p_brand || '/' || p_size % 3 AS folder, p_type || p_size % 10 AS stem FROM part WHERE p_size >= 26),
+o AS (SELECT p_partkey AS original_id, '/' || p_brand || '/' || p_size % 3 AS folder, p_type || p_size % 10 AS stem, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 7 END AS rated_at FROM part WHERE p_size < 26),
 j AS (SELECT edit_id, original_id, rated_at, CASE WHEN e.folder = o.folder THEN 0 WHEN regexp_replace(e.folder, '/[^/]*$', '') = regexp_replace(o.folder, '/[^/]*$', '') THEN 1 ELSE 2 END AS tier
  FROM e JOIN o USING (stem))
 SELECT edit_id, original_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY edit_id ORDER BY tier, rated_at DESC NULLS LAST, original_id) AS r FROM j) WHERE r = 1""")
 def join_edit_parents(spark, d):
-    p = table(spark, d, "part").withColumns({"folder": F.expr("concat('/', p_brand, '/', p_size % 3)"), "stem": F.expr("concat(p_type, p_size)")})
-    edits = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("edit_id"), "folder", "stem")
-    originals = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("original_id"), "folder", "stem", F.expr("CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 7 END AS rated_at"))
+    p = table(spark, d, "part").withColumns({"folder": F.expr("concat('/', p_brand, '/', p_size % 3)"), "stem": F.expr("concat(p_type, p_size % 10)")})
+    edits = p.where("p_size >= 26").select(F.col("p_partkey").alias("edit_id"), "folder", "stem")
+    originals = p.where("p_size < 26").select(F.col("p_partkey").alias("original_id"), "folder", "stem", F.expr("CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 7 END AS rated_at"))
     return J.edit_parents(edits, originals)
 
 
@@ -458,7 +458,7 @@ def win_tiered_batch(spark, d):
 
 @query("""
 WITH p AS (SELECT p_partkey, ['warm', 'cool', 'neutral'][(p_size % 3) + 1] AS palette, p_type AS mood, p_brand AS genre, (p_size % 4)::VARCHAR AS composition FROM part),
-g AS (SELECT *, row_number() OVER (ORDER BY p_partkey DESC) AS r FROM p WHERE p_partkey % 11 = 0), l AS (SELECT * FROM g WHERE r <= 9), f AS (SELECT * FROM g WHERE r = 1),
+g AS (SELECT *, row_number() OVER (ORDER BY p_partkey DESC) AS r FROM p WHERE genre <> 'Brand#11'), l AS (SELECT * FROM g WHERE r <= 9), f AS (SELECT * FROM g WHERE r = 1),
 n AS (SELECT CASE WHEN w > c THEN 'warm' WHEN c > w THEN 'cool' ELSE 'neutral' END AS dom FROM (SELECT count(*) FILTER (WHERE palette = 'warm') AS w, count(*) FILTER (WHERE palette = 'cool') AS c FROM l)),
 s AS (SELECT p.*, dom, f.palette AS fp, f.mood AS fm, f.composition AS fc, (SELECT count(*) FROM l WHERE r <= 3 AND l.mood = p.mood) AS tm, (SELECT count(*) FROM l WHERE r <= 3 AND l.genre = p.genre) AS tg FROM p, n, f),
 q AS (SELECT *, CASE WHEN palette = dom THEN 0.9 WHEN palette = 'neutral' OR dom = 'neutral' THEN 0.7 ELSE 0.4 END::DOUBLE AS pf FROM s)
@@ -467,4 +467,4 @@ SELECT p_partkey, round(CASE WHEN palette = fp AND palette <> 'neutral' THEN gre
  + CASE WHEN composition = fc THEN 0.4 ELSE 0.9 END::DOUBLE * 0.15::DOUBLE + 0.08::DOUBLE, 4) AS grid_fit FROM q""")
 def win_grid_fit(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.expr("array('warm', 'cool', 'neutral')[p_size % 3] AS palette"), F.col("p_type").alias("mood"), F.col("p_brand").alias("genre"), F.expr("cast(p_size % 4 AS string) AS composition"))
-    return W.grid_fit(p, p.where("p_partkey % 11 = 0").withColumnRenamed("p_partkey", "posted"), "p_partkey")
+    return W.grid_fit(p, p.where("genre <> 'Brand#11'").withColumnRenamed("p_partkey", "posted"), "p_partkey")
