@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE = F.lit(1)
-
 
 def _sum_where(cond: Column, value: Column) -> Column:
     return F.round(F.coalesce(F.sum(F.when(cond, value)), F.lit(0.0)), 2)
@@ -15,7 +13,7 @@ def _sum_where(cond: Column, value: Column) -> Column:
 def revenue_by_genre(bookings: DataFrame, genre: str, amount: str, paid: Column) -> DataFrame:
     """AGG-02. Count, paid count, paid and pending sums and the paid average of each genre; null genres form one group."""
     return bookings.groupBy(F.col(genre).alias("genre")).agg(
-        F.count(ONE).alias("bookings"),
+        F.count(F.lit(1)).alias("bookings"),
         F.count_if(paid).alias("paid_bookings"),
         _sum_where(paid, F.col(amount)).alias("paid_revenue"),
         _sum_where(~paid, F.col(amount)).alias("pending_revenue"),
@@ -26,7 +24,7 @@ def revenue_by_genre(bookings: DataFrame, genre: str, amount: str, paid: Column)
 def revenue_totals(bookings: DataFrame, amount: str, paid: Column) -> DataFrame:
     """AGG-01. One row of totals; zero where there is nothing to add."""
     return bookings.agg(
-        F.count(ONE).alias("bookings"),
+        F.count(F.lit(1)).alias("bookings"),
         _sum_where(paid, F.col(amount)).alias("paid_revenue"),
         _sum_where(~paid, F.col(amount)).alias("pending_revenue"),
         F.round(F.coalesce(F.avg(F.when(paid, F.col(amount))), F.lit(0.0)), 2).alias("avg_paid"),
@@ -36,13 +34,13 @@ def revenue_totals(bookings: DataFrame, amount: str, paid: Column) -> DataFrame:
 def revenue_by_month(bookings: DataFrame, day: str, amount: str, paid: Column, as_of: str, months: int = 24) -> DataFrame:
     """AGG-03. Paid revenue by month over the months before as_of, newest first by its key."""
     recent = bookings.where(paid & (F.col(day) >= F.add_months(F.lit(as_of).cast("date"), -months)))
-    return recent.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count(ONE).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue"))
+    return recent.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue"))
 
 
 def busiest_months(bookings: DataFrame, day: str, amount: str) -> DataFrame:
     """AGG-04. Bookings and revenue by calendar month over all years."""
     return bookings.groupBy(F.date_format(day, "MM").alias("month"), F.date_format(day, "MMMM").alias("month_name")).agg(
-        F.count(ONE).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue")
+        F.count(F.lit(1)).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue")
     )
 
 
@@ -51,7 +49,7 @@ def projection(bookings: DataFrame, day: str, amount: str, label: str, as_of: st
     start = F.lit(as_of).cast("date")
     ahead = bookings.where((F.col(day) >= start) & (F.col(day) <= F.add_months(start, months)))
     return ahead.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(
-        F.count(ONE).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue"), F.concat_ws(",", F.sort_array(F.collect_set(label))).alias("labels")
+        F.count(F.lit(1)).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue"), F.concat_ws(",", F.sort_array(F.collect_set(label))).alias("labels")
     )
 
 
@@ -59,14 +57,14 @@ def conversion_funnel(bookings: DataFrame, status: str, steps: dict[str, list[st
     """AGG-06. One row: how many bookings have reached each step, and the last step's share of all."""
     counts = [F.count_if(F.col(status).isin(values)).alias(name) for name, values in steps.items()]
     last = list(steps)[-1]
-    out = bookings.agg(F.count(ONE).alias("total"), *counts)
+    out = bookings.agg(F.count(F.lit(1)).alias("total"), *counts)
     return out.withColumn("conversion_pct", F.round(F.when(F.col("total") > 0, F.col(last) * 100.0 / F.col("total")).otherwise(0.0), 1))
 
 
 def by_key(sales: DataFrame, key: Column, name: str, price: Column, margin: Column) -> DataFrame:
     """AGG-08. Sales, revenue and margin of each key."""
     return sales.groupBy(key.alias(name)).agg(
-        F.count(ONE).alias("sales"), F.round(F.sum(price), 2).alias("revenue"), F.round(F.sum(margin), 2).alias("margin"), F.round(F.avg(price), 2).alias("avg_price")
+        F.count(F.lit(1)).alias("sales"), F.round(F.sum(price), 2).alias("revenue"), F.round(F.sum(margin), 4).alias("margin"), F.round(F.avg(price), 2).alias("avg_price")
     )
 
 
@@ -95,12 +93,12 @@ def filtered_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
 
 def status_counts(jobs: DataFrame, kind: str, status: str, statuses: list[str]) -> DataFrame:
     """AGG-13. A row a kind and a column a known status, zero where there is none."""
-    return jobs.groupBy(kind).agg(F.count(ONE).alias("total"), *(F.count_if(F.col(status) == s).alias(f"n_{s}") for s in statuses))
+    return jobs.groupBy(kind).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col(status) == s).alias(f"n_{s}") for s in statuses))
 
 
 def coverage(df: DataFrame, done: Column, per_hour: float = 230.0) -> DataFrame:
     """AGG-16. Total, done, remaining, percent done and hours left; nothing to do is 0 percent and 0 hours."""
-    out = df.agg(F.count(ONE).alias("total"), F.count_if(done).alias("done"))
+    out = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("done"))
     left = F.col("total") - F.col("done")
     pct = F.when(F.col("total") > 0, F.col("done") * 100.0 / F.col("total")).otherwise(0.0)
     return out.select("total", "done", left.alias("remaining"), F.round(pct, 2).alias("pct"), F.round(left / per_hour, 2).alias("eta_hours"))
@@ -108,15 +106,15 @@ def coverage(df: DataFrame, done: Column, per_hour: float = 230.0) -> DataFrame:
 
 def top_share(df: DataFrame, value: str, top: int) -> DataFrame:
     """AGG-17. The most frequent values, with percent of all rows that have one. Empty strings count below, not above, the line."""
-    known = df.where(F.col(value).isNotNull()).agg(F.count(ONE).alias("known"))
-    counts = df.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(F.col(value).alias("value")).agg(F.count(ONE).alias("n"))
+    known = df.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("known"))
+    counts = df.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     top_n = counts.orderBy(F.desc("n"), "value").limit(top)
     return top_n.crossJoin(F.broadcast(known)).select("value", "n", F.round(F.col("n") * 100.0 / F.col("known"), 2).alias("pct"))
 
 
 def mode_per_group(df: DataFrame, group: Column, name: str, value: str) -> DataFrame:
     """AGG-18, WIN-07. The most frequent value of each group, the least of several."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group.alias(name), F.col(value).alias("mode")).agg(F.count(ONE).alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group.alias(name), F.col(value).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(name).orderBy(F.desc("n"), "mode")
     return counts.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
@@ -124,7 +122,7 @@ def mode_per_group(df: DataFrame, group: Column, name: str, value: str) -> DataF
 def share_true(df: DataFrame, group: Column, name: str, flag: Column, score: Column) -> DataFrame:
     """AGG-19. Rows, percent flagged and average score (null as 0) of each group."""
     return df.groupBy(group.alias(name)).agg(
-        F.count(ONE).alias("n"), F.round(F.count_if(flag) * 100.0 / F.count(ONE), 2).alias("flag_pct"), F.round(F.avg(F.coalesce(score, F.lit(0.0))), 4).alias("avg_score")
+        F.count(F.lit(1)).alias("n"), F.round(F.count_if(flag) * 100.0 / F.count(F.lit(1)), 2).alias("flag_pct"), F.round(F.avg(F.coalesce(score, F.lit(0.0))), 4).alias("avg_score")
     )
 
 
@@ -149,14 +147,14 @@ def tag_lift(rows: DataFrame, tags: Column, flag: Column, support: int = 3, floo
 
 def referral_shares(bookings: DataFrame, source: str, amount: Column, labels: list[str]) -> DataFrame:
     """AGG-22, AGG-25. Bookings and revenue by source, null and 'unknown' apart, with whether the lower-cased label is a referral and its share."""
-    by = bookings.groupBy(F.col(source).alias("source")).agg(F.count(ONE).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue"))
+    by = bookings.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue"))
     total = F.sum("bookings").over(Window.partitionBy(F.lit(0)))
     return by.select("source", "bookings", "revenue", F.coalesce(F.lower("source").isin(labels), F.lit(False)).alias("is_referral"), F.round(F.col("bookings") * 100.0 / total, 2).alias("pct"))
 
 
 def content_gaps(posts: DataFrame, genre: str) -> DataFrame:
     """AGG-35. Genres with fewer posts than half the mean over the genres that have any."""
-    by = posts.where(F.col(genre).isNotNull()).groupBy(F.col(genre).alias("genre")).agg(F.count(ONE).alias("posts"))
+    by = posts.where(F.col(genre).isNotNull()).groupBy(F.col(genre).alias("genre")).agg(F.count(F.lit(1)).alias("posts"))
     mean = by.agg(F.avg("posts").alias("mean"))
     return by.crossJoin(F.broadcast(mean)).where("posts < 0.5 * mean").select("genre", "posts", F.round("mean", 4).alias("mean_posts"))
 
@@ -164,7 +162,7 @@ def content_gaps(posts: DataFrame, genre: str) -> DataFrame:
 def turnaround(pairs: DataFrame, group: str, start: str, end: str) -> DataFrame:
     """AGG-29. Mean days, with fractions, from start to end of each group."""
     days = F.timestamp_diff("MICROSECOND", F.col(start), F.col(end)) / 86_400_000_000
-    return pairs.groupBy(group).agg(F.count(ONE).alias("n"), F.round(F.avg(days), 4).alias("avg_days"))
+    return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(days), 4).alias("avg_days"))
 
 
 def estimate_completion(shoots: DataFrame, history: DataFrame, genre: str, windows: dict[str, int], default: int = 14) -> DataFrame:
@@ -177,7 +175,7 @@ def median_recent(jobs: DataFrame, kind: str, ts: str, key: str, duration: str,
     """AGG-39. The exact median of the positive durations among the last jobs of each kind; the limit comes before the filter."""
     w = Window.partitionBy(kind).orderBy(F.desc(ts), F.desc(key))
     recent = jobs.withColumn("r", F.row_number().over(w)).where((F.col("r") <= last) & (F.col(duration) > 0))
-    return recent.groupBy(kind).agg(F.count(ONE).alias("n"), F.round(F.median(duration), 4).alias("median_duration"))
+    return recent.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(duration), 4).alias("median_duration"))
 
 
 def lifetime_value(clients: DataFrame, key: str, first: Column, revenue: Column, as_of: str) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE = F.lit(1)
-
 
 def left_filtered_on(left: DataFrame, right: DataFrame, on: Column, keep: Column) -> DataFrame:
     """JOIN-03. A left join with a condition on the right side inside ON: left rows without a match stay."""
@@ -24,7 +22,7 @@ def referrers(clients: DataFrame, key: str, referred_by: str, bookings: DataFram
 
 def vendor_attribution(vendors: DataFrame, key: str, name: str, bookings: DataFrame, source: Column, detail: str, amount: str) -> DataFrame:
     """JOIN-05, AGG-24. Bookings that name a vendor, by vendor; vendors without any stay with zeros."""
-    mine = bookings.where(source).groupBy(F.col(detail).alias(key)).agg(F.count(ONE).alias("bookings"), F.sum(amount).alias("revenue"))
+    mine = bookings.where(source).groupBy(F.col(detail).alias(key)).agg(F.count(F.lit(1)).alias("bookings"), F.sum(amount).alias("revenue"))
     out = vendors.select(key, name).join(mine, key, "left")
     return out.select(key, name, F.coalesce("bookings", F.lit(0)).cast("long").alias("bookings"), F.round(F.coalesce("revenue", F.lit(0.0)), 2).alias("revenue"))
 
@@ -55,7 +53,7 @@ def calendar_spine(posts: DataFrame, day: Column, start: str, end: str) -> DataF
     """JOIN-30. Every day of a range with its number of posts; empty days stay."""
     spark = posts.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
-    counts = posts.where((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date"))).groupBy(day.alias("day")).agg(F.count(ONE).alias("posts"))
+    counts = posts.where((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date"))).groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("posts"))
     return days.join(counts, "day", "left").select("day", F.coalesce("posts", F.lit(0)).cast("long").alias("posts"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactsheet.operators import aggregates as A
@@ -14,7 +14,18 @@ from contactsheet.operators import windows as W
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 AS_OF = "2001-06-01"
-PAID, OPEN = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O"
+
+
+def paid() -> Column:
+    return F.col("o_orderstatus") == "F"
+
+
+def price() -> Column:
+    return F.col("l_extendedprice")
+
+
+def margin() -> Column:
+    return F.col("l_extendedprice") * F.col("l_discount")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +51,7 @@ SELECT o_orderpriority AS genre, count(*) AS bookings, count(*) FILTER (WHERE o_
  round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS avg_paid
 FROM orders GROUP BY o_orderpriority""")
 def agg_revenue_by_genre(spark, d):
-    return A.revenue_by_genre(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", PAID)
+    return A.revenue_by_genre(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", paid())
 
 
 @query("""
@@ -48,14 +59,14 @@ SELECT count(*) AS bookings, round(coalesce(sum(o_totalprice) FILTER (WHERE o_or
  round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus <> 'F'), 0.0), 2) AS pending_revenue,
  round(coalesce(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 0.0), 2) AS avg_paid FROM orders""")
 def agg_revenue_totals(spark, d):
-    return A.revenue_totals(table(spark, d, "orders"), "o_totalprice", PAID)
+    return A.revenue_totals(table(spark, d, "orders"), "o_totalprice", paid())
 
 
 @query("""
 SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS bookings, round(sum(o_totalprice), 2) AS revenue FROM orders
 WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '2001-06-01' - INTERVAL 24 MONTH GROUP BY 1""")
 def agg_revenue_by_month(spark, d):
-    return A.revenue_by_month(table(spark, d, "orders"), "o_orderdate", "o_totalprice", PAID, AS_OF)
+    return A.revenue_by_month(table(spark, d, "orders"), "o_orderdate", "o_totalprice", paid(), AS_OF)
 
 
 @query("""
@@ -80,48 +91,45 @@ def agg_conversion_funnel(spark, d):
     return A.conversion_funnel(table(spark, d, "orders"), "o_orderstatus", {"booked": ["P", "F"], "completed": ["F"]})
 
 
-PRICE, MARGIN = F.col("l_extendedprice"), F.col("l_extendedprice") * F.col("l_discount")
-
-
 @query("""
-SELECT l_returnflag AS channel, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 2) AS margin,
+SELECT l_returnflag AS channel, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 4) AS margin,
  round(avg(l_extendedprice), 2) AS avg_price FROM lineitem GROUP BY 1""")
 def agg_sales_by_channel(spark, d):
-    return A.by_key(table(spark, d, "lineitem"), F.col("l_returnflag"), "channel", PRICE, MARGIN)
+    return A.by_key(table(spark, d, "lineitem"), F.col("l_returnflag"), "channel", price(), margin())
 
 
 @query("""
-SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 2) AS margin,
+SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 4) AS margin,
  round(avg(l_extendedprice), 2) AS avg_price FROM lineitem GROUP BY 1""")
 def agg_sales_by_month(spark, d):
-    return A.by_key(table(spark, d, "lineitem"), F.date_format("l_shipdate", "yyyy-MM"), "month", PRICE, MARGIN)
+    return A.by_key(table(spark, d, "lineitem"), F.date_format("l_shipdate", "yyyy-MM"), "month", price(), margin())
 
 
 @query("""
-SELECT p_type AS technique, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 2) AS margin,
+SELECT p_type AS technique, count(*) AS sales, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * l_discount), 4) AS margin,
  round(avg(l_extendedprice), 2) AS avg_price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def agg_sales_by_technique(spark, d):
     sales = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return A.by_key(sales, F.col("p_type"), "technique", PRICE, MARGIN)
+    return A.by_key(sales, F.col("p_type"), "technique", price(), margin())
 
 
 @query("""
 SELECT l_returnflag, round(avg(l_extendedprice * l_discount) / nullif(avg(l_extendedprice), 0) * 100, 4) AS margin_pct FROM lineitem GROUP BY 1""")
 def agg_margin_ratio_of_avgs(spark, d):
-    return A.margin_ratio_of_averages(table(spark, d, "lineitem"), "l_returnflag", PRICE, PRICE - MARGIN)
+    return A.margin_ratio_of_averages(table(spark, d, "lineitem"), "l_returnflag", price(), price() - margin())
 
 
 @query("""
 SELECT l_returnflag, round(avg(CASE WHEN l_extendedprice > 0 THEN l_extendedprice * l_discount / l_extendedprice * 100 ELSE 0 END), 4) AS margin_pct_zero,
  round(avg(CASE WHEN l_extendedprice <> 0 THEN l_extendedprice * l_discount / l_extendedprice * 100 END), 4) AS margin_pct_null FROM lineitem GROUP BY 1""")
 def agg_margin_avg_of_ratios(spark, d):
-    return A.margin_average_of_ratios(table(spark, d, "lineitem"), "l_returnflag", PRICE, PRICE - MARGIN)
+    return A.margin_average_of_ratios(table(spark, d, "lineitem"), "l_returnflag", price(), price() - margin())
 
 
 @query("""
 SELECT strftime(l_shipdate, '%Y-%m') AS month, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1 ORDER BY revenue DESC, month LIMIT 1""")
 def agg_best_month(spark, d):
-    return A.best_key(table(spark, d, "lineitem"), F.date_format("l_shipdate", "yyyy-MM"), "month", PRICE)
+    return A.best_key(table(spark, d, "lineitem"), F.date_format("l_shipdate", "yyyy-MM"), "month", price())
 
 
 @query("""
@@ -146,7 +154,7 @@ def agg_status_counts(spark, d):
 SELECT total, done, total - done AS remaining, round(done * 100.0::DOUBLE / total, 2) AS pct, round((total - done) / 230.0::DOUBLE, 2) AS eta_hours
 FROM (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders)""")
 def agg_coverage_eta(spark, d):
-    return A.coverage(table(spark, d, "orders"), PAID)
+    return A.coverage(table(spark, d, "orders"), paid())
 
 
 @query("""
@@ -217,7 +225,7 @@ WITH h AS (SELECT o_orderpriority, round(avg((epoch_us(l_shipdate) - epoch_us(o_
 SELECT o_orderkey, coalesce(round(a)::INT, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 28 ELSE 14 END) AS estimate_days FROM orders LEFT JOIN h USING (o_orderpriority)""")
 def agg_estimate_completion(spark, d):
     orders = table(spark, d, "orders")
-    done = orders.where(PAID & (F.col("o_orderpriority") < "4")).join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    done = orders.where(paid() & (F.col("o_orderpriority") < "4")).join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     history = A.turnaround(done, "o_orderpriority", "o_orderdate", "l_shipdate").drop("n")
     return A.estimate_completion(orders, history, "o_orderpriority", {"4-NOT SPECIFIED": 28}).select("o_orderkey", "estimate_days")
 
@@ -277,7 +285,7 @@ def agg_select_distinct(spark, d):
 SELECT o_orderkey, count(l_orderkey) AS worthy FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity >= 45 WHERE o_orderstatus = 'F' GROUP BY 1""")
 def join_left_filtered_on(spark, d):
     on = F.col("o_orderkey") == F.col("l_orderkey")
-    out = J.left_filtered_on(table(spark, d, "orders").where(PAID), table(spark, d, "lineitem"), on, F.col("l_quantity") >= 45)
+    out = J.left_filtered_on(table(spark, d, "orders").where(paid()), table(spark, d, "lineitem"), on, F.col("l_quantity") >= 45)
     return out.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("worthy"))
 
 
@@ -287,7 +295,7 @@ SELECT r.c_custkey AS referrer, count(DISTINCT c.c_custkey) AS referrals, count(
 FROM c JOIN c r ON c.referred_by = r.c_custkey LEFT JOIN orders ON o_custkey = c.c_custkey AND o_orderstatus = 'F' GROUP BY 1""")
 def join_self_referrer(spark, d):
     clients = table(spark, d, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey div 10 END AS referred_by"))
-    return J.referrers(clients, "c_custkey", "referred_by", table(spark, d, "orders"), "o_custkey", PAID, "o_totalprice")
+    return J.referrers(clients, "c_custkey", "referred_by", table(spark, d, "orders"), "o_custkey", paid(), "o_totalprice")
 
 
 @query("""

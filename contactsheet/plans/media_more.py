@@ -66,14 +66,15 @@ def srt_computed_key(spark, d):
     return table(spark, d, "part").orderBy(F.desc(c("p_size") % 2 == 0), F.desc_nulls_last("p_retailprice"), "p_partkey").limit(50).select("p_partkey")
 
 
-NIMA = c("l_quantity") / 5
+def nima():
+    return c("l_quantity") / 5
 
 
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN q >= 6.68 THEN 'Exceptional' WHEN q >= 6.52 THEN 'Strong' WHEN q >= 6.22 THEN 'Solid' WHEN q >= 5.99 THEN 'Weak' ELSE 'Low' END AS band,
  CASE WHEN q >= 7 THEN 'fine_art' WHEN q >= 6.5 THEN 'standard' ELSE 'below_threshold' END AS print FROM (SELECT *, l_quantity / 5 AS q FROM lineitem)""")
 def prj_tier_bands(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.banded(NIMA, S.RESULT_BANDS, "Low").alias("band"), S.banded(NIMA, S.PRINT_TIERS, "below_threshold").alias("print"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.banded(nima(), S.RESULT_BANDS, "Low").alias("band"), S.banded(nima(), S.PRINT_TIERS, "below_threshold").alias("print"))
 
 
 @query("""
@@ -89,7 +90,7 @@ def prj_status_ladder(spark, d):
 SELECT l_orderkey, l_linenumber, CASE WHEN least(a, b, e) < 5 THEN CASE WHEN a = least(a, b, e) THEN 'dof' WHEN b = least(a, b, e) THEN 'balance' ELSE 'thirds' END END AS weakness
 FROM (SELECT l_orderkey, l_linenumber, l_quantity / 5 AS a, l_discount * 100 AS b, CASE WHEN l_tax > 0.02 THEN l_tax * 100 END AS e FROM lineitem)""")
 def prj_weakness_argmin(spark, d):
-    scores = {"dof": NIMA, "balance": c("l_discount") * 100, "thirds": F.when(c("l_tax") > 0.02, c("l_tax") * 100)}
+    scores = {"dof": nima(), "balance": c("l_discount") * 100, "thirds": F.when(c("l_tax") > 0.02, c("l_tax") * 100)}
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.weakest(scores).alias("weakness"))
 
 
@@ -104,7 +105,7 @@ SELECT l_orderkey, l_linenumber, round(least((l_linenumber * 2.0::DOUBLE + l_qua
  round(0.6::DOUBLE * (l_quantity / 5) + 0.4::DOUBLE * (l_discount * 100), 6) AS combined FROM lineitem""")
 def prj_trust_and_combined(spark, d):
     quality = c("l_discount") * 100
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.trust(c("l_linenumber"), NIMA, quality).alias("trust"), F.round(S.combined(NIMA, quality), 6).alias("combined"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.trust(c("l_linenumber"), nima(), quality).alias("trust"), F.round(S.combined(nima(), quality), 6).alias("combined"))
 
 
 @query("""
@@ -293,3 +294,36 @@ def str_rolling_throughput(spark, d):
     e = table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
     out = e.groupBy(F.window("ts", "8 hours", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(c("event_type") == "error").alias("errors"))
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", "errors")
+
+
+# Kernels and streams
+
+
+@query()
+def udf_cull_scores(spark, d):
+    """UDF-01 to UDF-09 on the embeddings as grey images of 8 x 8 pixels: no SQL, tests hold the kernels against known images."""
+    from contactsheet.functions import kernels as K
+
+    e = table(spark, d, "embeddings")
+    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.round(x * 40 + 128), F.lit(0)), F.lit(255)).cast("int")), 2, "0"))
+    images = e.select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(grey, "")).alias("pixels"))
+    scored = K.cull_scores(K.signals(images, "vec_id"))
+    blend = S.blend({k: c(k) for k in S.CULL_WEIGHTS}, S.CULL_WEIGHTS)
+    out = scored.withColumn("cull_score", F.when(c("blank_frame"), 0.0).otherwise(blend))
+    return out.select("vec_id", "cull_score", S.cull_status(c("cull_score"), c("vec_id") % 2 == 0).alias("status"), F.round(K.symmetry_score(c("mirror")), 3).alias("symmetry"), "phash")
+
+
+@query("""
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * i FOR i IN range(0, 8)]) AS s FROM events) GROUP BY 1""")
+def str_stream_rolling(spark, d):
+    """STR-04 as a stream that runs over all files there are and ends."""
+    import tempfile
+    from uuid import uuid4
+
+    from contactsheet.streaming import streams
+
+    events = table(spark, d, "events")
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid4()}"
+    stream = streams.read_events(spark, d, "events.parquet", events.schema).withColumn("ts", c("ts").cast("timestamp"))
+    streams.run_once(streams.rolling(stream, "ts", "8 hours", "1 hour", F.count(F.lit(1)).alias("n")), f"{base}/out", f"{base}/state", "complete")
+    return spark.read.parquet(f"{base}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n")
