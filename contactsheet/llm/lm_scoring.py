@@ -12,19 +12,27 @@ just that part of the automaton which its own documents can reach, and traverses
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import shuffle_partitions
+from contactsheet.llm.common import shuffle_partitions, slices
 
 MU = 200.0
 #: UTF-8 bytes of the texts of a block, and of those whose keys meet in a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
+#: Blocks and buckets of small corpora.
+LEAST_BLOCKS, LEAST_BUCKETS = 48, 24
+#: Text of a task that is packed at once.
+PACK_BYTES = 32 << 20
 CACHED = 300_000
 U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -70,8 +78,49 @@ def tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[new], np.add.reduceat(trained[order].astype(np.int64), np.flatnonzero(new)) if len(keys) else np.zeros(0, np.int64)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> U(24)) % U(buckets)).astype(np.int64)
+def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where sorted keys go over from one bucket to the next; each bucket has a range of keys."""
+    edges = [(1 << 64) * b // buckets for b in range(1, buckets)]
+    return np.searchsorted(keys, np.array(edges, U))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first and the differences, of as many bytes each as the largest needs; the first byte says how many."""
+    step = np.diff(keys)
+    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+    return bytes([width]) + keys[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) < 9:
+        return np.zeros(0, U)
+    step = np.zeros((1 + (len(data) - 9) // data[0], 8), np.uint8)
+    step[0] = np.frombuffer(data, np.uint8, 8, 1)
+    step[1:, : data[0]] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    return np.cumsum(step.view(U).ravel(), dtype=U)
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns block, doc_id, held_out, text: a row for each block with its documents compressed."""
+    for batch in batches:
+        for part in slices(batch, 3, PACK_BYTES):
+            order = np.argsort(part.column(0).to_numpy(), kind="stable")
+            blocks = part.column(0).to_numpy()[order]
+            ends = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            columns = part.take(pa.array(order)).to_pydict()
+            rows = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                rows.append(zstandard.compress(pickle.dumps([columns[c][a:b] for c in ("doc_id", "held_out", "text")]), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[ends[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["block", "texts"])
+
+
+def _texts(pdf: pd.DataFrame) -> tuple[list, list, list]:
+    """doc_id, held_out and text of a block's documents, in an order that is the same each time."""
+    ids, held, texts = [], [], []
+    for x in sorted(pdf["texts"]):
+        i, h, t = pickle.loads(zstandard.decompress(x))
+        ids, held, texts = ids + i, held + h, texts + t
+    return ids, held, texts
 
 
 class Automaton:
@@ -104,17 +153,16 @@ def _ask(buckets: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = Keys()
-        tokens = [keys.of(t) for t in pdf["text"]]
-        trained = np.repeat(~pdf["held_out"].to_numpy(bool), [len(t) for t in tokens])
+        _, held, texts = _texts(pdf)
+        tokens = [keys.of(t) for t in texts]
+        trained = np.repeat(~np.array(held, bool), [len(t) for t in tokens])
         every, pairs = np.concatenate(tokens), np.concatenate([bigrams(t) for t in tokens])
         rows = {}
         for kind, k in (("words", every), ("pairs", pairs)):
             own, n = tally(k, trained)
-            b = bucket_of(own, buckets)
-            order = np.argsort(b, kind="stable")
-            ends = np.cumsum(np.bincount(b, minlength=buckets))[:-1]
-            rows[kind] = [x.tobytes() for x in np.split(own[order], ends)]
-            rows[f"{kind}_n"] = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(n[order], ends)]
+            ends = cuts(own, buckets)
+            rows[kind] = [packed(x) for x in np.split(own, ends)]
+            rows[f"{kind}_n"] = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(n, ends)]
         return pd.DataFrame({"block": pdf["block"].iloc[0], "bucket": np.arange(buckets, dtype=np.int32), **rows})
 
     return run
@@ -124,7 +172,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: each block gets the totals of its keys, and the bucket's tokens and distinct trained tokens."""
     out = pdf[["block", "bucket"]].copy()
     for kind in ("words", "pairs"):
-        keys = [np.frombuffer(x, U) for x in pdf[kind]]
+        keys = [unpacked(x) for x in pdf[kind]]
         n = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in pdf[f"{kind}_n"]])
         own, total = tally(np.concatenate(keys), n)
         out[f"{kind}_n"] = [zlib.compress(total[np.searchsorted(own, k)].astype(np.uint64).tobytes(), 1) for k in keys]
@@ -134,25 +182,25 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _score(buckets: int, mu: float):
-    """Of one block: its documents and the answers; the keys' order is made again as _ask made it."""
+    """Of one block: its documents and the answers, which are in the order of the keys."""
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         keys = Keys()
-        tokens = [keys.of(t) for t in docs["text"]]
+        ids, held, texts = _texts(docs)
+        tokens = [keys.of(t) for t in texts]
         answers = answers.sort_values("bucket")
         found = []
         for kind, k in (("words", np.concatenate(tokens)), ("pairs", np.concatenate([bigrams(t) for t in tokens]))):
-            own = np.unique(k)
-            n = np.empty(len(own), np.int64)
-            n[np.argsort(bucket_of(own, buckets), kind="stable")] = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint64) for x in answers[f"{kind}_n"]]).astype(np.int64)
-            found += [own, n]
+            k.sort()
+            own = k[np.concatenate([[True], k[1:] != k[:-1]])]
+            found += [own, np.concatenate([np.frombuffer(zlib.decompress(x), np.uint64) for x in answers[f"{kind}_n"]]).astype(np.int64)]
         total, distinct = int(answers["tokens"].sum()), int(answers["distinct"].sum())
         model = Automaton(*found, total, distinct, mu)
         scored = [model.score(t) for t in tokens]
         return pd.DataFrame(
             {
-                "doc_id": docs["doc_id"].astype("Int64"),
-                "held_out": docs["held_out"],
+                "doc_id": pd.array(ids, "Int64"),
+                "held_out": held,
                 "n_tokens": [len(t) for t in tokens],
                 "n_known": [s[2] for s in scored],
                 "train_tokens": total,
@@ -173,10 +221,10 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", mu: float
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     n = shuffle_partitions(docs.sparkSession)
-    blocks, buckets = max(2 * n, math.ceil(total / BLOCK_BYTES)), max(n, math.ceil(total / BUCKET_BYTES))
+    blocks, buckets = max(LEAST_BLOCKS, math.ceil(total / BLOCK_BYTES)), max(LEAST_BUCKETS, math.ceil(total / BUCKET_BYTES))
     dealt = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), "text"), F.lit(blocks)).cast("int"))
-    dealt = dealt.repartition(n, "block")
+    dealt = dealt.select("block", "doc_id", "held_out", "text").mapInArrow(_pack_texts, "block int, texts binary").repartition(n, "block")
     asked = dealt.groupBy("block").applyInPandas(_ask(buckets), "block int, bucket int, words binary, words_n binary, pairs binary, pairs_n binary")
     answers = asked.groupBy("bucket").applyInPandas(_answer, "block int, bucket int, words_n binary, pairs_n binary, tokens long, distinct long")
     answers = answers.repartition(n, "block")
