@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from contactsheet.operators import aggregates as A
 from contactsheet.operators import joins as J
 from contactsheet.operators import windows as W
 
+ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 AS_OF = "2001-06-01"
@@ -29,6 +31,7 @@ def margin() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)  # for Python workers that start elsewhere
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
