@@ -1,29 +1,70 @@
-"""Connected components of an edge list, by rounds of large-star and small-star joins."""
+"""Connected components of an edge list: forests of tasks, merged by rounds of shuffles and pointer jumps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactsheet.llm.common import checkpointed
 
+#: Edges that a task joins at once; with more it hands on several forests.
+TASK_EDGES = 4_000_000
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges that isn't the least of its tree, with the least."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, (x, y) = np.arange(len(nodes)), at.reshape(2, -1)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for end in (x, y):
+            np.minimum.at(new, root[end], low)
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        a, b = _forest(*(np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n > TASK_EDGES:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: columns a, b, any order and repeats. Returns node and root, the least node it reaches, for each node with an edge.
 
-    Nothing is collected: each round is a few aggregates and joins, its result kept in the checkpoint folder.
+    Nothing is collected. A round brings a node's edges together, where each task makes one forest of all that it has, and then lets
+    each node point to what its root points to. It ends when nothing changes: each node has one root, and no root points on.
     """
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        joined = now.repartition("a").mapInArrow(_join, "a long, b long")
+        joined = checkpointed(joined)
+        up = joined.select(F.col("a").alias("b"), F.col("b").alias("root"))
+        now = joined.join(up, "b", "left").select("a", F.coalesce("root", "b").alias("b")).distinct()
+        now = checkpointed(now)
+        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
-            roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         state = new

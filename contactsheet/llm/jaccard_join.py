@@ -7,17 +7,23 @@ partition is cut again into three, and for each subset of two of these a signatu
 with one difference at most has a subset without any, so that similar sets have a signature in common.
 
 Signatures of no elements are left out. That is safe for a set of which no more partitions than the spare ones have such a
-subset. Two sets that both have more are found by another exact way: a token of each of their first a - ceil(0.8 a) + 1 elements.
+subset. Two sets that both have more are found by another exact way: a token, in the instance, of each of
+their first a - ceil(0.8 a) + 1 elements.
 
-Equal sets are one class from the start. Candidates are checked on whole sets. First each set is checked with the one candidate
-that shares the most signatures with it; then, where groups of candidates are not yet connected, pairs between components that a
-bitmap's exact bound doesn't exclude: for each set the nearest of each other component, at last all that are left.
+Elements that very many documents share, a bounded list of them, are left out of the signatures: what is left of two similar sets
+differs in no more elements than they do, so nothing is lost, and passages that documents share make no candidates.
+
+Equal sets are one class from the start. Sets that share a signature form a list. Of a list's pairs those are left which the sizes
+and an exact bound from bitmaps don't exclude; these are checked on whole sets. In a large group of near copies they are many, though a
+few join the group. So each set is first checked with the nearest one of its longest list, and with one that is near to most. Then lists that are in one component are
+done; in others each set outside the list's largest component is checked so with sets of other components, and at last, where
+components still differ, all pairs between them are.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +33,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed, shuffle_partitions, slices
+from contactsheet.llm.common import checkpointed, slices
 from contactsheet.llm.components import components
 
 SHINGLE = 5
 #: Text of which signatures are made at once, signatures that one task groups on average, bits of the filter of candidates.
-SLICE_BYTES, BUCKET_SETS, FILTER_BITS = 8 << 20, 1 << 20, 1 << 26
-CACHED = 300_000
+SLICE_BYTES, BUCKET_SETS, FILTER_BITS = 4 << 20, 2 << 20, 1 << 26
+#: Bytes of a signature that are kept: two different ones of a bucket may then be equal, which only makes a candidate more.
+SIG_BYTES = 5
+#: Buckets of small corpora.
+LEAST_BUCKETS = 24
+#: An element counts as common if it is in this many documents of a slice; those that a slice reports, and those that are broadcast, at most.
+COMMON, SLICE_COMMON, ALL_COMMON = 3, 4_000, 200_000
+#: Pairs a set that a list may have to be checked at once. Cells of a bitmap for each element.
+FEW, CELLS = 1, 1
+CACHED = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 #: Odd multipliers, one for each place of a shingle.
@@ -78,7 +92,7 @@ def set_id(s: np.ndarray) -> int:
 
 def parity_bits(s: np.ndarray) -> bytes:
     """Which cells have an odd number of elements; two sets differ in at least as many elements as their bits."""
-    cells = max(64, 1 << (len(s) - 1).bit_length())
+    cells = max(64, 1 << (CELLS * len(s) - 1).bit_length())
     return np.packbits(np.bincount((mix(s, 5) % U(cells)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
 
 
@@ -96,13 +110,16 @@ SPARE = 2 + (MOST // 2 + 1) // 5
 PARTS = MOST // 2 + 1 + SPARE
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of some sets, none empty, and the number of the set of each."""
+def signatures(sets: list[np.ndarray], common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of some sets, none empty, and the number of the set of each. common: sorted elements to leave out."""
     sizes = np.array([len(s) for s in sets])
     every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     band = np.searchsorted(BANDS, sizes, side="right") - 1
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, every), len(common) - 1)] != every
+        every, owner = every[rare], owner[rare]
     value, first, second = mix(every, 6), mix(every, 7), (mix(every, 8) % U(3)).astype(np.int64)
-    out, of, fall_back = [], [], np.zeros(len(sets), bool)
+    out, of = [], []
     for instance in (band, band + 1):
         used = MOST[instance] > 0
         parts = np.where(used, PARTS[instance], 0)
@@ -126,28 +143,36 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             sig = mix((total.sum(axis=1, dtype=U) - total[:, gone]) ^ (tag + U(gone)), 10) + some.astype(U)
             out.append(mix(sig, 11)[some > 0])
             of.append(docs[some > 0])
-        fall_back |= used & (np.bincount(docs[hollow], minlength=len(sets)) > SPARE[instance])
-    for i in np.flatnonzero(fall_back):
-        s = sets[i]
-        first_few = s[: len(s) - math.ceil(len(s) * 4 / 5) + 1]
-        out.append(mix(first_few, 12))
-        of.append(np.full(len(first_few), i))
-    return np.concatenate(out) if out else np.zeros(0, U), np.concatenate(of) if of else np.zeros(0, np.int64)
+        for i in np.flatnonzero(used & (np.bincount(docs[hollow], minlength=len(sets)) > SPARE[instance])):
+            first_few = sets[i][: len(sets[i]) - math.ceil(len(sets[i]) * 4 / 5) + 1]
+            out.append(mix(first_few + U(instance[i]), 12))
+            of.append(np.full(len(first_few), i))
+    return np.concatenate(out), np.concatenate(of)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
+    for batch in (part for batch in batches for part in slices(batch, 1, SLICE_BYTES)):
+        sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+        n, ids = [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets]
+        bits = [parity_bits(s) if len(s) else None for s in sets]
+        # One row more for the slice's common elements; equal sets count once.
+        distinct = {i: s for i, s in zip(ids, sets, strict=True) if i is not None}
+        found, count = np.unique(np.concatenate([np.zeros(0, U), *distinct.values()]), return_counts=True)
+        order = np.argsort(-count, kind="stable")[:SLICE_COMMON]
+        order = order[count[order] >= COMMON]
+        doc_id = pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)])
+        bits.append(found[order].tobytes())
+        yield pa.RecordBatch.from_arrays([doc_id, pa.array([*n, -1], pa.int64()), pa.array([*ids, None], pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_id", "bits"])
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, ids, bits = [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, hashes)
-            n.append(len(s))
-            ids.append(set_id(s) if len(s) else None)
-            bits.append(parity_bits(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_id", "bits"])
+        found = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["element"])
 
 
-def _emit(buckets: int):
+def _emit(buckets: int, common):
     """Signatures as rows of packed arrays: bucket, the sets' ids, how many signatures each has there, the signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +190,8 @@ def _emit(buckets: int):
                     seen = set()
                 if not sets:
                     continue
-                sig, of = signatures(sets)
-                bucket = (sig >> U(20)) % U(buckets)
+                sig, of = signatures(sets, common.value)
+                bucket = (sig >> U(44)) % U(buckets)
                 order = np.lexsort((of, bucket))
                 sig, of, bucket = sig[order], of[order], bucket[order]
                 own = np.array(ids, np.int64)
@@ -176,36 +201,27 @@ def _emit(buckets: int):
                     if a == b:
                         continue
                     starts = np.concatenate([[0], np.flatnonzero(np.diff(of[a:b])) + 1, [b - a]])
-                    for column, x in zip(rows, (int(bucket[a]), own[of[a:b][starts[:-1]]].tobytes(), np.diff(starts).astype(np.uint32).tobytes(), sig[a:b].tobytes()), strict=True):
+                    for column, x in zip(rows, (int(bucket[a]), own[of[a:b][starts[:-1]]].tobytes(), zlib.compress(np.diff(starts).astype(np.uint32).tobytes(), 1), sig[a:b].view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes()), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "ids", "counts", "sigs"])
 
     return run
 
 
-def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: pairs (a, b) with n signatures that say so, and the lists of sets that share a signature, each once."""
-    ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c in zip(pdf["ids"], pdf["counts"], strict=True)])
-    sig = np.concatenate([np.frombuffer(x, U) for x in pdf["sigs"]])
-    order = np.lexsort((ids, sig))
+def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: the lists of two sets or more that share a signature, each once, packed."""
+    counts = [np.frombuffer(zlib.decompress(c), np.uint32) for c in pdf["counts"]]
+    ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), c) for i, c in zip(pdf["ids"], counts, strict=True)])
+    packed = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["sigs"]]).reshape(-1, SIG_BYTES)
+    wide = np.zeros((len(packed), 8), np.uint8)
+    wide[:, :SIG_BYTES] = packed
+    sig = wide.view(U).ravel()
+    order = np.argsort(sig, kind="stable")
     sig, ids = sig[order], ids[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
-    sig, ids = sig[new], ids[new]
     starts = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]])
     many = np.flatnonzero(np.diff(starts) > 1)
-    lists = Counter(ids[starts[i] : starts[i + 1]].tobytes() for i in many)
-    a, b, n = [], [], []
-    for key, times in lists.items():
-        m = np.frombuffer(key, np.int64)
-        for i in range(len(m) - 1 if len(m) <= 6 else 1):
-            a.append(np.full(len(m) - i - 1, m[i]))
-            b.append(m[i + 1 :])
-            n.append(np.full(len(m) - i - 1, times))
-    if not lists:
-        return pd.DataFrame({"a": [], "b": [], "n": [], "members": []})
-    pairs, at = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0, return_inverse=True)
-    found = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": np.bincount(at.ravel(), np.concatenate(n)).astype(np.int64), "members": None})
-    return pd.concat([found, pd.DataFrame({"a": None, "b": None, "n": None, "members": list(lists)})], ignore_index=True).astype({"a": "Int64", "b": "Int64", "n": "Int64"})
+    lists = {np.unique(ids[starts[i] : starts[i + 1]]).tobytes() for i in many}
+    return pd.DataFrame({"members": sorted(x for x in lists if len(x) > 8)}, dtype=object)
 
 
 def _cells(doc_ids: np.ndarray) -> np.ndarray:
@@ -230,7 +246,7 @@ def _filter(doc_ids: DataFrame) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The packed sets of the documents that the filter lets through, and of those without an id."""
     hashes, bits = WordHashes(), shared.value
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, 1, SLICE_BYTES)):
         known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         cell = _cells(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
         take = np.flatnonzero(~known | ((bits[cell >> 3] >> (cell & 7)) & 1).astype(bool))
@@ -260,33 +276,88 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(_similar, "a long, b long, linked boolean"))
 
 
-def _open_pairs(nearest: bool):
-    """Of one list: pairs of sets in different components that may be similar; of each set and other component the nearest, or all."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("set_id")
-        ids, size, comp = (pdf[c].to_numpy() for c in ("set_id", "n_shingles", "root"))
-        cells = min(map(len, pdf["bits"])) // 8
-        rows = []
-        for x in pdf["bits"]:
-            x = np.frombuffer(x, U)
-            while len(x) > cells:  # cells of a bitmap twice as long come together
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            rows.append(x)
-        bits, out = np.stack(rows), []
-        for i in range(len(ids)):
-            far = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
-            ok = (comp != comp[i]) & (9 * far <= size + size[i]) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i]))
-            j = np.flatnonzero(ok)
-            if nearest and len(j):
-                j = j[np.lexsort((ids[j], far[j]))]
-                j = j[np.unique(comp[j], return_index=True)[1]]
-            out += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in j if nearest or x > i]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+def _near(ids: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes], every: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of a list, in different components, that may be similar: all if asked for or few, else of each set outside the largest
+    component that with the nearest, and that with the set which has the most such pairs. And whether these are all."""
+    cells = min(map(len, bits)) // 8
+    rows = []
+    for x in bits:
+        x = np.frombuffer(x, U)
+        while len(x) > cells:  # cells of a bitmap twice as long come together
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    grid = np.stack(rows)
+    kinds, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(which != np.argmax(count)) if len(kinds) < len(comp) else np.arange(len(ids))
+    block = max(1, (1 << 20) // grid.size)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(outside), block):
+        o = outside[a : a + block]
+        far = np.bitwise_count(grid[o, None, :] ^ grid[None, :, :]).sum(axis=2, dtype=np.int64)
+        both = size[o, None] + size[None, :]
+        ok = (comp[o, None] != comp[None, :]) & (9 * far <= both) & (9 * np.minimum(size[o, None], size[None, :]) >= 4 * both)
+        i, j = np.nonzero(ok)
+        found.append((o[i], j, far[i, j]))
+    i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    whole = every or len(i) <= 2 * FEW * len(ids)
+    if not whole:
+        hub = np.argmax(np.bincount(i, minlength=len(ids)))
+        order = np.lexsort((j, far, i))
+        i, j = i[order], j[order]
+        take = (np.diff(i, prepend=-1) != 0) | (j == hub)
+        i, j = i[take], j[take]
+    x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    return list({*zip(x.tolist(), y.tolist(), strict=True)}), whole
+
+
+def _pairs(every: bool):
+    """Rows list_id, set_id, root, n_shingles, bits, a list's together: its pairs (a, b), and a row (list_id, null) if there are more.
+
+    Lists of one group of copies have many pairs in common; they are in one task, which hands on each pair once.
+    """
+
+    def flush(rows: pa.Table) -> tuple[list[int], list[int | None]]:
+        lists = rows.column(0).to_numpy()
+        ids, roots, size = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        bits = rows.column(4).to_pylist()
+        ends = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
+        pairs, more = set(), []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a > 1:
+                got, whole = _near(ids[a:b], size[a:b], roots[a:b], bits[a:b], every)
+                pairs.update(got)
+                if not whole:
+                    more.append(int(lists[a]))
+        return [x for x, _ in pairs] + more, [y for _, y in pairs] + [None] * len(more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int | None]] = set()
+        for batch in _then_none(batches):
+            if batch is not None and not batch.num_rows:
+                continue
+            if held:
+                table = pa.Table.from_batches(held)
+                lists = table.column(0).to_numpy()
+                # The last list may go on in the next batch.
+                cut = len(lists) if batch is None or batch.column(0)[0].as_py() != lists[-1] else int(np.flatnonzero(lists != lists[-1])[-1]) + 1 if lists[0] != lists[-1] else 0
+                new = [x for x in zip(*flush(table.slice(0, cut)), strict=True) if x not in seen] if cut else []
+                a, b = [x for x, _ in new], [y for _, y in new]
+                seen = set(new) if len(seen) > CACHED else seen.union(new)
+                held = table.slice(cut).to_batches()
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if batch is not None:
+                held.append(batch)
 
     return run
 
 
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id that a document reaches over similar ones, itself included.
 
@@ -294,32 +365,38 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     component. Rows with a null doc_id take part, but give no name to a component. Shingles and sets are told apart by 64-bit hashes:
     for n different ones the chance that some two are taken for one is about n * n / 2 ** 65. An empty table gives an empty table.
     """
-    rows = checkpointed(docs.select("doc_id", text).mapInArrow(_describe, "doc_id long, n_shingles long, set_id long, bits binary"))
+    described = checkpointed(docs.select("doc_id", text).mapInArrow(_describe, "doc_id long, n_shingles long, set_id long, bits binary"))
+    rows = described.where("n_shingles >= 0")
+    top = described.where("n_shingles < 0").select("bits").mapInArrow(_elements, "element long").groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    top = top.orderBy(F.desc("n"), "element").limit(ALL_COMMON)
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.element for r in top.toLocalIterator()], np.int64).view(U)))
     sets = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n
-    buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(total / BUCKET_SETS))
-    emitted = docs.select(text).mapInArrow(_emit(buckets), "bucket int, ids binary, counts binary, sigs binary")
-    found = checkpointed(emitted.groupBy("bucket").applyInPandas(_candidates, "a long, b long, n long, members binary"))
-    pairs = found.where("members IS NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    lists = found.where("members IS NOT NULL").select("members", F.xxhash64("members").alias("list_id")).dropDuplicates(["list_id"])
-    members = checkpointed(lists.mapInArrow(_unpacked, "list_id long, set_id long"))
+    buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_SETS))
+    emitted = docs.select(text).mapInArrow(_emit(buckets, common), "bucket int, ids binary, counts binary, sigs binary")
+    lists = emitted.groupBy("bucket").applyInPandas(_lists, "members binary").withColumn("list_id", F.xxhash64("members"))
+    members = checkpointed(lists.dropDuplicates(["list_id"]).select("members", "list_id").mapInArrow(_unpacked, "list_id long, set_id long, n int"))
     named_by = sets.join(members.select("set_id").distinct(), "set_id").select("first_doc").where("first_doc IS NOT NULL")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(named_by))
     wanted = docs.select("doc_id", text).mapInArrow(lambda batches: _sets(batches, shared), "set_id long, elements binary")
     elements = checkpointed(wanted.groupBy("set_id").agg(F.first("elements").alias("elements")))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    checked = _verify(best, elements)
     bits = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
-    roots = components(checked.where("linked"))
-    for nearest in (True, False):
-        at = members.join(roots, F.col("set_id") == F.col("node"), "left").select("list_id", "set_id", F.coalesce("root", "set_id").alias("root"))
-        split = at.groupBy("list_id").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list_id")
-        open_lists = at.join(split, "list_id", "left_semi").join(bits, "set_id")
-        more = open_lists.groupBy("list_id").applyInPandas(_open_pairs(nearest), "a long, b long").distinct()
-        more = _verify(more.join(checked, ["a", "b"], "left_anti"), elements)
-        checked = checked.unionByName(more)
-        if not more.where("linked").isEmpty():
-            roots = components(checked.where("linked"))
+    bits = checkpointed(bits.join(members.select("set_id").distinct(), "set_id", "left_semi"))
+    longest = members.groupBy("set_id").agg(F.max_by("list_id", F.struct("n", "list_id")).alias("list_id"))
+    now, checked, roots = longest.withColumns({"root": F.col("set_id"), "x": F.col("list_id")}), None, None
+    for every in (False, False, True):
+        dealt = now.join(bits, "set_id").select("list_id", "set_id", "root", "n_shingles", "bits", "x").repartition("x").sortWithinPartitions("list_id", "set_id").drop("x")
+        found = checkpointed(dealt.mapInArrow(_pairs(every), "a long, b long").distinct())
+        pairs = found.where("b IS NOT NULL")
+        new = _verify(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), elements)
+        first, checked = checked is None, new if checked is None else checked.unionByName(new)
+        roots = components(checked.where("linked"))
+        left = members if first else members.join(found.where("b IS NULL").select(F.col("a").alias("list_id")), "list_id", "left_semi")
+        at = left.join(roots, F.col("set_id") == F.col("node"), "left").select("list_id", "set_id", F.coalesce("root", "set_id").alias("root"))
+        split = at.groupBy("list_id").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list_id", "x")
+        now = checkpointed(at.join(split, "list_id"))
+        if now.isEmpty():
+            break
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
     named = checkpointed(named.select("set_id", "root", "first_doc"))
     least = named.groupBy("root").agg(F.min("first_doc").alias("component"))
@@ -329,6 +406,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for members, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = np.frombuffer(members, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own)), pa.array(ids)], names=["list_id", "set_id"])
+        lists = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+        if lists:
+            n = np.array([len(x) for x in lists], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(1).to_numpy(), n)), pa.array(np.concatenate(lists)), pa.array(np.repeat(n, n))], names=["list_id", "set_id", "n"])
