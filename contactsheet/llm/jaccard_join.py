@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed, slices
+from contactsheet.llm.common import checkpointed, slices, small
 from contactsheet.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ SHINGLE = 5
 SLICE_BYTES, BUCKET_SETS, FILTER_BITS = 4 << 20, 2 << 20, 1 << 26
 #: Bytes of a signature that are kept: two different ones of a bucket may then be equal, which only makes a candidate more.
 SIG_BYTES = 5
+#: Ids of sets to compare that are broadcast at most, 16 MB.
+BROADCAST_IDS = 1_000_000
 #: Buckets of small corpora.
 LEAST_BUCKETS = 24
 #: An element counts as common if it is in this many documents of a slice; those that a slice reports, and those that are broadcast, at most.
@@ -271,6 +273,10 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with whether they are linked. Where their sets are few, only these are shuffled."""
+    pairs = checkpointed(pairs.select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    sets = sets.join(F.broadcast(wanted), "set_id", "left_semi") if small(wanted, BROADCAST_IDS) else sets
     one, two = (sets.select(F.col("set_id").alias(k), F.col("elements").alias(f"of_{k}")) for k in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
     return checkpointed(both.mapInArrow(_similar, "a long, b long, linked boolean"))
