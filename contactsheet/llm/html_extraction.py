@@ -10,6 +10,7 @@ runs stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -51,6 +52,57 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[^\W_]+")
 CHROME, MARKED, PLAIN = 0, 1, 2
+#: What an element closes by its start, as in HTML, and the elements around it that this doesn't reach across.
+_ROW, _TABLE = ("td", "th"), ("table",)
+_LIST = tuple(BLOCKS - {"address", "div", "p", "li", "dd", "dt", "hr"}) + _ROW
+CLOSES = {
+    "li": (("li",), (*_LIST, "dd", "dt")), "dd": (("dd", "dt"), (*_LIST, "li")), "dt": (("dd", "dt"), (*_LIST, "li")), "td": (_ROW, ("tr", *_TABLE)),
+    "th": (_ROW, ("tr", *_TABLE)), "tr": (("tr", *_ROW), _TABLE), "option": (("option",), tuple(BLOCKS)),
+}
+CLOSES |= {x: (("tbody", "thead", "tfoot", "tr", *_ROW), _TABLE) for x in ("tbody", "thead", "tfoot")}
+#: What the closing tags of such elements don't reach across.
+WITHIN = {"li": ("ul", "ol", "menu", "dir", *_TABLE), "dd": ("dl", *_TABLE), "dt": ("dl", *_TABLE)} | dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot"), _TABLE)
+
+
+class Open:
+    """The open elements: of each its name, and whether what is around it is in chrome and in an article. Where the last one of a name
+    stands is known at once, at any depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, chrome: bool, article: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, chrome, article))
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """The place of the last one of some names, -1 without."""
+        return max((places[-1] for x in names if (places := self.at.get(x))), default=-1)
+
+    def first_after(self, names: tuple[str, ...], place: int) -> int:
+        """The place of the first one of some names that comes after a place, -1 without."""
+        found = [places[i] for x in names if (places := self.at.get(x)) and (i := bisect_right(places, place)) < len(places)]
+        return min(found, default=-1)
+
+    def closed_by(self, name: str) -> int:
+        """Which one a closing tag closes: inline tags don't reach across blocks, those of lists and tables not across these; -1: none."""
+        i = self.last((name,))
+        over = self.last(WITHIN[name]) if name in WITHIN else self.blocks[-1] if self.blocks and name not in BLOCKS and name not in _ROW else -1
+        return i if i > over else -1
+
+    def cut(self, place: int) -> tuple[bool, bool]:
+        """Closes the element at a place and all in it; what is around it."""
+        for name, _, _ in self.stack[place:]:
+            self.at[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+        _, chrome, article = self.stack[place]
+        del self.stack[place:]
+        return chrome, article
 
 
 @dataclass
@@ -76,10 +128,9 @@ def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def parse(html: str | None) -> Page:
-    """The blocks of a page. An element that isn't closed reaches to the end of the one around it; a closing tag without an opening
-    one means nothing."""
-    page, html = Page(), html or ""
-    stack: list[tuple[str, bool, bool]] = []  # name, in chrome, in an article
+    """The blocks of a page. An element that isn't closed reaches to the end of the one around it, or to one that closes it by its start
+    (list items, cells, rows); a closing tag without an opening one means nothing."""
+    page, html, opened = Page(), html or "", Open()
     parts: list[str] = []
     chrome = article = loose = False  # loose: a paragraph that is chrome, until the next block
     at, end = 0, len(html)
@@ -119,22 +170,17 @@ def parse(html: str | None) -> Page:
             loose = _is_chrome(name, attributes, article)
         if name in VOID or name == "p" or attributes.endswith("/"):
             continue
+        place = opened.closed_by(name) if closing else opened.first_after(CLOSES[name][0], opened.last(CLOSES[name][1])) if name in CLOSES else -1
+        if place >= 0:
+            if opened.stack[place][1] != chrome:
+                close()
+            chrome, article = opened.cut(place)
         if not closing:
             here = chrome or _is_chrome(name, attributes, article)
             if here != chrome:
                 close()
-            stack.append((name, chrome, article))
+            opened.push(name, chrome, article)
             chrome, article = here, article or name in ARTICLE
-        else:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
-                if stack[i][0] == name:
-                    if stack[i][1] != chrome:
-                        close()
-                    _, chrome, article = stack[i]
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS and name not in BLOCKS:
-                    break
     close()
     return page
 

@@ -385,6 +385,20 @@ def test_html_structure():
     assert html_extraction.parse("a &lt; b").texts == ["a < b"]
 
 
+def test_html_closing_tags_at_any_depth():
+    def kept(html):
+        page = html_extraction.parse(html)
+        return [t for t, k in zip(page.texts, page.kinds, strict=True) if k == html_extraction.MARKED]
+
+    for open_ones in ("<ul>" + "<li>item" * 100 + "</ul>", "<b>ad" * 100, "<table>" + "<tr><td>a<td>b" * 100 + "</table>", "<ul><li>" * 100, "<dl>" + "<dt>a<dd>b" * 100):
+        assert kept(f"<nav>{open_ones}</nav><article><p>Text</p></article>") == ["Text"], open_ones[:20]
+    after = html_extraction.parse("<div><article><p>Text" + "<b>more" * 100 + "</article><p>Plain</p></div>")
+    assert after.kinds == [html_extraction.MARKED, html_extraction.PLAIN]
+    assert kept('<article><ul><li class="ad">buy<li>one<ul><li class="ad">two</ul></li><li>three</ul></article>') == ["one", "three"]
+    assert kept('<article><table><tr><td class="ad">buy<td>one<table><tr><td>in</table><tr><td>two</table></article>') == ["one", "in", "two"]
+    assert kept('<article><dl><dt class="ad">buy<dd>one</dl><p>x</p></article>') == ["one", "x"]
+
+
 def test_repeated_against_brute_force():
     rng = np.random.default_rng(10)
     for _ in range(60):
