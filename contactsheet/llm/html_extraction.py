@@ -2,30 +2,45 @@
 
 A page is cut into blocks. Blocks in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by
 their elements and names. What is left of a host's pages is one long stream of tokens; the suffix array orders its suffixes, and
-neighbours with a long common prefix on enough distinct pages are boilerplate. A page whose article is marked as such keeps all of
+neighbours with a long common prefix on enough distinct pages are boilerplate. A host of many pages is dealt to shards with an array
+each; the hashes of what each array's groups start with meet in key ranges of the host, which add up their pages and answer each
+shard, so that what is boilerplate doesn't depend on the shards. A page whose article is marked as such keeps all of
 that: a text which several pages of a host carry is no boilerplate there. On other pages the covered tokens go and the unique
 runs stay.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed, small
+from contactsheet.llm.common import checkpointed, shuffle_partitions, slices, small
+from contactsheet.llm.lm_scoring import cuts, mix, tally
 from contactsheet.llm.url_filter import split_url
 
-#: Tokens that a repeated substring has at least, and the distinct pages it is on: so many, and this share of the shard's.
-LONG, PAGES, PAGE_SHARE = 8, 3, 0.1
+#: Tokens that a repeated substring has at least, and the distinct pages of the host that it is on at least.
+LONG, PAGES = 8, 3
 #: A host's pages are dealt to shards of about so many, each with a suffix array of its own.
 SHARD_PAGES = 512
+#: Key ranges of a host with shards, at least, and one more for so many shards.
+LEAST_BUCKETS, BUCKET_SHARDS = 16, 8
+#: HTML of a task that is parsed and packed at once.
+PACK_BYTES = 32 << 20
+#: Bits of a hash that are left out.
+CUT = np.uint64(16)
 #: Hosts of at most so many are broadcast with their counts; more are joined.
 BROADCAST_HOSTS = 100_000
 
@@ -185,16 +200,16 @@ def parse(html: str | None) -> Page:
     return page
 
 
-def repeated(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, least: int = PAGES) -> np.ndarray:
-    """Which tokens are in a substring of so many tokens or more that is on so many distinct pages.
+def suffix_groups(tokens: np.ndarray, pages: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where substrings of so many tokens start, in the suffix array's order; the group of equal ones that each is in; the distinct pages of each group.
 
     The suffixes are put in order by their first long tokens, by doubling; suffixes with equal starts then stand together.
     """
-    n = len(tokens)
-    covered = np.zeros(n, bool)
+    n, none = len(tokens), np.zeros(0, np.int64)
     if n < long:
-        return covered
+        return none, none, none
     rank, span = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
+    order = np.argsort(rank, kind="stable")
     while span < long:
         step = min(span, long - span)
         key = rank * (n + 1)
@@ -208,29 +223,62 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, least: int
     inside[: n - long + 1] = pages[: n - long + 1] == pages[long - 1 :]
     order = order[inside[order]]
     if not len(order):
-        return covered
+        return none, none, none
     groups, at = rank[order], pages[order]
     by = np.lexsort((at, groups))
     groups, at, order = groups[by], at[by], order[by]
     new_group = np.concatenate([[True], groups[1:] != groups[:-1]])
     distinct = np.add.reduceat((new_group | np.concatenate([[True], at[1:] != at[:-1]])).astype(np.int64), np.flatnonzero(new_group))
-    starts = order[np.repeat(distinct, np.diff(np.concatenate([np.flatnonzero(new_group), [len(order)]]))) >= least]
+    return order, np.cumsum(new_group) - 1, distinct
+
+
+def cover(n: int, starts: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Which of n tokens are in a substring of so many tokens that starts at one of the starts."""
     edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, starts, 1)
     np.add.at(edges, starts + long, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def main_texts(pages: list[Page]) -> list[tuple[str, int]]:
-    """Of each page of one shard: its main text, and how many of its tokens are in boilerplate that the suffix array finds."""
-    ids: dict[str, int] = {}
-    streams, owner = [], []
-    for number, page in enumerate(pages):
-        words = [ids.setdefault(w, len(ids)) for text, kind in zip(page.texts, page.kinds, strict=True) if kind != CHROME for w in text.split(" ")]
-        streams.append(np.array(words, np.int64))
-        owner.append(np.full(len(words), number))
-    tokens, owners = np.concatenate(streams), np.concatenate(owner)
-    covered = repeated(tokens, owners, least=max(PAGES, int(np.ceil(PAGE_SHARE * len(pages)))))
+def repeated(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, least: int = PAGES) -> np.ndarray:
+    """Which tokens are in a substring of so many tokens or more that is on so many distinct pages."""
+    starts, group, distinct = suffix_groups(tokens, pages, long)
+    return cover(len(tokens), starts[distinct[group] >= least], long)
+
+
+class Shard:
+    """The pages of a shard as one stream of tokens, and the groups that its suffix array finds."""
+
+    def __init__(self, pages: list[Page]):
+        ids: dict[str, int] = {}
+        streams, owner = [], []
+        for number, page in enumerate(pages):
+            words = [ids.setdefault(w, len(ids)) for text, kind in zip(page.texts, page.kinds, strict=True) if kind != CHROME for w in text.split(" ")]
+            streams.append(np.array(words, np.int64))
+            owner.append(np.full(len(words), number))
+        self.words, self.tokens = list(ids), np.concatenate(streams)
+        self.starts, self.group, self.distinct = suffix_groups(self.tokens, np.concatenate(owner))
+
+    def keys(self) -> np.ndarray:
+        """The hash of what each group starts with."""
+        own = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        first = self.starts[np.flatnonzero(np.diff(self.group, prepend=-1))]
+        out = np.zeros(len(first), np.uint64)
+        for k in range(LONG):
+            out = mix(out + own[self.tokens[first + k]])
+        return out >> CUT
+
+    def covered(self, distinct: np.ndarray, least: int) -> np.ndarray:
+        """The tokens in what is on so many pages, with the pages of each group."""
+        return cover(len(self.tokens), self.starts[distinct[self.group] >= least])
+
+
+def main_texts(pages: list[Page], shard: Shard, distinct: np.ndarray) -> list[tuple[str, int]]:
+    """Of each page of one shard: its main text, and how many of its tokens are in the host's boilerplate.
+
+    distinct: of each group of the shard's array, the distinct pages of the host that have it.
+    """
+    covered = shard.covered(distinct, PAGES)
     out, at = [], 0
     for page in pages:
         marked, blocks, n = MARKED in page.kinds, [], 0
@@ -250,28 +298,88 @@ def main_texts(pages: list[Page]) -> list[tuple[str, int]]:
     return out
 
 
-def _extract(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["page_id", "url"], kind="stable", na_position="first")
-    found = main_texts([parse(h) for h in pdf["html"]])
-    out = pdf[["page_id", "url"]].copy()
-    out["text"] = [t for t, _ in found]
-    out["n_chars"] = [len(t) for t, _ in found]
-    out["n_repeated"] = [n for _, n in found]
-    return out
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns host_of, shards, shard_of, page_id, url, html: a row for each shard with its pages parsed and compressed."""
+    for batch in batches:
+        for part in slices(batch, 5, PACK_BYTES):
+            rows: dict[tuple, list] = {}
+            for host, shards, shard, page_id, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                page = parse(html)
+                rows.setdefault((host, shards, shard), []).append((page_id, url, page.texts, page.kinds))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)] if rows else []
+            if rows:
+                packed = pa.array([zstandard.compress(pickle.dumps(x), 3) for x in rows.values()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, packed], names=["host_of", "shards", "shard_of", "pages"])
+
+
+def _unpack(pdf: pd.DataFrame) -> tuple[list, list, list[Page]]:
+    """page_id, url and blocks of a shard's pages, in an order that is the same each time."""
+    rows = [x for data in pdf["pages"] for x in pickle.loads(zstandard.decompress(data))]
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "", x[2], x[3]))
+    return [x[0] for x in rows], [x[1] for x in rows], [Page(x[2], x[3]) for x in rows]
+
+
+def _deflated(x: np.ndarray) -> bytes:
+    """Whole numbers as their first bytes, then their second bytes and so on, compressed."""
+    return zstandard.compress(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+
+
+def _inflated(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one shard, if its host has more: the hashes of its groups and their pages, dealt to the host's key ranges; a row for each, even if empty."""
+    host, shard, shards = pdf["host_of"].iloc[0], pdf["shard_of"].iloc[0], int(pdf["shards"].iloc[0])
+    if shards == 1:
+        return pd.DataFrame(columns=["host_of", "shard_of", "bucket", "keys", "n"], dtype=object)
+    found = Shard(_unpack(pdf)[2])
+    own, n = tally(found.keys(), found.distinct)
+    buckets = max(LEAST_BUCKETS, math.ceil(shards / BUCKET_SHARDS))
+    ends = cuts(own << CUT, buckets)
+    keys = [_deflated(np.diff(x, prepend=np.uint64(0))) for x in np.split(own, ends)]
+    return pd.DataFrame({"host_of": host, "shard_of": shard, "bucket": np.arange(buckets), "keys": keys, "n": [_deflated(x) for x in np.split(n, ends)]})
+
+
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one key range of a host: each shard gets the distinct pages of the host for its hashes. A page is in one shard."""
+    keys = [np.cumsum(_inflated(x), dtype=np.uint64) for x in pdf["keys"]]
+    own, total = tally(np.concatenate(keys), np.concatenate([_inflated(x) for x in pdf["n"]]))
+    n = [_deflated(total[np.searchsorted(own, k)]) for k in keys]
+    return pd.DataFrame({"host_of": pdf["host_of"].astype(object), "shard_of": pdf["shard_of"], "bucket": pdf["bucket"], "n": n})
+
+
+def _extract(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    ids, urls, pages = _unpack(pdf)
+    shard = Shard(pages)
+    distinct = shard.distinct
+    if len(answers):
+        keys = shard.keys()
+        distinct = np.concatenate([_inflated(x) for x in answers.sort_values("bucket")["n"]]).astype(np.int64)[np.searchsorted(np.unique(keys), keys)]
+    found = main_texts(pages, shard, distinct)
+    texts = [t for t, _ in found]
+    strings = {"url": pd.Series(urls, dtype=object), "text": pd.Series(texts, dtype=object)}
+    return pd.DataFrame({"page_id": pd.array(ids, "Int64"), **strings, "n_chars": [len(t) for t in texts], "n_repeated": [n for _, n in found]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (the main text), n_chars (its code points) and n_repeated (tokens in the host's boilerplate) of each page.
 
     Null and empty pages have an empty text. URLs without a host share one. Rows stay as they are, repeated ones too. A host with many
-    pages is dealt to shards by a hash of the page, so that no task has it whole; boilerplate is what a share of a shard's pages has.
-    An empty table gives an empty table.
+    pages is dealt to shards by a hash of the page, so that no task has it whole; what is boilerplate is decided on the pages of the whole
+    host, whose repeats are told apart by 48-bit hashes where it has shards. An empty table gives an empty table.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host_of", split_url(F.col("url"))[0])
+    host = F.coalesce(split_url(F.col("url"))[0], F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host_of", host)
     counts = checkpointed(rows.groupBy("host_of").agg(F.ceil(F.count(F.lit(1)) / SHARD_PAGES).cast("int").alias("shards")))
     counts = counts.where("shards > 1")  # other hosts are one shard
     counts = F.broadcast(counts) if small(counts, BROADCAST_HOSTS) else counts
-    rows = rows.join(counts, "host_of", "left")
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)))
-    rows = rows.withColumn("shard_of", shard).drop("shards")
-    return rows.groupBy("host_of", "shard_of").applyInPandas(_extract, "page_id long, url string, text string, n_chars long, n_repeated long")
+    rows = rows.join(counts, "host_of", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    rows = rows.withColumn("shard_of", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int"))
+    rows = rows.select("host_of", "shards", "shard_of", "page_id", "url", "html")
+    n, by = shuffle_partitions(pages.sparkSession), ("host_of", "shard_of")
+    dealt = rows.mapInArrow(_pack, "host_of string, shards int, shard_of int, pages binary").repartition(n, *by)
+    asked = dealt.groupBy(*by).applyInPandas(_ask, "host_of string, shard_of int, bucket int, keys binary, n binary")
+    answers = asked.groupBy("host_of", "bucket").applyInPandas(_answer, "host_of string, shard_of int, bucket int, n binary").repartition(n, *by)
+    schema = "page_id long, url string, text string, n_chars long, n_repeated long"
+    return dealt.groupBy(*by).cogroup(answers.groupBy(*by)).applyInPandas(_extract, schema)

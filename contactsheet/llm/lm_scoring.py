@@ -74,7 +74,8 @@ def tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The distinct keys, sorted, and how many of each are trained."""
     order = np.argsort(keys)
     keys = keys[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     return keys[new], np.add.reduceat(trained[order].astype(np.int64), np.flatnonzero(new)) if len(keys) else np.zeros(0, np.int64)
 
 

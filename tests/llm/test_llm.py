@@ -422,6 +422,19 @@ def test_html_boilerplate_of_a_host(spark):
     assert got[50].text.startswith("Welcome") and got[51].text == "" == got[52].text and got[50].n_chars == len(got[50].text)
 
 
+def test_html_boilerplate_does_not_depend_on_shards(spark, monkeypatch):
+    """A notice on 5 % of a host's pages goes as on a small host, wherever its pages are dealt; what two pages have stays."""
+    notice, both = "<div>this notice is on some of the pages only</div>", "<div>these words are on two of the pages only</div>"
+    rows = [(i, f"http://h.org/{i}", f"<div>is a text number{i}</div>{notice * (i % 20 == 0)}{both * (i in (5, 77))}") for i in range(100)]
+    rows += [(None, None, f"<div>text{i}</div>{notice}") for i in range(20)]
+    want = sorted([f"is a text number{i}" + "\n\nthese words are on two of the pages only" * (i in (5, 77)) for i in range(100)] + [f"text{i}" for i in range(20)])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for size in (512, 50, 4):
+        monkeypatch.setattr(html_extraction, "SHARD_PAGES", size)
+        got = html_extraction.extract(pages).collect()
+        assert sorted(r.text for r in got) == want and sum(r.n_repeated for r in got) == 25 * 9, size
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     bench = spark.createDataFrame([], "item_id long, text string")
