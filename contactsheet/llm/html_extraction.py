@@ -4,9 +4,9 @@ A page is cut into blocks. Blocks in menus, headers, footers, sidebars, notices,
 their elements and names. What is left of a host's pages is one long stream of tokens; the suffix array orders its suffixes, and
 neighbours with a long common prefix on enough distinct pages are boilerplate. A host of many pages is dealt to shards with an array
 each; the hashes of what each array's groups start with meet in key ranges of the host, which add up their pages and answer each
-shard, so that what is boilerplate doesn't depend on the shards. A page whose article is marked as such keeps all of
-that: a text which several pages of a host carry is no boilerplate there. On other pages the covered tokens go and the unique
-runs stay.
+shard, so that what is boilerplate doesn't depend on the shards. The covered tokens go and the unique runs stay. In an article that
+is marked as such only what many pages of the host have goes, and a page of which that is the larger part is a copy and keeps its
+article whole. Beside a marked article that is a small share of the page, long unique runs of the rest stay too.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ from contactsheet.llm.url_filter import split_url
 
 #: Tokens that a repeated substring has at least, and the distinct pages of the host that it is on at least.
 LONG, PAGES = 8, 3
+#: The same pages for text in marked articles, and the share of an article's tokens up to which such text goes; above, the page is a copy.
+MARKED_PAGES, COPY_SHARE = 10, 0.5
+#: Below this share of a page's tokens a marked article isn't all of its text; unmarked unique runs of so many tokens are kept then.
+MARKED_SHARE, LONG_PLAIN = 0.25, 20
 #: A host's pages are dealt to shards of about so many, each with a suffix array of its own.
 SHARD_PAGES = 512
 #: Key ranges of a host with shards, at least, and one more for so many shards.
@@ -278,23 +282,37 @@ def main_texts(pages: list[Page], shard: Shard, distinct: np.ndarray) -> list[tu
 
     distinct: of each group of the shard's array, the distinct pages of the host that have it.
     """
-    covered = shard.covered(distinct, PAGES)
+    covered, common = shard.covered(distinct, PAGES), shard.covered(distinct, MARKED_PAGES)
     out, at = [], 0
     for page in pages:
-        marked, blocks, n = MARKED in page.kinds, [], 0
-        for text, kind in zip(page.texts, page.kinds, strict=True):
-            if kind == CHROME:
-                continue
-            words = text.split(" ")
-            own = covered[at : at + len(words)]
-            at, n = at + len(words), n + int(own.sum())
-            if marked:
-                blocks += [text] if kind == MARKED else []
-            elif not own.any():
-                blocks.append(text)
-            elif not own.all():
-                blocks.append(" ".join(w for w, c in zip(words, own, strict=True) if not c))
-        out.append(("\n\n".join(blocks), n))
+        blocks = [(text.split(" "), kind == MARKED) for text, kind in zip(page.texts, page.kinds, strict=True) if kind != CHROME]
+        marks = np.repeat([m for _, m in blocks], [len(w) for w, _ in blocks]).astype(bool)
+        own, often = covered[at : at + len(marks)], common[at : at + len(marks)]
+        at, n = at + len(marks), int(own.sum())
+        copy = (often & marks).sum() > COPY_SHARE * marks.sum()
+        gone = np.where(marks, often & (not copy), own)
+        if marks.any():
+            least = LONG_PLAIN if (marks & ~gone).sum() < MARKED_SHARE * len(marks) else len(marks) + 1
+        else:
+            least = 1
+        texts, of = [], 0
+        for words, mark in blocks:
+            lost = gone[of : of + len(words)]
+            of += len(words)
+            if not mark and least > 1:
+                lost = lost | _short_runs(lost, least)
+            if not lost.all():
+                texts.append(" ".join(w for w, x in zip(words, lost, strict=True) if not x))
+        out.append(("\n\n".join(texts), n))
+    return out
+
+
+def _short_runs(lost: np.ndarray, least: int) -> np.ndarray:
+    """Which tokens are in a run of fewer than so many that aren't lost."""
+    edges = np.flatnonzero(np.diff(lost.astype(np.int8), prepend=1, append=1))
+    out = np.zeros(len(lost), bool)
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        out[a:b] = b - a < least
     return out
 
 

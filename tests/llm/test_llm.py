@@ -435,6 +435,20 @@ def test_html_boilerplate_does_not_depend_on_shards(spark, monkeypatch):
         assert sorted(r.text for r in got) == want and sum(r.n_repeated for r in got) == 25 * 9, size
 
 
+def test_html_boilerplate_in_marked_articles(spark):
+    text = lambda i, n=30: " ".join(f"w{i}x{k}" for k in range(n))
+    line = "subscribe to our letter and read more of this each week"
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{text(i)}</p><p>{line}</p></article>") for i in range(20)]
+    rows += [(100 + i, f"http://h.org/c{i}", f"<article><p>{text(99)}</p></article>") for i in range(15)]  # copies of an article
+    rows += [(200 + i, f"http://h.org/f{i}", f"<main><p>{text(200 + i)}</p><p>{text(98, 12)}</p></main>") for i in range(5)]  # a text that a few pages share
+    rows += [(300, "http://h.org/t", f"<article>teaser</article><div>{text(300)}</div><div>{line}</div><div>short one</div>")]
+    rows += [(301, "http://h.org/u", f"<article>{text(301)}</article><div>{text(302)}</div>")]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text(i) for i in range(20)) and all(got[100 + i] == text(99) for i in range(15))
+    assert all(got[200 + i] == f"{text(200 + i)}\n\n{text(98, 12)}" for i in range(5))
+    assert got[300] == f"teaser\n\n{text(300)}" and got[301] == text(301)
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     bench = spark.createDataFrame([], "item_id long, text string")
