@@ -1,8 +1,9 @@
-"""LM scoring (5): a smoothed bigram model as a weighted automaton with failure arcs.
+"""LM scoring (5): a smoothed n-gram model as a weighted automaton with failure arcs.
 
-States are the root and each token as a history. A token goes on by its arc from the state if the bigram is known, and else by the
-failure arc to the root and the root's arc. With Dirichlet smoothing of strength MU, and c for counts in the training texts:
-root arc: (c(w) + 1) / (N + V + 1); arc of h to w: (c(hw) + MU * root(w)) / (c(h) + MU); failure arc of h: MU / (c(h) + MU).
+States are the root and the histories of one to order - 1 tokens. A token goes on by its arc from the state if the n-gram is known, and
+else by the failure arc to the state without the history's first token, down to the root and the root's arc. With Dirichlet smoothing of
+strength MU, and c for counts in the training texts: root arc: (c(w) + 1) / (N + V + 1); arc of history h to w, with h' for h without its
+first token: (c(hw) + MU * arc of h' to w) / (c(h) + MU); failure arc of h: MU / (c(h) + MU). A document starts in the state of the end.
 
 No model is held in one place. Documents are dealt to blocks. A block's counts go, packed as arrays, to buckets of the keys; a bucket
 adds up what all blocks have trained and answers each block with the totals of the keys that the block asked for. The block then has
@@ -64,10 +65,14 @@ class Keys(dict):
         return out
 
 
-def bigrams(tokens: np.ndarray) -> np.ndarray:
-    """The key of each token with the one before it; the end stands before the first."""
-    before = np.concatenate([[END], tokens[:-1]])
-    return mix(mix(before) + tokens)
+def grams(tokens: np.ndarray, order: int) -> list[np.ndarray]:
+    """The keys of a text's n-grams by n, up to the order: each token's, then that of each token with the one before it (the end stands
+    before the first), then with the two before it from the second token on, and so on."""
+    out, before = [tokens], np.concatenate([[END], tokens])
+    for n in range(2, order + 1):
+        before = mix(mix(before[:-1]) + tokens[n - 2 :])
+        out.append(before)
+    return out
 
 
 def tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,64 +130,75 @@ def _texts(pdf: pd.DataFrame) -> tuple[list, list, list]:
 
 
 class Automaton:
-    """The part of the model that some documents reach. Counts are those in the training texts; keys are sorted."""
+    """The part of the model that some documents reach: by n, the sorted keys and their counts in the training texts."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, distinct: int, mu: float):
-        self.words, self.counts, self.pairs, self.pair_counts, self.mu = words, counts, pairs, pair_counts, mu
-        self.root = (counts + 1) / (total + distinct + 1)
+    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], total: int, distinct: int, mu: float):
+        self.keys, self.counts, self.mu = keys, counts, mu
+        self.root = (counts[0] + 1) / (total + distinct + 1)
         self.log_root = np.log10(self.root)
-        self.fail = np.log10(mu / (counts + mu))
-
-    def traverse(self, tokens: np.ndarray, states: np.ndarray) -> np.ndarray:
-        """The log10 weight of each token read in the state it meets: by its arc, or by the failure arc and the root's."""
-        at, history = np.searchsorted(self.words, tokens), np.searchsorted(self.words, states)
-        arc = self.pair_counts[np.searchsorted(self.pairs, mix(mix(states) + tokens))]
-        out = self.fail[history] + self.log_root[at]
-        known = arc > 0
-        out[known] = np.log10((arc[known] + self.mu * self.root[at[known]]) / (self.counts[history[known]] + self.mu))
-        return out
+
+    def traverse(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: the log10 weight in the state it meets, by its arc or by failure arcs down to one; the root's; its count."""
+        at = np.searchsorted(self.keys[0], tokens)
+        base, count = self.log_root[at], self.counts[0][at]
+        out, weight = base.copy(), self.root[at]
+        history = np.concatenate([self.counts[0][np.searchsorted(self.keys[0], [END])], count])
+        for n, (own, counts) in enumerate(zip(self.keys[1:], self.counts[1:], strict=True), 2):
+            arc, history = counts[np.searchsorted(own, grams(tokens, n)[-1])], history[:-1]
+            known, to = arc > 0, slice(n - 2, None)
+            weight[to] = (arc + self.mu * weight[to]) / (history + self.mu)
+            out[to] = np.where(known, np.log10(weight[to]), np.log10(self.mu / (history + self.mu)) + out[to])
+            history = arc
+        return out, base, count
 
     def score(self, tokens: np.ndarray) -> tuple[float, float, int]:
         """Of one document: the log10 probability by the automaton, that by the root alone, and the tokens that training has."""
-        at = np.searchsorted(self.words, tokens)
-        states = np.concatenate([[END], tokens[:-1]])
-        return float(self.traverse(tokens, states).sum()), float(self.log_root[at].sum()), int((self.counts[at] > 0).sum())
+        out, base, count = self.traverse(tokens)
+        return float(out.sum()), float(base.sum()), int((count > 0).sum())
+
 
+def _all_grams(tokens: list[np.ndarray], order: int) -> list[np.ndarray]:
+    """The keys of all texts, by n."""
+    return [np.concatenate(x) for x in zip(*(grams(t, order) for t in tokens), strict=True)]
 
-def _ask(buckets: int):
+
+def _ask(buckets: int, order: int):
     """Of one block: its keys and their trained counts, dealt to the buckets; a row for each bucket, even if empty."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = Keys()
         _, held, texts = _texts(pdf)
         tokens = [keys.of(t) for t in texts]
-        trained = np.repeat(~np.array(held, bool), [len(t) for t in tokens])
-        every, pairs = np.concatenate(tokens), np.concatenate([bigrams(t) for t in tokens])
         rows = {}
-        for kind, k in (("words", every), ("pairs", pairs)):
-            own, n = tally(k, trained)
+        for n, k in enumerate(_all_grams(tokens, order), 1):
+            trained = np.repeat(~np.array(held, bool), [len(t) - max(0, n - 2) if len(t) > n - 2 else 0 for t in tokens])
+            own, counts = tally(k, trained)
             ends = cuts(own, buckets)
-            rows[kind] = [packed(x) for x in np.split(own, ends)]
-            rows[f"{kind}_n"] = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(n, ends)]
+            rows[f"keys_{n}"] = [packed(x) for x in np.split(own, ends)]
+            rows[f"n_{n}"] = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(counts, ends)]
         return pd.DataFrame({"block": pdf["block"].iloc[0], "bucket": np.arange(buckets, dtype=np.int32), **rows})
 
     return run
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+def _answer(order: int):
     """Of one bucket: each block gets the totals of its keys, and the bucket's tokens and distinct trained tokens."""
-    out = pdf[["block", "bucket"]].copy()
-    for kind in ("words", "pairs"):
-        keys = [unpacked(x) for x in pdf[kind]]
-        n = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in pdf[f"{kind}_n"]])
-        own, total = tally(np.concatenate(keys), n)
-        out[f"{kind}_n"] = [zlib.compress(total[np.searchsorted(own, k)].astype(np.uint64).tobytes(), 1) for k in keys]
-        if kind == "words":
-            out["tokens"], out["distinct"] = int(total.sum()), int((total > 0).sum())
-    return out[["block", "bucket", "words_n", "pairs_n", "tokens", "distinct"]]
-
-
-def _score(buckets: int, mu: float):
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["block", "bucket"]].copy()
+        for k in range(1, order + 1):
+            keys = [unpacked(x) for x in pdf[f"keys_{k}"]]
+            n = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in pdf[f"n_{k}"]])
+            own, total = tally(np.concatenate(keys), n)
+            out[f"n_{k}"] = [zlib.compress(total[np.searchsorted(own, x)].astype(np.uint64).tobytes(), 1) for x in keys]
+            if k == 1:
+                tokens, distinct = int(total.sum()), int((total > 0).sum())
+        return out.assign(tokens=tokens, distinct=distinct)
+
+    return run
+
+
+def _score(mu: float, order: int):
     """Of one block: its documents and the answers, which are in the order of the keys."""
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -190,13 +206,12 @@ def _score(buckets: int, mu: float):
         ids, held, texts = _texts(docs)
         tokens = [keys.of(t) for t in texts]
         answers = answers.sort_values("bucket")
-        found = []
-        for kind, k in (("words", np.concatenate(tokens)), ("pairs", np.concatenate([bigrams(t) for t in tokens]))):
-            k.sort()
-            own = k[np.concatenate([[True], k[1:] != k[:-1]])]
-            found += [own, np.concatenate([np.frombuffer(zlib.decompress(x), np.uint64) for x in answers[f"{kind}_n"]]).astype(np.int64)]
+        own, counts = [], []
+        for n, k in enumerate(_all_grams(tokens, order), 1):
+            own.append(np.unique(k))
+            counts.append(np.concatenate([np.frombuffer(zlib.decompress(x), np.uint64) for x in answers[f"n_{n}"]]).astype(np.int64))
         total, distinct = int(answers["tokens"].sum()), int(answers["distinct"].sum())
-        model = Automaton(*found, total, distinct, mu)
+        model = Automaton(own, counts, total, distinct, mu)
         scored = [model.score(t) for t in tokens]
         return pd.DataFrame(
             {
@@ -213,12 +228,13 @@ def _score(buckets: int, mu: float):
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, text: str = "text", mu: float = MU) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, text: str = "text", mu: float = MU, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (root alone) and score of each row of docs.
 
     The model is learnt from all rows that aren't held out (null counts as held out). Null and empty texts are the end token alone.
     Rows stay as they are, repeated ones too, and train as often. Without training rows every token has probability 1. An empty table
-    gives an empty table. Words and bigrams are told apart by 64-bit hashes. Logs are of base 10.
+    gives an empty table. Words and n-grams are told apart by 64-bit hashes. Logs are of base 10.
+    order: the words of the longest n-grams, 1 at least.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     n = shuffle_partitions(docs.sparkSession)
@@ -226,8 +242,10 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", mu: float
     dealt = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), "text"), F.lit(blocks)).cast("int"))
     dealt = dealt.select("block", "doc_id", "held_out", "text").mapInArrow(_pack_texts, "block int, texts binary").repartition(n, "block")
-    asked = dealt.groupBy("block").applyInPandas(_ask(buckets), "block int, bucket int, words binary, words_n binary, pairs binary, pairs_n binary")
-    answers = asked.groupBy("bucket").applyInPandas(_answer, "block int, bucket int, words_n binary, pairs_n binary, tokens long, distinct long")
+    orders = range(1, order + 1)
+    asked = dealt.groupBy("block").applyInPandas(_ask(buckets, order), "block int, bucket int" + "".join(f", keys_{k} binary, n_{k} binary" for k in orders))
+    answers = "block int, bucket int" + "".join(f", n_{k} binary" for k in orders) + ", tokens long, distinct long"
+    answers = asked.groupBy("bucket").applyInPandas(_answer(order), answers)
     answers = answers.repartition(n, "block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(buckets, mu), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(mu, order), schema)

@@ -168,6 +168,32 @@ def test_lm_scores(spark, docs):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_scores_of_other_orders(spark, docs, order):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(["</s>", *words(lower(t or "")), "</s>"], held(i)) for i, t in rows]
+    seen = collections.Counter()  # n-grams; a history is counted where a token follows it
+    for t, h in tokens:
+        if not h:
+            seen.update(tuple(t[i - n + 1 : i + 1]) for i in range(1, len(t)) for n in range(1, order + 1) if n <= i + 1)
+    n, v, mu = sum(c for g, c in seen.items() if len(g) == 1), sum(len(g) == 1 for g in seen), lm_scoring.MU
+
+    def scored(t):
+        total = 0.0
+        for i in range(1, len(t)):
+            p = (seen[t[i],] + 1) / (n + v + 1)
+            for k in range(2, min(order, i + 1) + 1):
+                g = tuple(t[i - k + 1 : i + 1])
+                p = (seen[g] + mu * p) / (seen[g[:-1]] + mu)
+            total += math.log10(p)
+        return round(total, 5)
+
+    want = sorted((str(i), scored(t)) for (i, _), (t, _) in zip(rows, tokens, strict=True))
+    got = lm_scoring.score_texts(docs, queries.remainder(7) == 2, order=order).collect()
+    assert sorted((str(r.doc_id), round(r.score, 5)) for r in got) == want
+
+
 def test_packed_keys_round_trip():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 3000):
