@@ -5,6 +5,9 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,26 +78,29 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.withColumn("rules_of", let(let(words(F.col("text")), counts), judged))
 
 
-def host_verdicts(judged: DataFrame, host: Column, max_rate: float = MAX_RATE) -> DataFrame:
+def host_verdicts(judged: DataFrame, host: Column, max_rate: float = MAX_RATE, mixed: bool = False) -> DataFrame:
     """One row a host: host (null: documents without one), docs, its shrunk rate by rule, host_ok.
 
+    mixed: the rate of documents that fail any rule, rate_any, is held against max_rate too.
+
     The prior of a rule is the beta distribution with the mean and variance of the hosts' rates; where they don't vary, its weight is the most.
     """
-    by_host = judged.groupBy(host.alias("host")).agg(
-        F.count(F.lit(1)).alias("docs"), *(F.count_if(F.col(f"rules_of.{r}")).alias(f"f_{r}") for r in RULES)
-    )
+    of = {r: F.col(f"rules_of.{r}") for r in RULES}
+    if mixed:
+        of["any"] = reduce(or_, of.values())
+    by_host = judged.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("docs"), *(F.count_if(c).alias(f"f_{r}") for r, c in of.items()))
     by_host = checkpointed(by_host)  # a row for each host
     moments = by_host.agg(
-        *(F.avg(F.col(f"f_{r}") / F.col("docs")).alias(f"m_{r}") for r in RULES),
-        *(F.coalesce(F.var_pop(F.col(f"f_{r}") / F.col("docs")), F.lit(0.0)).alias(f"v_{r}") for r in RULES),
+        *(F.avg(F.col(f"f_{r}") / F.col("docs")).alias(f"m_{r}") for r in of),
+        *(F.coalesce(F.var_pop(F.col(f"f_{r}") / F.col("docs")), F.lit(0.0)).alias(f"v_{r}") for r in of),
     )
     out = by_host.crossJoin(F.broadcast(moments))  # moments is one row
-    for r in RULES:
+    for r in of:
         m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
         weight = F.when(v > 0, F.greatest(F.lit(PRIOR_DOCS[0]), F.least(F.lit(PRIOR_DOCS[1]), m * (1 - m) / v - 1))).otherwise(PRIOR_DOCS[1])
         out = out.withColumn(f"rate_{r}", (F.col(f"f_{r}") + weight * m) / (F.col("docs") + weight))
-    ok = F.greatest(*(F.col(f"rate_{r}") for r in RULES)) <= max_rate
-    return out.select("host", "docs", *(f"rate_{r}" for r in RULES), ok.alias("host_ok"))
+    ok = F.greatest(*(F.col(f"rate_{r}") for r in of)) <= max_rate
+    return out.select("host", "docs", *(f"rate_{r}" for r in of), ok.alias("host_ok"))
 
 
 def join_verdicts(judged: DataFrame, verdicts: DataFrame, host: Column) -> DataFrame:
@@ -108,14 +114,14 @@ def join_verdicts(judged: DataFrame, verdicts: DataFrame, host: Column) -> DataF
     return salted.join(copies, on, "left").drop("host_of_verdict", "salt_of_row", "salt_of_host")
 
 
-def host_rules(docs: DataFrame, host: Column | None = None, max_rate: float = MAX_RATE) -> DataFrame:
-    """docs with rules_of and kept: false if a document fails the base rules or its host fails a rule.
+def host_rules(docs: DataFrame, host: Column | None = None, max_rate: float = MAX_RATE, mixed: bool = False) -> DataFrame:
+    """docs with rules_of and kept: false if a document fails the base rules or its host fails a rule (mixed: or any of them, taken together).
 
     host: a column of docs, source by default. An empty table gives an empty table. Columns rules_of, kept and host_ok of docs are replaced.
     """
     host = F.col("source") if host is None else host
     docs = docs.drop("rules_of", "kept", "host_ok")
     judged = features(docs)
-    verdicts = host_verdicts(judged, host, max_rate)
+    verdicts = host_verdicts(judged, host, max_rate, mixed)
     out = join_verdicts(judged, verdicts, host)
     return out.withColumn("kept", ~F.col("rules_of.base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))).drop("host_ok")

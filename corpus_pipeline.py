@@ -19,8 +19,8 @@ BROADCAST_IDS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or whose source does, go."""
-    return host_rules.host_rules(docs).where("kept").select(docs.columns)
+    """Documents that fail the base rules, or whose source does by one rule or by all together, go."""
+    return host_rules.host_rules(docs, mixed=True).where("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,18 @@ def test_quality_rules_of_a_bad_host(spark):
     assert not got[100] and all(got[200 + i] for i in range(60))
 
 
+def test_quality_rules_of_a_mixed_host(spark):
+    import corpus_pipeline
+
+    long = lambda i: " ".join(f"g{i}h{j}" for j in range(50))
+    fails = [lambda i: long(i) + " " + "#" * 50, lambda i: "\n".join([long(i)] + [f"same {i}"] * 3), lambda i: " ".join(f"g{i}h{j}" + "y" * 20 for j in range(50))]
+    rows = [(i, fails[i % 3](i), "mixed") for i in range(300)] + [(1000 + i, long(i), f"good{i % 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    alone = {r.doc_id for r in host_rules.host_rules(docs).where("kept").collect()}
+    got = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert alone == {r[0] for r in rows} and got == {1000 + i for i in range(300)}
+
+
 def test_quality_rules_many_hosts_are_joined(spark, docs, monkeypatch):
     wide = sorted((str(r.doc_id), r.kept) for r in host_rules.host_rules(docs).collect())
     monkeypatch.setattr(host_rules, "BROADCAST_HOSTS", 1)
