@@ -2,16 +2,14 @@
 
 A shard is a stretch of a task's documents. Its index holds their runs of words that the benchmark has too and that are long enough
 for a window: no other place can match. All windows are searched backward at once, through the ranks of a wavelet matrix; sampled
-suffix positions give the places, which merge into spans of words to remove.
+suffix positions give the places, which merge into spans of words to remove. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,54 +18,50 @@ from pyspark.sql import functions as F
 
 from contactsheet.llm.common import slices
 from contactsheet.llm.fm_index import FMIndex
+from contactsheet.llm.words import LOWER, Lookup, hashes, spans, utf8, word_hashes
 
 WINDOW = 10
-#: Bytes of a shard's texts; bytes of benchmark texts that are broadcast at once. A larger benchmark goes in so many passes more.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
-#: A-Z lower-cased, and all that isn't in a word made a space.
-_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_RUN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Bytes of a shard's texts; bytes of benchmark texts that are one broadcast. A larger benchmark makes more of them.
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
+#: Bytes of a word: letters, digits and all beyond ASCII.
+INSIDE = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 OF_DOC = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_WORD).split() if text else []
-
-
 @dataclass
 class Windows:
-    """vocabulary: from 1. patterns: by length, a window a row. items: by length, the item numbers of each window. ids: of the items."""
+    """vocabulary: sorted hashes of the items' words. patterns: by length, a window of word numbers (from 1) a row. items: by length,
+    the item numbers of each window. ids: of the items."""
 
-    vocabulary: dict[bytes, int]
+    vocabulary: np.ndarray
     patterns: dict[int, np.ndarray]
     items: dict[int, list[list[int]]]
     ids: list[str]
 
     @classmethod
     def of(cls, benchmark: list[tuple[str, str | None]], window: int = WINDOW) -> Windows:
-        vocabulary: dict[bytes, int] = {}
+        own, before = word_hashes(pa.array([t for _, t in benchmark], pa.string()), INSIDE)
+        vocabulary, number = np.unique(own, return_inverse=True)
         found: dict[tuple[int, ...], list[int]] = {}
-        for number, (_, text) in enumerate(benchmark):
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+        for item in range(len(benchmark)):
+            ids = (number[before[item] : before[item + 1]] + 1).tolist()
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                own = found.setdefault(tuple(ids[i : i + window]), [])
-                if not own or own[-1] != number:
-                    own.append(number)
-        lengths = sorted({len(w) for w in found})
-        by = {n: [w for w in found if len(w) == n] for n in lengths}
-        return cls(vocabulary, {n: np.array(w, np.int32) for n, w in by.items()}, {n: [found[x] for x in w] for n, w in by.items()}, [i for i, _ in benchmark])
-
-
-def search_shard(texts: list[str | None], windows: Windows) -> tuple[list[int], np.ndarray, np.ndarray, list[set[int]]]:
-    """Of each text: its words, where they start among all words, which words are hit, the item numbers found."""
-    words = [words_of(t) for t in texts]
-    lengths = [len(w) for w in words]
-    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    total = int(starts[-1])
-    hit, items = np.zeros(total, bool), [set() for _ in texts]
+                of = found.setdefault(tuple(ids[i : i + window]), [])
+                if not of or of[-1] != item:
+                    of.append(item)
+        by: dict[int, list[tuple[int, ...]]] = {}
+        for w in found:
+            by.setdefault(len(w), []).append(w)
+        return cls(vocabulary, {n: np.array(by[n], np.int32) for n in sorted(by)}, {n: [found[x] for x in by[n]] for n in by}, [i for i, _ in benchmark])
+
+
+def search_shard(own: np.ndarray, starts: np.ndarray, windows: Windows, lookup: Lookup) -> tuple[np.ndarray, list[set[int]]]:
+    """own: hashes of the words of some texts; starts: where each text's begin, and their number. Which words are hit, and of each text the item numbers found."""
+    total = len(own)
+    hit, items = np.zeros(total, bool), [set() for _ in starts[1:]]
     if not total or not windows.patterns:
-        return lengths, starts, hit, items
-    ids = np.fromiter(map(windows.vocabulary.get, chain.from_iterable(words), repeat(0)), np.int32, total)
+        return hit, items
+    ids = lookup.find(own).astype(np.int32) + 1
     # Runs of known words within a document, as [from, to).
     edge = np.zeros(total + 1, bool)
     edge[starts] = True
@@ -77,7 +71,7 @@ def search_shard(texts: list[str | None], windows: Windows) -> tuple[list[int],
     long = ends - begins >= min(windows.patterns)
     begins, ends = begins[long], ends[long]
     if not len(begins):
-        return lengths, starts, hit, items
+        return hit, items
     size = ends - begins + 1  # with an end each
     offset = np.concatenate([[0], np.cumsum(size)])
     place = np.arange(offset[-1]) - np.repeat(offset[:-1], size) + np.repeat(begins, size)
@@ -96,7 +90,7 @@ def search_shard(texts: list[str | None], windows: Windows) -> tuple[list[int],
         doc = np.searchsorted(starts, at, side="right") - 1
         for d, w in np.unique(np.stack([doc, which], axis=1), axis=0).tolist():
             items[d].update(windows.items[n][w])
-    return lengths, starts, np.cumsum(cover[:-1]) > 0, items
+    return np.cumsum(cover[:-1]) > 0, items
 
 
 def spans_of(hit: np.ndarray) -> list[dict[str, int]]:
@@ -104,71 +98,67 @@ def spans_of(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def without(text: str, spans: list[dict[str, int]]) -> str:
-    """text with the words of the spans cut out, each span with what is between its words; a space is put where that joins words."""
-    data = text.encode()
-    at = [m.span() for m in _RUN.finditer(data)]
-    out, last = [], 0
-    for s in spans:
-        out.append(data[last : at[s["start"]][0]])
-        last = at[s["end"] - 1][1]
-    out.append(data[last:])
-    return b" ".join(x.strip() for x in out if x.strip()).decode()
+def without(data: bytes, begin: np.ndarray, end: np.ndarray, cut: list[dict[str, int]]) -> str:
+    """A text, as bytes, without the words of some spans and what is between a span's words. begin, end: where its words do.
+
+    All else stays, but of the white space before and after a span only one part: that with more lines, or else the longer one; at the
+    text's ends neither.
+    """
+    out, last = b"", 0
+    for s in cut:
+        before, gap = data[last : begin[s["start"]]], b""
+        last = int(end[s["end"] - 1])
+        kept = before.rstrip()
+        after = data[last:][: len(data[last:]) - len(data[last:].lstrip())]
+        if (out or kept) and last + len(after) < len(data):
+            gap = max(before[len(kept) :], after, key=lambda x: (x.count(b"\n"), len(x)))
+        out, last = out + kept + gap, last + len(after)
+    return (out + data[last:]).decode()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column leaks: n_words, spans of hit words (from, to in words) and the sorted ids of the items found.
 
     clean: text also loses those spans. Null and empty texts have no words. Rows stay as they are, repeated ones too; a column leaks
-    of docs is replaced. Items without words and an empty benchmark find nothing. Items go in blocks of bounded size, each broadcast
-    and searched in one pass; a later pass adds to what the ones before found.
+    of docs is replaced. Items without words and an empty benchmark find nothing; an empty table gives an empty table. Items are
+    broadcast in blocks of bounded size; a text is read once and its words are looked up in each block.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text")
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("id IS NOT NULL AND text <> ''")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first().n
-    blocks = max(1, math.ceil(total / block_bytes))
-    out = docs.drop("leaks").withColumn("leaks", F.lit(None).cast(OF_DOC))
+    blocks, shared = max(1, math.ceil(total / block_bytes)), []
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
-        windows = Windows.of(sorted((r.id, r.text) for r in mine.collect() if r.text and r.id is not None), window)
-        out = _pass(out, windows)
-    return _cut(out) if clean else out
-
-
-def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+        shared.append(docs.sparkSession.sparkContext.broadcast(Windows.of(sorted((r.id, r.text) for r in mine.collect()), window)))
+    docs = docs.drop("leaks").withColumn("leaks", F.lit(None).cast(OF_DOC))
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = [(x.value, Lookup(x.value.vocabulary)) for x in shared]
         for batch in batches:
             kind = batch.schema.field("leaks").type
             for part in slices(batch, at, SHARD_BYTES):
-                lengths, starts, hit, items = search_shard(part.column(at).to_pylist(), shared.value)
-                touched = np.zeros(len(lengths), bool)
-                touched[np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1] = True
-                leaks = []
-                for i, old in enumerate(part.column(part.schema.get_field_index("leaks")).to_pylist()):
-                    own = hit[starts[i] : starts[i + 1]].copy() if touched[i] else None
-                    found = {shared.value.ids[x] for x in items[i]}
-                    if old and old["spans"]:
-                        own = np.zeros(lengths[i], bool) if own is None else own
-                        for s in old["spans"]:
-                            own[s["start"] : s["end"]] = True
-                        found |= set(old["items"])
-                    leaks.append({"n_words": lengths[i], "spans": [] if own is None else spans_of(own), "items": sorted(found)})
-                yield pa.RecordBatch.from_arrays([pa.array(leaks, kind) if n == "leaks" else part.column(n) for n in names], names=names)
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _cut(docs: DataFrame) -> DataFrame:
-    names, at = docs.columns, docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(names.index("leaks")).field("spans").to_pylist()
-            kind = batch.column(at).type
-            text = [without(t, s) if t and s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(text, kind) if n == "text" else batch.column(n) for n in names], names=names)
+                data, bounds = utf8(part.column(at))
+                lowered = LOWER[data]
+                begin, end, starts = spans(lowered, bounds, INSIDE)
+                own = hashes(lowered, begin, end)
+                hit, found = np.zeros(len(own), bool), [set() for _ in bounds[1:]]
+                for windows, lookup in search:
+                    more, items = search_shard(own, starts, windows, lookup)
+                    hit |= more
+                    for ids, x in zip(found, items, strict=True):
+                        ids.update(windows.ids[i] for i in x)
+                leaks = [{"n_words": int(n), "spans": [], "items": sorted(x)} for n, x in zip(np.diff(starts), found, strict=True)]
+                touched = np.unique(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1).tolist()
+                for i in touched:
+                    leaks[i]["spans"] = spans_of(hit[starts[i] : starts[i + 1]])
+                columns = dict(zip(names, part.columns, strict=True)) | {"leaks": pa.array(leaks, kind)}
+                if clean and touched:
+                    texts = part.column(at).to_pylist()
+                    for i in touched:
+                        own_words = slice(starts[i], starts[i + 1])
+                        texts[i] = without(data[bounds[i] : bounds[i + 1]].tobytes(), begin[own_words] - bounds[i], end[own_words] - bounds[i], leaks[i]["spans"])
+                    columns["text"] = pa.array(texts, part.column(at).type)
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     return docs.mapInArrow(run, docs.schema)

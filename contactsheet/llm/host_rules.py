@@ -121,7 +121,7 @@ def host_rules(docs: DataFrame, host: Column | None = None, max_rate: float = MA
     """
     host = F.col("source") if host is None else host
     docs = docs.drop("rules_of", "kept", "host_ok")
-    judged = features(docs)
+    judged = checkpointed(features(docs))  # else the texts are judged twice
     verdicts = host_verdicts(judged, host, max_rate, mixed)
     out = join_verdicts(judged, verdicts, host)
     return out.withColumn("kept", ~F.col("rules_of.base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))).drop("host_ok")

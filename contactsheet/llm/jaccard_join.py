@@ -29,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactsheet.llm.common import checkpointed, slices, small
 from contactsheet.llm.components import components
+from contactsheet.llm.words import word_hashes
 
 SHINGLE = 5
 #: Text of which signatures are made at once, signatures that one task groups on average, bits of the filter of candidates.
@@ -50,7 +50,6 @@ COMMON, SLICE_COMMON, ALL_COMMON = 3, 4_000, 200_000
 #: Pairs a set that a list may have to be checked at once. Cells of a bitmap for each element.
 FEW, CELLS = 1, 1
 CACHED = 200_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 #: Odd multipliers, one for each place of a shingle.
 PLACES = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(SHINGLE)], U)
@@ -63,20 +62,10 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """The set of a text as sorted 64-bit hashes: of five words each, or of all if there are fewer."""
-    words = text.encode().translate(_LOWER).split() if text else []
-    if not words:
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The set of a text, given the hashes of its words, as sorted 64-bit hashes: of five words each, or of all if there are fewer."""
+    if not len(h):
         return np.zeros(0, U)
-    h = np.fromiter(map(hashes.__getitem__, words), U, len(words))
     if len(h) < SHINGLE:
         return mix(np.array([(h * PLACES[: len(h)]).sum() + U(len(h))], U), 1)
     n = len(h) - SHINGLE + 1
@@ -88,6 +77,12 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def sets_of(texts: pa.Array) -> list[np.ndarray]:
+    """The set of each text of a column."""
+    own, before = word_hashes(texts)
+    return [shingles(own[a:b]) for a, b in zip(before[:-1], before[1:], strict=True)]
+
+
 def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s, 3).sum() + U(len(s))], U), 4).view(np.int64)[0])
 
@@ -153,9 +148,8 @@ def signatures(sets: list[np.ndarray], common: np.ndarray | None = None) -> tupl
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in (part for batch in batches for part in slices(batch, 1, SLICE_BYTES)):
-        sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+        sets = sets_of(batch.column(1))
         n, ids = [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets]
         bits = [parity_bits(s) if len(s) else None for s in sets]
         # One row more for the slice's common elements; equal sets count once.
@@ -178,12 +172,11 @@ def _emit(buckets: int, common):
     """Signatures as rows of packed arrays: bucket, the sets' ids, how many signatures each has there, the signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             for part in slices(batch, 0, SLICE_BYTES):
                 sets, ids = [], []
-                for text in part.column(0).to_pylist():
-                    s = shingles(text, hashes)
+                for s in sets_of(part.column(0)):
                     if len(s) and (i := set_id(s)) not in seen:
                         seen.add(i)
                         sets.append(s)
@@ -247,14 +240,13 @@ def _filter(doc_ids: DataFrame) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The packed sets of the documents that the filter lets through, and of those without an id."""
-    hashes, bits = WordHashes(), shared.value
+    bits = shared.value
     for batch in (part for batch in batches for part in slices(batch, 1, SLICE_BYTES)):
         known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         cell = _cells(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
         take = np.flatnonzero(~known | ((bits[cell >> 3] >> (cell & 7)) & 1).astype(bool))
         ids, sets = [], []
-        for text in batch.column(1).take(pa.array(take)).to_pylist():
-            s = shingles(text, hashes)
+        for s in sets_of(batch.column(1).take(pa.array(take))):
             if len(s):
                 ids.append(set_id(s))
                 sets.append(s.tobytes())

@@ -9,10 +9,12 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from contactsheet.llm import common, decontamination, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, queries, quality_classifier, sharding, token_counts, url_filter
+from contactsheet.llm import words as words_module
 from contactsheet.llm.components import components
 from contactsheet.llm.fm_index import FMIndex
 
@@ -213,6 +215,35 @@ def test_packed_keys_round_trip():
         assert (lm_scoring.unpacked(lm_scoring.packed(keys)) == keys).all()
 
 
+def test_word_hashes():
+    rng = random.Random(1)
+    voc = ["a", "B", "b", "Ünï", "x" * 8, "x" * 9, "x" * 64, "x" * 65, "x" * 66, "abcdefghi", " ", "漢字", "\xa0"]
+    texts = [None, "", " \n", "a", "b ", " c", *(" ".join(rng.choice(voc) for _ in range(rng.randint(0, 9))) for _ in range(300))]
+    seen = {}
+    for column in (pa.array(texts), pa.array(texts).slice(4, 200), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        own, before = words_module.word_hashes(column)
+        for i, t in enumerate(column.to_pylist()):
+            found = words(lower(t or ""))
+            assert before[i + 1] - before[i] == len(found)
+            assert all(seen.setdefault(x, h) == h for x, h in zip(found, own[before[i] : before[i + 1]].tolist(), strict=True))
+    keys = np.sort(np.array(list(seen.values()), np.uint64))
+    assert len(np.unique(keys)) == len(keys)
+    lookup = words_module.Lookup(keys)
+    assert (lookup.find(keys[::-1]) == np.arange(len(keys))[::-1]).all() and (lookup.find(keys + np.uint64(1)) == -1).all()
+    assert (words_module.Lookup(keys[:0]).find(keys) == -1).all()
+
+
+def test_cut_texts():
+    def cut(text, *spans):
+        data = text.encode()
+        begin, end, _ = words_module.spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]), decontamination.INSIDE)
+        return decontamination.without(data, begin, end, [{"start": a, "end": b} for a, b in spans])
+
+    assert cut("a b c d", (1, 3)) == "a d" and cut("a b c d", (0, 1)) == "b c d" and cut("a b c d", (3, 4)) == "a b c" and cut(" a ", (0, 1)) == ""
+    assert cut("one\n\ntwo three\n\nfour", (1, 3)) == "one\n\nfour" and cut("one\n\ntwo three. four  five", (1, 3)) == "one\n\n. four  five"
+    assert cut("a, b (c) d", (1, 2), (2, 3)) == "a, () d" and cut("x a b y c z", (1, 2), (4, 5)) == "x b y z"
+
+
 def brute_leaks(texts, bench, window=10):
     wins = collections.defaultdict(set)
     for i, t in bench:
@@ -239,8 +270,9 @@ def test_shard_search_against_brute_force():
         bench = [(str(i), " ".join(rng.choice(voc) for _ in range(rng.randint(1, 14)))) for i in range(rng.randint(0, 4))]
         texts = [" .".join(rng.choice([*voc, "zz"]) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 5))] + [None, ""]
         w = decontamination.Windows.of(bench)
-        n, at, hit, items = decontamination.search_shard(texts, w)
-        got = [(n[i], int(hit[at[i] : at[i + 1]].sum()), sorted(w.ids[x] for x in items[i])) for i in range(len(texts))]
+        own, at = words_module.word_hashes(pa.array(texts), decontamination.INSIDE)
+        hit, items = decontamination.search_shard(own, at, w, words_module.Lookup(w.vocabulary))
+        got = [(int(at[i + 1] - at[i]), int(hit[at[i] : at[i + 1]].sum()), sorted(w.ids[x] for x in items[i])) for i in range(len(texts))]
         assert got == brute_leaks(texts, bench)
 
 
