@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,19 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def tidy(run):
+    """A task's function over batches that hands freed memory back when it ends: the worker stays, and another may run beside it."""
+
+    @wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
+
+
 def slices(batch, column: int, most: int):
     """A record batch in pieces of about so many bytes of one column, and of one row at least."""
     import numpy as np

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import slices
+from contactsheet.llm.common import slices, tidy
 from contactsheet.llm.fm_index import FMIndex
 from contactsheet.llm.words import LOWER, Lookup, hashes, spans, utf8, word_hashes
 
@@ -133,6 +133,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clea
     names = docs.columns
     at = names.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = [(x.value, Lookup(x.value.vocabulary)) for x in shared]
         for batch in batches:

@@ -1,12 +1,17 @@
-"""HTML extraction (1): page structure and, for each host, a suffix array over its pages' token streams.
+"""HTML extraction (1): page structure and, for each host, suffix arrays over its pages' token streams.
 
 A page is cut into blocks. Blocks in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by
-their elements and names. What is left of a host's pages is one long stream of tokens; the suffix array orders its suffixes, and
-neighbours with a long common prefix on enough distinct pages are boilerplate. A host of many pages is dealt to shards with an array
-each; the hashes of what each array's groups start with meet in key ranges of the host, which add up their pages and answer each
-shard, so that what is boilerplate doesn't depend on the shards. The covered tokens go and the unique runs stay. In an article that
-is marked as such only what many pages of the host have goes, and a page of which that is the larger part is a copy and keeps its
-article whole. Beside a marked article that is a small share of the page, long unique runs of the rest stay too.
+their elements and names. What is left of a host's pages is two long streams of tokens, that in marked articles and that outside of
+them. A suffix array puts a stream's suffixes in order by their first LONG tokens: neighbours whose common prefix is so long are one
+group. A token is in a substring of LONG tokens or more that is on so many pages if, and only if, it is in such a substring of just
+LONG tokens, so no deeper order is needed. Tokens in groups on enough distinct pages are boilerplate: they go and unique runs stay.
+
+Structure is the prior: outside an article three pages of the host are enough; in one, half of the host's pages and ten at least, and
+a page of whose article that is the larger part is a copy and keeps it whole. Beside a marked article that is a small share of the
+page, long unique runs of the rest stay too.
+
+A large host is dealt to shards by bytes, with arrays each; the hashes of what each array's groups start with meet in key ranges of
+the host, which add up their pages and answer each shard.
 """
 
 from __future__ import annotations
@@ -22,53 +27,64 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed, shuffle_partitions, slices, small
-from contactsheet.llm.lm_scoring import cuts, mix, tally
+from contactsheet.llm.common import checkpointed, shuffle_partitions, slices, small, tidy
+from contactsheet.llm.packing import cuts, deflated, inflated, tally
 from contactsheet.llm.url_filter import split_url
+from contactsheet.llm.words import hashes, mix
 
 #: Tokens that a repeated substring has at least, and the distinct pages of the host that it is on at least.
 LONG, PAGES = 8, 3
-#: The same pages for text in marked articles, and the share of an article's tokens up to which such text goes; above, the page is a copy.
-MARKED_PAGES, COPY_SHARE = 10, 0.5
+#: The same pages for text in marked articles, and the share of the host's pages; the share of an article's tokens up to which such
+#: text goes (above, the page is a copy); the share of its pages from which a shard reports such text.
+MARKED_PAGES, MARKED_HOST, COPY_SHARE, REPORTED = 10, 0.5, 0.5, 0.25
 #: Below this share of a page's tokens a marked article isn't all of its text; unmarked unique runs of so many tokens are kept then.
 MARKED_SHARE, LONG_PLAIN = 0.25, 20
-#: A host's pages are dealt to shards of about so many, each with a suffix array of its own.
-SHARD_PAGES = 512
+#: HTML of a host's pages that is a shard with suffix arrays of its own; HTML of a task that is parsed and packed at once.
+SHARD_BYTES, PACK_BYTES = 8 << 20, 32 << 20
 #: Key ranges of a host with shards, at least, and one more for so many shards.
 LEAST_BUCKETS, BUCKET_SHARDS = 16, 8
-#: HTML of a task that is parsed and packed at once.
-PACK_BYTES = 32 << 20
 #: Bits of a hash that are left out.
 CUT = np.uint64(16)
 #: Hosts of at most so many are broadcast with their counts; more are joined.
 BROADCAST_HOSTS = 100_000
 
 #: Elements by what they mean for the text, and names that mark what isn't the article.
-SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "textarea", "select", "title"}
-DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "xmp"}
+DROPPED = {
+    "nav", "footer", "aside", "menu", "dialog", "button", "head", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video", "select",
+}
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
-    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p",
-    "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
-}
+    "figure", "footer", "form", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table",
+    "tbody", "tfoot", "thead", "tr", "ul",
+} | HEADINGS
 SPACED = {"br", "td", "th", "img", "wbr", "option"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CHROME_NAMES = {
+COMMENT_NAMES = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+CHROME_NAMES = COMMENT_NAMES | {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "banner",
     "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "cookie", "cookies", "consent",
-    "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "disqus",
-    "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended", "widget", "pagination", "pager", "skip", "toolbar",
+    "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related",
+    "recommended", "widget", "pagination", "pager", "skip", "toolbar",
+}
+#: Of these also as the first word of a class (ad-slot, comment-list), not as the last or only one alone.
+FIRST_NAMES = COMMENT_NAMES | {
+    "ad", "ads", "advert", "advertisement", "sponsored", "cookie", "cookies", "gdpr", "consent", "newsletter", "nav", "navbar", "menu", "breadcrumb",
+    "breadcrumbs", "sidebar", "footer", "related", "share", "sharing", "pagination", "popup", "modal", "widget",
 }
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: What ends a tag, and the quoted values in which that means nothing; an attribute with its value.
+_END = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')|>")
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 _WORDS = re.compile(r"[^\W_]+")
 CHROME, MARKED, PLAIN = 0, 1, 2
 #: What an element closes by its start, as in HTML, and the elements around it that this doesn't reach across.
@@ -132,27 +148,97 @@ class Page:
     kinds: list[int] = field(default_factory=list)
 
 
-def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
-    if name in DROPPED or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for m in _NAMED.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in CHROME_ROLES:
-            return True
-        if key in ("class", "id") and not CHROME_NAMES.isdisjoint(_WORDS.findall(value)):
+#: What an element does to the text in it: nothing; it isn't text; only its headings are; it isn't, but for an article in it.
+NOTHING, OUT, HEADS, FORM = range(4)
+
+
+def _named(names: str, among: set[str], by_class: bool) -> bool:
+    """Whether a class (an id: only as a whole) is named so, or has such a last word, or such a first one of FIRST_NAMES."""
+    for name in names.lower().split():
+        words = _WORDS.findall(name)
+        if name in among or by_class and words and (words[-1] in among or words[0] in among & FIRST_NAMES):
             return True
     return False
 
 
+def _effect(name: str, attributes: str, in_article: bool) -> int:
+    if name in DROPPED:
+        return OUT
+    if name == "header":
+        return HEADS if in_article else OUT
+    if attributes and name not in ("html", "body") and name not in HEADINGS:
+        among = COMMENT_NAMES if name in ARTICLE else CHROME_NAMES
+        for m in _ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in CHROME_ROLES:
+                return OUT
+            if key in ("class", "id") and _named(value, among, key == "class"):
+                return OUT
+    return FORM if name == "form" else NOTHING
+
+
+class Tags:
+    """The tags of a page from left to right, each with the text before it; no part is read more often than a few times."""
+
+    def __init__(self, html: str):
+        self.html, self.at, self.quotes, self.unclosed = html, 0, True, set()
+
+    def _end(self, at: int) -> int:
+        """Where a tag's > is; quoted values are stepped over, unless one was left open in this page. -1: nowhere."""
+        while self.quotes:
+            m = _END.search(self.html, at)
+            if not m:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                at = m.end()
+        return self.html.find(">", at)
+
+    def next(self) -> tuple[str, str, bool, str] | None:
+        """Text, name (empty: a comment or the like), whether it closes, attributes; None after the last."""
+        html, at = self.html, self.at
+        if at >= len(html):
+            return None
+        m = _OPEN.search(html, at)
+        if not m:
+            self.at = len(html)
+            return html[at:], "", False, ""
+        text, start = html[at : m.start()], m.start()
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            self.at = end + 3 if end >= 0 else len(html)
+            return text, "", False, ""
+        closing = html.startswith("</", start)
+        name = _NAME.match(html, start + 1 + closing)
+        if not name:  # a declaration; </ without a name
+            end = html.find(">", start)
+            self.at = end + 1 if end >= 0 else len(html)
+            return text, "", False, ""
+        end = self._end(name.end())
+        if end < 0 and (start := html.find(">", name.end())) >= 0:
+            end = start
+        self.at = end + 1 if end >= 0 else len(html)
+        return text, name[0].lower() if end >= 0 else "", closing, html[name.end() : end] if end >= 0 else ""
+
+    def skip(self, name: str) -> None:
+        """Steps over the rest of an element whose content isn't markup; one that isn't closed ends with the page."""
+        if name not in self.unclosed:
+            m = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(self.html, self.at)
+            if m:
+                self.at = m.end()
+                return
+            self.unclosed.add(name)
+        if name in ("script", "style"):
+            self.at = len(self.html)
+
+
 def parse(html: str | None) -> Page:
     """The blocks of a page. An element that isn't closed reaches to the end of the one around it, or to one that closes it by its start
-    (list items, cells, rows); a closing tag without an opening one means nothing."""
-    page, html, opened = Page(), html or "", Open()
+    (list items, cells, rows); a closing tag without an opening one means nothing, nor does a slash at an opening tag's end."""
+    page, tags, opened = Page(), Tags(html or ""), Open()
     parts: list[str] = []
-    chrome = article = loose = False  # loose: a paragraph that is chrome, until the next block
-    at, end = 0, len(html)
+    effect, article, loose = NOTHING, False, False  # loose: a paragraph that isn't text, until the next block
 
     def close() -> None:
         nonlocal parts
@@ -160,25 +246,18 @@ def parse(html: str | None) -> Page:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 page.texts.append(text)
-                page.kinds.append(CHROME if chrome or loose else MARKED if article else PLAIN)
+                page.kinds.append(CHROME if effect or loose else MARKED if article else PLAIN)
             parts = []
 
-    while at < end:
-        m = _TAG.search(html, at)
-        if not m:
-            parts.append(html[at:])
-            break
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    while (tag := tags.next()) is not None:
+        text, name, closing, attributes = tag
+        if text:
+            parts.append(text)
         if not name:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in SKIPPED:
-            if not closing and not attributes.endswith("/"):
-                out = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                at = out.end() if out else end if name in ("script", "style") else at
+        if name in RAW:
+            if not closing:
+                tags.skip(name)
             continue
         if name in BLOCKS:
             close()
@@ -186,20 +265,22 @@ def parse(html: str | None) -> Page:
         elif name in SPACED:
             parts.append(" ")
         if name == "p" and not closing:
-            loose = _is_chrome(name, attributes, article)
-        if name in VOID or name == "p" or attributes.endswith("/"):
+            loose = _effect(name, attributes, article) != NOTHING
+        if name in VOID or name == "p":
             continue
         place = opened.closed_by(name) if closing else opened.first_after(CLOSES[name][0], opened.last(CLOSES[name][1])) if name in CLOSES else -1
         if place >= 0:
-            if opened.stack[place][1] != chrome:
+            if opened.stack[place][1] != effect:
                 close()
-            chrome, article = opened.cut(place)
+            effect, article = opened.cut(place)
         if not closing:
-            here = chrome or _is_chrome(name, attributes, article)
-            if here != chrome:
+            own = _effect(name, attributes, article)
+            here = own if effect == NOTHING or effect == FORM and (own == OUT or name in ARTICLE) else effect
+            here = NOTHING if effect == HEADS and name in HEADINGS else here
+            if here != effect:
                 close()
-            opened.push(name, chrome, article)
-            chrome, article = here, article or name in ARTICLE
+            opened.push(name, effect, article)
+            effect, article = here, article or name in ARTICLE
     close()
     return page
 
@@ -250,26 +331,19 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, least: int
     return cover(len(tokens), starts[distinct[group] >= least], long)
 
 
-class Shard:
-    """The pages of a shard as one stream of tokens, and the groups that its suffix array finds."""
-
-    def __init__(self, pages: list[Page]):
-        ids: dict[str, int] = {}
-        streams, owner = [], []
-        for number, page in enumerate(pages):
-            words = [ids.setdefault(w, len(ids)) for text, kind in zip(page.texts, page.kinds, strict=True) if kind != CHROME for w in text.split(" ")]
-            streams.append(np.array(words, np.int64))
-            owner.append(np.full(len(words), number))
-        self.words, self.tokens = list(ids), np.concatenate(streams)
-        self.starts, self.group, self.distinct = suffix_groups(self.tokens, np.concatenate(owner))
+class Stream:
+    """Tokens of a shard's pages, each token with its page, and the groups that the suffix array finds."""
+
+    def __init__(self, tokens: np.ndarray, pages: np.ndarray):
+        self.tokens = tokens
+        self.starts, self.group, self.distinct = suffix_groups(tokens, pages)
 
     def keys(self) -> np.ndarray:
         """The hash of what each group starts with."""
-        own = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         first = self.starts[np.flatnonzero(np.diff(self.group, prepend=-1))]
         out = np.zeros(len(first), np.uint64)
         for k in range(LONG):
-            out = mix(out + own[self.tokens[first + k]])
+            out = mix(out + self.tokens[first + k])
         return out >> CUT
 
     def covered(self, distinct: np.ndarray, least: int) -> np.ndarray:
@@ -277,24 +351,47 @@ class Shard:
         return cover(len(self.tokens), self.starts[distinct[self.group] >= least])
 
 
-def main_texts(pages: list[Page], shard: Shard, distinct: np.ndarray) -> list[tuple[str, int]]:
-    """Of each page of one shard: its main text, and how many of its tokens are in the host's boilerplate.
-
-    distinct: of each group of the shard's array, the distinct pages of the host that have it.
-    """
-    covered, common = shard.covered(distinct, PAGES), shard.covered(distinct, MARKED_PAGES)
+class Shard:
+    """Pages of a host. ids: of each page; rows that share one are one page, those without one are each their own."""
+
+    def __init__(self, ids: list, pages: list[Page]):
+        data = " ".join(x for page in pages for x in page.texts).encode()
+        size = np.array([x.count(" ") + 1 for page in pages for x in page.texts], np.int64)
+        data = np.frombuffer(data, np.uint8)
+        space = np.flatnonzero(data == 32)
+        self.tokens = hashes(data, np.append(0, space + 1), np.append(space, len(data))) if len(data) else np.zeros(0, np.uint64)
+        self.blocks = np.array([len(page.texts) for page in pages], np.int64)
+        number: dict = {}
+        own = [number.setdefault(("row", n) if i is None else i, n) for n, i in enumerate(ids)]
+        self.marked = np.repeat(np.array([k == MARKED for page in pages for k in page.kinds], bool), size)
+        owner = np.repeat(np.repeat(np.array(own, np.int64), self.blocks), size)
+        self.pages = len(number)
+        self.plain, self.inside = (Stream(self.tokens[x], owner[x]) for x in (~self.marked, self.marked))
+
+    def reported(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each stream: the hashes of the groups that other shards have to know, and their pages. Of articles that is text on many pages."""
+        often = self.inside.distinct >= REPORTED * self.pages
+        return [(self.plain.keys(), self.plain.distinct), (self.inside.keys()[often], self.inside.distinct[often])]
+
+    def covered(self, plain: np.ndarray, inside: np.ndarray, host_pages: int) -> np.ndarray:
+        """The tokens that are boilerplate. plain, inside: of each group of the streams, the distinct pages of the host that have it."""
+        out = np.zeros(len(self.tokens), bool)
+        out[~self.marked] = self.plain.covered(plain, PAGES)
+        out[self.marked] = self.inside.covered(inside, max(MARKED_PAGES, math.ceil(MARKED_HOST * host_pages)))
+        return out
+
+
+def main_texts(pages: list[Page], marked: np.ndarray, covered: np.ndarray) -> list[tuple[str, int]]:
+    """Of each page: its main text, and how many of its tokens are boilerplate. marked, covered: of the tokens of all pages."""
     out, at = [], 0
     for page in pages:
-        blocks = [(text.split(" "), kind == MARKED) for text, kind in zip(page.texts, page.kinds, strict=True) if kind != CHROME]
-        marks = np.repeat([m for _, m in blocks], [len(w) for w, _ in blocks]).astype(bool)
-        own, often = covered[at : at + len(marks)], common[at : at + len(marks)]
-        at, n = at + len(marks), int(own.sum())
-        copy = (often & marks).sum() > COPY_SHARE * marks.sum()
-        gone = np.where(marks, often & (not copy), own)
-        if marks.any():
-            least = LONG_PLAIN if (marks & ~gone).sum() < MARKED_SHARE * len(marks) else len(marks) + 1
-        else:
-            least = 1
+        blocks = [(text.split(" "), kind == MARKED) for text, kind in zip(page.texts, page.kinds, strict=True)]
+        n = sum(len(w) for w, _ in blocks)
+        marks, common = marked[at : at + n], covered[at : at + n]
+        at += n
+        copy = (common & marks).sum() > COPY_SHARE * marks.sum()
+        gone = common & ~marks if copy else common
+        least = 1 if not marks.any() else LONG_PLAIN if (marks & ~gone).sum() < MARKED_SHARE * n else n + 1
         texts, of = [], 0
         for words, mark in blocks:
             lost = gone[of : of + len(words)]
@@ -302,8 +399,8 @@ def main_texts(pages: list[Page], shard: Shard, distinct: np.ndarray) -> list[tu
             if not mark and least > 1:
                 lost = lost | _short_runs(lost, least)
             if not lost.all():
-                texts.append(" ".join(w for w, x in zip(words, lost, strict=True) if not x))
-        out.append(("\n\n".join(texts), n))
+                texts.append(" ".join(w for w, x in zip(words, lost, strict=True) if not x) if lost.any() else " ".join(words))
+        out.append(("\n\n".join(texts), int(gone.sum())))
     return out
 
 
@@ -316,88 +413,91 @@ def _short_runs(lost: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+@tidy
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns host_of, shards, shard_of, page_id, url, html: a row for each shard with its pages parsed and compressed."""
+    """Columns host_of, host_pages, shards, shard_of, page_id, url, html: a row for each shard with its pages parsed and compressed, without what isn't text."""
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
     for batch in batches:
-        for part in slices(batch, 5, PACK_BYTES):
+        for part in slices(batch, 6, PACK_BYTES):
             rows: dict[tuple, list] = {}
-            for host, shards, shard, page_id, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for *shard, page_id, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 page = parse(html)
-                rows.setdefault((host, shards, shard), []).append((page_id, url, page.texts, page.kinds))
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)] if rows else []
+                kept = [(t, k) for t, k in zip(page.texts, page.kinds, strict=True) if k != CHROME]
+                rows.setdefault(tuple(shard), []).append((page_id, url, [t for t, _ in kept], bytes(k for _, k in kept)))
             if rows:
-                packed = pa.array([zstandard.compress(pickle.dumps(x), 3) for x in rows.values()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, packed], names=["host_of", "shards", "shard_of", "pages"])
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                packed = pa.array([zstandard.compress(pickle.dumps(x), 6) for x in rows.values()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, packed], names=["host_of", "host_pages", "shards", "shard_of", "pages"])
 
 
 def _unpack(pdf: pd.DataFrame) -> tuple[list, list, list[Page]]:
     """page_id, url and blocks of a shard's pages, in an order that is the same each time."""
     rows = [x for data in pdf["pages"] for x in pickle.loads(zstandard.decompress(data))]
     rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "", x[2], x[3]))
-    return [x[0] for x in rows], [x[1] for x in rows], [Page(x[2], x[3]) for x in rows]
-
-
-def _deflated(x: np.ndarray) -> bytes:
-    """Whole numbers as their first bytes, then their second bytes and so on, compressed."""
-    return zstandard.compress(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
-
-
-def _inflated(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return [x[0] for x in rows], [x[1] for x in rows], [Page(x[2], list(x[3])) for x in rows]
 
 
 def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard, if its host has more: the hashes of its groups and their pages, dealt to the host's key ranges; a row for each, even if empty."""
-    host, shard, shards = pdf["host_of"].iloc[0], pdf["shard_of"].iloc[0], int(pdf["shards"].iloc[0])
-    if shards == 1:
-        return pd.DataFrame(columns=["host_of", "shard_of", "bucket", "keys", "n"], dtype=object)
-    found = Shard(_unpack(pdf)[2])
-    own, n = tally(found.keys(), found.distinct)
-    buckets = max(LEAST_BUCKETS, math.ceil(shards / BUCKET_SHARDS))
-    ends = cuts(own << CUT, buckets)
-    keys = [_deflated(np.diff(x, prepend=np.uint64(0))) for x in np.split(own, ends)]
-    return pd.DataFrame({"host_of": host, "shard_of": shard, "bucket": np.arange(buckets), "keys": keys, "n": [_deflated(x) for x in np.split(n, ends)]})
+    """Of one shard: the hashes of its groups and their pages by stream, dealt to the host's key ranges; no rows for ranges without any."""
+    ids, _, pages = _unpack(pdf)
+    shards = int(pdf["shards"].iloc[0])
+    buckets, rows = max(LEAST_BUCKETS, math.ceil(shards / BUCKET_SHARDS)), []
+    for stream, found in enumerate(Shard(ids, pages).reported()):
+        keys, n = tally(*found)
+        ends = cuts(keys << CUT, buckets)
+        for bucket, (k, x) in enumerate(zip(np.split(keys, ends), np.split(n, ends), strict=True)):
+            if len(k):
+                rows.append((pdf["host_of"].iloc[0], pdf["shard_of"].iloc[0], stream, bucket, deflated(np.diff(k, prepend=np.uint64(0))), deflated(x)))
+    return pd.DataFrame(rows, columns=["host_of", "shard_of", "stream", "bucket", "keys", "n"], dtype=object)
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one key range of a host: each shard gets the distinct pages of the host for its hashes. A page is in one shard."""
-    keys = [np.cumsum(_inflated(x), dtype=np.uint64) for x in pdf["keys"]]
-    own, total = tally(np.concatenate(keys), np.concatenate([_inflated(x) for x in pdf["n"]]))
-    n = [_deflated(total[np.searchsorted(own, k)]) for k in keys]
-    return pd.DataFrame({"host_of": pdf["host_of"].astype(object), "shard_of": pdf["shard_of"], "bucket": pdf["bucket"], "n": n})
+    """Of one key range of a stream of a host: each shard gets the distinct pages of the host for its hashes. A page is in one shard."""
+    keys = [np.cumsum(inflated(x), dtype=np.uint64) for x in pdf["keys"]]
+    own, total = tally(np.concatenate(keys), np.concatenate([inflated(x) for x in pdf["n"]]))
+    return pdf[["host_of", "shard_of", "stream", "bucket"]].astype(object).assign(n=[deflated(total[np.searchsorted(own, k)]) for k in keys])
 
 
 def _extract(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     ids, urls, pages = _unpack(pdf)
-    shard = Shard(pages)
-    distinct = shard.distinct
-    if len(answers):
-        keys = shard.keys()
-        distinct = np.concatenate([_inflated(x) for x in answers.sort_values("bucket")["n"]]).astype(np.int64)[np.searchsorted(np.unique(keys), keys)]
-    found = main_texts(pages, shard, distinct)
+    shard = Shard(ids, pages)
+    distinct = []
+    for number, (stream, (keys, _)) in enumerate(zip((shard.plain, shard.inside), shard.reported(), strict=True)):
+        total, mine = stream.distinct, answers[answers["stream"] == number].sort_values("bucket")
+        if len(mine):
+            asked, n = np.unique(keys), np.concatenate([inflated(x) for x in mine["n"]]).astype(np.int64)
+            every = stream.keys()
+            at = np.minimum(np.searchsorted(asked, every), len(asked) - 1)
+            total = np.where(asked[at] == every, n[at], total)
+        distinct.append(total)
+    found = main_texts(pages, shard.marked, shard.covered(*distinct, int(pdf["host_pages"].iloc[0])))
     texts = [t for t, _ in found]
     strings = {"url": pd.Series(urls, dtype=object), "text": pd.Series(texts, dtype=object)}
     return pd.DataFrame({"page_id": pd.array(ids, "Int64"), **strings, "n_chars": [len(t) for t in texts], "n_repeated": [n for _, n in found]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text (the main text), n_chars (its code points) and n_repeated (tokens in the host's boilerplate) of each page.
+    """page_id, url, text (the main text), n_chars (its code points) and n_repeated (tokens that went as boilerplate) of each page.
 
-    Null and empty pages have an empty text. URLs without a host share one. Rows stay as they are, repeated ones too. A host with many
-    pages is dealt to shards by a hash of the page, so that no task has it whole; what is boilerplate is decided on the pages of the whole
-    host, whose repeats are told apart by 48-bit hashes where it has shards. An empty table gives an empty table.
+    Null and empty pages have an empty text. URLs without a host share one. Rows stay as they are, repeated ones too: rows that share a
+    page_id count as one page, those without one each as their own. A host of more than SHARD_BYTES is dealt to shards by a hash of the
+    page_id, so that no task has it whole; what is boilerplate is decided on the pages of the whole host, whose repeats are told apart
+    by 48-bit hashes where it has shards. An empty table gives an empty table. Other columns of pages are left out.
     """
     host = F.coalesce(split_url(F.col("url"))[0], F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host_of", host)
-    counts = checkpointed(rows.groupBy("host_of").agg(F.ceil(F.count(F.lit(1)) / SHARD_PAGES).cast("int").alias("shards")))
-    counts = counts.where("shards > 1")  # other hosts are one shard
+    size = F.coalesce(F.sum(F.octet_length("html")), F.lit(0))
+    counts = checkpointed(rows.groupBy("host_of").agg(F.count(F.lit(1)).alias("host_pages"), F.greatest(F.lit(1), F.ceil(size / SHARD_BYTES)).cast("int").alias("shards")))
     counts = F.broadcast(counts) if small(counts, BROADCAST_HOSTS) else counts
-    rows = rows.join(counts, "host_of", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    rows = rows.withColumn("shard_of", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int"))
-    rows = rows.select("host_of", "shards", "shard_of", "page_id", "url", "html")
+    rows = rows.join(counts, "host_of")
+    page = F.coalesce(F.xxhash64("page_id"), F.xxhash64("url", "html"))
+    page = F.when(F.col("page_id").isNull(), F.xxhash64("url", "html")).otherwise(page)
+    rows = rows.withColumn("shard_of", F.pmod(page, F.col("shards")).cast("int"))
+    rows = rows.select("host_of", "host_pages", "shards", "shard_of", "page_id", "url", "html")
     n, by = shuffle_partitions(pages.sparkSession), ("host_of", "shard_of")
-    dealt = rows.mapInArrow(_pack, "host_of string, shards int, shard_of int, pages binary").repartition(n, *by)
-    asked = dealt.groupBy(*by).applyInPandas(_ask, "host_of string, shard_of int, bucket int, keys binary, n binary")
-    answers = asked.groupBy("host_of", "bucket").applyInPandas(_answer, "host_of string, shard_of int, bucket int, n binary").repartition(n, *by)
+    dealt = rows.mapInArrow(_pack, "host_of string, host_pages long, shards int, shard_of int, pages binary").repartition(n, *by)
+    ask = "host_of string, shard_of int, stream int, bucket int"
+    asked = dealt.where("shards > 1").groupBy(*by).applyInPandas(_ask, f"{ask}, keys binary, n binary")
+    answers = asked.groupBy("host_of", "stream", "bucket").applyInPandas(_answer, f"{ask}, n binary").repartition(n, *by)
     schema = "page_id long, url string, text string, n_chars long, n_repeated long"
     return dealt.groupBy(*by).cogroup(answers.groupBy(*by)).applyInPandas(_extract, schema)

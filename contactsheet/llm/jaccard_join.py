@@ -32,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed, slices, small
+from contactsheet.llm.common import checkpointed, slices, small, tidy
 from contactsheet.llm.components import components
 from contactsheet.llm.words import word_hashes
 
 SHINGLE = 5
-#: Text of which signatures are made at once, signatures that one task groups on average, bits of the filter of candidates.
-SLICE_BYTES, BUCKET_SETS, FILTER_BITS = 4 << 20, 2 << 20, 1 << 26
-#: Bytes of a signature that are kept: two different ones of a bucket may then be equal, which only makes a candidate more.
-SIG_BYTES = 5
+#: Text of which signatures are made at once, signatures that one task groups on average.
+SLICE_BYTES, BUCKET_SETS = 2 << 20, 2 << 20
+#: Cells of the filter for each candidate; cells at most, 32 MB of bits: with more than 16 million candidates it lets more other sets through.
+CANDIDATE_CELLS, MOST_CELLS = 16, 1 << 28
+#: Bytes of a signature that are kept: two different ones of a bucket may then be equal, one in two thousand, which only makes a candidate more.
+SIG_BYTES = 4
 #: Ids of sets to compare that are broadcast at most, 16 MB.
 BROADCAST_IDS = 1_000_000
 #: Buckets of small corpora.
@@ -147,6 +149,7 @@ def signatures(sets: list[np.ndarray], common: np.ndarray | None = None) -> tupl
     return np.concatenate(out), np.concatenate(of)
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for batch in batches for part in slices(batch, 1, SLICE_BYTES)):
         sets = sets_of(batch.column(1))
@@ -171,6 +174,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit(buckets: int, common):
     """Signatures as rows of packed arrays: bucket, the sets' ids, how many signatures each has there, the signatures."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
@@ -219,40 +223,50 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"members": sorted(x for x in lists if len(x) > 8)}, dtype=object)
 
 
-def _cells(doc_ids: np.ndarray) -> np.ndarray:
-    return (mix(doc_ids.astype(np.int64).view(U), 13) % U(FILTER_BITS)).astype(np.int64)
+def _cells(doc_ids: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(doc_ids.astype(np.int64).view(U), 13) % U(cells)).astype(np.int64)
 
 
 def _filter(doc_ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS cells with the ids' cells set; it lets through some other documents too."""
+    """A bitmap with the cells of the ids set; it lets through some other documents too."""
+    n = doc_ids.count()
+    cells = min(MOST_CELLS, 1 << max(16, (CANDIDATE_CELLS * n).bit_length()))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(FILTER_BITS, bool)
+        found = np.zeros(cells // 8, np.uint8)
         for b in batches:
-            cells[_cells(b.column(0).to_numpy(zero_copy_only=False))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+            at = np.unique(_cells(b.column(0).to_numpy(zero_copy_only=False), cells))
+            np.bitwise_or.at(found, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(cells // 8, np.uint8)
     for row in doc_ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _sets(shared):
     """The packed sets of the documents that the filter lets through, and of those without an id."""
-    bits = shared.value
-    for batch in (part for batch in batches for part in slices(batch, 1, SLICE_BYTES)):
-        known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-        cell = _cells(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-        take = np.flatnonzero(~known | ((bits[cell >> 3] >> (cell & 7)) & 1).astype(bool))
-        ids, sets = [], []
-        for s in sets_of(batch.column(1).take(pa.array(take))):
-            if len(s):
-                ids.append(set_id(s))
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "elements"])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in (part for batch in batches for part in slices(batch, 1, SLICE_BYTES)):
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            cell = _cells(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), 8 * len(bits))
+            take = np.flatnonzero(~known | ((bits[cell >> 3] >> (cell & 7)) & 1).astype(bool))
+            ids, sets = [], []
+            for s in sets_of(batch.column(1).take(pa.array(take))):
+                if len(s):
+                    ids.append(set_id(s))
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "elements"])
+
+    return run
 
 
+@tidy
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns a, b, and both sets; adds whether 100 times their intersection is 80 times their union or more."""
     for batch in batches:
@@ -328,6 +342,7 @@ def _pairs(every: bool):
                     more.append(int(lists[a]))
         return [x for x, _ in pairs] + more, [y for _, y in pairs] + [None] * len(more)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         seen: set[tuple[int, int | None]] = set()
@@ -374,9 +389,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     emitted = docs.select(text).mapInArrow(_emit(buckets, common), "bucket int, ids binary, counts binary, sigs binary")
     lists = emitted.groupBy("bucket").applyInPandas(_lists, "members binary").withColumn("list_id", F.xxhash64("members"))
     members = checkpointed(lists.dropDuplicates(["list_id"]).select("members", "list_id").mapInArrow(_unpacked, "list_id long, set_id long, n int"))
-    named_by = sets.join(members.select("set_id").distinct(), "set_id").select("first_doc").where("first_doc IS NOT NULL")
+    named_by = checkpointed(sets.join(members.select("set_id").distinct(), "set_id").select("first_doc").where("first_doc IS NOT NULL"))
     shared = docs.sparkSession.sparkContext.broadcast(_filter(named_by))
-    wanted = docs.select("doc_id", text).mapInArrow(lambda batches: _sets(batches, shared), "set_id long, elements binary")
+    wanted = docs.select("doc_id", text).mapInArrow(_sets(shared), "set_id long, elements binary")
     elements = checkpointed(wanted.groupBy("set_id").agg(F.first("elements").alias("elements")))
     bits = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
     bits = checkpointed(bits.join(members.select("set_id").distinct(), "set_id", "left_semi"))

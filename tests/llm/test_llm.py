@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -450,7 +451,7 @@ def test_html_structure():
     page = html_extraction.parse(PAGE)
     text = "\n\n".join(t for t, k in zip(page.texts, page.kinds, strict=True) if k == html_extraction.MARKED)
     assert text == "Head <1>\n\nOne bold text here next\n\nTwo é © 3\n\nitem"
-    for bad in ("", None, "<", "<p", "a < b", "<a href='x>y", "</div></div>x", "<!--", "<script>x", "&#xffffffff;", "<" * 5000, "<div>" * 5000 + "x", '<a b="' * 2000):
+    for bad in ("", None, "<", "<p", "a < b", "<a href='x>y", "</div></div>x", "<!--", "<script>x", "&#xffffffff;", "<" * 5000, "<div>" * 5000 + "x", '<a b="' * 2000, "<a b='x\"", "<p>a<br/>b<x-y/>c"):
         html_extraction.parse(bad)
     assert html_extraction.parse("a &lt; b").texts == ["a < b"]
 
@@ -499,24 +500,64 @@ def test_html_boilerplate_does_not_depend_on_shards(spark, monkeypatch):
     rows += [(None, None, f"<div>text{i}</div>{notice}") for i in range(20)]
     want = sorted([f"is a text number{i}" + "\n\nthese words are on two of the pages only" * (i in (5, 77)) for i in range(100)] + [f"text{i}" for i in range(20)])
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    for size in (512, 50, 4):
-        monkeypatch.setattr(html_extraction, "SHARD_PAGES", size)
+    for size in (1 << 20, 4000, 320):
+        monkeypatch.setattr(html_extraction, "SHARD_BYTES", size)
         got = html_extraction.extract(pages).collect()
         assert sorted(r.text for r in got) == want and sum(r.n_repeated for r in got) == 25 * 9, size
 
 
-def test_html_boilerplate_in_marked_articles(spark):
+@pytest.mark.parametrize("size", [1 << 20, 3000])
+def test_html_boilerplate_in_marked_articles(spark, monkeypatch, size):
+    """The suffix array decides in marked articles too: what most of the host's pages have goes, a line that many have stays."""
+    monkeypatch.setattr(html_extraction, "SHARD_BYTES", size)
     text = lambda i, n=30: " ".join(f"w{i}x{k}" for k in range(n))
-    line = "subscribe to our letter and read more of this each week"
-    rows = [(i, f"http://h.org/{i}", f"<article><p>{text(i)}</p><p>{line}</p></article>") for i in range(20)]
+    line, often = "subscribe to our letter and read more of this each week", "a line that many texts of this host have inside"
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{text(i)}</p><p>{line}</p>{f'<p>{often}</p>' * (i % 3 == 0)}</article>") for i in range(50)]
     rows += [(100 + i, f"http://h.org/c{i}", f"<article><p>{text(99)}</p></article>") for i in range(15)]  # copies of an article
     rows += [(200 + i, f"http://h.org/f{i}", f"<main><p>{text(200 + i)}</p><p>{text(98, 12)}</p></main>") for i in range(5)]  # a text that a few pages share
     rows += [(300, "http://h.org/t", f"<article>teaser</article><div>{text(300)}</div><div>{line}</div><div>short one</div>")]
     rows += [(301, "http://h.org/u", f"<article>{text(301)}</article><div>{text(302)}</div>")]
-    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == text(i) for i in range(20)) and all(got[100 + i] == text(99) for i in range(15))
-    assert all(got[200 + i] == f"{text(200 + i)}\n\n{text(98, 12)}" for i in range(5))
-    assert got[300] == f"teaser\n\n{text(300)}" and got[301] == text(301)
+    rows += [(400 + i, f"http://c.org/{i}", f"<article>{text(97)}</article>") for i in range(30)]  # a host of copies
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in html_extraction.extract(pages).collect()}
+    assert all(got[i].text == text(i) + f"\n\n{often}" * (i % 3 == 0) and got[i].n_repeated == 11 for i in range(50))
+    assert all(got[100 + i].text == text(99) for i in range(15)) and all(got[400 + i].text == text(97) for i in range(30))
+    assert all(got[200 + i].text == f"{text(200 + i)}\n\n{text(98, 12)}" for i in range(5))
+    assert got[300].text == f"teaser\n\n{text(300)}" and got[301].text == text(301)
+
+
+def test_html_repeated_rows_are_one_page(spark):
+    rows = [(1, "http://h.org/1", "<div>these are the words of the only page here</div>")] * 3
+    rows += [(None, "http://h.org/1", f"<div>what three pages without an id have in common is gone text{i}</div>") for i in range(3)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == sorted(["these are the words of the only page here"] * 3 + [f"text{i}" for i in range(3)])
+
+
+def test_html_names_and_tags():
+    def kept(html):
+        page = html_extraction.parse(html)
+        return [t for t, k in zip(page.texts, page.kinds, strict=True) if k == html_extraction.MARKED]
+
+    assert kept("<article><nav data-x=/a/>menu link</nav><script src=/a/>var y=2</script><p>t</article>") == ["t"]
+    assert kept('<article>a<article class="comment">I disagree</article></article>') == ["a"]
+    assert kept("<article><header>by X share now<h1>Title</h1> more</header><p>x</article>") == ["Title", "x"]
+    assert kept('<article><h2 id="header-1">Title</h2><section class="social-policy">s</section><div id=comments>c</div></article>') == ["Title", "s"]
+    assert kept('<article>a<div class="comment-list">c</div><div class="big cookie-notice">c</div><div class="ad">d</div><p data-id="comments">k</article>') == ["a", "k"]
+    assert kept("<form><article>in form<form>x</form></article>y</form>") == ["in form"]
+    assert kept('<article><a title="a > b">one</a> <b data-x=">">two</b></article>') == ["one two"]
+    page = html_extraction.parse("<nav>" + "<span>" * 70 + "menu</nav><p>Body text here</p>")
+    assert (page.texts, page.kinds) == (["menu", "Body text here"], [html_extraction.CHROME, html_extraction.PLAIN])
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a b="', "<svg>", "<textarea>", "<b", "<!--", "<![", "</", "<a   ", '<p class="', "<div id=a>", "</x y", "<li>", "<td>", "&amp", "<a b='\""])
+def test_html_parse_time_is_linear(part):
+    def took(n):
+        began = time.perf_counter()
+        html_extraction.parse(part * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 2 + 40 * took(4_000)
 
 
 def test_empty_tables(spark, empty):
