@@ -439,16 +439,18 @@ def _unpack(pdf: pd.DataFrame) -> tuple[list, list, list[Page]]:
 
 def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one shard: the hashes of its groups and their pages by stream, dealt to the host's key ranges; no rows for ranges without any."""
+    shards, rows, names = int(pdf["shards"].iloc[0]), [], ["host_of", "shard_of", "stream", "bucket", "keys", "n"]
+    if shards == 1:  # nothing to ask
+        return pd.DataFrame(rows, columns=names, dtype=object)
     ids, _, pages = _unpack(pdf)
-    shards = int(pdf["shards"].iloc[0])
-    buckets, rows = max(LEAST_BUCKETS, math.ceil(shards / BUCKET_SHARDS)), []
+    buckets = max(LEAST_BUCKETS, math.ceil(shards / BUCKET_SHARDS))
     for stream, found in enumerate(Shard(ids, pages).reported()):
         keys, n = tally(*found)
         ends = cuts(keys << CUT, buckets)
         for bucket, (k, x) in enumerate(zip(np.split(keys, ends), np.split(n, ends), strict=True)):
             if len(k):
                 rows.append((pdf["host_of"].iloc[0], pdf["shard_of"].iloc[0], stream, bucket, deflated(np.diff(k, prepend=np.uint64(0))), deflated(x)))
-    return pd.DataFrame(rows, columns=["host_of", "shard_of", "stream", "bucket", "keys", "n"], dtype=object)
+    return pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -497,7 +499,7 @@ def extract(pages: DataFrame) -> DataFrame:
     n, by = shuffle_partitions(pages.sparkSession), ("host_of", "shard_of")
     dealt = rows.mapInArrow(_pack, "host_of string, host_pages long, shards int, shard_of int, pages binary").repartition(n, *by)
     ask = "host_of string, shard_of int, stream int, bucket int"
-    asked = dealt.where("shards > 1").groupBy(*by).applyInPandas(_ask, f"{ask}, keys binary, n binary")
+    asked = dealt.groupBy(*by).applyInPandas(_ask, f"{ask}, keys binary, n binary")
     answers = asked.groupBy("host_of", "stream", "bucket").applyInPandas(_answer, f"{ask}, n binary").repartition(n, *by)
     schema = "page_id long, url string, text string, n_chars long, n_repeated long"
     return dealt.groupBy(*by).cogroup(answers.groupBy(*by)).applyInPandas(_extract, schema)

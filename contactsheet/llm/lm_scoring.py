@@ -1,31 +1,33 @@
 """LM scoring (5): a smoothed n-gram model as a weighted automaton with failure arcs.
 
-States are the root and the histories of one to order - 1 tokens. A token goes on by its arc from the state if the n-gram is known, and
-else by the failure arc to the state without the history's first token, down to the root and the root's arc. With Dirichlet smoothing of
-strength MU, and c for counts in the training texts: root arc: (c(w) + 1) / (N + V + 1); arc of history h to w, with h' for h without its
-first token: (c(hw) + MU * arc of h' to w) / (c(h) + MU); failure arc of h: MU / (c(h) + MU). A document starts in the state of the end.
+States are the root and the known histories of one to order - 1 tokens. A token goes on by its arc from the state if the n-gram is
+known, and else by the failure arc to the state without the history's first token, down to the root, which has an arc for every token.
+With Dirichlet smoothing of strength MU, and c for counts in the training texts: root arc: (c(w) + 1) / (N + V + 1); arc of history h
+to w, with h' for h without its first token: (c(hw) + MU * arc of h' to w) / (c(h) + MU); failure arc of h: MU / (c(h) + MU). A
+document starts in the state of the end and is read from left to right. Its stretches are read side by side: each enters by the
+tokens before it, of which order - 1 determine the state.
 
 No model is held in one place. Documents are dealt to blocks. A block's counts go, packed as arrays, to buckets of the keys; a bucket
 adds up what all blocks have trained and answers each block with the totals of the keys that the block asked for. The block then has
-just that part of the automaton which its own documents can reach, and traverses them from left to right.
+just that part of the automaton which its own documents can reach, and traverses them with it.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import shuffle_partitions, slices
+from contactsheet.llm.common import checkpointed, shuffle_partitions, slices, tidy
+from contactsheet.llm.packing import cuts, deflated, inflated, tally
+from contactsheet.llm.words import LOWER, hashes, mix, spans, utf8
 
 MU = 200.0
 #: UTF-8 bytes of the texts of a block, and of those whose keys meet in a bucket.
@@ -33,219 +35,224 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
 #: Blocks and buckets of small corpora.
 LEAST_BLOCKS, LEAST_BUCKETS = 48, 24
 #: Text of a task that is packed at once.
-PACK_BYTES = 32 << 20
-CACHED = 300_000
+PACK_BYTES = 16 << 20
+#: Bits of an n-gram's key: at least, and besides those that number the corpus's bytes; one n-gram in 2 ** SPARE_BITS is taken for another.
+LEAST_BITS, SPARE_BITS = 48, 22
+#: Tokens that are read one after another; the stretches of a block are read side by side.
+STRETCH = 256
 U = np.uint64
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The key of the token that ends each document, and stands before the first word.
 END = U(0x5851F42D4C957F2D)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(30))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+def stream(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the tokens of some texts, each text as an end, its words in lower case and an end; and where each text's begin, and all end."""
+    data = LOWER[data]
+    begin, end, before = spans(data, bounds)
+    starts = before + 2 * np.arange(len(bounds))
+    out = np.full(starts[-1], END)
+    out[np.arange(len(begin)) + np.repeat(2 * np.arange(len(bounds) - 1) + 1, np.diff(before))] = hashes(data, begin, end)
+    return out, starts
 
 
-class Keys(dict):
-    """64-bit keys of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The keys of a text's tokens: its words in lower case, then the end."""
-        words = text.encode().translate(_LOWER).split() if text else []
-        out = np.empty(len(words) + 1, U)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), U, len(words))
-        out[-1] = END
-        return out
-
-
-def grams(tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """The keys of a text's n-grams by n, up to the order: each token's, then that of each token with the one before it (the end stands
-    before the first), then with the two before it from the second token on, and so on."""
-    out, before = [tokens], np.concatenate([[END], tokens])
+def grams(tokens: np.ndarray, starts: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By n: the key of the n-gram that ends at each token, and whether there is one. The end before a text's first word is no gram by itself."""
+    place = np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
+    out, key = [(tokens, place >= 1)], tokens
     for n in range(2, order + 1):
-        before = mix(mix(before[:-1]) + tokens[n - 2 :])
-        out.append(before)
+        key = np.concatenate([key[:1], mix(mix(key[:-1]) + tokens[1:])])
+        out.append((key >> U(64 - bits), place >= n - 1))
     return out
 
 
-def tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and how many of each are trained."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return keys[new], np.add.reduceat(trained[order].astype(np.int64), np.flatnonzero(new)) if len(keys) else np.zeros(0, np.int64)
-
-
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted keys go over from one bucket to the next; each bucket has a range of keys."""
-    edges = [(1 << 64) * b // buckets for b in range(1, buckets)]
-    return np.searchsorted(keys, np.array(edges, U))
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first and the differences, of as many bytes each as the largest needs; the first byte says how many."""
-    step = np.diff(keys)
-    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
-    return bytes([width]) + keys[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    if len(data) < 9:
-        return np.zeros(0, U)
-    step = np.zeros((1 + (len(data) - 9) // data[0], 8), np.uint8)
-    step[0] = np.frombuffer(data, np.uint8, 8, 1)
-    step[1:, : data[0]] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
-    return np.cumsum(step.view(U).ravel(), dtype=U)
-
-
+@tidy
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns block, doc_id, held_out, text: a row for each block with its documents compressed."""
     for batch in batches:
         for part in slices(batch, 3, PACK_BYTES):
-            order = np.argsort(part.column(0).to_numpy(), kind="stable")
-            blocks = part.column(0).to_numpy()[order]
+            part = part.take(pa.array(np.argsort(part.column(0).to_numpy(), kind="stable")))
+            blocks = part.column(0).to_numpy()
             ends = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            columns = part.take(pa.array(order)).to_pydict()
+            ids, held = part.column(1).to_pylist(), part.column(2).to_pylist()
             rows = []
             for a, b in zip(ends[:-1], ends[1:], strict=True):
-                rows.append(zstandard.compress(pickle.dumps([columns[c][a:b] for c in ("doc_id", "held_out", "text")]), 3))
+                data, bounds = utf8(part.column(3).slice(a, b - a))
+                rows.append(zstandard.compress(pickle.dumps((ids[a:b], held[a:b], bounds, data.tobytes())), 3))
             yield pa.RecordBatch.from_arrays([pa.array(blocks[ends[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["block", "texts"])
 
 
-def _texts(pdf: pd.DataFrame) -> tuple[list, list, list]:
-    """doc_id, held_out and text of a block's documents, in an order that is the same each time."""
-    ids, held, texts = [], [], []
+def _tokens(pdf: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id and held_out of a block's documents, their tokens and where each one's begin, in an order that is the same each time."""
+    ids, held, streams, lengths = [], [], [], []
     for x in sorted(pdf["texts"]):
-        i, h, t = pickle.loads(zstandard.decompress(x))
-        ids, held, texts = ids + i, held + h, texts + t
-    return ids, held, texts
+        i, h, bounds, data = pickle.loads(zstandard.decompress(x))
+        tokens, starts = stream(np.frombuffer(data, np.uint8), bounds)
+        ids, held = ids + i, held + h
+        streams.append(tokens)
+        lengths.append(np.diff(starts))
+    return ids, np.array(held, bool), np.concatenate(streams), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
 
 
 class Automaton:
-    """The part of the model that some documents reach: by n, the sorted keys and their counts in the training texts."""
-
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], total: int, distinct: int, mu: float):
-        self.keys, self.counts, self.mu = keys, counts, mu
-        self.root = (counts[0] + 1) / (total + distinct + 1)
-        self.log_root = np.log10(self.root)
-
-    def traverse(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: the log10 weight in the state it meets, by its arc or by failure arcs down to one; the root's; its count."""
-        at = np.searchsorted(self.keys[0], tokens)
-        base, count = self.log_root[at], self.counts[0][at]
-        out, weight = base.copy(), self.root[at]
-        history = np.concatenate([self.counts[0][np.searchsorted(self.keys[0], [END])], count])
-        for n, (own, counts) in enumerate(zip(self.keys[1:], self.counts[1:], strict=True), 2):
-            arc, history = counts[np.searchsorted(own, grams(tokens, n)[-1])], history[:-1]
-            known, to = arc > 0, slice(n - 2, None)
-            weight[to] = (arc + self.mu * weight[to]) / (history + self.mu)
-            out[to] = np.where(known, np.log10(weight[to]), np.log10(self.mu / (history + self.mu)) + out[to])
-            history = arc
-        return out, base, count
-
-    def score(self, tokens: np.ndarray) -> tuple[float, float, int]:
-        """Of one document: the log10 probability by the automaton, that by the root alone, and the tokens that training has."""
-        out, base, count = self.traverse(tokens)
-        return float(out.sum()), float(base.sum()), int((count > 0).sum())
+    """The part of the model that some documents reach. State 0 is the root; the others are histories, by length and number.
 
+    index: by n, of each token of the documents the number of the n-gram that ends there (-1: none). counts: by n and number, the
+    n-gram's count in the training texts. total, distinct: tokens of the training texts.
+    """
 
-def _all_grams(tokens: list[np.ndarray], order: int) -> list[np.ndarray]:
-    """The keys of all texts, by n."""
-    return [np.concatenate(x) for x in zip(*(grams(t, order) for t in tokens), strict=True)]
+    def __init__(self, index: list[np.ndarray], counts: list[np.ndarray], total: int, distinct: int, mu: float):
+        order, sizes = len(counts), [len(c) for c in counts]
+        base = np.cumsum([1, *sizes])
+        weight = (counts[0] + 1) / (total + distinct + 1)
+        self.words, self.known = sizes[0], counts[0] > 0
+        self.root, self.root_next = np.log10(weight), np.where(self.known & (order > 1), base[0] + np.arange(sizes[0]), 0)
+        histories = np.concatenate([[0], *counts[:-1]])
+        self.fail, self.fail_weight = np.zeros(len(histories), np.int64), np.log10(mu / (histories + mu))
+        codes, weights, nexts = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for n in range(2, order + 1):
+            gram, shorter = index[n - 1], index[n - 2]
+            where = np.flatnonzero(gram >= 0)
+            where = where[np.unique(gram[where], return_index=True)[1]]  # one place of each
+            history, suffix = shorter[where - 1], shorter[where]
+            weight = (counts[n - 1] + mu * weight[suffix]) / (counts[n - 2][history] + mu)
+            to = base[n - 2] + suffix
+            if n < order:
+                self.fail[base[n - 1] : base[n]] = to
+                to = base[n - 1] + np.arange(sizes[n - 1])
+            known = counts[n - 1] > 0
+            codes.append(((base[n - 2] + history) * self.words + index[0][where])[known])
+            weights.append(np.log10(weight)[known])
+            nexts.append(to[known])
+        codes = np.concatenate(codes)
+        by = np.argsort(codes)
+        self.codes, self.weights, self.nexts = codes[by], np.concatenate(weights)[by], np.concatenate(nexts)[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From some states by a word each: the log10 weight of the arcs taken, failure arcs included, and the states reached."""
+        out, to, todo = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        while len(todo):
+            root = to[todo] == 0
+            at = todo[root]
+            out[at] += self.root[word[at]]
+            to[at] = self.root_next[word[at]]
+            todo = todo[~root]
+            if not len(todo):
+                break
+            code = to[todo] * self.words + word[todo]
+            arc = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = self.codes[arc] == code if len(self.codes) else np.zeros(len(todo), bool)
+            at, arc = todo[hit], arc[hit]
+            out[at] += self.weights[arc]
+            to[at] = self.nexts[arc]
+            todo = todo[~hit]
+            out[todo] += self.fail_weight[to[todo]]
+            to[todo] = self.fail[to[todo]]
+        return out, to
+
+    def traverse(self, words: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+        """The log10 weight of each token (0 for the ends before the first words). words: numbers of the tokens. starts: of the documents."""
+        out = np.zeros(len(words))
+        pieces = -(-(np.diff(starts) - 1) // STRETCH)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(starts[:-1] + 1, pieces) + nth * STRETCH
+        size = np.minimum(begin + STRETCH, np.repeat(starts[1:], pieces)) - begin
+        by = np.argsort(-size, kind="stable")
+        begin, size, nth = begin[by], size[by], nth[by]
+        state = np.where(nth == 0, self.root_next[words[begin - 1]], 0)  # the end's state, or the root
+        later = np.flatnonzero(nth > 0)
+        for back in range(order - 1, 0, -1):
+            _, state[later] = self.step(state[later], words[begin[later] - back])
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -k))  # stretches of more than k tokens
+            out[begin[:n] + k], state[:n] = self.step(state[:n], words[begin[:n] + k])
+        return out
 
 
-def _ask(buckets: int, order: int):
-    """Of one block: its keys and their trained counts, dealt to the buckets; a row for each bucket, even if empty."""
+def _ask(buckets: int, order: int, bits: int):
+    """Of one block: its keys and their trained counts, dealt to the buckets; no rows for buckets without any."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = Keys()
-        _, held, texts = _texts(pdf)
-        tokens = [keys.of(t) for t in texts]
-        rows = {}
-        for n, k in enumerate(_all_grams(tokens, order), 1):
-            trained = np.repeat(~np.array(held, bool), [len(t) - max(0, n - 2) if len(t) > n - 2 else 0 for t in tokens])
-            own, counts = tally(k, trained)
-            ends = cuts(own, buckets)
-            rows[f"keys_{n}"] = [packed(x) for x in np.split(own, ends)]
-            rows[f"n_{n}"] = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(counts, ends)]
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "bucket": np.arange(buckets, dtype=np.int32), **rows})
+        _, held, tokens, starts = _tokens(pdf)
+        trained = np.repeat(~held, np.diff(starts))
+        columns, some = {}, np.zeros(buckets, bool)
+        for n, (keys, there) in enumerate(grams(tokens, starts, order, bits), 1):
+            own, counts = tally(keys[there], trained[there])
+            ends = cuts(own if n == 1 else own << U(64 - bits), buckets)
+            some |= np.diff(np.concatenate([[0], ends, [len(own)]])) > 0
+            columns[f"keys_{n}"] = [deflated(np.diff(x, prepend=U(0))) for x in np.split(own, ends)]
+            columns[f"n_{n}"] = [deflated(x) for x in np.split(counts, ends)]
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "bucket": np.arange(buckets, dtype=np.int32), **columns})[some]
 
     return run
 
 
 def _answer(order: int):
-    """Of one bucket: each block gets the totals of its keys, and the bucket's tokens and distinct trained tokens."""
+    """Of one bucket: each block gets the totals of its keys; a row of block -1 has the bucket's tokens and distinct trained tokens."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["block", "bucket"]].copy()
+        out, known = pdf[["block", "bucket"]].copy(), pd.DataFrame()
         for k in range(1, order + 1):
-            keys = [unpacked(x) for x in pdf[f"keys_{k}"]]
-            n = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in pdf[f"n_{k}"]])
-            own, total = tally(np.concatenate(keys), n)
-            out[f"n_{k}"] = [zlib.compress(total[np.searchsorted(own, x)].astype(np.uint64).tobytes(), 1) for x in keys]
+            keys = [np.cumsum(inflated(x), dtype=U) for x in pdf[f"keys_{k}"]]
+            own, total = tally(np.concatenate(keys), np.concatenate([inflated(x) for x in pdf[f"n_{k}"]]))
+            out[f"n_{k}"] = [deflated(total[np.searchsorted(own, x)]) for x in keys]
             if k == 1:
-                tokens, distinct = int(total.sum()), int((total > 0).sum())
-        return out.assign(tokens=tokens, distinct=distinct)
+                known = pd.DataFrame({"block": [-1], "bucket": [pdf["bucket"].iloc[0]], "tokens": [int(total.sum())], "distinct": [int((total > 0).sum())]})
+        return pd.concat([out.assign(tokens=0, distinct=0), known]).astype({"block": "int32", "bucket": "int32"})
 
     return run
 
 
-def _score(mu: float, order: int):
+def _score(mu: float, order: int, bits: int, total: int, distinct: int):
     """Of one block: its documents and the answers, which are in the order of the keys."""
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys = Keys()
-        ids, held, texts = _texts(docs)
-        tokens = [keys.of(t) for t in texts]
-        answers = answers.sort_values("bucket")
-        own, counts = [], []
-        for n, k in enumerate(_all_grams(tokens, order), 1):
-            own.append(np.unique(k))
-            counts.append(np.concatenate([np.frombuffer(zlib.decompress(x), np.uint64) for x in answers[f"n_{n}"]]).astype(np.int64))
-        total, distinct = int(answers["tokens"].sum()), int(answers["distinct"].sum())
-        model = Automaton(own, counts, total, distinct, mu)
-        scored = [model.score(t) for t in tokens]
+        ids, held, tokens, starts = _tokens(docs)
+        answers, index, counts = answers.sort_values("bucket"), [], []
+        for n, (keys, there) in enumerate(grams(tokens, starts, order, bits), 1):
+            own = np.unique(keys[there])
+            index.append(np.where(there | (n == 1), np.searchsorted(own, keys), -1))  # the end before a text is one after another
+            counts.append(np.concatenate([inflated(x) for x in answers[f"n_{n}"]]).astype(np.int64))
+        model = Automaton(index, counts, total, distinct, mu)
+        taken = model.traverse(index[0], starts, order)
+        base, known = model.root[index[0]], model.known[index[0]].astype(np.int64)
+        base[starts[:-1]], known[starts[:-1]] = 0, 0
+        added = [np.add.reduceat(x, starts[:-1]) for x in (known, base, taken)]
         return pd.DataFrame(
             {
                 "doc_id": pd.array(ids, "Int64"),
                 "held_out": held,
-                "n_tokens": [len(t) for t in tokens],
-                "n_known": [s[2] for s in scored],
+                "n_tokens": np.diff(starts) - 1,
+                "n_known": added[0],
                 "train_tokens": total,
-                "base_score": [s[1] for s in scored],
-                "score": [s[0] for s in scored],
+                "base_score": added[1],
+                "score": added[2],
             }
         )
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, text: str = "text", mu: float = MU, order: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, text: str = "text", mu: float = MU, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (root alone) and score of each row of docs.
 
     The model is learnt from all rows that aren't held out (null counts as held out). Null and empty texts are the end token alone.
     Rows stay as they are, repeated ones too, and train as often. Without training rows every token has probability 1. An empty table
-    gives an empty table. Words and n-grams are told apart by 64-bit hashes. Logs are of base 10.
-    order: the words of the longest n-grams, 1 at least.
+    gives an empty table. Words are told apart by 64-bit hashes and n-grams by shorter ones, whose length grows with the corpus. Logs
+    are of base 10. order: the words of the longest n-grams, 1 at least.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     n = shuffle_partitions(docs.sparkSession)
     blocks, buckets = max(LEAST_BLOCKS, math.ceil(total / BLOCK_BYTES)), max(LEAST_BUCKETS, math.ceil(total / BUCKET_BYTES))
+    bits = min(64, max(LEAST_BITS, SPARE_BITS + total.bit_length()))
     dealt = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), "text"), F.lit(blocks)).cast("int"))
     dealt = dealt.select("block", "doc_id", "held_out", "text").mapInArrow(_pack_texts, "block int, texts binary").repartition(n, "block")
     orders = range(1, order + 1)
-    asked = dealt.groupBy("block").applyInPandas(_ask(buckets, order), "block int, bucket int" + "".join(f", keys_{k} binary, n_{k} binary" for k in orders))
-    answers = "block int, bucket int" + "".join(f", n_{k} binary" for k in orders) + ", tokens long, distinct long"
-    answers = asked.groupBy("bucket").applyInPandas(_answer(order), answers)
-    answers = answers.repartition(n, "block")
+    asked = "block int, bucket int" + "".join(f", keys_{k} binary, n_{k} binary" for k in orders)
+    answered = "block int, bucket int" + "".join(f", n_{k} binary" for k in orders) + ", tokens long, distinct long"
+    answers = dealt.groupBy("block").applyInPandas(_ask(buckets, order, bits), asked).groupBy("bucket").applyInPandas(_answer(order), answered)
+    answers = checkpointed(answers)
+    known = answers.where("block < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
+    answers = answers.where("block >= 0").repartition(n, "block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(mu, order), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(mu, order, bits, known.tokens, known.distinct), schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from contactsheet.llm import common, decontamination, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, queries, quality_classifier, sharding, token_counts, url_filter
+from contactsheet.llm import common, decontamination, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, packing, queries, quality_classifier, sharding, token_counts, url_filter
 from contactsheet.llm import words as words_module
 from contactsheet.llm.components import components
 from contactsheet.llm.fm_index import FMIndex
@@ -179,12 +179,13 @@ def test_lm_scores(spark, docs):
         return (len(t), sum(one[w] > 0 for w in t), n, round(base, 5), round(full, 5))
 
     want = sorted((str(i), h, *scored(t)) for (i, _), (t, h) in zip(rows, tokens, strict=True))
-    got = lm_scoring.score_texts(docs, queries.remainder(7) == 2).collect()
+    got = lm_scoring.score_texts(docs, queries.remainder(7) == 2, order=2).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
 
 
-@pytest.mark.parametrize("order", [1, 3, 4])
-def test_lm_scores_of_other_orders(spark, docs, order):
+@pytest.mark.parametrize(("order", "stretch"), [(1, 256), (3, 256), (4, 256), (3, 7), (4, 5)])
+def test_lm_scores_of_other_orders(spark, docs, monkeypatch, order, stretch):
+    monkeypatch.setattr(lm_scoring, "STRETCH", stretch)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
     tokens = [(["</s>", *words(lower(t or "")), "</s>"], held(i)) for i, t in rows]
@@ -209,11 +210,19 @@ def test_lm_scores_of_other_orders(spark, docs, order):
     assert sorted((str(r.doc_id), round(r.score, 5)) for r in got) == want
 
 
-def test_packed_keys_round_trip():
+@pytest.mark.parametrize("texts", [[], [None], [None, ""], ["a"], ["w"] * 30, [f"w{i}" for i in range(40)], ["a b", "c"], ["x " * 3000, "x"]])
+def test_lm_scores_of_small_corpora(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for held in (F.lit(False), F.lit(True), F.col("doc_id") % 2 == 0):
+        got = {r.doc_id: r for r in lm_scoring.score_texts(docs, held).collect()}
+        assert sorted(got) == list(range(len(texts))) and all(math.isfinite(r.score) and r.score <= 1e-9 for r in got.values())
+        assert all(got[i].n_tokens == len(words(t or "")) + 1 for i, t in enumerate(texts))
+
+
+def test_packed_numbers_round_trip():
     rng = np.random.default_rng(2)
-    for n in (0, 1, 5, 3000):
-        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        assert (lm_scoring.unpacked(lm_scoring.packed(keys)) == keys).all()
+    for x in (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (0, 1, 5, 3000)):
+        assert (packing.inflated(packing.deflated(x)) == x).all() and (packing.inflated(packing.deflated(x >> np.uint64(50))) == x >> np.uint64(50)).all()
 
 
 def test_word_hashes():
