@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed, shuffle_partitions, slices, tidy
+from contactsheet.llm.common import shuffle_partitions, slices, tidy
 from contactsheet.llm.packing import cuts, deflated, inflated, tally
 from contactsheet.llm.words import LOWER, hashes, mix, spans, utf8
 
@@ -111,8 +111,8 @@ class Automaton:
         codes, weights, nexts = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
         for n in range(2, order + 1):
             gram, shorter = index[n - 1], index[n - 2]
-            where = np.flatnonzero(gram >= 0)
-            where = where[np.unique(gram[where], return_index=True)[1]]  # one place of each
+            there, where = np.flatnonzero(gram >= 0), np.zeros(sizes[n - 1], np.int64)
+            where[gram[there]] = there  # one place of each
             history, suffix = shorter[where - 1], shorter[where]
             weight = (counts[n - 1] + mu * weight[suffix]) / (counts[n - 2][history] + mu)
             to = base[n - 2] + suffix
@@ -187,31 +187,42 @@ def _ask(buckets: int, order: int, bits: int):
 
 
 def _answer(order: int):
-    """Of one bucket: each block gets the totals of its keys; a row of block -1 has the bucket's tokens and distinct trained tokens."""
+    """Of one bucket: each block gets the totals of its keys."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, known = pdf[["block", "bucket"]].copy(), pd.DataFrame()
+        out = pdf[["block", "bucket"]].copy()
         for k in range(1, order + 1):
-            keys = [np.cumsum(inflated(x), dtype=U) for x in pdf[f"keys_{k}"]]
-            own, total = tally(np.concatenate(keys), np.concatenate([inflated(x) for x in pdf[f"n_{k}"]]))
+            keys, own, total = _totals(pdf, k)
             out[f"n_{k}"] = [deflated(total[np.searchsorted(own, x)]) for x in keys]
-            if k == 1:
-                known = pd.DataFrame({"block": [-1], "bucket": [pdf["bucket"].iloc[0]], "tokens": [int(total.sum())], "distinct": [int((total > 0).sum())]})
-        return pd.concat([out.assign(tokens=0, distinct=0), known]).astype({"block": "int32", "bucket": "int32"})
+        return out
 
     return run
 
 
-def _score(mu: float, order: int, bits: int, total: int, distinct: int):
-    """Of one block: its documents and the answers, which are in the order of the keys."""
+def _totals(pdf: pd.DataFrame, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of one bucket: each block's keys of n-grams, the distinct ones, and their trained counts."""
+    keys = [np.cumsum(inflated(x), dtype=U) for x in pdf[f"keys_{n}"]]
+    return keys, *tally(np.concatenate(keys), np.concatenate([inflated(x) for x in pdf[f"n_{n}"]]))
+
+
+def _known(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: its trained tokens, and how many are distinct."""
+    _, _, total = _totals(pdf, 1)
+    return pd.DataFrame({"tokens": [int(total.sum())], "distinct": [int((total > 0).sum())]})
+
+
+def _score(mu: float, order: int, bits: int):
+    """Of one block: its documents and the answers, which are in the order of the keys and have the training texts' tokens and distinct ones."""
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         ids, held, tokens, starts = _tokens(docs)
         answers, index, counts = answers.sort_values("bucket"), [], []
         for n, (keys, there) in enumerate(grams(tokens, starts, order, bits), 1):
-            own = np.unique(keys[there])
-            index.append(np.where(there | (n == 1), np.searchsorted(own, keys), -1))  # the end before a text is one after another
+            own, number = np.unique(keys[there], return_inverse=True)
+            index.append(np.full(len(keys), np.searchsorted(own, END) if n == 1 else -1))  # the end before a text is an end
+            index[-1][there] = number
             counts.append(np.concatenate([inflated(x) for x in answers[f"n_{n}"]]).astype(np.int64))
+        total, distinct = int(answers["tokens"].iloc[0]), int(answers["distinct"].iloc[0])
         model = Automaton(index, counts, total, distinct, mu)
         taken = model.traverse(index[0], starts, order)
         base, known = model.root[index[0]], model.known[index[0]].astype(np.int64)
@@ -249,10 +260,10 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", mu: float
     dealt = dealt.select("block", "doc_id", "held_out", "text").mapInArrow(_pack_texts, "block int, texts binary").repartition(n, "block")
     orders = range(1, order + 1)
     asked = "block int, bucket int" + "".join(f", keys_{k} binary, n_{k} binary" for k in orders)
-    answered = "block int, bucket int" + "".join(f", n_{k} binary" for k in orders) + ", tokens long, distinct long"
-    answers = dealt.groupBy("block").applyInPandas(_ask(buckets, order, bits), asked).groupBy("bucket").applyInPandas(_answer(order), answered)
-    answers = checkpointed(answers)
-    known = answers.where("block < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
-    answers = answers.where("block >= 0").repartition(n, "block")
+    asked = dealt.groupBy("block").applyInPandas(_ask(buckets, order, bits), asked)
+    answers = asked.groupBy("bucket").applyInPandas(_answer(order), "block int, bucket int" + "".join(f", n_{k} binary" for k in orders))
+    # The totals come from the same shuffle as the answers, in one query: it is read twice and made once.
+    known = asked.groupBy("bucket").applyInPandas(_known, "tokens long, distinct long").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"))
+    answers = answers.crossJoin(F.broadcast(known)).repartition(n, "block")  # known is one row
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(mu, order, bits, known.tokens, known.distinct), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(mu, order, bits), schema)
