@@ -11,7 +11,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import SPACE, checkpointed, let, small, words
+from contactsheet.llm.common import SPACE, checkpointed, fresh, let, small, words
 
 WINDOW = 8
 #: A host fails a rule when its shrunk rate is above this; its documents then go.
@@ -105,13 +105,13 @@ def host_verdicts(judged: DataFrame, host: Column, max_rate: float = MAX_RATE, m
 
 def join_verdicts(judged: DataFrame, verdicts: DataFrame, host: Column) -> DataFrame:
     """judged with host_ok of its host. Few verdicts are broadcast; many are copied to each salt of the documents, so that a hot host is split."""
-    ours = verdicts.select(F.col("host").alias("host_of_verdict"), "host_ok")
+    of, salt, copy = (fresh(x, judged) for x in ("host_of_verdict", "salt_of_row", "salt_of_host"))
+    ours = verdicts.select(F.col("host").alias(of), "host_ok")
     if small(ours, BROADCAST_HOSTS):
-        return judged.join(F.broadcast(ours), host.eqNullSafe(F.col("host_of_verdict")), "left").drop("host_of_verdict")
-    salted = judged.withColumn("salt_of_row", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-    copies = ours.withColumn("salt_of_host", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    on = host.eqNullSafe(F.col("host_of_verdict")) & (F.col("salt_of_row") == F.col("salt_of_host"))
-    return salted.join(copies, on, "left").drop("host_of_verdict", "salt_of_row", "salt_of_host")
+        return judged.join(F.broadcast(ours), host.eqNullSafe(F.col(of)), "left").drop(of)
+    salted = judged.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+    copies = ours.withColumn(copy, F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return salted.join(copies, host.eqNullSafe(F.col(of)) & (F.col(salt) == F.col(copy)), "left").drop(of, salt, copy)
 
 
 def host_rules(docs: DataFrame, host: Column | None = None, max_rate: float = MAX_RATE, mixed: bool = False) -> DataFrame:

@@ -49,9 +49,9 @@ def targets(units: DataFrame, weights: list[int], share: float, most: float) ->
     by = ranged.join(F.broadcast(starts), "range").withColumn("weight", weight).drop("range", "start")
     by = checkpointed(by)
     total = by.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first().n * share
-    # The water level: target = min(most * size, level * weight). Each pass fixes the sources that are full at the level so far.
+    # The water level: target = min(most * size, level * weight), with the sources fixed that are full at the level so far.
     level = 0.0
-    for _ in range(200):
+    while True:  # each pass fixes a source more, at least
         full = F.col("weight") * level >= most * F.col("source_size")
         r = by.agg(
             F.coalesce(F.sum(F.when(full, most * F.col("source_size"))), F.lit(0.0)).alias("held"),

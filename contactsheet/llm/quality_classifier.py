@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed, small
+from contactsheet.llm.common import checkpointed, small, tidy
 
 #: Hashed n-grams; rows of the sample that the model is fit on, and how many of these set the curve.
 DIMENSIONS, SAMPLE, CURVE_SHARE = 1 << 20, 12_000, 0.2
-#: Counts are handed on in so many parts.
+#: Counts come to the driver in so many parts.
 PARTS = 64
 ALPHA, COST, EPOCHS, LEAST_DOCS = 1.0, 1.0, 12, 3
 #: Labels of at most this many rows are broadcast, 16 bytes each.
@@ -140,21 +140,24 @@ def curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 and np.isfinite([a, b]).all() else (1.0, 0.0)
 
 
+@tidy
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text and label: of each n-gram of the task's texts, how many good and bad ones have it."""
     features, n = Features(), np.zeros((2, DIMENSIONS), np.uint32)
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             n[int(label == 1), features.of(text)] += 1
-    if n.any():
-        bad, good = (np.split(x, PARTS) for x in n)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (good, bad))], names=["part", "good", "bad"])
+    for some in np.array_split(np.flatnonzero(n.any(axis=0)), 16):
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(n[k, some].astype(np.int64)) for k in (1, 0))], names=["feature", "good", "bad"])
 
 
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = [np.sum([np.frombuffer(x, np.uint32) for x in pdf[c]], axis=0, dtype=np.float64).tobytes() for c in ("good", "bad")]
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "good": [total[0]], "bad": [total[1]]})
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of the n-grams: all as arrays."""
+    return pd.DataFrame({k: [pdf[k].to_numpy(np.int64).tobytes()] for k in ("feature", "good", "bad")})
 
 
+@tidy
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
     for batch in batches:
@@ -163,20 +166,25 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: doc_id, text, label (0 or 1). sample: rows, at most, that the hinge model and the curve are fit on; the ratios take all.
+    """labelled: doc_id, text, label (0 or 1). sample: rows, at most, that the hinge model and the curve are fit on (rows that repeat both
+    doc_id and text are one there); the ratios take all.
 
     Without rows, or with one label only, the ratios and so the scores say nothing: they are 0.5 or close.
     """
-    counts = labelled.select("text", "label").mapInArrow(_counts, "part int, good binary, bad binary")
-    parts = counts.groupBy("part").applyInPandas(_added, "part int, good binary, bad binary").orderBy("part").collect()
+    counts = labelled.select("text", "label").mapInArrow(_counts, "feature int, good long, bad long")
+    counts = counts.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))  # DIMENSIONS rows, at most
+    parts = counts.groupBy(F.pmod("feature", F.lit(PARTS))).applyInPandas(_packed, "feature binary, good binary, bad binary").collect()
     if not parts:
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32), 0.0, 1.0, 0.0)
-    good, bad = (np.concatenate([np.frombuffer(r[c], np.float64) for r in parts]) for c in ("good", "bad"))
+    good, bad = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    for r in parts:
+        at = np.frombuffer(r.feature, np.int64)
+        good[at], bad[at] = np.frombuffer(r.good, np.int64), np.frombuffer(r.bad, np.int64)
     ratio = ratios(good, bad)
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    ids = labelled.select("doc_id", order.alias("order")).orderBy("order").limit(sample)
-    ids = checkpointed(ids)  # a bounded number of ids
-    chosen = labelled.join(F.broadcast(ids), "doc_id").select("text", "label", "order")
+    keyed = labelled.withColumn("key", F.xxhash64("text"))
+    ids = keyed.select("doc_id", "key").distinct().withColumn("order", F.xxhash64(F.lit("sample"), "doc_id", "key")).orderBy("order", "doc_id", "key").limit(sample)
+    ids = checkpointed(ids)  # a bounded number of ids; rows that repeat one with its text count once
+    chosen = keyed.join(F.broadcast(ids), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("text", "label", "order")
     fitted = chosen.mapInArrow(_rows, "features binary, label int, order long").repartition(1)
     return _unpack(ratio, fitted.mapInPandas(_fit_on(ratio), "weight binary, bias double, slope double, shift double").first())
 
@@ -215,6 +223,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int =
     model = fit(ours.where(~F.col("held_out")).join(known, "doc_id").select("doc_id", "text", "label"), sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:

@@ -3,7 +3,8 @@
 Groups are the rows of equal texts. Packing goes in two steps, so that no task holds all of them. First each partition of the
 groups, by decreasing size, fills small bins of one fixed capacity, the bundles; their number doesn't grow with the rows. Then the
 bundles fill the shards. Both steps put an item into the tightest bin that still takes it, found in a balanced tree of the bins'
-remaining capacities. The shards' capacity is the least at which the bundles need no more than the shards asked for.
+remaining capacities. The shards' capacity is the least at which the bundles need no more than the shards asked for; a group that is
+larger than its fair share has a shard of its own, and the others share the rest evenly.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactsheet.llm.common import checkpointed, shuffle_partitions
 
 #: Bundles that would fill a shard, at least; groups that one task packs, at most on average.
 BUNDLES, TASK_GROUPS = 256, 1_000_000
-#: A group with more than this share of all rows is numbered in pieces, so that no task gets it whole. There are fewer than 1 / share.
+#: A group with more than this share of all rows gets its shard by a broadcast, not by a shuffle to one task. There are fewer than 1 / share.
 HOT_SHARE, HOT_ROWS = 1 / 2000, 64
 
 
@@ -90,16 +92,24 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """The bin of each item at the least capacity that needs no more than so many bins; an item over that capacity stands alone."""
-    if not sizes:
-        return []
-    low, high = max(1, math.ceil(sum(sizes) / shards)), max(sum(sizes), 1)
+    """The bin of each item at the least capacity that needs no more than so many bins. An item over its fair share of what isn't placed
+    yet, of the largest first, has a bin of its own."""
+    out, rest = [0] * len(sizes), sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    left, own = sum(sizes), 0
+    while rest and own < shards - 1 and sizes[rest[0]] * (shards - own) > left:
+        out[rest[0]] = own
+        left, own, rest = left - sizes[rest[0]], own + 1, rest[1:]
+    if not rest:
+        return out
+    low, bins = max(1, math.ceil(left / (shards - own))), None
     # From the mean on, the capacity grows by thousandths: best fit isn't monotone, so the first that fits is taken, not the middle.
-    step, capacity = max(1, low // 2000), low
-    while capacity < high and max(out := pack(sizes, capacity)) >= shards:
+    step, capacity, mine = max(1, low // 2000), low, [sizes[i] for i in rest]
+    while capacity < left and max(bins := pack(mine, capacity)) >= shards - own:
         capacity += step
         step = max(step, (capacity - low) // 8)
-    return out if capacity < high else pack(sizes, high)
+    for i, b in zip(rest, bins if bins and capacity < left else pack(mine, max(left, 1)), strict=True):
+        out[i] = own + b
+    return out
 
 
 def _per_part(capacity: int):
@@ -117,12 +127,34 @@ def _per_part(capacity: int):
     return run
 
 
+def _numbered(first: dict[tuple[int, int], int]):
+    """Adds each row's slot: rows are sorted by shard in each range; first: the slot of the first row of a shard in a range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            shard, at = batch.column(names.index("shard")).to_numpy(), batch.column(names.index("range"))[0].as_py()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+            slots = np.empty(len(shard), np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                key = (at, int(shard[a]))
+                start = used.get(key, first[key])
+                slots[a:b] = np.arange(start, start + b - a)
+                used[key] = start + b - a
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots)], names=[*names, "slot"])
+
+    return run
+
+
 def shard(docs: DataFrame, shards: int = 8, text: str = "text", bundles: int = BUNDLES) -> DataFrame:
     """docs' doc_id with size long (UTF-8 bytes of the text and one), text_crc32, law, shard int, slot long and grown_shard (null).
 
-    Rows of equal texts (null and empty are two texts) go to one shard, unless their group alone is larger than a shard's mean: then it
-    is cut into pieces of a bundle. Slots count from 0 in each shard without gaps. Repeated rows each get a slot; null doc_ids come
-    first. The result is the same at every run up to the order of wholly equal rows. An empty table gives an empty table.
+    Rows of equal texts (null and empty are two texts) go to one shard, whatever their number. Slots count from 0 in each shard without
+    gaps, by doc_id, null ones first, then by text. Repeated rows each get a slot. The result is the same at every run up to the order
+    of wholly equal rows. An empty table gives an empty table. Other columns of docs are left out.
     """
     spark = docs.sparkSession
     body = F.col(text)
@@ -135,40 +167,27 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", bundles: int = B
     rows = checkpointed(rows)
     groups = checkpointed(rows.groupBy("same").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")))
     total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("groups")).first()
-    mean = max(1, math.ceil(total.bytes / shards))
-    capacity = max(1, math.ceil(mean / bundles))
-    # A large group is a bundle of its own; so that none lands in one task, its rows are dealt to pieces by their id.
-    hot_rows = max(HOT_ROWS, math.ceil(total.rows * HOT_SHARE))
-    hot = {bytes(g.same): (g.rows, g.bytes) for g in groups.where(F.col("rows") > hot_rows).toLocalIterator()}  # fewer than 1 / HOT_SHARE
-    pieces_of = {k: max(math.ceil(n / hot_rows), math.ceil(b / capacity) if b > mean else 1) for k, (n, b) in hot.items()}
-    table = spark.createDataFrame([(bytearray(k), n) for k, n in sorted(pieces_of.items())], "same binary, pieces int")
-    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), "pieces").cast("int")).otherwise(0)
-    rows = rows.join(F.broadcast(table), "same", "left").withColumn("piece", piece).drop("pieces")
-    cut = rows.groupBy("same", "piece").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+    capacity = max(1, math.ceil(total.bytes / shards / bundles))
     parts = max(1, min(shuffle_partitions(spark), math.ceil(total.groups / 64)), math.ceil(total.groups / TASK_GROUPS))
-    cut = cut.join(F.broadcast(table), "same", "left")
-    cold = cut.where("pieces IS NULL").drop("pieces").withColumn("part", F.pmod(F.xxhash64("same"), F.lit(parts)).cast("int"))
-    cold = cold.repartition(parts, "part")
-    cold = cold.sortWithinPartitions("part", F.desc("bytes"), "same")
-    schema = cold.withColumn("bin", F.lit(0).cast("long")).schema
-    packed = cold.mapInArrow(_per_part(capacity), schema).select("same", "piece", "rows", "bytes", F.concat_ws(":", "part", "bin").alias("bundle"))
-    whole = cut.where("pieces IS NOT NULL").select("same", "piece", "rows", "bytes", F.concat_ws("/", F.hex("same"), "piece").alias("bundle"))
-    placed = checkpointed(packed.unionByName(whole))
-    items = placed.groupBy("bundle").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.first("same").alias("same")).orderBy("bundle").collect()
-    # What must stay together is one item: a bundle, or all pieces of a large group, or each piece of a group larger than a shard.
-    together: dict[str, list] = {}
-    for r in items:
-        key = bytes(r.same)
-        together.setdefault(r.bundle if "/" not in r.bundle or hot[key][1] > mean else r.bundle.partition("/")[0] + "/", []).append(r)
-    bins = pack_into([sum(r.bytes for r in x) for x in together.values()], shards)
-    used, placed_at = [0] * shards, []
-    for at, members in zip(bins, together.values(), strict=True):
-        for r in members:
-            placed_at.append((r.bundle, at, used[at]))
-            used[at] += r.rows
-    where = spark.createDataFrame(placed_at, "bundle string, shard int, first_slot long")
-    where = placed.select("same", "piece", "bundle").join(F.broadcast(where), "bundle")
-    order = Window.partitionBy("bundle").orderBy(F.col("doc_id").asc_nulls_first(), "same")
-    slot = (F.col("first_slot") + F.row_number().over(order) - 1).cast("long")
-    out = rows.join(where, ["same", "piece"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    dealt = groups.withColumn("part", F.pmod(F.xxhash64("same"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    dealt = dealt.sortWithinPartitions("part", F.desc("bytes"), "same")
+    schema = dealt.withColumn("bin", F.lit(0).cast("long")).schema
+    placed = checkpointed(dealt.mapInArrow(_per_part(capacity), schema).select("same", "rows", "bytes", F.concat_ws(":", "part", "bin").alias("bundle")))
+    items = placed.groupBy("bundle").agg(F.sum("bytes").alias("bytes")).orderBy("bundle").collect()  # about bundles * shards, at most parts more
+    bins = pack_into([r.bytes for r in items], shards)
+    where = spark.createDataFrame([(r.bundle, b) for r, b in zip(items, bins, strict=True)], "bundle string, shard int")
+    placed = placed.join(F.broadcast(where), "bundle").select("same", "rows", "shard")
+    hot_rows = max(HOT_ROWS, math.ceil(total.rows * HOT_SHARE))
+    hot = placed.where(F.col("rows") > hot_rows).select("same", "shard")
+    others = rows.join(F.broadcast(hot.select("same")), "same", "left_anti").join(placed.where(F.col("rows") <= hot_rows).select("same", "shard"), "same")
+    put = rows.join(F.broadcast(hot), "same").unionByName(others)
+    # Slots: rows are put in order by ranges, whose rows are counted by shard; wholly equal rows may be in several ranges.
+    order = [F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("same")]
+    ranged = put.withColumn("of", F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *order, F.col("of"))
+    ranged = checkpointed(ranged.sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("range")))
+    first, used = {}, [0] * shards
+    for r in ranged.groupBy("range", "shard").count().orderBy("range", "shard").collect():  # ranges * shards, at most
+        first[r["range"], r["shard"]] = used[r["shard"]]
+        used[r["shard"]] += r["count"]
+    out = ranged.mapInArrow(_numbered(first), ranged.withColumn("slot", F.lit(0).cast("long")).schema)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

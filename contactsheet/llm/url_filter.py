@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed
+from contactsheet.llm.common import checkpointed, fresh
 
-#: Bits of one filter at most, 8 MB. Longer lists are looked up by a join.
-MAX_BITS = 1 << 26
+#: Bits of one filter at most, 8 MB. The keys of longer lists are dealt by their hash to several cascades, of which so many are broadcast at once.
+MAX_BITS, PASS_CASCADES = 1 << 26, 8
 #: Bits a key for the first filter and for the others.
 FIRST_BITS, OTHER_BITS = 10, 4
 MAX_LEVELS = 40
@@ -80,7 +80,7 @@ def _filter_of(keys: DataFrame, level: int, size: int, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(words, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(size // 8, np.uint8)
-    for row in keys.coalesce(8).mapInArrow(bitmaps, "bits binary").toLocalIterator():
+    for row in keys.repartition(8).mapInArrow(bitmaps, "bits binary").toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return out
 
@@ -93,8 +93,8 @@ def _taken(cascade: Cascade, level: int):
     return taken
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade | None:
-    """A cascade that is exact for every key of the universe and of the list; None if its filters would be too large to broadcast.
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """A cascade that is exact for every key of the universe and of the list.
 
     listed, universe: columns h1, h2 of hashed(). Keys with null hashes don't occur; either table may be empty or repeat keys.
     """
@@ -108,8 +108,6 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BI
             return cascade
         per_key = OTHER_BITS if level else FIRST_BITS
         size = max(64, math.ceil(n * per_key / 8) * 8)
-        if size > max_bits:
-            return None
         k = max(1, round(per_key * math.log(2)))
         cascade.levels.append((_filter_of(wrong, level, size, k), k))
         taken = _taken(Cascade([*cascade.levels]), level)
@@ -117,6 +115,31 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BI
     raise ValueError("two different keys have equal hashes")
 
 
+def build_cascades(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> list[Cascade]:
+    """Cascades for the keys with h1 of 0, 1, 2 ... modulo their number, which is the least at which no filter has many more than max_bits."""
+    pieces = max(1, math.ceil(listed.select("h1", "h2").distinct().count() * FIRST_BITS / max_bits))
+    mine = lambda df, i: df.where(F.pmod("h1", F.lit(pieces)) == i) if pieces > 1 else df
+    return [build_cascade(mine(listed, i), mine(universe, i)) for i in range(pieces)]
+
+
+def _kept(cascades: dict[int, object], pieces: int):
+    """Of arrays of keys' hashes: which keys are listed, or of a piece that isn't among these cascades (broadcasts, by piece)."""
+
+    @F.pandas_udf("array<boolean>")
+    def kept(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        ends = np.cumsum([0, *map(len, h1)])
+        if not ends[-1]:
+            return pd.Series([np.zeros(0, bool)] * len(h1))
+        one, two, out = np.concatenate(h1.to_list()).astype(np.int64), np.concatenate(h2.to_list()).astype(np.int64), np.ones(ends[-1], bool)
+        piece = one % pieces
+        for number, shared in cascades.items():
+            at = np.flatnonzero(piece == number)
+            out[at] = shared.value.listed(one[at], two[at])
+        return pd.Series([out[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+
+    return kept
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host, with A to Z lower-cased, and path; both empty if the url is null or has no ://."""
     url = F.coalesce(url, F.lit(""))
@@ -130,12 +153,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed_hosts: DataFrame, url
     """pages with host, path, rule (host and path of the longest rule that fits, else null) and verdict.
 
     Where no rule fits, the verdict is block if the host or a domain above it is in listed_hosts (a column host), else allow. Null
-    urls have an empty host and path. Rows stay as they are, repeated ones too; columns of these names in pages are replaced.
-    Of a host only the ends with as many labels as some listed host are looked up, and of a path only as long starts as some rule
-    has: no other key can be listed.
+    urls have an empty host and path. Rows stay as they are, repeated ones too; columns of these names in pages are replaced. An empty
+    table gives an empty table. Of a host only the ends with as many labels as some listed host are looked up, and of a path only as
+    long starts as some rule has: no other key can be listed. A list of more than max_bits of filter is several cascades, and of more
+    than PASS_CASCADES of these the keys are looked up in several passes; no join at any length.
     """
     host, path = split_url(F.col(url))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    keys_of, kept_of = fresh("keys_of", pages), fresh("kept_of", pages)
     listed_hosts = listed_hosts.select(F.translate("host", UPPER, LOWER).alias("host")).where("host <> ''")
     depths = sorted({r.host.count(".") + 1 for r in rules})
     listed_depths = sorted(r.n for r in listed_hosts.select(F.size(F.split("host", r"\.")).alias("n")).distinct().collect())
@@ -150,47 +175,22 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed_hosts: DataFrame, url
     ]
     of_lists = [F.when(~blank & (labels >= n), F.struct(F.lit("listed").alias("tag"), end(n).alias("key"))) for n in listed_depths]
     none = F.lit(None).cast("struct<tag:string,key:string>")
-    keyed = pages.withColumn("keys_of", F.array_compact(F.array(*of_rules, *of_lists, none)))
+    hits = pages.withColumn(keys_of, F.array_compact(F.array(*of_rules, *of_lists, none)))
     tagged = lambda k: F.concat(k["tag"], F.lit("|"), k["key"])
     spark = pages.sparkSession
     rows = [(r.verdict, r.host.translate(str.maketrans(UPPER, LOWER)) + r.path) for r in rules]
     listed = spark.createDataFrame(rows, "tag string, key string").unionByName(listed_hosts.select(F.lit("listed").alias("tag"), F.col("host").alias("key")))
     listed = listed.select(F.concat("tag", F.lit("|"), "key").alias("key")).distinct()
-    universe = keyed.select(F.explode("keys_of").alias("k")).select(tagged(F.col("k")).alias("key"))
-    cascade = build_cascade(listed.select(*hashed(F.col("key"))), universe.select(*hashed(F.col("key"))), max_bits)
-    if cascade is None:
-        return _by_join(keyed, listed, tagged)
-    shared = spark.sparkContext.broadcast(cascade)
-
-    @F.pandas_udf("array<boolean>")
-    def found(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        ends = np.cumsum([0, *map(len, h1)])
-        if not ends[-1]:
-            return pd.Series([np.zeros(0, bool)] * len(h1))
-        at = shared.value.listed(np.concatenate(h1.to_list()).astype(np.int64), np.concatenate(h2.to_list()).astype(np.int64))
-        return pd.Series([at[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
-
-    hashes = [F.transform("keys_of", lambda k: hashed(tagged(k))[0]), F.transform("keys_of", lambda k: hashed(tagged(k))[1])]
-    hits = keyed.withColumn("found_of", found(*hashes))
-    hits = hits.withColumn("keys_of", F.filter("keys_of", lambda k, i: F.get(F.col("found_of"), i)))
-    return _decided(hits).drop("found_of")
-
-
-def _decided(hits: DataFrame) -> DataFrame:
-    """hits has in keys_of the listed keys of each row."""
-    fits = F.filter("keys_of", lambda k: k["tag"] != "listed")
+    universe = hits.select(F.explode(keys_of).alias("k")).select(tagged(F.col("k")).alias("key"))
+    cascades = build_cascades(listed.select(*hashed(F.col("key"))), universe.select(*hashed(F.col("key"))), max_bits)
+    hashes = [F.transform(keys_of, lambda k: hashed(tagged(k))[0]), F.transform(keys_of, lambda k: hashed(tagged(k))[1])]
+    for first in range(0, len(cascades), PASS_CASCADES):
+        shared = {i: spark.sparkContext.broadcast(c) for i, c in enumerate(cascades[first : first + PASS_CASCADES], first)}
+        hits = hits.withColumn(kept_of, _kept(shared, len(cascades))(*hashes))
+        hits = hits.withColumn(keys_of, F.filter(keys_of, lambda k, i: F.get(F.col(kept_of), i))).drop(kept_of)
+        hits = checkpointed(hits) if first + PASS_CASCADES < len(cascades) else hits
+    fits = F.filter(keys_of, lambda k: k["tag"] != "listed")
     best = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k["key"]).alias("n"), k["key"].alias("key"), k["tag"].alias("tag"))))
-    other = F.when(F.exists("keys_of", lambda k: k["tag"] == "listed"), "block").otherwise("allow")
-    hits = hits.withColumn("best_of", best)
-    return hits.withColumns({"rule": F.col("best_of.key"), "verdict": F.coalesce("best_of.tag", other)}).drop("keys_of", "best_of")
-
-
-def _by_join(keyed: DataFrame, listed: DataFrame, tagged) -> DataFrame:
-    """The way for lists that are too long to broadcast: the universe's listed keys by a join, then each row's."""
-    names = [c for c in keyed.columns if c != "keys_of"]
-    row = keyed.withColumn("row_of", F.struct(*names)).select("row_of", "keys_of").withColumn("id_of", F.monotonically_increasing_id())
-    row = checkpointed(row)
-    pairs = row.select("id_of", F.explode("keys_of").alias("k")).withColumn("key", tagged(F.col("k")))
-    hit = pairs.join(listed, "key", "left_semi").groupBy("id_of").agg(F.collect_list("k").alias("keys_of"))
-    out = row.drop("keys_of").join(hit, "id_of", "left")
-    return _decided(out.select("row_of.*", F.coalesce("keys_of", F.array().cast("array<struct<tag:string,key:string>>")).alias("keys_of")))
+    other = F.when(F.exists(keys_of, lambda k: k["tag"] == "listed"), "block").otherwise("allow")
+    hits = hits.withColumn(kept_of, best)
+    return hits.withColumns({"rule": F.col(f"{kept_of}.key"), "verdict": F.coalesce(f"{kept_of}.tag", other)}).drop(keys_of, kept_of)

@@ -103,10 +103,24 @@ def test_url_filter_against_sql(spark, tables):
     against_sql(tables, "op4_url_filter", got)
 
 
-def test_url_filter_long_lists_are_joined(spark, tables):
-    pages, listed = spark.read.parquet(f"{tables}/pages.parquet"), spark.createDataFrame([("ads-track.example.net",)], "host string")
+def test_url_filter_long_lists_are_several_cascades(spark, tables, monkeypatch):
+    pages, listed = spark.read.parquet(f"{tables}/pages.parquet"), spark.createDataFrame([("ads-track.example.net",), ("x.org",)], "host string")
+    pages = pages.withColumns({c: F.lit(1) for c in ("keys_of", "kept_of", "host", "k", "key", "tag")})
     key = lambda df: sorted((str(tuple(r)) for r in df.select("page_id", "url", "rule", "verdict").collect()))
-    assert key(url_filter.judge_urls(pages, queries.URL_RULES, listed)) == key(url_filter.judge_urls(pages, queries.URL_RULES, listed, max_bits=8))
+    want = key(url_filter.judge_urls(pages, queries.URL_RULES, listed))
+    monkeypatch.setattr(url_filter, "PASS_CASCADES", 2)
+    assert key(url_filter.judge_urls(pages, queries.URL_RULES, listed, max_bits=25)) == want and any("block" in x for x in want)
+
+
+def test_long_list_of_keys(spark):
+    ids = spark.range(0, 4000).select("id", *url_filter.hashed(F.col("id").cast("string")))
+    cascades = url_filter.build_cascades(ids.where("id % 5 = 0"), ids, 3000)
+    rows = ids.toPandas()
+    got = np.zeros(len(rows), bool)
+    for i, cascade in enumerate(cascades):
+        at = rows.h1.to_numpy() % len(cascades) == i
+        got[at] = cascade.listed(rows.h1.to_numpy()[at], rows.h2.to_numpy()[at])
+    assert len(cascades) == 3 and (got == (rows.id % 5 == 0)).all()
 
 
 def test_cascade_is_exact(spark):
@@ -332,6 +346,14 @@ def test_sharding_is_even_with_a_hot_group(spark):
     assert len(n) == 8 and max(n) <= 1.03 * min(n) and all(r.rows == r.top + 1 for r in got)
 
 
+def test_sharding_keeps_a_group_over_the_mean_whole(spark):
+    """4,000 wholly equal rows and 1,000 others: the group has a shard alone and the others share the rest evenly."""
+    docs = spark.range(0, 5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 4000, "abc").otherwise(F.col("id").cast("string")).alias("text"))
+    got = sharding.shard(docs, 8).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots")).collect()
+    n = sorted(r.n for r in got)
+    assert len(n) == 8 and n[-1] == 16_000 and max(n[:-1]) <= 1.06 * min(n[:-1]) and all(r.rows == r.top + 1 == r.slots for r in got)
+
+
 def test_packing():
     rng = random.Random(4)
     tree = sharding.Tree()
@@ -348,7 +370,9 @@ def test_packing():
     bins = sharding.pack(sizes, 100)
     load = np.bincount(bins, sizes)
     assert load.max() <= 100 and len(load) <= math.ceil(sum(sizes) / 100 * 11 / 9) + 1
-    assert max(sharding.pack_into(sizes, 8)) < 8 and sharding.pack_into([], 8) == []
+    assert max(sharding.pack_into(sizes, 8)) < 8 and sharding.pack_into([], 8) == [] and sharding.pack_into([3], 8) == [0] and sharding.pack_into([5, 1, 1], 1) == [0, 0, 0]
+    bins = sharding.pack_into([1000, 10, 10, 500, 10, 10], 4)
+    assert len({bins[0], bins[3], bins[1], bins[2]}) == 4 or bins[0] != bins[3] and len(set(bins)) == 4
 
 
 def test_classifier_learns(spark):
@@ -358,6 +382,25 @@ def test_classifier_learns(spark):
     assert ((got.predicted == got.quality).mean()) > 0.93 and got.score.between(0, 1).all()
 
 
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    """A doc_id that repeats a thousand times is one row of the sample."""
+    rows = [(1, "the same good text here", 1)] * 1000 + [(2, f"text number {i % 3}", 0) for i in range(1000)] + [(i, f"word{i} and more", i % 2) for i in range(3, 60)]
+    seen = []
+    monkeypatch.setattr(quality_classifier, "_fit_on", lambda ratio: lambda frames: (pd.DataFrame({"weight": [ratio.tobytes()], "bias": [float(n)], "slope": [1.0], "shift": [0.0]}) for n in [sum(map(len, frames))]))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    seen = [quality_classifier.fit(labelled, sample).bias for sample in (20, 1000)]
+    assert seen == [20, 1 + 3 + 57]
+
+
+def test_classifier_counts(spark):
+    rows = [(i, t, label) for i, (t, label) in enumerate([("a b", 1), ("a c", 0), ("a b", 1), (None, 0), ("", 1)] * 5)]
+    model = quality_classifier.fit(spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4))
+    good, bad = np.zeros(quality_classifier.DIMENSIONS), np.zeros(quality_classifier.DIMENSIONS)
+    for _, t, label in rows:
+        (good if label else bad)[quality_classifier.Features().of(t)] += 1
+    assert np.allclose(model.ratio, quality_classifier.ratios(good, bad))
+
+
 def test_classifier_edges(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 0), (7, None), (None, 1)], "doc_id long, quality int")
     got = quality_classifier.classify(docs, labels, F.col("doc_id") == 13).collect()
