@@ -49,14 +49,14 @@ def edge_fraction(g: np.ndarray, low: float = 50, high: float = 150) -> float:
 
 
 def frequency_ratio(g: np.ndarray) -> float | None:
-    """High over low magnitudes of the spectrum; None without low energy."""
+    """The sum of the high over that of the low magnitudes of the spectrum; None without low energy."""
     h, w = g.shape
     m = np.abs(np.fft.fftshift(np.fft.fft2(g.astype(float))))
     r = int(0.2 * min(h // 2, w // 2))
     y, x = np.ogrid[:h, :w]
     low = (y - h // 2) ** 2 + (x - w // 2) ** 2 <= r * r
-    total = float(m[low].mean())
-    return float(m[~low].mean()) / total if total > 0 and (~low).any() else None
+    total = float(m[low].sum())
+    return float(m[~low].sum()) / total if total > 0 else None
 
 
 def perceptual_hash(g: np.ndarray) -> int:

@@ -46,10 +46,27 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./]*$", 0))
 
 
+#: Endings of a name that mark an edit, after a hyphen, underscore or space.
+EDIT_MARKS = ["edit", "edited", "edits", "final", "export", "exported", r"v\d+", "hires", "hi-res", "web", "print", "color", "bw", "b&w", "retouched", "enhanced"]
+
+
 def stem(path: Column) -> Column:
-    """The file's name in lower case without extension and edit suffixes; our own rule, as the reference's is not public."""
-    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    return F.lower(F.regexp_replace(name, r"(?i)([-_ ](edit|copy|final|\d{1,2}))+$", ""))
+    """The file's name in lower case without its extension and one edit mark at its end; a name that is nothing but a mark stays."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    base = F.regexp_replace(name, rf"(?i)[-_\s]({'|'.join(EDIT_MARKS)})$", "")
+    return F.lower(F.when(base == "", name).otherwise(base))
+
+
+def unescaped(c: Column) -> Column:
+    """HTML text as it was before escaped(); the ampersand last."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def embedded_json(c: Column) -> Column:
+    """The part of a text from its first opening to its last closing brace, as a model's answer holds JSON; null without one."""
+    return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def caption_issues(caption: Column, hashtags: Column, most: int = 2200, most_tags: int = 30) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: States of jobs that aren't done, and of images that no pass takes up again.
 ACTIVE = ["queued", "running"]
 TERMINAL_PASS1 = ["fail", "duplicate", "raw_review", "missing", "sidecar", "corrupt", "video"]
 
@@ -42,9 +43,10 @@ def bump_plan(requests: DataFrame, jobs: DataFrame, priority: int = 20) -> DataF
     return both.select("image_id", "job_type", F.col("id").alias("job_id"), action.alias("action"))
 
 
-def next_stage(pass1: Column, pass1_at: Column, pass2_at: Column, score: Column, pass3_at: Column, least: float = 6.0) -> Column:
-    """PRJ-08. The stage that an image needs next; null if none."""
-    return F.when(pass1_at.isNull(), "pass1").when(pass1 != "pass", None).when(pass2_at.isNull(), "pass2").when((score >= least) & pass3_at.isNull(), "pass3")
+def next_stage(pass1: Column, pass1_at: Column, pass2_at: Column, pass3_at: Column) -> Column:
+    """PRJ-08. The stage that an image waits for; complete, culled or raw_review if it waits for none."""
+    out = F.when(pass3_at.isNotNull(), "complete").when(pass1_at.isNull(), "pass1").when(pass1 == "fail", "culled").when(pass1 == "raw_review", "raw_review")
+    return out.when(pass2_at.isNull(), "pass2").otherwise("pass3")
 
 
 def fetch_batch(jobs: DataFrame, images: DataFrame, job_type: str, size: int, least_priority: int | None = None, max_attempts: int = 3) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
+from functools import reduce
+from itertools import combinations
+from math import ceil, comb
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,28 +78,40 @@ def windows_in_horizon(seasons: DataFrame, as_of: str, horizon_days: int) -> Dat
 
 
 def schedule_positions(photos: DataFrame, order: list, start: str) -> DataFrame:
-    """JOIN-29. The n-th photo goes to the n-th day of the month of start; what doesn't fit is overflow.
+    """JOIN-29. The n-th photo goes to the n-th day of the month of start; what doesn't fit is overflow and has no position.
 
-    Numbers are given in one window: a month's selection is bounded by what a person picks.
+    Only the first photos, no more than the month has days, are numbered in one window; the rest is no more than told from them.
     """
     first = F.trunc(F.lit(start).cast("date"), "month")
-    days = F.dayofmonth(F.last_day(first))
-    n = photos.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    fits = F.col("position") <= days
-    return n.withColumns({"post_date": F.when(fits, F.date_add(first, F.col("position") - 1)), "disposition": F.when(fits, "planned").otherwise("overflow")})
+    days = days_of_month(start)
+    top = photos.orderBy(*order).limit(days).withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    keys = [c for c in photos.columns]
+    placed = photos.join(F.broadcast(top.select(*(F.col(c).alias(f"top_{c}") for c in keys), "position")), reduce(and_, (F.col(c).eqNullSafe(F.col(f"top_{c}")) for c in keys)), "left")
+    placed = placed.select(*keys, "position")
+    fits = F.col("position").isNotNull()
+    return placed.withColumns({"post_date": F.when(fits, F.date_add(first, F.col("position") - 1)), "disposition": F.when(fits, "planned").otherwise("overflow")})
+
+
+def days_of_month(start: str) -> int:
+    """The days of the month of a date, as YYYY-MM-DD."""
+    year, month = map(int, start.split("-")[:2])
+    return monthrange(year, month)[1]
 
 
 def edit_parents(edits: DataFrame, originals: DataFrame) -> DataFrame:
     """JOIN-25. The original of each edit: the same stem, best in the same folder, then in a sibling folder, then anywhere.
 
     edits: edit_id, folder, stem. originals: original_id, folder, stem, rated_at. Among equals the latest rated, nulls last, then the least id.
+    The best original of each stem and folder, of each stem and folder above, and of each stem are one row each before the joins, so that
+    a stem which many share makes no pairs.
     """
-    o = originals.select("original_id", F.col("folder").alias("o_folder"), "stem", "rated_at")
     up = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    tier = F.when(F.col("folder") == F.col("o_folder"), 0).when(up(F.col("folder")) == up(F.col("o_folder")), 1).otherwise(2)
-    w = Window.partitionBy("edit_id").orderBy("tier", F.desc_nulls_last("rated_at"), "original_id")
-    found = edits.join(o, "stem").withColumn("tier", tier)
-    return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("edit_id", "original_id", "tier")
+    best = F.max_by("original_id", F.struct(F.col("rated_at").isNotNull(), "rated_at", -F.col("original_id")))
+    o, out = originals.withColumn("above", up(F.col("folder"))), edits.withColumn("above", up(F.col("folder")))
+    for name, keys in (("here", ["stem", "folder"]), ("beside", ["stem", "above"]), ("anywhere", ["stem"])):
+        out = out.join(o.groupBy(*keys).agg(best.alias(name)), keys, "left")
+    found = out.withColumn("tier", F.when(F.col("here").isNotNull(), 0).when(F.col("beside").isNotNull(), 1).when(F.col("anywhere").isNotNull(), 2))
+    return found.where("tier IS NOT NULL").select("edit_id", F.coalesce("here", "beside", "anywhere").alias("original_id"), "tier")
 
 
 def bits_of(vector: Column) -> Column:
@@ -102,21 +120,80 @@ def bits_of(vector: Column) -> Column:
     return F.array(half(1), half(33))
 
 
+def probing(most: int) -> tuple[int, int]:
+    """Bands and the radius in a band for words of 64 bits that differ in at most so many: of two such words some band differs in at most
+    radius bits. The choice is that with the fewest probes and candidates for some ten thousand words."""
+    best = None
+    for bands in range(1, most + 2):
+        width, radius = 64 / bands, most // bands
+        probes = bands * sum(comb(ceil(width), i) for i in range(radius + 1))
+        cost = probes + 10_000 * probes / 2**width
+        if best is None or cost < best[0]:
+            best = cost, bands, radius
+    return best[1:]
+
+
+def near_words(left: DataFrame, right: DataFrame, most: int, also: list[str] | None = None) -> DataFrame:
+    """Rows a, b and distance: of left (a, x) and right (b, y), words of two 32-bit halves that differ in at most so many bits; also: equal columns.
+
+    The left side asks for each value of a band within the radius, the right side has its own: an equi-join on (band, value).
+    """
+    bands, radius = probing(most)
+    edges, also = [round(i * 64 / bands) for i in range(bands + 1)], also or []
+    text = lambda w: F.concat(*(F.lpad(F.conv(F.col(w)[i].cast("string"), 10, 2), 32, "0") for i in (0, 1)))
+
+    def parts(word: str, probe: bool) -> Column:
+        rows = []
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            value = F.conv(F.substring(text(word), a + 1, b - a), 2, 10).cast("decimal(20,0)").cast("long") if b - a < 64 else F.conv(text(word), 2, -10).cast("long")
+            masks = [sum(1 << k for k in ks) for n in range(radius + 1 if probe else 1) for ks in combinations(range(b - a), n)]
+            masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+            rows.append(F.transform(F.array(*map(F.lit, masks)), xored(i, value)))
+        return F.flatten(F.array(*rows))
+
+    def xored(band: int, value: Column):
+        return lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m.cast("long")).alias("part"))
+
+    one = left.select("a", "x", *also, F.inline(parts("x", True)))
+    two = right.select("b", "y", *also, F.inline(parts("y", False)))
+    far = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in (0, 1)), F.lit(0))
+    return one.join(two, ["band", "part", *also]).where("a <> b").select("a", "b", *also, far.alias("distance")).where(F.col("distance") <= most).distinct()
+
+
 def hamming_pairs(hashes: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     """JOIN-23. Pairs of hashes that differ in at most so many bits, a < b by key, with the distance.
 
     Equal hashes are one representative first, so that a word that many images share makes no pairs of its own; its members are in
-    hash_classes(). Two words within most bits agree in at least one of most + 1 bands: candidates are an equi-join on (band, value).
+    hash_classes().
     """
-    bands = most + 1
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
     reps = hashes.groupBy(bits).agg(F.min(key).alias("rep"))
-    text = F.concat(*(F.lpad(F.conv(F.col(bits)[i].cast("string"), 10, 2), 32, "0") for i in (0, 1)))
-    cut = F.array(*(F.struct(F.lit(i).alias("band"), F.substring(text, a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
-    each = reps.select("rep", F.col(bits).alias("bits"), F.inline(cut))
-    a, b = each.select("band", "part", F.col("rep").alias("a"), F.col("bits").alias("x")), each.select("band", "part", F.col("rep").alias("b"), F.col("bits").alias("y"))
-    far = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in (0, 1)), F.lit(0))
-    return a.join(b, ["band", "part"]).where("a < b").select("a", "b", far.alias("distance")).where(F.col("distance") <= most).distinct()
+    words = lambda k, w: reps.select(F.col("rep").alias(k), F.col(bits).alias(w))
+    return near_words(words("a", "x"), words("b", "y"), most).where("a < b")
+
+
+def hamming_keepers(hashes: DataFrame, key: str, bits: str, most: int = 8) -> DataFrame:
+    """JOIN-23. Each image with its keeper: images come by id, and one within so many bits of an earlier keeper is a duplicate of the
+    first such keeper; else it is a keeper, its own.
+
+    In rounds: an image is a keeper once all its earlier neighbours are duplicates, and a duplicate once one of them is a keeper. A round
+    is a join and an aggregate; there are as many as the longest chain of images that wait for each other.
+    """
+    classes = kept(hash_classes(hashes, key, bits))
+    pairs = kept(hamming_pairs(hashes, key, bits, most).select(F.col("a").alias("early"), F.col("b").alias("late")))
+    nodes = classes.select(F.col("rep").alias("id")).distinct()
+    state = kept(nodes.withColumn("is_keeper", F.when(F.lit(False), True)))
+    while True:
+        seen = pairs.join(state.select(F.col("id").alias("early"), F.col("is_keeper").alias("early_keeper")), "early")
+        seen = seen.groupBy(F.col("late").alias("id")).agg(F.max("early_keeper").alias("any_keeper"), F.count_if(F.col("early_keeper").isNull()).alias("open"))
+        new = state.join(seen, "id", "left")
+        decided = F.when(F.col("is_keeper").isNotNull(), F.col("is_keeper")).when(F.col("any_keeper"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = kept(new.select("id", decided.alias("is_keeper")))
+        if state.where("is_keeper IS NULL").isEmpty():
+            break
+    keepers = state.where("is_keeper").select(F.col("id").alias("early"))
+    first = pairs.join(keepers, "early").groupBy(F.col("late").alias("rep")).agg(F.min("early").alias("keeper"))
+    own = state.where("is_keeper").select(F.col("id").alias("rep"), F.col("id").alias("keeper"))
+    return classes.join(own.unionByName(first.join(own.select("rep"), "rep", "left_anti")), "rep").select(key, "keeper")
 
 
 def hash_classes(hashes: DataFrame, key: str, bits: str) -> DataFrame:
@@ -130,7 +207,14 @@ def nearest_in_section(left: DataFrame, right: DataFrame, section: str, most: in
 
     left: id, bits and the section; right: other, bits and the section.
     """
-    r = right.select(section, "other", F.col("bits").alias("y"))
-    far = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("y")[i])) for i in (0, 1)), F.lit(0))
-    near = left.join(r, section).where("id <> other").select("id", "other", far.alias("distance")).where(F.col("distance") <= most)
-    return near.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("m")).select("id", "m.other", "m.distance")
+    near = near_words(left.select(F.col("id").alias("a"), F.col("bits").alias("x"), section), right.select(F.col("other").alias("b"), F.col("bits").alias("y"), section), most, [section])
+    return near.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", F.col("b").alias("other"))).alias("m")).select("id", "m.other", "m.distance")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once, in the session's checkpoint folder; where none is set, as in a shell, in its memory."""
+    if df.sparkSession.sparkContext.getCheckpointDir() or (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        if not df.sparkSession.sparkContext.getCheckpointDir():
+            df.sparkSession.sparkContext.setCheckpointDir(folder)
+        return df.checkpoint()
+    return df.persist()

@@ -69,20 +69,22 @@ def tiered_batch(df: DataFrame, tier: Column, score: str, key: str, batch: int)
 def grid_fit(candidates: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     """WIN-08, UDF-15. The fit of each candidate with the last nine posts; the grid is one row of nine at most.
 
-    candidates: key, palette, mood, genre, composition. grid: posted (order) and the same columns. An empty grid gives 0.85.
+    candidates: key, palette, mood, genre, composition. grid: posted (order) and the same columns. An empty grid gives 0.85. Moods,
+    genres and compositions are compared in lower case; an empty mood or composition equals none as the last, but in the last three an
+    empty mood counts, as an empty genre does. The grid's palette is the most frequent; of equals the one of the newest post.
     """
-    cols = ["palette", "mood", "genre", "composition"]
-    last = grid.orderBy(F.desc("posted")).limit(9).agg(F.sort_array(F.collect_list(F.struct("posted", *cols)), asc=False).alias("g"))
-    c, g = candidates, F.col("g")
-    first = lambda k: F.get(g, F.lit(0))[k]
-    three = F.slice(g, 1, 3)
-    times = lambda k: F.size(F.filter(three, lambda x: x[k].eqNullSafe(F.col(k)) & x[k].isNotNull()))
-    warm, cool = F.size(F.filter(g, lambda x: x["palette"] == "warm")), F.size(F.filter(g, lambda x: x["palette"] == "cool"))
-    dominant = F.when(warm > cool, "warm").when(cool > warm, "cool").otherwise("neutral")
-    fit = F.when(F.col("palette") == dominant, 0.9).when((F.col("palette") == "neutral") | (dominant == "neutral"), 0.7).otherwise(0.4)
+    low = lambda df: df.withColumns({x: F.lower(F.coalesce(x, F.lit(""))) for x in ("mood", "genre", "composition")})
+    last = low(grid).orderBy(F.desc("posted")).limit(9).agg(F.sort_array(F.collect_list(F.struct("posted", "palette", "mood", "genre", "composition")), asc=False).alias("g"))
+    g = F.col("g")
+    first, three = lambda k: F.get(g, F.lit(0))[k], F.slice(g, 1, 3)
+    times = lambda k: F.size(F.filter(three, lambda x: x[k] == F.col(k)))
+    palettes = F.transform(g, lambda x: x["palette"])
+    counted = F.transform(palettes, lambda p, i: F.struct(F.size(F.filter(palettes, lambda q: q == p)).alias("n"), (-i).alias("at"), p.alias("p")))
+    dominant = F.array_max(counted)["p"]
+    fit = F.when(F.col("palette") == dominant, 0.9).when(F.col("palette") == "neutral", 0.7).otherwise(0.4)
     fit = F.when((F.col("palette") == first("palette")) & (F.col("palette") != "neutral"), F.greatest(F.lit(0.3), fit - 0.15)).otherwise(fit)
-    mood = F.when(F.col("mood") == first("mood"), 0.3).when(times("mood") > 0, 0.6).otherwise(0.95)
+    mood = F.when((F.col("mood") == first("mood")) & (F.col("mood") != ""), 0.3).when(times("mood") > 0, 0.6).otherwise(0.95)
     genre = F.when(times("genre") >= 2, 0.3).when(times("genre") == 1, 0.7).otherwise(0.95)
-    composition = F.when(F.col("composition") == first("composition"), 0.4).otherwise(0.9)
+    composition = F.when((F.col("composition") == first("composition")) & (F.col("composition") != ""), 0.4).otherwise(0.9)
     score = fit * 0.30 + mood * 0.25 + genre * 0.20 + composition * 0.15 + F.lit(0.8) * 0.10
-    return c.crossJoin(F.broadcast(last)).select(key, F.when(F.size("g") == 0, 0.85).otherwise(F.round(score, 4)).alias("grid_fit"))
+    return low(candidates).crossJoin(F.broadcast(last)).select(key, F.when(F.size("g") == 0, 0.85).otherwise(F.round(score, 3)).alias("grid_fit"))

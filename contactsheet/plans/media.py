@@ -386,6 +386,19 @@ def join_hamming_nearest(spark, d):
     return J.nearest_in_section(h, h.withColumnRenamed("id", "other"), "label", 24)
 
 
+@query("""
+WITH RECURSIVE h AS (SELECT vec_id AS id, list_transform(embedding[1:24], lambda x: x > 0) AS b FROM embeddings),
+p AS (SELECT y.id, x.id AS early FROM h x JOIN h y ON x.id < y.id AND len(list_filter(range(1, 25), lambda i: x.b[i] <> y.b[i])) <= 4),
+n AS (SELECT h.id, row_number() OVER (ORDER BY h.id) AS r, coalesce(any_value(l.near), []) AS near FROM h LEFT JOIN (SELECT id, list(early) AS near FROM p GROUP BY id) l ON l.id = h.id GROUP BY h.id),
+s(i, keepers) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT i + 1, CASE WHEN list_has_any(keepers, near) THEN keepers ELSE list_append(keepers, id) END FROM s JOIN n ON r = i + 1),
+k AS (SELECT keepers FROM s ORDER BY i DESC LIMIT 1)
+SELECT id AS vec_id, coalesce(list_min(list_intersect(near, keepers)), id) AS keeper FROM n, k""")
+def join_hamming_keepers(spark, d):
+    """On words of 24 bits, which are often near."""
+    e = table(spark, d, "embeddings").select("vec_id", F.concat(F.slice("embedding", 1, 24), F.array_repeat(F.lit(-1.0).cast("float"), 40)).alias("v"))
+    return J.hamming_keepers(e.select("vec_id", J.bits_of(F.col("v")).alias("bits")), "vec_id", "bits", 4)
+
+
 @query("""
 SELECT n_name, count(DISTINCT c_custkey) AS clients, count(o_orderkey) AS bookings, round(coalesce(sum(o_totalprice), 0.0), 2) AS revenue
 FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
@@ -468,14 +481,18 @@ def win_tiered_batch(spark, d):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, ['warm', 'cool', 'neutral'][(p_size % 3) + 1] AS palette, p_type AS mood, p_brand AS genre, (p_size % 4)::VARCHAR AS composition FROM part),
-g AS (SELECT *, row_number() OVER (ORDER BY p_partkey DESC) AS r FROM p WHERE genre <> 'Brand#11'), l AS (SELECT * FROM g WHERE r <= 9), f AS (SELECT * FROM g WHERE r = 1),
-n AS (SELECT CASE WHEN w > c THEN 'warm' WHEN c > w THEN 'cool' ELSE 'neutral' END AS dom FROM (SELECT count(*) FILTER (WHERE palette = 'warm') AS w, count(*) FILTER (WHERE palette = 'cool') AS c FROM l)),
+WITH p AS (SELECT p_partkey, ['warm', 'cool', 'neutral'][(p_size % 3) + 1] AS palette, lower(coalesce(CASE WHEN p_size % 5 > 0 THEN p_type END, '')) AS mood, lower(p_brand) AS genre,
+ lower(coalesce(CASE WHEN p_size % 4 > 0 THEN (p_size % 4)::VARCHAR END, '')) AS composition FROM part),
+l AS (SELECT *, row_number() OVER (ORDER BY p_partkey DESC) AS r FROM p WHERE genre <> 'brand#11' QUALIFY r <= 9), f AS (SELECT * FROM l WHERE r = 1),
+n AS (SELECT palette AS dom FROM l GROUP BY palette ORDER BY count(*) DESC, min(r) LIMIT 1),
 s AS (SELECT p.*, dom, f.palette AS fp, f.mood AS fm, f.composition AS fc, (SELECT count(*) FROM l WHERE r <= 3 AND l.mood = p.mood) AS tm, (SELECT count(*) FROM l WHERE r <= 3 AND l.genre = p.genre) AS tg FROM p, n, f),
-q AS (SELECT *, CASE WHEN palette = dom THEN 0.9 WHEN palette = 'neutral' OR dom = 'neutral' THEN 0.7 ELSE 0.4 END::DOUBLE AS pf FROM s)
+q AS (SELECT *, CASE WHEN palette = dom THEN 0.9 WHEN palette = 'neutral' THEN 0.7 ELSE 0.4 END::DOUBLE AS pf FROM s)
 SELECT p_partkey, round(CASE WHEN palette = fp AND palette <> 'neutral' THEN greatest(0.3::DOUBLE, pf - 0.15::DOUBLE) ELSE pf END * 0.30::DOUBLE
- + CASE WHEN mood = fm THEN 0.3 WHEN tm > 0 THEN 0.6 ELSE 0.95 END::DOUBLE * 0.25::DOUBLE + CASE WHEN tg >= 2 THEN 0.3 WHEN tg = 1 THEN 0.7 ELSE 0.95 END::DOUBLE * 0.20::DOUBLE
- + CASE WHEN composition = fc THEN 0.4 ELSE 0.9 END::DOUBLE * 0.15::DOUBLE + 0.08::DOUBLE, 4) AS grid_fit FROM q""")
+ + CASE WHEN mood = fm AND mood <> '' THEN 0.3 WHEN tm > 0 THEN 0.6 ELSE 0.95 END::DOUBLE * 0.25::DOUBLE + CASE WHEN tg >= 2 THEN 0.3 WHEN tg = 1 THEN 0.7 ELSE 0.95 END::DOUBLE * 0.20::DOUBLE
+ + CASE WHEN composition = fc AND composition <> '' THEN 0.4 ELSE 0.9 END::DOUBLE * 0.15::DOUBLE + 0.8::DOUBLE * 0.10::DOUBLE, 3) AS grid_fit FROM q""")
 def win_grid_fit(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.expr("array('warm', 'cool', 'neutral')[p_size % 3] AS palette"), F.col("p_type").alias("mood"), F.col("p_brand").alias("genre"), F.expr("cast(p_size % 4 AS string) AS composition"))
+    p = table(spark, d, "part").select(
+        "p_partkey", F.expr("array('warm', 'cool', 'neutral')[p_size % 3] AS palette"), F.expr("CASE WHEN p_size % 5 > 0 THEN p_type END AS mood"), F.col("p_brand").alias("genre"),
+        F.expr("CASE WHEN p_size % 4 > 0 THEN cast(p_size % 4 AS string) END AS composition"),
+    )
     return W.grid_fit(p, p.where("genre <> 'Brand#11'").withColumnRenamed("p_partkey", "posted"), "p_partkey")

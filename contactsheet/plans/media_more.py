@@ -226,13 +226,16 @@ def win_recent_captions(spark, d):
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), " / ").alias("recent"))
 
 
-JOBS = """SELECT event_id AS id, event_type AS job_type, user_id AS image_id, CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'complete' WHEN 3 THEN 'error' ELSE 'queued' END AS status,
- user_id % 11 AS priority, event_id % 4 AS attempts, ts AS queued_at, ts AS started_at, CASE WHEN event_id % 3 > 0 THEN ts END AS heartbeat_at FROM events"""
+JOB_COLUMNS = [
+    "event_id AS id", "event_type AS job_type", "user_id AS image_id",
+    "CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'complete' WHEN 3 THEN 'error' ELSE 'queued' END AS status",
+    "user_id % 11 AS priority", "event_id % 4 AS attempts", "ts AS queued_at", "ts AS started_at", "CASE WHEN event_id % 3 > 0 THEN ts END AS heartbeat_at",
+]
+JOBS = f"SELECT {', '.join(JOB_COLUMNS)} FROM events"
 
 
 def jobs_of(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("events")
-    return spark.sql(JOBS)
+    return table(spark, d, "events").selectExpr(*JOB_COLUMNS)
 
 
 @query(f"""
@@ -317,13 +320,12 @@ def udf_cull_scores(spark, d):
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * i FOR i IN range(0, 8)]) AS s FROM events) GROUP BY 1""")
 def str_stream_rolling(spark, d):
     """STR-04 as a stream that runs over all files there are and ends."""
-    import tempfile
     from uuid import uuid4
 
     from contactsheet.streaming import streams
 
     events = table(spark, d, "events")
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid4()}"
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid4()}"  # shared by driver and executors; an error where it isn't set
     stream = streams.read_events(spark, d, "events.parquet", events.schema).withColumn("ts", c("ts").cast("timestamp"))
     streams.run_once(streams.rolling(stream, "ts", "8 hours", "1 hour", F.count(F.lit(1)).alias("n")), f"{base}/out", f"{base}/state", "complete")
     return spark.read.parquet(f"{base}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n")
