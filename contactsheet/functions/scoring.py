@@ -151,12 +151,54 @@ def _made(year: Column, day: Column) -> Column:
 
 
 def daylight(lat: Column, lon: Column, day: Column) -> Column:
-    """Sunrise and sunset in minutes of the UTC day by the declination of the day of the year; null at a polar day or night."""
+    """Sunrise and sunset in minutes of the UTC day by the declination of the day of the year; at a polar day or night the arc is the whole or none."""
     turn = (F.dayofyear(day) - 1) * (2 * 3.141592653589793 / 365)
-    decl = 0.006918 - 0.399912 * F.cos(turn) + 0.070257 * F.sin(turn) - 0.006758 * F.cos(2 * turn) + 0.000907 * F.sin(2 * turn)
-    eq = 229.18 * (0.000075 + 0.001868 * F.cos(turn) - 0.032077 * F.sin(turn) - 0.014615 * F.cos(2 * turn) - 0.040849 * F.sin(2 * turn))
+    # The coefficients of the public solar formula.
+    decl = 0.006918 - 0.399912 * F.cos(turn) + 0.070257 * F.sin(turn) - 0.006758 * F.cos(2 * turn) + 0.000907 * F.sin(2 * turn) - 0.002697 * F.cos(3 * turn) + 0.00148 * F.sin(3 * turn)
+    eq = 229.18 * (0.000075 + 0.001868 * F.cos(turn) - 0.032077 * F.sin(turn) - 0.014615 * F.cos(2 * turn) - 0.04089 * F.sin(2 * turn))
     x = F.cos(F.radians(F.lit(90.833))) / (F.cos(F.radians(lat)) * F.cos(decl)) - F.tan(F.radians(lat)) * F.tan(decl)
-    arc = F.when(F.abs(x) <= 1, F.degrees(F.acos(x)))
+    arc = F.degrees(F.acos(clamp(x, -1.0, 1.0)))
     noon = 720 - 4 * lon - eq
     return F.struct(F.round(noon - 4 * arc, 4).alias("sunrise"), F.round(noon + 4 * arc, 4).alias("sunset"))
 
+
+def eastern_minutes(day: Column, utc_minutes: Column) -> Column:
+    """Minutes of the local day: four hours behind from April to October, else five."""
+    return F.pmod(utc_minutes + F.when(F.month(day).between(4, 10), -240).otherwise(-300), F.lit(1440))
+
+
+def clock(minutes: Column) -> Column:
+    """Minutes of a day as h:mm AM or PM."""
+    h, m = F.floor(minutes / 60).cast("int"), F.floor(F.pmod(minutes, F.lit(60))).cast("int")
+    return F.format_string("%d:%02d %s", F.when(h % 12 == 0, 12).otherwise(h % 12), m, F.when(h < 12, "AM").otherwise("PM"))
+
+
+def golden_hours(lat: Column, lon: Column, day: Column) -> Column:
+    """The first 45 minutes after sunrise and the last 60 before sunset, as clock times of the local day."""
+    sun = daylight(lat, lon, day)
+    up, down = (F.floor(eastern_minutes(day, sun[x])) for x in ("sunrise", "sunset"))
+    at = lambda x: clock(F.pmod(x, F.lit(1440)))
+    return F.struct(at(up).alias("sunrise"), at(up + 45).alias("morning_end"), at(down - 60).alias("evening_start"), at(down).alias("sunset"))
+
+
+def exif_time(text: Column) -> Column:
+    """A timestamp as cameras write it, YYYY:MM:DD HH:MM:SS; null if it isn't one."""
+    return F.try_to_timestamp(F.trim(text), F.lit("yyyy:MM:dd HH:mm:ss"))
+
+
+def degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
+    """Degrees, minutes and seconds as a number, negative in the south and west."""
+    out = d + m / 60.0 + s / 3600.0
+    return F.round(F.when(ref.isin("S", "W"), -out).otherwise(out), 7)
+
+
+def apex_shutter(apex: Column) -> Column:
+    """An exposure in APEX units as a time: a fraction below a second, else seconds."""
+    t = F.pow(F.lit(2.0), -apex)
+    return F.when(t < 1, F.concat(F.lit("1/"), F.rint(1 / t).cast("long").cast("string"))).otherwise(F.round(t, 3).cast("string"))
+
+
+def slot_time(day: Column, slot: Column, morning: int = 9, evening: int = 18) -> Column:
+    """The instant of a day's slot in New York, with its summer time."""
+    local = F.concat(F.date_format(day, "yyyy-MM-dd"), F.when(slot == "morning", F.format_string("T%02d:00:00", F.lit(morning))).otherwise(F.format_string("T%02d:00:00", F.lit(evening))))
+    return F.to_utc_timestamp(local, "America/New_York")

@@ -106,3 +106,87 @@ def sequence_steps(bookings: DataFrame, sent: DataFrame, rules: DataFrame, as_of
     base = F.when(F.col("anchor") == "shoot", F.col("shoot_date").cast("timestamp")).otherwise(now)
     due = F.timestamp_seconds(F.unix_timestamp(base) + F.col("hours") * 3600)
     return steps.select("booking_id", "sequence", "step_index", due.alias("due_at"))
+
+
+def inherited_priority(images: DataFrame, jobs: DataFrame, job_type: str = "pass1") -> DataFrame:
+    """JOIN-13. Images with the highest priority of their jobs of a type, null without one; the jobs are one row an image before the join."""
+    top = jobs.where(F.col("job_type") == job_type).groupBy("image_id").agg(F.max("priority").alias("inherited"))
+    return images.join(top, images["id"] == top["image_id"], "left").drop("image_id")
+
+
+def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """MUT-03. The rows to add: new keys alone, of several for a key the first by the other columns."""
+    others = [c for c in new.columns if c != key]
+    once = new.groupBy(key).agg(F.min(F.struct(*others)).alias("row")).select(key, "row.*") if others else new.distinct()
+    return once.join(old.select(key), key, "left_anti")
+
+
+def open_jobs(jobs: DataFrame, job_type: str, states: list[str]) -> DataFrame:
+    """The images that have a job of a type in one of some states."""
+    return jobs.where((F.col("job_type") == job_type) & F.col("status").isin(states) & F.col("image_id").isNotNull()).select(F.col("image_id").alias("id")).distinct()
+
+
+def raised(jobs: DataFrame, images: DataFrame, priority: int = 10) -> DataFrame:
+    """MUT-11, start. Queued jobs of some images (id) with their new priority; other jobs keep theirs."""
+    mine = images.select(F.col("id").alias("image_id"), F.lit(True).alias("mine")).distinct()
+    hit = (F.col("status") == "queued") & F.col("mine")
+    return jobs.join(mine, "image_id", "left").withColumn("priority", F.when(hit, priority).otherwise(F.col("priority"))).drop("mine")
+
+
+def lowered(jobs: DataFrame, priority: int = 10, to: int = 5) -> DataFrame:
+    """MUT-11, cancel. Active jobs of that priority or more go back to normal."""
+    return jobs.withColumn("priority", F.when((F.col("priority") >= priority) & F.col("status").isin(ACTIVE), to).otherwise(F.col("priority")))
+
+
+def promoted_tier(images: DataFrame, jobs: DataFrame, low: float = 5.0, high: float = 6.0, priority: int = 10, limit: int = 5000) -> DataFrame:
+    """MUT-14. The pass3 jobs to add for images of a range of scores (from low, below high) that pass2 has done and pass3 hasn't; best first."""
+    ready = images.where(F.col("pass2_at").isNotNull() & F.col("pass3_at").isNull() & (F.col("nima") >= low) & (F.col("nima") < high))
+    ready = ready.join(open_jobs(jobs, "pass3", ACTIVE), "id", "left_anti").orderBy(F.desc("nima"), "id").limit(limit)
+    return ready.select(F.lit("pass3").alias("job_type"), F.col("id").alias("image_id"), F.lit("queued").alias("status"), F.lit(priority).alias("priority"))
+
+
+def seeded(images: DataFrame, jobs: DataFrame, top: int = 500, least: float = 6.0) -> DataFrame:
+    """MUT-18. The pass3 jobs that priority seeding adds, none while pass1 or pass2 have active jobs: the top by score at 10, then other picks at 8."""
+    gate = jobs.agg(F.count_if(F.col("job_type").isin("pass1", "pass2") & F.col("status").isin(ACTIVE)).alias("active"))
+    ready = images.where(F.col("pass2_at").isNotNull() & F.col("pass3_at").isNull()).join(open_jobs(jobs, "pass3", [*ACTIVE, "complete"]), "id", "left_anti")
+    best = ready.where(F.col("nima") >= least).orderBy(F.desc("nima"), "id").limit(top).select("id")
+    picks = ready.where("lr_pick = 'pick'").select("id").join(F.broadcast(best), "id", "left_anti")  # best has at most top rows
+    rows = best.withColumn("priority", F.lit(10)).unionByName(picks.withColumn("priority", F.lit(8)))
+    return rows.crossJoin(F.broadcast(gate)).where("active = 0").select(F.lit("pass3").alias("job_type"), F.col("id").alias("image_id"), F.lit("queued").alias("status"), "priority")
+
+
+def retagged(images: DataFrame, model: str, least: float = 0.0, print_worthy: bool = False, limit: int = 10_000) -> DataFrame:
+    """MUT-16. The images whose pass3 is to be done again: those that a model tagged, best first; a writer clears pass3_at and enqueues them."""
+    where = (F.col("pass3_model") == model) & F.col("pass3_at").isNotNull()
+    where = where & (F.col("nima") >= least) if least > 0 else where
+    where = where & F.col("print_worthy") if print_worthy else where
+    return images.where(where).orderBy(F.desc_nulls_last("nima"), "id").limit(limit).select("id", F.lit(None).cast("int").alias("pass3_at"))
+
+
+def bumped_folder(images: DataFrame, jobs: DataFrame, folder: str, priority: int = 10, override: bool = False, least: float = 6.0) -> DataFrame:
+    """AGG-45. The images of a folder by the stage that each waits for and what a bump does with it; a pass3 below the score, if overridden, is its own stage."""
+    here = images.where(F.col("file_path").startswith(folder.rstrip("/") + "/"))
+    stage = next_stage(F.col("pass1_status"), F.col("pass1_at"), F.col("pass2_at"), F.col("pass3_at"))
+    rows = here.select(F.col("id").alias("image_id"), stage.alias("job_type"), F.coalesce("nima", F.lit(0.0)).alias("nima"))
+    plan = bump_plan(rows.where(F.col("job_type").startswith("pass")), jobs, priority)
+    below = (F.col("job_type") == "pass3") & (F.col("nima") < least) & F.lit(override)
+    out = rows.join(plan.select("image_id", "action"), "image_id", "left")
+    return out.groupBy(F.when(below, "pass3_below_threshold").otherwise(F.col("job_type")).alias("stage"), F.coalesce("action", F.lit("none")).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dispatchable(jobs: DataFrame) -> DataFrame:
+    """STR-07. What a drain step may start: the first pass with active jobs, and its queued and running ones; later passes wait."""
+    order = F.array_position(F.array(*map(F.lit, ["pass0", "pass1", "pass2", "pass3"])), F.col("job_type"))
+    open_ = jobs.where(F.col("status").isin(ACTIVE)).groupBy("job_type").agg(F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status") == "running").alias("running"))
+    first = open_.agg(F.min(order).alias("first"))
+    return open_.crossJoin(F.broadcast(first)).select("job_type", "queued", "running", (order == F.col("first")).alias("may_start"))
+
+
+def workers(idle: Column) -> Column:
+    """STR-09. Workers by the seconds that the machine is idle: none, one from two minutes on, three from ten."""
+    return F.when(idle >= 600, 3).when(idle >= 120, 1).otherwise(0)
+
+
+def retried(attempts: Column, most: int = 3) -> Column:
+    """STR-08. What a failed job becomes: queued while it has attempts left, else error for good."""
+    return F.when(attempts < most, "queued").otherwise("error")
