@@ -15,9 +15,10 @@ differs in no more elements than they do, so nothing is lost, and passages that
 
 Equal sets are one class from the start. Sets that share a signature form a list. Of a list's pairs those are left which the sizes
 and an exact bound from bitmaps don't exclude; these are checked on whole sets. In a large group of near copies they are many, though a
-few join the group. So each set is first checked with the nearest one of its longest list, and with one that is near to most. Then lists that are in one component are
-done; in others each set outside the list's largest component is checked so with sets of other components, and at last, where
-components still differ, all pairs between them are.
+few join the group. So lists are cut into blocks of bounded size, and each set is first checked with the nearest one of its block of
+its longest list, and with one that is near to most. Then lists that are in one component are done; in the others, cut anew, each set
+outside the block's largest component is checked so with sets of other components. At last, where components of a list still differ,
+each block of the sets outside its largest component meets each block of the list, and all pairs between components are checked.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ BROADCAST_IDS = 1_000_000
 LEAST_BUCKETS = 24
 #: An element counts as common if it is in this many documents of a slice; those that a slice reports, and those that are broadcast, at most.
 COMMON, SLICE_COMMON, ALL_COMMON = 3, 4_000, 200_000
-#: Pairs a set that a list may have to be checked at once. Cells of a bitmap for each element.
-FEW, CELLS = 1, 1
+#: Pairs a set that a list may have to be checked at once. Cells of a bitmap for each element. Sets of a list that are compared in one block.
+FEW, CELLS, LIST_BLOCK = 1, 1, 2048
 CACHED = 200_000
 U = np.uint64
 #: Odd multipliers, one for each place of a shingle.
@@ -288,9 +289,12 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(_similar, "a long, b long, linked boolean"))
 
 
-def _near(ids: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes], every: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of a list, in different components, that may be similar: all if asked for or few, else of each set outside the largest
-    component that with the nearest, and that with the set which has the most such pairs. And whether these are all."""
+def _near(ids: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes], asks: np.ndarray | None) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of some sets of a list, in different components, that may be similar, and whether these are all.
+
+    asks: of which sets all such pairs with the others are wanted. None: all if they are few, else of each set outside the largest
+    component that with the nearest, and that with the set which has the most such pairs.
+    """
     cells = min(map(len, bits)) // 8
     rows = []
     for x in bits:
@@ -298,18 +302,20 @@ def _near(ids: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes]
         while len(x) > cells:  # cells of a bitmap twice as long come together
             x = x[: len(x) // 2] ^ x[len(x) // 2 :]
         rows.append(x)
-    grid = np.stack(rows)
-    kinds, which, count = np.unique(comp, return_inverse=True, return_counts=True)
-    outside = np.flatnonzero(which != np.argmax(count)) if len(kinds) < len(comp) else np.arange(len(ids))
-    block = max(1, (1 << 20) // grid.size)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    grid, every = np.stack(rows), asks is not None
+    if not every:
+        kinds, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+        asks = which != np.argmax(count) if len(kinds) < len(comp) else np.ones(len(ids), bool)
+    outside, others = np.flatnonzero(asks), np.flatnonzero(~asks) if every else np.arange(len(ids))
+    block = max(1, (1 << 20) // max(1, grid[others].size))
+    found = [(np.zeros(0, np.int64),) * 3]
     for a in range(0, len(outside), block):
         o = outside[a : a + block]
-        far = np.bitwise_count(grid[o, None, :] ^ grid[None, :, :]).sum(axis=2, dtype=np.int64)
-        both = size[o, None] + size[None, :]
-        ok = (comp[o, None] != comp[None, :]) & (9 * far <= both) & (9 * np.minimum(size[o, None], size[None, :]) >= 4 * both)
+        far = np.bitwise_count(grid[o, None, :] ^ grid[None, others, :]).sum(axis=2, dtype=np.int64)
+        both = size[o, None] + size[None, others]
+        ok = (comp[o, None] != comp[None, others]) & (9 * far <= both) & (9 * np.minimum(size[o, None], size[None, others]) >= 4 * both)
         i, j = np.nonzero(ok)
-        found.append((o[i], j, far[i, j]))
+        found.append((o[i], others[j], far[i, j]))
     i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
     whole = every or len(i) <= 2 * FEW * len(ids)
     if not whole:
@@ -322,53 +328,60 @@ def _near(ids: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes]
     return list({*zip(x.tolist(), y.tolist(), strict=True)}), whole
 
 
-def _pairs(every: bool):
-    """Rows list_id, set_id, root, n_shingles, bits, a list's together: its pairs (a, b), and a row (list_id, null) if there are more.
-
-    Lists of one group of copies have many pairs in common; they are in one task, which hands on each pair once.
+@tidy
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows list_id, row, column, asks, set_id, root, n_shingles, bits, those of a list's block together: its pairs (a, b), and a row
+    (list_id, null) for a list of which there may be more. asks: null, or whether a set asks for all its pairs with those that don't.
     """
-
-    def flush(rows: pa.Table) -> tuple[list[int], list[int | None]]:
-        lists = rows.column(0).to_numpy()
-        ids, roots, size = (rows.column(k).to_numpy() for k in (1, 2, 3))
-        bits = rows.column(4).to_pylist()
-        ends = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
-        pairs, more = set(), []
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            if b - a > 1:
-                got, whole = _near(ids[a:b], size[a:b], roots[a:b], bits[a:b], every)
-                pairs.update(got)
-                if not whole:
-                    more.append(int(lists[a]))
-        return [x for x, _ in pairs] + more, [y for _, y in pairs] + [None] * len(more)
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        seen: set[tuple[int, int | None]] = set()
-        for batch in _then_none(batches):
-            if batch is not None and not batch.num_rows:
-                continue
-            if held:
-                table = pa.Table.from_batches(held)
-                lists = table.column(0).to_numpy()
-                # The last list may go on in the next batch.
-                cut = len(lists) if batch is None or batch.column(0)[0].as_py() != lists[-1] else int(np.flatnonzero(lists != lists[-1])[-1]) + 1 if lists[0] != lists[-1] else 0
-                new = [x for x in zip(*flush(table.slice(0, cut)), strict=True) if x not in seen] if cut else []
-                a, b = [x for x, _ in new], [y for _, y in new]
-                seen = set(new) if len(seen) > CACHED else seen.union(new)
-                held = table.slice(cut).to_batches()
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            if batch is not None:
-                held.append(batch)
-
-    return run
-
-
-def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    seen: set[tuple[int, int | None]] = set()
+    for block in _blocks(batches):
+        if block.num_rows < 2:
+            continue
+        ids, roots, size = (block.column(k).to_numpy() for k in (4, 5, 6))
+        asks = block.column(3)
+        got, whole = _near(ids, size, roots, block.column(7).to_pylist(), None if asks.null_count else asks.to_numpy())
+        out = {(a, b) for a, b in got} | ({(block.column(0)[0].as_py(), None)} if asks.null_count and (not whole or block.column(1)[0].as_py() > 1) else set())
+        new = sorted(out - seen, key=lambda x: (x[0], x[1] is None, x[1] or 0))
+        seen = set(new) if len(seen) > CACHED else seen.union(new)
+        if new:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], names=["a", "b"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, which come one after another; a block may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and keys[a].tolist() != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = keys[a].tolist()
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _dealt(members: DataFrame, bits: DataFrame, seed: int, every: bool) -> DataFrame:
+    """members (list_id, set_id, root, n: the list's sets; every: out and main too) in blocks of about LIST_BLOCK sets, as _pairs takes them.
+
+    Every: each block of the sets outside of the list's main component meets each block of the list, in a task of its own.
+    """
+    deal = lambda n: F.pmod(F.xxhash64("set_id", F.lit(seed)), n)
+    blocks = lambda n: F.ceil(F.col(n) / LIST_BLOCK)
+    rows = members.join(bits, "set_id")
+    if every:
+        here = rows.withColumns({"column": deal(blocks("n")), "row": F.explode(F.sequence(F.lit(0).cast("long"), blocks("out") - 1)), "asks": F.lit(False)})
+        rows = rows.where("root <> main").withColumns({"row": deal(blocks("out")), "column": F.explode(F.sequence(F.lit(0).cast("long"), blocks("n") - 1)), "asks": F.lit(True)})
+        rows = rows.unionByName(here)
+    else:
+        rows = rows.withColumns({"row": blocks("n"), "column": deal(blocks("n")), "asks": F.lit(None).cast("boolean")})
+    rows = rows.select("list_id", "row", "column", "asks", "set_id", "root", "n_shingles", "bits")
+    return rows.repartition("list_id", "row", "column").sortWithinPartitions("list_id", "row", "column", "asks", "set_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -395,18 +408,18 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     elements = checkpointed(wanted.groupBy("set_id").agg(F.first("elements").alias("elements")))
     bits = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
     bits = checkpointed(bits.join(members.select("set_id").distinct(), "set_id", "left_semi"))
-    longest = members.groupBy("set_id").agg(F.max_by("list_id", F.struct("n", "list_id")).alias("list_id"))
-    now, checked, roots = longest.withColumns({"root": F.col("set_id"), "x": F.col("list_id")}), None, None
-    for every in (False, False, True):
-        dealt = now.join(bits, "set_id").select("list_id", "set_id", "root", "n_shingles", "bits", "x").repartition("x").sortWithinPartitions("list_id", "set_id").drop("x")
-        found = checkpointed(dealt.mapInArrow(_pairs(every), "a long, b long").distinct())
+    longest = members.groupBy("set_id").agg(F.max_by(F.struct("list_id", "n"), F.struct("n", "list_id")).alias("of")).select("set_id", "of.*")
+    now, checked, roots = longest.withColumn("root", F.col("set_id")), None, None
+    for turn, every in enumerate((False, False, True)):
+        found = checkpointed(_dealt(now, bits, turn, every).mapInArrow(_pairs, "a long, b long").distinct())
         pairs = found.where("b IS NOT NULL")
         new = _verify(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), elements)
         first, checked = checked is None, new if checked is None else checked.unionByName(new)
         roots = components(checked.where("linked"))
-        left = members if first else members.join(found.where("b IS NULL").select(F.col("a").alias("list_id")), "list_id", "left_semi")
-        at = left.join(roots, F.col("set_id") == F.col("node"), "left").select("list_id", "set_id", F.coalesce("root", "set_id").alias("root"))
-        split = at.groupBy("list_id").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list_id", "x")
+        left = members if first else members.join(found.where("b IS NULL").select(F.col("a").alias("list_id")).distinct(), "list_id", "left_semi")
+        at = checkpointed(left.join(roots, F.col("set_id") == F.col("node"), "left").select("list_id", "set_id", "n", F.coalesce("root", "set_id").alias("root")))
+        by = at.groupBy("list_id", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("list_id")
+        split = by.agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("out")).where("out > 0")
         now = checkpointed(at.join(split, "list_id"))
         if now.isEmpty():
             break

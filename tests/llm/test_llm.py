@@ -457,8 +457,9 @@ def test_near_duplicates_of_many_sizes(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FEW", 1)
+@pytest.mark.parametrize("block", [2048, 40, 7])
+def test_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
     rng = random.Random(7)
     base = [f"b{i}" for i in range(100)]
     rows = list(enumerate(mutated(rng, base, rng.randint(0, 4)) for _ in range(150)))
@@ -466,6 +467,21 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_pairs_of_blocks_are_all_pairs(spark, block, monkeypatch):
+    """In the last turn the blocks of a list give each pair of sets in different components that the bound leaves."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.permutation(300)[: 300 - k]], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 3, 5, 8, 10, 40, 150) * 2]
+    roots = [0, 0, 0, 3, 3, 5, 6] * 2
+    members = spark.createDataFrame([(9, i, r, len(sets), 0, 8) for i, r in enumerate(roots)], "list_id long, set_id long, root long, n int, main long, out long")
+    bits = spark.createDataFrame([(i, bytearray(jaccard_join.parity_bits(s)), len(s)) for i, s in enumerate(sets)], "set_id long, bits binary, n_shingles long")
+    got = {(r.a, r.b) for r in jaccard_join._dealt(members, bits, 0, True).mapInArrow(jaccard_join._pairs, "a long, b long").collect()}
+    like = {(i, j) for i in range(14) for j in range(i + 1, 14) if roots[i] != roots[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert like and like <= got
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(8)
     for size in [5, 6, 9, 13, 20, 33, 64, 100, 250, 600]:
