@@ -16,7 +16,7 @@ differs in no more elements than they do, so nothing is lost, and passages that
 Equal sets are one class from the start. Sets that share a signature form a list. Of a list's pairs those are left which the sizes
 and an exact bound from bitmaps don't exclude; these are checked on whole sets. In a large group of near copies they are many, though a
 few join the group. So lists are cut into blocks of bounded size, and each set is first checked with the nearest one of its block of
-its longest list, and with one that is near to most. Then lists that are in one component are done; in the others, cut anew, each set
+its longest list, and with one that is near to most; for large lists once more in other blocks. Then lists that are in one component are done; in the others, cut anew, each set
 outside the block's largest component is checked so with sets of other components. At last, where components of a list still differ,
 each block of the sets outside its largest component meets each block of the list, and all pairs between components are checked.
 """
@@ -40,10 +40,11 @@ from contactsheet.llm.words import word_hashes
 SHINGLE = 5
 #: Text of which signatures are made at once, signatures that one task groups on average.
 SLICE_BYTES, BUCKET_SETS = 2 << 20, 2 << 20
-#: Cells of the filter for each candidate; cells at most, 32 MB of bits: with more than 16 million candidates it lets more other sets through.
-CANDIDATE_CELLS, MOST_CELLS = 16, 1 << 28
-#: Bytes of a signature that are kept: two different ones of a bucket may then be equal, one in two thousand, which only makes a candidate more.
-SIG_BYTES = 4
+#: Cells of the filter for each candidate; cells at most, 32 MB of bits: with more than four million candidates it lets more other sets through.
+CANDIDATE_CELLS, MOST_CELLS = 64, 1 << 28
+#: Bytes of a signature that are kept: two different ones of a bucket may then be equal, two in a million, which only makes a candidate more.
+#: With four it would be one in two thousand, and a set has hundreds: every fifth set would be a candidate. Bytes of an element in the comparison.
+SIG_BYTES, ELEMENT_BYTES = 5, 6
 #: Ids of sets to compare that are broadcast at most, 16 MB.
 BROADCAST_IDS = 1_000_000
 #: Buckets of small corpora.
@@ -51,7 +52,7 @@ LEAST_BUCKETS = 24
 #: An element counts as common if it is in this many documents of a slice; those that a slice reports, and those that are broadcast, at most.
 COMMON, SLICE_COMMON, ALL_COMMON = 3, 4_000, 200_000
 #: Pairs a set that a list may have to be checked at once. Cells of a bitmap for each element. Sets of a list that are compared in one block.
-FEW, CELLS, LIST_BLOCK = 1, 1, 2048
+FEW, CELLS, LIST_BLOCK, EVERY_BLOCK = 1, 1, 2048, 4096
 CACHED = 200_000
 U = np.uint64
 #: Odd multipliers, one for each place of a shingle.
@@ -261,19 +262,26 @@ def _sets(shared):
             for s in sets_of(batch.column(1).take(pa.array(take))):
                 if len(s):
                     ids.append(set_id(s))
-                    sets.append(s.tobytes())
+                    sets.append(s.view(np.uint8).reshape(-1, 8)[:, 8 - ELEMENT_BYTES :].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "elements"])
 
     return run
 
 
+def _elements_of(data: bytes) -> np.ndarray:
+    """A packed set's elements, by their first bytes."""
+    out = np.zeros((len(data) // ELEMENT_BYTES, 8), np.uint8)
+    out[:, 8 - ELEMENT_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, ELEMENT_BYTES)
+    return out.view(U).ravel()
+
+
 @tidy
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns a, b, and both sets; adds whether 100 times their intersection is 80 times their union or more."""
     for batch in batches:
         linked = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            x, y = _elements_of(x), _elements_of(y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= 80 * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -369,19 +377,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _dealt(members: DataFrame, bits: DataFrame, seed: int, every: bool) -> DataFrame:
     """members (list_id, set_id, root, n: the list's sets; every: out and main too) in blocks of about LIST_BLOCK sets, as _pairs takes them.
 
-    Every: each block of the sets outside of the list's main component meets each block of the list, in a task of its own.
+    Every: each block of the sets outside of the list's main component meets each block of EVERY_BLOCK sets of the list. Their number is a power of two
+    and blocks of one number of lists with one main component come to one task, which hands on each pair once.
     """
     deal = lambda n: F.pmod(F.xxhash64("set_id", F.lit(seed)), n)
     blocks = lambda n: F.ceil(F.col(n) / LIST_BLOCK)
+    every_blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / EVERY_BLOCK)))).cast("long")
     rows = members.join(bits, "set_id")
     if every:
-        here = rows.withColumns({"column": deal(blocks("n")), "row": F.explode(F.sequence(F.lit(0).cast("long"), blocks("out") - 1)), "asks": F.lit(False)})
-        rows = rows.where("root <> main").withColumns({"row": deal(blocks("out")), "column": F.explode(F.sequence(F.lit(0).cast("long"), blocks("n") - 1)), "asks": F.lit(True)})
-        rows = rows.unionByName(here)
+        here = rows.withColumns({"column": deal(every_blocks), "row": F.explode(F.sequence(F.lit(0).cast("long"), blocks("out") - 1)), "asks": F.lit(False)})
+        rows = rows.where("root <> main").withColumns({"row": deal(blocks("out")), "column": F.explode(F.sequence(F.lit(0).cast("long"), every_blocks - 1)), "asks": F.lit(True)})
+        rows = rows.unionByName(here).repartition("main", "row", "column")
     else:
-        rows = rows.withColumns({"row": blocks("n"), "column": deal(blocks("n")), "asks": F.lit(None).cast("boolean")})
-    rows = rows.select("list_id", "row", "column", "asks", "set_id", "root", "n_shingles", "bits")
-    return rows.repartition("list_id", "row", "column").sortWithinPartitions("list_id", "row", "column", "asks", "set_id")
+        rows = rows.withColumns({"row": blocks("n"), "column": deal(blocks("n")), "asks": F.lit(None).cast("boolean")}).repartition("list_id", "row", "column")
+    return rows.select("list_id", "row", "column", "asks", "set_id", "root", "n_shingles", "bits").sortWithinPartitions("list_id", "row", "column", "asks", "set_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -389,7 +398,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null, empty and blank texts have no shingles and link with nothing. Texts are read whole; repeated rows and equal texts are of one
     component. Rows with a null doc_id take part, but give no name to a component. Shingles and sets are told apart by 64-bit hashes:
-    for n different ones the chance that some two are taken for one is about n * n / 2 ** 65. An empty table gives an empty table.
+    for n different ones the chance that some two are taken for one is about n * n / 2 ** 65; in the comparison of two sets by 48 bits. An empty table gives an empty table.
     """
     described = checkpointed(docs.select("doc_id", text).mapInArrow(_describe, "doc_id long, n_shingles long, set_id long, bits binary"))
     rows = described.where("n_shingles >= 0")
@@ -409,18 +418,25 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     bits = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
     bits = checkpointed(bits.join(members.select("set_id").distinct(), "set_id", "left_semi"))
     longest = members.groupBy("set_id").agg(F.max_by(F.struct("list_id", "n"), F.struct("n", "list_id")).alias("of")).select("set_id", "of.*")
+    # Lists of several blocks are cut anew for a second turn: the blocks' components come together before the many lists of a large group are looked at.
+    large = longest.where(F.col("n") > LIST_BLOCK)
+    aims = ["longest", "all", "every"] if large.isEmpty() else ["longest", "large", "all", "every"]
     now, checked, roots = longest.withColumn("root", F.col("set_id")), None, None
-    for turn, every in enumerate((False, False, True)):
-        found = checkpointed(_dealt(now, bits, turn, every).mapInArrow(_pairs, "a long, b long").distinct())
+    for turn, aim in enumerate(aims):
+        found = checkpointed(_dealt(now, bits, turn, aim == "every").mapInArrow(_pairs, "a long, b long").distinct())
         pairs = found.where("b IS NOT NULL")
         new = _verify(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), elements)
-        first, checked = checked is None, new if checked is None else checked.unionByName(new)
+        checked = new if checked is None else checked.unionByName(new)
         roots = components(checked.where("linked"))
-        left = members if first else members.join(found.where("b IS NULL").select(F.col("a").alias("list_id")).distinct(), "list_id", "left_semi")
+        if aim == "every":
+            break
+        after = aims[turn + 1]
+        more = found.where("b IS NULL").select(F.col("a").alias("list_id")).distinct()
+        left = large if after == "large" else members if after == "all" else members.join(more, "list_id", "left_semi")
         at = checkpointed(left.join(roots, F.col("set_id") == F.col("node"), "left").select("list_id", "set_id", "n", F.coalesce("root", "set_id").alias("root")))
         by = at.groupBy("list_id", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("list_id")
         split = by.agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("out")).where("out > 0")
-        now = checkpointed(at.join(split, "list_id"))
+        now = at if after == "large" else checkpointed(at.join(split, "list_id"))
         if now.isEmpty():
             break
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))

@@ -460,6 +460,7 @@ def test_near_duplicates_of_many_sizes(spark):
 @pytest.mark.parametrize("block", [2048, 40, 7])
 def test_large_group_of_near_copies(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "EVERY_BLOCK", max(1, block // 3))
     rng = random.Random(7)
     base = [f"b{i}" for i in range(100)]
     rows = list(enumerate(mutated(rng, base, rng.randint(0, 4)) for _ in range(150)))
@@ -471,6 +472,7 @@ def test_large_group_of_near_copies(spark, monkeypatch, block):
 def test_pairs_of_blocks_are_all_pairs(spark, block, monkeypatch):
     """In the last turn the blocks of a list give each pair of sets in different components that the bound leaves."""
     monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "EVERY_BLOCK", max(1, block // 3))
     rng = np.random.default_rng(11)
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
     sets = [np.unique(np.concatenate([base[rng.permutation(300)[: 300 - k]], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 3, 5, 8, 10, 40, 150) * 2]
