@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and invariants, over edge cases and empty tables."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -634,13 +635,64 @@ def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     bench = spark.createDataFrame([], "item_id long, text string")
     listed = spark.createDataFrame([], "host string")
+    import public_tokenizers
+
+    import corpus_pipeline
+
+    quality = spark.createDataFrame([], "doc_id long, quality int")
     frames = [
+        token_counts.count_tokens(empty, public_tokenizers.path("piece_bpe_32k.model")), quality_classifier.classify(empty, quality, F.lit(False)),
+        corpus_pipeline.quality_rules(spark, empty, ""), corpus_pipeline.near_duplicates(spark, empty, ""), corpus_pipeline.mixing_sources(spark, empty, ""), corpus_pipeline.shards(spark, empty, ""),
         host_rules.host_rules(empty), mixing.mix(empty, [1]), sharding.shard(empty, 8), jaccard_join.near_duplicates(empty), lm_scoring.score_texts(empty, F.lit(False)),
         decontamination.find_leaks(empty, bench, clean=True), html_extraction.extract(pages), url_filter.judge_urls(pages, queries.URL_RULES, listed),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
+TYPES = {
+    "op1_html_extraction": "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint",
+    "op2_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op3_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op4_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op5_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op6_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op7_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op8_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op10_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+}
+
+
+@pytest.fixture(scope="module")
+def results(spark, tables):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (7, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tables}/labels.parquet")
+    return {name: (df.dtypes, df.collect()) for name in TYPES for df in [queries.QUERIES[name](spark, tables)]}
+
+
+def test_registered_queries(spark, tables, results):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
+    for name, (dtypes, rows) in results.items():
+        assert ", ".join(f"{c} {t}" for c, t in dtypes) == TYPES[name], name
+        assert len(rows) == (15 if name in ("op1_html_extraction", "op4_url_filter") else len(docs)), name
+        if name not in ("op1_html_extraction", "op4_url_filter"):
+            assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in docs), name
+
+
+def test_registered_digests(spark, tables, docs, results):
+    text = {str(r.doc_id): r.text for r in docs.collect() if r.doc_id is not None}
+    for r in results["op2_token_counts"][1]:
+        if r.doc_id is not None:
+            assert r.n_bytes == len((text[str(r.doc_id)] or "").encode()) and r.over_limit == (r.n_tokens > 4096)
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    for r in results["op6_decontamination"][1]:
+        if r.doc_id is not None:
+            n, hit, found = brute_leaks([text[str(r.doc_id)]], items)[0]
+            assert (r.n_words, r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (n, hit, len(found), hit > 0, hashlib.sha256(",".join(found).encode()).hexdigest())
+    mixed = [r for r in results["op3_mixing"][1] if r.doc_id == 12]  # a row that is there twice
+    assert len(mixed) == 2 and mixed[0] == mixed[1] and mixed[0]["size"] == len(words(text["12"])) and all(r.taken <= 2 * r["size"] for r in results["op3_mixing"][1])
+    assert {r.law for r in results["op7_sharding"][1]} == {"bytes"} and {r.grown_shard for r in results["op7_sharding"][1]} == {None}
+
+
 def test_slices():
     import pyarrow as pa
 
