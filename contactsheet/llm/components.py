@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from contactsheet.llm.common import checkpointed
 
 #: Edges that a task joins at once; with more it hands on several forests.
 TASK_EDGES = 4_000_000
+#: Edges of a task between rounds, on average: few edges in many tasks are many small files.
+ROUND_EDGES = 100_000
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,16 +57,18 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: columns a, b, any order and repeats. Returns node and root, the least node it reaches, for each node with an edge.
 
     Nothing is collected. A round brings a node's edges together, where each task makes one forest of all that it has, and then lets
-    each node point to what its root points to. It ends when nothing changes: each node has one root, and no root points on.
+    each node point to what its root points to. It ends when nothing changes: each node has one root, and no root points on. The
+    number of tasks follows that of the edges, which no round adds to.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tasks = max(1, math.ceil(edges.count() / ROUND_EDGES))
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).coalesce(tasks)
     state = None
     while True:
-        joined = now.repartition("a").mapInArrow(_join, "a long, b long")
+        joined = now.repartition("a").mapInArrow(_join, "a long, b long").coalesce(tasks)
         joined = checkpointed(joined)
         up = joined.select(F.col("a").alias("b"), F.col("b").alias("root"))
-        now = joined.join(up, "b", "left").select("a", F.coalesce("root", "b").alias("b")).distinct()
-        now = checkpointed(now)
+        now = joined.join(up, "b", "left").select("a", F.coalesce("root", "b").alias("b")).coalesce(tasks).distinct()
+        now = checkpointed(now.coalesce(tasks))
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -45,8 +45,10 @@ CANDIDATE_CELLS, MOST_CELLS = 64, 1 << 28
 #: Bytes of a signature that are kept: two different ones of a bucket may then be equal, two in a million, which only makes a candidate more.
 #: With four it would be one in two thousand, and a set has hundreds: every fifth set would be a candidate. Bytes of an element in the comparison.
 SIG_BYTES, ELEMENT_BYTES = 5, 6
-#: Ids of sets to compare that are broadcast at most, 16 MB.
-BROADCAST_IDS = 1_000_000
+#: Ids of sets to compare that are broadcast at most, 16 MB. Pairs of a task on average, when they are dealt to their sets.
+BROADCAST_IDS, TASK_PAIRS = 1_000_000, 20_000
+#: Members of lists in a task on average, where they are only looked up: few rows in many tasks are many small files.
+TASK_MEMBERS = 100_000
 #: Buckets of small corpora.
 LEAST_BUCKETS = 24
 #: An element counts as common if it is in this many documents of a slice; those that a slice reports, and those that are broadcast, at most.
@@ -290,11 +292,14 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs with whether they are linked. Where their sets are few, only these are shuffled."""
     pairs = checkpointed(pairs.select("a", "b"))
+    n = pairs.count()
+    tasks = max(1, math.ceil(n / TASK_PAIRS))
+    pairs = pairs.coalesce(tasks)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    sets = sets.join(F.broadcast(wanted), "set_id", "left_semi") if small(wanted, BROADCAST_IDS) else sets
+    sets = sets.join(F.broadcast(wanted), "set_id", "left_semi") if 2 * n <= BROADCAST_IDS or small(wanted, BROADCAST_IDS) else sets
     one, two = (sets.select(F.col("set_id").alias(k), F.col("elements").alias(f"of_{k}")) for k in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
-    return checkpointed(both.mapInArrow(_similar, "a long, b long, linked boolean"))
+    return checkpointed(both.mapInArrow(_similar, "a long, b long, linked boolean")).coalesce(tasks)
 
 
 def _near(ids: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes], asks: np.ndarray | None) -> tuple[list[tuple[int, int]], bool]:
@@ -411,12 +416,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     emitted = docs.select(text).mapInArrow(_emit(buckets, common), "bucket int, ids binary, counts binary, sigs binary")
     lists = emitted.groupBy("bucket").applyInPandas(_lists, "members binary").withColumn("list_id", F.xxhash64("members"))
     members = checkpointed(lists.dropDuplicates(["list_id"]).select("members", "list_id").mapInArrow(_unpacked, "list_id long, set_id long, n int"))
+    tasks = max(1, math.ceil(members.count() / TASK_MEMBERS))
+    members = members.coalesce(tasks)
     named_by = checkpointed(sets.join(members.select("set_id").distinct(), "set_id").select("first_doc").where("first_doc IS NOT NULL"))
     shared = docs.sparkSession.sparkContext.broadcast(_filter(named_by))
     wanted = docs.select("doc_id", text).mapInArrow(_sets(shared), "set_id long, elements binary")
     elements = checkpointed(wanted.groupBy("set_id").agg(F.first("elements").alias("elements")))
     bits = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
-    bits = checkpointed(bits.join(members.select("set_id").distinct(), "set_id", "left_semi"))
+    bits = checkpointed(bits.join(members.select("set_id").distinct(), "set_id", "left_semi")).coalesce(tasks)
     longest = members.groupBy("set_id").agg(F.max_by(F.struct("list_id", "n"), F.struct("n", "list_id")).alias("of")).select("set_id", "of.*")
     # Lists of several blocks are cut anew for a second turn: the blocks' components come together before the many lists of a large group are looked at.
     large = longest.where(F.col("n") > LIST_BLOCK)
@@ -433,10 +440,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         after = aims[turn + 1]
         more = found.where("b IS NULL").select(F.col("a").alias("list_id")).distinct()
         left = large if after == "large" else members if after == "all" else members.join(more, "list_id", "left_semi")
-        at = checkpointed(left.join(roots, F.col("set_id") == F.col("node"), "left").select("list_id", "set_id", "n", F.coalesce("root", "set_id").alias("root")))
+        at = checkpointed(left.join(roots, F.col("set_id") == F.col("node"), "left").select("list_id", "set_id", "n", F.coalesce("root", "set_id").alias("root")).coalesce(tasks))
         by = at.groupBy("list_id", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("list_id")
         split = by.agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("out")).where("out > 0")
-        now = at if after == "large" else checkpointed(at.join(split, "list_id"))
+        now = at if after == "large" else checkpointed(at.join(split, "list_id").coalesce(tasks))
         if now.isEmpty():
             break
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
