@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import decontamination, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, url_filter
+from contactsheet.llm import decontamination, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, token_files, url_filter
 
 ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,12 @@ def op8_quality_classifier(spark, d):
 @query
 def op1_html_extraction(spark, d):
     return html_extraction.extract(table(spark, d, "pages"))
+
+
+@query
+def op13_token_files(spark, d):
+    """The files go to a folder of this run in the checkpoint folder."""
+    import public_tokenizers
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return token_files.token_table(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
