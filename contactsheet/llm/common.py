@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 from functools import wraps
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a table in the shared checkpoint folder, of which readers take the columns they need."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid4()}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

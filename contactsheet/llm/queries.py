@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import decontamination, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, token_files, url_filter
+from contactsheet.llm import decontamination, hard_negatives, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, token_files, url_filter
 
 ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,24 @@ def op13_token_files(spark, d):
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     return token_files.token_table(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op12_hard_negatives(spark, d):
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = """
+WITH ok AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS q,
+  row_number() OVER () AS r FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM ok a JOIN ok b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT ar, anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, other) AS w
+  FROM s WHERE same QUALIFY w <= 5),
+n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ar, w ORDER BY score DESC, other)::INTEGER AS rank, other AS negative_id, positive_score,
+  score AS negative_score FROM p JOIN s ON s.ar = p.ar AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10
+"""

@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 import os
 import re
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +39,8 @@ INDEX_SHARDS = 64
 BROADCAST_BLOCKS = 500_000
 #: Unicode's white space, as the tokenizer's pattern knows it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that only ever follow letters as a pre-token of their own: ASCII's but for the apostrophe, which also begins short endings.
+MARKS = "".join(c for c in string.punctuation if c != "'")
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ODD = tuple("\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(map(chr, range(0x2000, 0x200B)))
 _RUNS = tuple(a + b + c for a in " \n" for b in " \n" for c in " \n")
@@ -57,10 +61,25 @@ class Encoder:
         if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("texts can be cut into chunks for byte-level tokenizers without normalizer alone")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.after_space, self.as_is = _Generations(lambda x: self.ids(f" {x}" if x[:1] != "\n" else x)), _Generations(self.ids)
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        self.model, self.special = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.signs = {b: c for b, c in zip(*_byte_signs(), strict=True)}
+        self.after_space, self.as_is = _Generations(lambda x: self.chunk(x, " " if x[:1] != "\n" else "")), _Generations(lambda x: self.chunk(x, ""))
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def chunk(self, chunk: str, space: str) -> bytes:
+        """The ids of a chunk after a space or none. Letters and marks that follow them are pre-tokens of their own, and so is a first
+        line feed, so that a word isn't encoded again for each mark at its end; all else is left to the library as it is."""
+        if chunk[:1] == "\n" and chunk[1:].isalpha():
+            return self.as_is["\n"] + self.as_is[chunk[1:]]
+        word = chunk.rstrip(MARKS)
+        if word.isalpha() and word not in self.special:
+            if len(word) == len(chunk):
+                signs = word if word.isascii() else "".join(self.signs[b] for b in word.encode())
+                return self.packed([t.id for t in self.model.tokenize(self.signs[32] + signs if space else signs)])
+            return (self.after_space if space else self.as_is)[word] + self.as_is[chunk[len(word) :]]
+        return self.packed(self.tokenizer.encode(space + chunk, add_special_tokens=False).ids)
 
     def of(self, text: str) -> bytes:
         if not text:
@@ -72,6 +91,13 @@ class Encoder:
         return self.as_is[first] + b"".join(map(self.after_space.__getitem__, rest))
 
 
+def _byte_signs() -> tuple[list[int], list[str]]:
+    """All bytes and the signs that stand for them in a byte-level vocabulary: printable ones of Latin-1 for themselves, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
+    others = [b for b in range(256) if b not in own]
+    return own + others, [*map(chr, own), *(chr(256 + i) for i in range(len(others)))]
+
+
 class _Generations(dict):
     """A cache of bounded size: what is asked for goes on, what wasn't since the last change of generations is forgotten."""
 
