@@ -56,16 +56,17 @@ def test_large_numbers_and_empty(spark):
 
 def test_groups_leave_out_far_leaves():
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(size=(500, 8)) + 40 * np.eye(8)[k] for k in range(8)])
+    at = lambda k: 40 * np.array([k & 1, k >> 1 & 1, k >> 2, 0.5, 0.5, 0.5, 0.5, 0.5]) - 20
+    x = np.concatenate([rng.normal(size=(500, 8)) + at(k) for k in range(8)])
     planes = hard_negatives.Planes.fit(x, 6, 8)
     leaf = planes.leaf(x)
     radius = np.array([np.linalg.norm(x[leaf == i] - planes.centers[i], axis=1).max(initial=-1) for i in range(64)])
     balls = hard_negatives.Balls(planes, radius)
     anchors = x[:40]
-    low = np.full(40, 1200.0)
+    low = np.full(40, 1000.0)
     met = balls.meet(anchors, low, np.full(40, math.inf))
     seen = {(int(a), int(f)) for own, leaves in met for a in own for f in leaves}
-    need = {(i, int(leaf[j])) for i in range(40) for j in np.flatnonzero(x @ anchors[i] >= 1200)}
+    need = {(i, int(leaf[j])) for i in range(40) for j in np.flatnonzero(x @ anchors[i] >= 1000)}
     assert need <= seen and len(seen) < 40 * 64 / 3
 
 
