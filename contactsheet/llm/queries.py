@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import decontamination, hard_negatives, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, token_files, url_filter
+from contactsheet.llm import collocations, decontamination, hard_negatives, host_rules, html_extraction, jaccard_join, lm_scoring, mixing, quality_classifier, sharding, token_counts, token_files, url_filter
 
 ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,26 @@ n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ar, w O
   score AS negative_score FROM p JOIN s ON s.ar = p.ar AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
 SELECT * FROM n WHERE rank <= 10
 """
+
+
+@query
+def op11_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents").select("lang", "text"))
+
+
+SQL["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 5) r(k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, a, k, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, cut, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut+1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+q AS (SELECT lang, a, k, ws, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, a, k, string_split(phrase, ' ') AS ws, unnest(range(2, k)) AS m FROM f WHERE k >= 3)),
+o AS (SELECT lang, array_to_string(ws[i:i+m-1], ' ') AS phrase, max(a) AS longer FROM q GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE coalesce(100::HUGEINT * longer < 80::HUGEINT * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+JOIN t USING (lang) WHERE rank <= 2000
+"""
