@@ -16,6 +16,8 @@ from contactsheet.llm.common import checkpointed
 TASK_EDGES = 4_000_000
 #: Edges of a task between rounds, on average: few edges in many tasks are many small files.
 ROUND_EDGES = 100_000
+#: As many edges, 16 MB, are one forest of one task, which needs no rounds.
+ONE_TASK = 1_000_000
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +55,28 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all edges each node with its root."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        a, b = _forest(*(np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in (0, 1)))
+        roots = np.unique(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, roots])), pa.array(np.concatenate([b, roots]))], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: columns a, b, any order and repeats. Returns node and root, the least node it reaches, for each node with an edge.
 
     Nothing is collected. A round brings a node's edges together, where each task makes one forest of all that it has, and then lets
     each node point to what its root points to. It ends when nothing changes: each node has one root, and no root points on. The
-    number of tasks follows that of the edges, which no round adds to.
+    number of tasks follows that of the edges, which no round adds to. Where all edges are few enough for one task, its forest is the
+    answer.
     """
-    tasks = max(1, math.ceil(edges.count() / ROUND_EDGES))
+    n = edges.count()
+    if n <= ONE_TASK:
+        whole = edges.where("a <> b").select("a", "b").coalesce(1).mapInArrow(_rooted, "node long, root long")
+        return checkpointed(whole)
+    tasks = math.ceil(n / ROUND_EDGES)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).coalesce(tasks)
     state = None
     while True:

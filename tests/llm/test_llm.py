@@ -499,7 +499,9 @@ def test_similar_sets_share_a_signature():
                 assert len(np.intersect1d(sig[of == 0], sig[of == 1])), (size, gone)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("contactsheet.llm.components.ONE_TASK", one_task)
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
