@@ -26,8 +26,13 @@ def zone_variance(g: np.ndarray, zones: int = 5) -> tuple[float, bool]:
     return max(float(laplacian(g[r * (h // zones) : (r + 1) * (h // zones), c * (w // zones) : (c + 1) * (w // zones)]).var()) for r in range(zones) for c in range(zones)), False
 
 
-def edge_fraction(g: np.ndarray, low: float = 50, high: float = 150) -> float:
-    """The share of pixels on edges: thin gradient ridges over high, and those over low that touch them."""
+def edge_fraction(g: np.ndarray) -> float:
+    """The share of pixels on edges."""
+    return float(edge_mask(g).mean())
+
+
+def edge_mask(g: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Which pixels are on edges: thin gradient ridges over high, and those over low that touch them."""
     p = np.pad(g.astype(float), 1, mode="edge")
     gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
     gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
@@ -44,7 +49,7 @@ def edge_fraction(g: np.ndarray, low: float = 50, high: float = 150) -> float:
                 near |= e[y : y + edge.shape[0], x : x + edge.shape[1]]
         grown = near & weak
         if (grown == edge).all():
-            return float(edge.mean())
+            return edge
         edge = grown | edge
 
 
@@ -59,12 +64,32 @@ def frequency_ratio(g: np.ndarray) -> float | None:
     return float(m[~low].sum()) / total if total > 0 else None
 
 
+def area_resize(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """SRC-07. The mean of the part of g that each of height x width pixels covers, borders weighed by what lies inside.
+
+    From a summed-area table read between its entries, so that each pixel costs the same whatever it covers.
+    """
+    s = np.pad(g.astype(float), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+
+    def at(table: np.ndarray, n: int) -> np.ndarray:
+        edges = np.linspace(0, table.shape[0] - 1, n + 1)
+        low = np.minimum(edges.astype(int), table.shape[0] - 2)
+        return table[low] + (edges - low)[:, None] * (table[low + 1] - table[low])
+
+    sums = np.diff(np.diff(at(at(s, height).T, width).T, axis=0), axis=1)
+    return sums / (g.shape[0] / height * (g.shape[1] / width))
+
+
+def fitted(g: np.ndarray, side: int) -> np.ndarray:
+    """SRC-07. g with its longer side reduced to side, as whole numbers; a smaller picture stays."""
+    scale = side / max(g.shape)
+    return g if scale >= 1 else np.rint(area_resize(g, max(1, round(g.shape[0] * scale)), max(1, round(g.shape[1] * scale)))).astype(np.uint8)
+
+
 def perceptual_hash(g: np.ndarray) -> int:
-    """64 bits: which of the 8 x 8 lowest cosine coefficients of a 32 x 32 reduction are over their median. As a signed long."""
+    """UDF-08. 64 bits: which of the 8 x 8 lowest cosine coefficients of a 32 x 32 reduction are over their median. As a signed long."""
     n = 32
-    rows, cols = (np.linspace(0, s, n + 1) for s in g.shape)
-    pick = lambda e, s: np.minimum(np.floor((e[:-1] + e[1:]) / 2).astype(int), s - 1)
-    small = g[np.ix_(pick(rows, g.shape[0]), pick(cols, g.shape[1]))].astype(float)
+    small = area_resize(g, n, n)
     k = np.arange(n)
     basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:8, None] / (2 * n))
     low = basis @ small @ basis.T
@@ -89,38 +114,7 @@ def cull_signals(g: np.ndarray) -> dict:
     }
 
 
-def composition_signals(g: np.ndarray) -> dict:
-    """Parts that need the brightness alone: where its centre lies against thirds and golden points, balance and symmetry."""
-    h, w = g.shape
-    weight = g.astype(float) + 1e-9
-    cy, cx = float((weight.sum(axis=1) * np.arange(h)).sum() / weight.sum()), float((weight.sum(axis=0) * np.arange(w)).sum() / weight.sum())
-    near = lambda ys, xs, scale: max(0.0, 10 * (1 - min(np.hypot(cy - y * h, cx - x * w) for y in ys for x in xs) / scale))
-
-    def entropy(a: np.ndarray) -> float:
-        p = np.bincount((a.ravel() // 4).astype(np.int64), minlength=64) / max(1, a.size)
-        p = p[p > 0]
-        return float(-(p * np.log2(p)).sum())
-
-    halves = [(entropy(g[:, : w // 2]), entropy(g[:, w // 2 :])), (entropy(g[: h // 2]), entropy(g[h // 2 :]))]
-    balance = 10 * float(np.mean([1 - abs(a - b) / max(a, b) if max(a, b) > 0 else 1.0 for a, b in halves]))
-    return {
-        "thirds": near((1 / 3, 2 / 3), (1 / 3, 2 / 3), np.hypot(w / 3, h / 3)),
-        "golden_ratio": near((0.382, 0.618), (0.382, 0.618), np.hypot(0.382 * w, 0.382 * h)),
-        "balance": balance,
-        "mirror": max(similarity(g, g[:, ::-1]), similarity(g, g[::-1])),
-    }
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Structural similarity of two whole images."""
-    a, b = a.astype(float), b.astype(float)
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    cov = ((a - a.mean()) * (b - b.mean())).mean()
-    return float((2 * a.mean() * b.mean() + c1) * (2 * cov + c2) / ((a.mean() ** 2 + b.mean() ** 2 + c1) * (a.var() + b.var() + c2)))
-
-
 SIGNALS = "std double, zone_variance double, whole_zone boolean, edge_fraction double, frequency double, highlight_pct double, shadow_pct double, tonal_range double, noise_level double, phash long"
-COMPOSITION = "thirds double, golden_ratio double, balance double, mirror double"
 
 
 def signals(images: DataFrame, key: str) -> DataFrame:
@@ -132,13 +126,13 @@ def signals(images: DataFrame, key: str) -> DataFrame:
             for k, w, h, data in zip(pdf[key], pdf["width"], pdf["height"], pdf["pixels"], strict=True):
                 try:
                     g = np.frombuffer(data, np.uint8).reshape(int(h), int(w))
-                    rows.append({key: k, **cull_signals(g), **composition_signals(g), "error": None})
+                    rows.append({key: k, **cull_signals(g), "error": None})
                 except (ValueError, TypeError) as e:
                     rows.append({key: k, "error": str(e)[:200]})
-            yield pd.DataFrame(rows, columns=[key, *(x.split(" ")[0] for x in f"{SIGNALS}, {COMPOSITION}".split(", ")), "error"])
+            yield pd.DataFrame(rows, columns=[key, *(x.split(" ")[0] for x in SIGNALS.split(", ")), "error"])
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, "width", "height", "pixels").mapInPandas(run, f"{key} {kind}, {SIGNALS}, {COMPOSITION}, error string")
+    return images.select(key, "width", "height", "pixels").mapInPandas(run, f"{key} {kind}, {SIGNALS}, error string")
 
 
 def steps(x: Column, parts: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -164,5 +158,18 @@ def cull_scores(df: DataFrame) -> DataFrame:
     return df.withColumns(out | {"blank_frame": F.col("std") < 5})
 
 
-def symmetry_score(s: Column) -> Column:
-    return steps(s, [(s > 0.85, 8.5 + (s - 0.85) / 0.15 * 1.5), (s > 0.6, 6 + (s - 0.6) / 0.25 * 2.5), (s > 0.4, 4 + (s - 0.4) / 0.2 * 2)], 3 + s / 0.4)
+def previews(images: DataFrame, key: str, side: int) -> DataFrame:
+    """SRC-07. key, width, height, pixels of grey images whose longer side is side at most; null where an image can't be read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for k, w, h, data in zip(pdf[key], pdf["width"], pdf["height"], pdf["pixels"], strict=True):
+                try:
+                    small = fitted(np.frombuffer(data, np.uint8).reshape(int(h), int(w)), side)
+                    rows.append((k, small.shape[1], small.shape[0], small.tobytes()))
+                except (ValueError, TypeError):
+                    rows.append((k, None, None, None))
+            yield pd.DataFrame(rows, columns=[key, "width", "height", "pixels"]).astype({"width": "Int32", "height": "Int32"})
+
+    return images.select(key, "width", "height", "pixels").mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, width int, height int, pixels binary")

@@ -35,6 +35,13 @@ def ladder(steps: list[tuple[Column, str]], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
+def photo_status(outcome: Column, duplicate: Column, posted_at: Column, print_worthy: Column, portfolio: Column, ready: Column, score: Column) -> Column:
+    """PRJ-02. What a photo is shown as: what the first pass made of it, then what has become of it, then whether it has a score."""
+    steps = [(outcome == x, x.capitalize()) for x in ("missing", "corrupt", "video", "sidecar")]
+    steps += [(duplicate | F.coalesce(outcome == "duplicate", F.lit(False)), "Burst"), (outcome == "fail", "Culled"), (posted_at.isNotNull(), "Posted")]
+    return ladder([*steps, (print_worthy, "Print"), (portfolio, "Portfolio"), (ready, "Ready"), (score.isNull(), "Pending")], "Scored")
+
+
 def weakest(scores: dict[str, Column], floor: float = 5.0) -> Column:
     """PRJ-03. The name of the least score below floor, the first listed of several; null if none is."""
     each = [F.when(c.isNotNull(), F.struct(c.cast("double").alias("s"), F.lit(i).alias("i"), F.lit(n).alias("n"))) for i, (n, c) in enumerate(scores.items())]

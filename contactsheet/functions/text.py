@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,10 +60,21 @@ def stem(path: Column) -> Column:
 
 
 def unescaped(c: Column) -> Column:
-    """HTML text as it was before escaped(); the ampersand last."""
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    """Text with its character references decoded, each once: by decimal or hexadecimal number, and by HTML 4's names and apos.
+
+    A reference ends in a semicolon; others, and names that there aren't, stay as they are. Numbers that are no character give U+FFFD.
+    """
+    names = F.create_map(*(F.lit(x) for name, n in ({**name2codepoint, "apos": 39}).items() for x in (name, chr(n))))
+
+    def decoded(part: Column, i: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 9), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 9)).cast("long")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        sign = F.when(number.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")).otherwise(F.element_at(names, ref))
+        rest = F.substr(part, F.length(ref) + 2)
+        return F.when(i == 0, part).when((ref == "") | sign.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(sign, rest))
+
+    return F.array_join(F.transform(F.split(c, "&"), decoded), "")
 
 
 def embedded_json(c: Column) -> Column:

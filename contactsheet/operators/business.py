@@ -50,17 +50,3 @@ def free_slots(requests: DataFrame, posts: DataFrame, slot: list[str], key: str)
 def season_boosted(rows: DataFrame, score: Column, genre: Column, in_season: list[str], boost: float = 0.25) -> DataFrame:
     """SRT-08. The score with what the season adds."""
     return rows.withColumn("boosted", F.round(score + F.when(genre.isin(in_season), boost).otherwise(0.0), 6))
-
-
-def why_blocked(images: DataFrame, latest: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """PRJ-09. Where each image stands and what it waits for. images: image_id, pass1_status, pass2_at, score, pass3_at.
-
-    latest: the newest job of each image and type, as jobs.latest_jobs() gives it.
-    """
-    stage = F.when(F.col("pass1_status").isNull(), "pass1").when(F.col("pass1_status") != "pass", "stopped").when(F.col("pass2_at").isNull(), "pass2")
-    stage = stage.when(F.col("score") < 6.0, "below_threshold").when(F.col("pass3_at").isNull(), "pass3").otherwise("done")
-    rows = images.withColumn("stage", stage).join(latest.withColumnRenamed("job_type", "stage"), ["image_id", "stage"], "left")
-    final = F.col("stage").isin("stopped", "below_threshold", "done")
-    why = F.when(final, F.col("stage")).when(F.col("status").isNull(), "not_queued").when(F.col("status") == "running", "running")
-    why = why.when((F.col("status") == "error") & (F.col("attempts") >= max_attempts), "failed_for_good").when(F.col("status") == "error", "will_retry")
-    return rows.select("image_id", "stage", why.when(F.col("status") == "queued", "waiting").otherwise("promotion_pending").alias("why"))

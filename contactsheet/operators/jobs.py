@@ -6,9 +6,11 @@ as it was before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactsheet.operators.ranks import best
+
 #: States of jobs that aren't done, and of images that no pass takes up again.
 ACTIVE = ["queued", "running"]
 TERMINAL_PASS1 = ["fail", "duplicate", "raw_review", "missing", "sidecar", "corrupt", "video"]
@@ -77,8 +79,8 @@ def promotions(images: DataFrame, jobs: DataFrame, limit: int = 500) -> DataFram
     stage = F.when(one, "pass2").when(two, "pass3").when(three, "privacy")
     priority = F.when(one, F.when(F.col("inherited") > 5, F.col("inherited")).otherwise(5)).when(two, F.when(F.col("score") >= 6.5, 10).otherwise(3)).otherwise(3)
     out = rows.withColumns({"job_type": stage, "priority": priority}).where("job_type IS NOT NULL").join(has, ["image_id", "job_type"], "left_anti")
-    w = Window.partitionBy("job_type").orderBy(F.desc("priority"), F.desc_nulls_last("score"), "image_id")
-    return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select("image_id", "job_type", "priority")
+    order = [F.desc("priority"), F.desc_nulls_last("score"), F.col("image_id")]
+    return best(out, ["job_type"], order, limit).select("image_id", "job_type", "priority")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, overwrite: list[str], keep: list[str]) -> DataFrame:

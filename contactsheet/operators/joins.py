@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from calendar import monthrange
-from functools import reduce
 from itertools import combinations
 from math import ceil, comb
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -78,18 +76,16 @@ def windows_in_horizon(seasons: DataFrame, as_of: str, horizon_days: int) -> Dat
 
 
 def schedule_positions(photos: DataFrame, order: list, start: str) -> DataFrame:
-    """JOIN-29. The n-th photo goes to the n-th day of the month of start; what doesn't fit is overflow and has no position.
+    """JOIN-29. The n-th photo goes to the n-th day of the month of start; what doesn't fit is overflow. All have their position.
 
-    Only the first photos, no more than the month has days, are numbered in one window; the rest is no more than told from them.
+    order should end in a unique key; rows that repeat are photos of their own, each with its position.
     """
+    from contactsheet.operators.ranks import numbered
+
     first = F.trunc(F.lit(start).cast("date"), "month")
-    days = days_of_month(start)
-    top = photos.orderBy(*order).limit(days).withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    keys = [c for c in photos.columns]
-    placed = photos.join(F.broadcast(top.select(*(F.col(c).alias(f"top_{c}") for c in keys), "position")), reduce(and_, (F.col(c).eqNullSafe(F.col(f"top_{c}")) for c in keys)), "left")
-    placed = placed.select(*keys, "position")
-    fits = F.col("position").isNotNull()
-    return placed.withColumns({"post_date": F.when(fits, F.date_add(first, F.col("position") - 1)), "disposition": F.when(fits, "planned").otherwise("overflow")})
+    fits = F.col("position") <= days_of_month(start)
+    day = F.date_add(first, (F.col("position") - 1).cast("int"))
+    return numbered(photos, "position", order).withColumns({"post_date": F.when(fits, day), "disposition": F.when(fits, "planned").otherwise("overflow")})
 
 
 def days_of_month(start: str) -> int:
@@ -133,29 +129,29 @@ def probing(most: int) -> tuple[int, int]:
     return best[1:]
 
 
+def band_rows(word: str, most: int, probe: bool) -> Column:
+    """An array of (band, part) of a word of 64 bits: the value of each band, and, to probe, all within the radius of it."""
+    bands, radius = probing(most)
+    edges = [round(i * 64 / bands) for i in range(bands + 1)]
+    whole = F.shiftleft(F.col(word)[0], 32).bitwiseOR(F.col(word)[1])
+    turned = lambda i, part: lambda m: F.struct(F.lit(i).alias("band"), part.bitwiseXOR(m.cast("long")).alias("part"))
+    rows = []
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = F.shiftrightunsigned(whole, 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) if b - a < 64 else whole
+        masks = [sum(1 << k for k in ks) for n in range(radius + 1 if probe else 1) for ks in combinations(range(b - a), n)]
+        masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+        rows.append(F.transform(F.array(*map(F.lit, masks)), turned(i, part)))
+    return F.flatten(F.array(*rows))
+
+
 def near_words(left: DataFrame, right: DataFrame, most: int, also: list[str] | None = None) -> DataFrame:
     """Rows a, b and distance: of left (a, x) and right (b, y), words of two 32-bit halves that differ in at most so many bits; also: equal columns.
 
     The left side asks for each value of a band within the radius, the right side has its own: an equi-join on (band, value).
     """
-    bands, radius = probing(most)
-    edges, also = [round(i * 64 / bands) for i in range(bands + 1)], also or []
-    text = lambda w: F.concat(*(F.lpad(F.conv(F.col(w)[i].cast("string"), 10, 2), 32, "0") for i in (0, 1)))
-
-    def parts(word: str, probe: bool) -> Column:
-        rows = []
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            value = F.conv(F.substring(text(word), a + 1, b - a), 2, 10).cast("decimal(20,0)").cast("long") if b - a < 64 else F.conv(text(word), 2, -10).cast("long")
-            masks = [sum(1 << k for k in ks) for n in range(radius + 1 if probe else 1) for ks in combinations(range(b - a), n)]
-            masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-            rows.append(F.transform(F.array(*map(F.lit, masks)), xored(i, value)))
-        return F.flatten(F.array(*rows))
-
-    def xored(band: int, value: Column):
-        return lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m.cast("long")).alias("part"))
-
-    one = left.select("a", "x", *also, F.inline(parts("x", True)))
-    two = right.select("b", "y", *also, F.inline(parts("y", False)))
+    also = also or []
+    one = left.select("a", "x", *also, F.inline(band_rows("x", most, True)))
+    two = right.select("b", "y", *also, F.inline(band_rows("y", most, False)))
     far = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in (0, 1)), F.lit(0))
     return one.join(two, ["band", "part", *also]).where("a <> b").select("a", "b", *also, far.alias("distance")).where(F.col("distance") <= most).distinct()
 
@@ -196,6 +192,12 @@ def hamming_keepers(hashes: DataFrame, key: str, bits: str, most: int = 8) -> Da
     return classes.join(own.unionByName(first.join(own.select("rep"), "rep", "left_anti")), "rep").select(key, "keeper")
 
 
+def burst_sizes(keepers: DataFrame, key: str) -> DataFrame:
+    """STR-10. The bursts of hamming_keepers(): keepers that others are duplicates of, with the first and last id and the number of frames."""
+    out = keepers.groupBy(F.col("keeper").alias("burst")).agg(F.min(key).alias("first_id"), F.max(key).alias("last_id"), F.count(F.lit(1)).alias("frames"))
+    return out.where("frames > 1")
+
+
 def hash_classes(hashes: DataFrame, key: str, bits: str) -> DataFrame:
     """Each image with the representative of its hash, the least id that has it."""
     reps = hashes.groupBy(bits).agg(F.min(key).alias("rep"))
@@ -212,9 +214,11 @@ def nearest_in_section(left: DataFrame, right: DataFrame, section: str, most: in
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once, in the session's checkpoint folder; where none is set, as in a shell, in its memory."""
+    """df, computed once, in the session's checkpoint folder; where none is set and Spark runs in this process alone, in its memory."""
     if df.sparkSession.sparkContext.getCheckpointDir() or (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
         if not df.sparkSession.sparkContext.getCheckpointDir():
             df.sparkSession.sparkContext.setCheckpointDir(folder)
         return df.checkpoint()
+    if not df.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return df.persist()

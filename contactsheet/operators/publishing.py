@@ -142,10 +142,13 @@ def gallery_stats(galleries: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def license_totals(licenses: DataFrame, usage: str, amount: str, licensed: Column, as_of: str) -> DataFrame:
-    """AGG-42. Licences, revenue and mean amount by usage type (null: unspecified) from the year's start on, and all, named null."""
+    """AGG-42. period, usage_type, licenses, revenue and mean: from the year's start on by usage type (null: unspecified) and all (null), and
+    all of all time."""
     start = F.trunc(F.lit(as_of).cast("date"), "year")
-    kind = F.coalesce(F.col(usage), F.lit("unspecified"))
-    return licenses.where(licensed >= start).rollup(kind.alias("usage_type")).agg(F.count(F.lit(1)).alias("licenses"), F.round(F.coalesce(F.sum(amount), F.lit(0.0)), 2).alias("revenue"), F.round(F.coalesce(F.avg(amount), F.lit(0.0)), 2).alias("mean"))
+    figures = [F.count(F.lit(1)).alias("licenses"), F.round(F.coalesce(F.sum(amount), F.lit(0.0)), 2).alias("revenue"), F.round(F.coalesce(F.avg(amount), F.lit(0.0)), 2).alias("mean")]
+    year = licenses.where(licensed >= start).rollup(F.coalesce(F.col(usage), F.lit("unspecified")).alias("usage_type")).agg(*figures)
+    ever = licenses.agg(*figures).select(F.lit("all_time").alias("period"), F.lit(None).cast("string").alias("usage_type"), "licenses", "revenue", "mean")
+    return year.select(F.lit("year").alias("period"), *year.columns).unionByName(ever)
 
 
 def retired(items: DataFrame, keys: DataFrame, section: str, index: str, key: str) -> DataFrame:

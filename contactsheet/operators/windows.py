@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactsheet.operators.ranks import best, ranked
+
 
 def share_within(df: DataFrame, group: Column, name: str, value: str) -> DataFrame:
     """WIN-01. Rows by group and value, with percent of the group's."""
@@ -26,8 +28,8 @@ def flag_top(df: DataFrame, group: str, score: Column, key: str, top: int, flag:
 
 def stratified(df: DataFrame, tier: Column, key: str, k: int, seed: int = 0) -> DataFrame:
     """WIN-04. So many rows of each tier, by a hash of key and seed: the same at every run. Rows without a tier are left out."""
-    w = Window.partitionBy("tier").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    return df.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
+    return best(df.withColumn("tier", tier).where("tier IS NOT NULL"), ["tier"], order, k).drop("place")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
@@ -36,9 +38,8 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str, columns: list[str
 
 
 def queue_position(jobs: DataFrame, group: str | None, priority: str, queued: str) -> DataFrame:
-    """WIN-06. 1 and the number of jobs strictly ahead by priority, then time; equal ones share a place."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(F.desc(priority), queued)
-    return jobs.withColumn("position", F.rank().over(w))
+    """WIN-06. 1 and the number of jobs strictly ahead by priority, then time; equal ones share a place, nulls are last. No group is one task."""
+    return ranked(jobs, "position", [(priority, True), (queued, False)], [group] if group else [])
 
 
 def resequence(df: DataFrame, group: str, requested: str, old: str, key: str) -> DataFrame:

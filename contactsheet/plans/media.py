@@ -39,6 +39,8 @@ def query(sql: str | None = None):
     """Registers a query under its function's name, with the SQL that gives the same rows."""
 
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -337,21 +339,26 @@ def join_calendar_spine(spark, d):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS position FROM part WHERE p_size = 7)
-SELECT p_partkey, position::INT AS position, CASE WHEN position <= 28 THEN (DATE '2001-02-01' + (position - 1)::INT)::VARCHAR END AS post_date,
+WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS position FROM part)
+SELECT p_partkey, position, CASE WHEN position <= 28 THEN (DATE '2001-02-01' + (position - 1)::INT)::VARCHAR END AS post_date,
  CASE WHEN position <= 28 THEN 'planned' ELSE 'overflow' END AS disposition FROM p""")
 def join_schedule_positions(spark, d):
-    picks = table(spark, d, "part").where("p_size = 7").select("p_partkey", "p_retailprice")
+    picks = table(spark, d, "part").select("p_partkey", "p_retailprice")
     return J.schedule_positions(picks, [F.desc("p_retailprice"), F.col("p_partkey")], "2001-02-10").drop("p_retailprice").withColumn("post_date", F.col("post_date").cast("string"))
 
 
 @query("""
-WITH s(label, a, b, t) AS (VALUES ('n0', '01-10', '02-15', 0), ('n1', '03-01', '04-01', 0), ('n2', '06-15', '09-01', 0), ('n3', '11-20', '01-05', 1), ('n4', '07-15', '08-01', 0)),
-w AS (SELECT label, (y || '-' || a)::DATE AS "start", ((y + t) || '-' || b)::DATE AS "end" FROM s, (VALUES (2001), (2002)) v(y))
-SELECT label, "start"::VARCHAR AS "start", "end"::VARCHAR AS "end", greatest(date_diff('day', DATE '2001-06-01', w."start"), 0)::INT AS days_away FROM w WHERE w."end" >= DATE '2001-06-01' AND w."start" <= DATE '2001-06-01' + 60""")
+WITH m AS (SELECT o_orderpriority AS label, min(strftime(o_orderdate, '%m-%d')) FILTER (WHERE o_orderkey % 97 < 3) AS x, max(strftime(o_orderdate, '%m-%d')) FILTER (WHERE o_custkey % 89 < 9 AND month(o_orderdate) < 10) AS y FROM orders GROUP BY 1),
+s AS (SELECT label, CASE WHEN label < '3' THEN y ELSE x END AS a, CASE WHEN label < '3' THEN x ELSE y END AS b FROM m),
+w AS (SELECT label, try_cast(y || '-' || a AS DATE) AS "start", try_cast((y + CASE WHEN b < a THEN 1 ELSE 0 END) || '-' || b AS DATE) AS "end" FROM s, (VALUES (2001), (2002)) v(y))
+SELECT label, "start"::VARCHAR AS "start", "end"::VARCHAR AS "end", greatest(date_diff('day', DATE '2001-06-01', w."start"), 0)::INT AS days_away FROM w WHERE w."end" >= DATE '2001-06-01' AND w."start" <= DATE '2001-06-01' + 150""")
 def join_season_windows(spark, d):
-    seasons = [("n0", "01-10", "02-15"), ("n1", "03-01", "04-01"), ("n2", "06-15", "09-01"), ("n3", "11-20", "01-05"), ("n4", "07-15", "08-01")]
-    out = J.windows_in_horizon(spark.createDataFrame(seasons, "label string, start_md string, end_md string"), AS_OF, 60)
+    """JOIN-28, SET-04. A genre's season is from the first to the last day of the year on which some of its orders came; two run over the year's end."""
+    day = F.date_format("o_orderdate", "MM-dd")
+    m = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.min(F.when(F.expr("o_orderkey % 97 < 3"), day)).alias("x"), F.max(F.when(F.expr("o_custkey % 89 < 9 AND month(o_orderdate) < 10"), day)).alias("y"))
+    over = F.col("label") < "3"
+    seasons = m.select("label", F.when(over, F.col("y")).otherwise(F.col("x")).alias("start_md"), F.when(over, F.col("x")).otherwise(F.col("y")).alias("end_md"))
+    out = J.windows_in_horizon(seasons, AS_OF, 150)
     return out.withColumns({"start": F.col("start").cast("string"), "end": F.col("end").cast("string")})
 
 
@@ -386,17 +393,33 @@ def join_hamming_nearest(spark, d):
     return J.nearest_in_section(h, h.withColumnRenamed("id", "other"), "label", 24)
 
 
-@query("""
-WITH RECURSIVE h AS (SELECT vec_id AS id, list_transform(embedding[1:24], lambda x: x > 0) AS b FROM embeddings),
-p AS (SELECT y.id, x.id AS early FROM h x JOIN h y ON x.id < y.id AND len(list_filter(range(1, 25), lambda i: x.b[i] <> y.b[i])) <= 4),
+#: Images of a burst: of each four vectors the last three are the first one with up to nine of its signs turned.
+BURST_SQL = """h AS (SELECT y.vec_id AS id, y.label, list_transform(range(1, 65), lambda i: (x.embedding[i] > 0) <> (y.vec_id % 4 > 0 AND (i * 7 + y.vec_id) % 64 < (y.vec_id // 4 + y.vec_id % 4 * 5) % 10)) AS b
+ FROM embeddings y JOIN embeddings x ON x.vec_id = y.vec_id - y.vec_id % 4)"""
+
+
+def bursts(spark, d) -> DataFrame:
+    """vec_id, label and bits of BURST_SQL."""
+    e = table(spark, d, "embeddings")
+    first = e.select(F.col("vec_id").alias("of"), F.col("embedding").alias("x"))
+    both = e.select("vec_id", "label").join(first, F.expr("of = vec_id - vec_id % 4"))
+    turned = F.expr("transform(x, (v, i) -> IF((v > 0) <> (vec_id % 4 > 0 AND ((i + 1) * 7 + vec_id) % 64 < (vec_id div 4 + vec_id % 4 * 5) % 10), 1, -1))")
+    return both.select("vec_id", "label", J.bits_of(turned).alias("bits"))
+
+
+KEEPERS_SQL = f"""
+WITH RECURSIVE {BURST_SQL},
+p AS (SELECT y.id, x.id AS early FROM h x JOIN h y ON x.id < y.id AND len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) <= 8),
 n AS (SELECT h.id, row_number() OVER (ORDER BY h.id) AS r, coalesce(any_value(l.near), []) AS near FROM h LEFT JOIN (SELECT id, list(early) AS near FROM p GROUP BY id) l ON l.id = h.id GROUP BY h.id),
 s(i, keepers) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT i + 1, CASE WHEN list_has_any(keepers, near) THEN keepers ELSE list_append(keepers, id) END FROM s JOIN n ON r = i + 1),
 k AS (SELECT keepers FROM s ORDER BY i DESC LIMIT 1)
-SELECT id AS vec_id, coalesce(list_min(list_intersect(near, keepers)), id) AS keeper FROM n, k""")
+SELECT id AS vec_id, coalesce(list_min(list_intersect(near, keepers)), id) AS keeper FROM n, k"""
+
+
+@query(KEEPERS_SQL)
 def join_hamming_keepers(spark, d):
-    """On words of 24 bits, which are often near."""
-    e = table(spark, d, "embeddings").select("vec_id", F.concat(F.slice("embedding", 1, 24), F.array_repeat(F.lit(-1.0).cast("float"), 40)).alias("v"))
-    return J.hamming_keepers(e.select("vec_id", J.bits_of(F.col("v")).alias("bits")), "vec_id", "bits", 4)
+    """JOIN-23. All 64 bits, at the reference's distance."""
+    return J.hamming_keepers(bursts(spark, d).select("vec_id", "bits"), "vec_id", "bits", 8)
 
 
 @query("""
@@ -447,10 +470,11 @@ def win_latest_per_key(spark, d):
     return W.latest_per_key(table(spark, d, "events"), ["user_id", "event_type"], "event_id", ["ts", "value"])
 
 
-@query("SELECT event_id, event_type, rank() OVER (PARTITION BY event_type ORDER BY user_id % 5 DESC, ts)::INT AS position FROM events")
+@query("SELECT event_id, event_type, rank() OVER (PARTITION BY event_type ORDER BY user_id % 5 DESC, ts) AS position, rank() OVER (ORDER BY user_id % 5 DESC, ts) AS overall FROM events")
 def win_queue_position(spark, d):
     jobs = table(spark, d, "events").withColumn("priority", F.col("user_id") % 5)
-    return W.queue_position(jobs, "event_type", "priority", "ts").select("event_id", "event_type", "position")
+    jobs = W.queue_position(jobs, "event_type", "priority", "ts").withColumnRenamed("position", "of_type")
+    return W.queue_position(jobs, None, "priority", "ts").select("event_id", "event_type", F.col("of_type").alias("position"), F.col("position").alias("overall"))
 
 
 @query("""

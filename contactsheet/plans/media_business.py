@@ -9,7 +9,6 @@ from contactsheet.functions import text as T
 from contactsheet.operators import business as B
 from contactsheet.operators import jobs as Q
 from contactsheet.plans.media import paid, query, table
-from contactsheet.plans.media_more import JOBS, jobs_of
 
 c = F.col
 
@@ -60,23 +59,6 @@ def srt_season_boost(spark, d):
     return B.season_boosted(table(spark, d, "part"), c("p_retailprice") / 1000, c("p_type"), ["PROMO", "SMALL"]).select("p_partkey", "boosted")
 
 
-@query(f"""
-WITH j AS ({JOBS}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, job_type ORDER BY id DESC) AS r FROM j) WHERE r = 1),
-i AS (SELECT c_custkey AS image_id, CASE WHEN c_acctbal < 0 THEN 'fail' WHEN c_acctbal > 1000 THEN 'pass' END AS p1, CASE WHEN c_acctbal > 4000 THEN 1 END AS p2, c_acctbal / 1000 AS score, CASE WHEN c_acctbal > 8000 THEN 1 END AS p3 FROM customer),
-s AS (SELECT image_id, CASE WHEN p1 IS NULL THEN 'click' WHEN p1 <> 'pass' THEN 'stopped' WHEN p2 IS NULL THEN 'view' WHEN score < 6 THEN 'below_threshold' WHEN p3 IS NULL THEN 'search' ELSE 'done' END AS stage FROM i)
-SELECT image_id, stage, CASE WHEN stage IN ('stopped', 'below_threshold', 'done') THEN stage WHEN status IS NULL THEN 'not_queued' WHEN status = 'running' THEN 'running' WHEN status = 'error' AND attempts >= 3 THEN 'failed_for_good'
- WHEN status = 'error' THEN 'will_retry' WHEN status = 'queued' THEN 'waiting' ELSE 'promotion_pending' END AS why FROM s LEFT JOIN l ON l.image_id = s.image_id AND l.job_type = s.stage""".replace("SELECT image_id, stage, CASE WHEN stage", "SELECT s.image_id, stage, CASE WHEN stage"))
-def prj_why_blocked(spark, d):
-    b = c("c_acctbal")
-    images = table(spark, d, "customer").select(
-        c("c_custkey").alias("image_id"), F.when(b < 0, "fail").when(b > 1000, "pass").alias("pass1_status"), F.when(b > 4000, 1).alias("pass2_at"), (b / 1000).alias("score"), F.when(b > 8000, 1).alias("pass3_at")
-    )
-    names = F.create_map(*map(F.lit, ["click", "pass1", "view", "pass2", "search", "pass3"]))
-    jobs = jobs_of(spark, d).withColumn("job_type", F.coalesce(names[c("job_type")], c("job_type")))
-    back = F.create_map(*map(F.lit, ["pass1", "click", "pass2", "view", "pass3", "search"]))
-    return B.why_blocked(images, Q.latest_jobs(jobs)).withColumn("stage", F.coalesce(back[c("stage")], c("stage")))
-
-
 @query("""
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE value > 195) AS critical,
  CASE WHEN count(*) FILTER (WHERE value > 195) > 0 THEN 'red' WHEN count(*) FILTER (WHERE event_type = 'error') > 3 THEN 'yellow' ELSE 'green' END AS health FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts)""")

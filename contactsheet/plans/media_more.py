@@ -266,9 +266,9 @@ def str_stale_heartbeats(spark, d):
 
 
 @query(f"""
-WITH j AS ({JOBS}) SELECT id FROM j WHERE job_type = 'click' AND status = 'queued' AND attempts < 3 AND priority >= 3 AND image_id % 7 <> 0 ORDER BY priority DESC, queued_at, id LIMIT 50""")
+WITH j AS ({JOBS}) SELECT id FROM j WHERE job_type = 'click' AND status = 'queued' AND attempts < 3 AND priority >= 3 AND image_id % 7 <> 0 AND image_id IN (SELECT c_custkey FROM customer) ORDER BY priority DESC, queued_at, id LIMIT 50""")
 def mut_fetch_batch(spark, d):
-    images = spark.range(0, 1000).select("id", F.expr("CASE WHEN id % 7 = 0 THEN 'corrupt' WHEN id % 5 = 0 THEN NULL ELSE 'pass' END AS pass1_status"))
+    images = table(spark, d, "customer").select(c("c_custkey").alias("id")).select("id", F.expr("CASE WHEN id % 7 = 0 THEN 'corrupt' WHEN id % 5 = 0 THEN NULL ELSE 'pass' END AS pass1_status"))
     return Q.fetch_batch(jobs_of(spark, d), images, "click", 50, 3).select("id")
 
 
@@ -302,20 +302,6 @@ def str_rolling_throughput(spark, d):
 # Kernels and streams
 
 
-@query()
-def udf_cull_scores(spark, d):
-    """UDF-01 to UDF-09 on the embeddings as grey images of 8 x 8 pixels: no SQL, tests hold the kernels against known images."""
-    from contactsheet.functions import kernels as K
-
-    e = table(spark, d, "embeddings")
-    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.round(x * 40 + 128), F.lit(0)), F.lit(255)).cast("int")), 2, "0"))
-    images = e.select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(grey, "")).alias("pixels"))
-    scored = K.cull_scores(K.signals(images, "vec_id"))
-    blend = S.blend({k: c(k) for k in S.CULL_WEIGHTS}, S.CULL_WEIGHTS)
-    out = scored.withColumn("cull_score", F.when(c("blank_frame"), 0.0).otherwise(blend))
-    return out.select("vec_id", "cull_score", S.cull_status(c("cull_score"), c("vec_id") % 2 == 0).alias("status"), F.round(K.symmetry_score(c("mirror")), 3).alias("symmetry"), "phash")
-
-
 @query("""
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * i FOR i IN range(0, 8)]) AS s FROM events) GROUP BY 1""")
 def str_stream_rolling(spark, d):

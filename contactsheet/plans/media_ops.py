@@ -15,7 +15,8 @@ from contactsheet.operators import filters as L
 from contactsheet.operators import jobs as Q
 from contactsheet.operators import joins as J
 from contactsheet.operators import publishing as P
-from contactsheet.plans.media import paid, query, table
+from contactsheet.operators.ranks import numbered
+from contactsheet.plans.media import KEEPERS_SQL, bursts, paid, query, table
 
 c = F.col
 
@@ -191,10 +192,21 @@ def mut_seed_queue(spark, d):
     return Q.seeded(images(spark, d), jobs(spark, d).where(done), top=30)
 
 
-@query(f"WITH {WITH} SELECT id AS image_id FROM i WHERE false")
+@query(f"""
+WITH {WITH}, v AS (SELECT * FROM j WHERE image_id % 4 > 1 OR status = 'complete'), o AS (SELECT image_id % 4 AS queue, count(*) FILTER (WHERE job_type IN ('pass1', 'pass2') AND status IN ('queued', 'running')) AS active FROM v GROUP BY 1),
+r AS (SELECT id % 4 AS queue, id FROM i WHERE nima >= 6 AND pass2_at IS NOT NULL AND pass3_at IS NULL AND NOT EXISTS (SELECT 1 FROM v WHERE v.image_id = i.id AND job_type = 'pass3' AND status IN ('queued', 'running', 'complete'))
+ QUALIFY row_number() OVER (PARTITION BY id % 4 ORDER BY nima DESC, id) <= 20)
+SELECT o.queue, active, count(id) AS seeded, min(id) AS first_id FROM o LEFT JOIN r ON r.queue = o.queue AND active = 0 GROUP BY ALL""")
 def mut_seed_queue_gated(spark, d):
-    """MUT-18. pass1 and pass2 have active jobs: nothing is seeded."""
-    return Q.seeded(images(spark, d), jobs(spark, d)).select("image_id")
+    """MUT-18. Of four queues two are drained and are seeded; the others have active jobs and add nothing."""
+    i, j = images(spark, d).withColumn("lr_pick", F.lit(None).cast("string")), jobs(spark, d).where("image_id % 4 > 1 OR status = 'complete'")
+    out = []
+    for q in range(4):
+        mine = j.where(f"image_id % 4 = {q}")
+        new = Q.seeded(i.where(f"id % 4 = {q}"), mine, top=20).agg(F.count(F.lit(1)).alias("seeded"), F.min("image_id").alias("first_id"))
+        active = mine.agg(F.lit(q).cast("long").alias("queue"), F.count_if(c("job_type").isin("pass1", "pass2") & c("status").isin(Q.ACTIVE)).alias("active"))
+        out.append(active.crossJoin(new))  # one row each
+    return union(*out)
 
 
 @query(f"WITH {WITH} SELECT id FROM i WHERE pass3_model = 'small' AND pass3_at IS NOT NULL AND print_worthy AND nima >= 4 ORDER BY nima DESC, id LIMIT 100")
@@ -267,20 +279,17 @@ def str_due_posts(spark, d):
 
 
 @query(f"""
-WITH {WITH}, w AS (SELECT row_number() OVER (ORDER BY (p_partkey * 31) % 997, p_partkey) AS n, CASE WHEN p_partkey % 6 = 0 THEN '/gone/' || p_partkey ELSE file_path END AS file_path FROM part JOIN i ON i.id = p_partkey WHERE p_size = 7),
-f AS (SELECT DISTINCT post_date FROM p WHERE status IN ('posted', 'scheduled') AND post_time = 'morning'),
-k AS (SELECT n, w.file_path, CASE WHEN n <= 30 THEN DATE '2001-06-01' + (n - 1)::INT END AS post_date, i.id AS image_id, genre FROM w LEFT JOIN i ON i.file_path = w.file_path)
-SELECT n AS position, file_path, k.post_date::VARCHAR AS post_date, image_id, CASE WHEN n > 30 THEN 'overflow' WHEN image_id IS NULL THEN 'unresolved' WHEN lower(genre) = 'boudoir' THEN 'private' WHEN f.post_date IS NOT NULL THEN 'protected' ELSE 'created' END AS disposition
+WITH {WITH}, i2 AS (SELECT * REPLACE (CASE WHEN id % 5 = 1 THEN 'Boudoir' ELSE genre END AS genre) FROM i), w AS (SELECT row_number() OVER (ORDER BY (p_partkey * 31) % 997, p_partkey) AS n, CASE WHEN p_partkey % 6 = 0 THEN '/gone/' || p_partkey ELSE file_path END AS file_path FROM part JOIN i2 i ON i.id = p_partkey),
+f AS (SELECT DISTINCT post_date FROM p WHERE status IN ('posted', 'scheduled') AND post_time = 'morning' AND post_id % 64 < 4),
+k AS (SELECT n, w.file_path, CASE WHEN n <= 30 THEN DATE '2001-06-01' + (n - 1)::INT END AS post_date, i.id AS image_id, i.genre FROM w LEFT JOIN i2 i ON i.file_path = w.file_path)
+SELECT n AS position, file_path, k.post_date::VARCHAR AS post_date, image_id, CASE WHEN n > 30 THEN 'overflow' WHEN image_id IS NULL THEN 'unresolved' WHEN lower(k.genre) = 'boudoir' THEN 'private' WHEN f.post_date IS NOT NULL THEN 'protected' ELSE 'created' END AS disposition
 FROM k LEFT JOIN f ON f.post_date = k.post_date""")
 def mut_month_sync(spark, d):
     """MUT-12, JOIN-29."""
-    from pyspark.sql import Window
-
-    i = images(spark, d)
-    some = table(spark, d, "part").where("p_size = 7").select("p_partkey").join(i, c("p_partkey") == c("id"))
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c("p_partkey") * 31 % 997, "p_partkey"))  # the order in which a person has put them
-    wanted = some.select(n.cast("long").alias("position"), F.when(c("id") % 6 == 0, F.concat(F.lit("/gone/"), c("id").cast("string"))).otherwise(c("file_path")).alias("file_path"))
-    return P.month_plan(wanted, i, posts(spark, d), "2001-06-01").withColumn("post_date", c("post_date").cast("string"))
+    i = images(spark, d).withColumn("genre", F.expr("CASE WHEN id % 5 = 1 THEN 'Boudoir' ELSE genre END"))
+    put = numbered(i, "position", [c("id") * 31 % 997, c("id")])  # the order in which a person has put them
+    wanted = put.select("position", F.when(c("id") % 6 == 0, F.concat(F.lit("/gone/"), c("id").cast("string"))).otherwise(c("file_path")).alias("file_path"))
+    return P.month_plan(wanted, i, posts(spark, d).where("post_id % 64 < 4"), "2001-06-01").withColumn("post_date", c("post_date").cast("string"))
 
 
 @query(f"""
@@ -340,14 +349,14 @@ def mut_client_totals(spark, d):
 
 
 @query(f"""
-WITH {WITH}, g(genre) AS (VALUES ('PROMO'), ('LARGE'), ('SMALL'), ('FILM')), r AS (SELECT genre FROM i WHERE posted_at >= DATE '2001-05-01' AND genre IS NOT NULL UNION SELECT genre FROM p WHERE status = 'posted' AND post_date >= DATE '2001-05-01' AND genre IS NOT NULL),
+WITH i0 AS (SELECT {', '.join(IMAGE_COLUMNS)} FROM part), i AS (SELECT * FROM i0 WHERE posted_at IS NULL OR mood <> 'mood3'), p0 AS (SELECT {', '.join(POST_COLUMNS)} FROM orders), p AS (SELECT * FROM p0 WHERE genre <> 'SMALL' OR post_id % 8 = 0), g(genre) AS (VALUES ('PROMO'), ('LARGE'), ('SMALL'), ('FILM')), r AS (SELECT genre FROM i WHERE posted_at >= DATE '2001-05-01' AND genre IS NOT NULL UNION SELECT genre FROM p WHERE status = 'posted' AND post_date >= DATE '2001-05-01' AND genre IS NOT NULL),
 c AS (SELECT genre, count(*) AS n FROM p WHERE post_date >= DATE '2001-05-01' AND genre IS NOT NULL GROUP BY 1), y AS (SELECT genre, count(*) AS ready FROM i WHERE content_ready AND genre IS NOT NULL GROUP BY 1)
 SELECT 'missing_genre' AS kind, g.genre AS name, coalesce(ready, 0) AS ready FROM g LEFT JOIN y ON y.genre = g.genre WHERE g.genre NOT IN (SELECT genre FROM r)
 UNION ALL SELECT 'underrepresented_genre', g.genre, coalesce(ready, 0) FROM g LEFT JOIN y ON y.genre = g.genre LEFT JOIN c ON c.genre = g.genre WHERE g.genre IN (SELECT genre FROM r) AND coalesce(n, 0) < coalesce((SELECT avg(n) FROM c), 0) * 0.5
 UNION ALL SELECT 'unexplored_mood', mood, count(*) FROM i WHERE content_ready AND mood IS NOT NULL AND mood NOT IN (SELECT mood FROM i WHERE posted_at >= DATE '2001-05-01' AND mood IS NOT NULL) GROUP BY mood""")
-def agg_content_gaps(spark, d):
+def agg_library_gaps(spark, d):
     """AGG-35."""
-    return P.content_gaps(images(spark, d), posts(spark, d), ["PROMO", "LARGE", "SMALL", "FILM"], "2001-05-01")
+    return P.content_gaps(images(spark, d).where("posted_at IS NULL OR mood <> 'mood3'"), posts(spark, d).where("genre <> 'SMALL' OR post_id % 8 = 0"), ["PROMO", "LARGE", "SMALL", "FILM"], "2001-05-01")
 
 
 @query(f"WITH {WITH} SELECT 'ready' AS what, genre AS name, count(*) AS n FROM i WHERE content_ready AND posted_at IS NULL GROUP BY genre UNION ALL SELECT 'calendar', post_time, count(*) FROM p WHERE status <> 'posted' GROUP BY post_time")
@@ -382,8 +391,9 @@ def agg_grid_histogram(spark, d):
 
 
 @query("""
-WITH l AS (SELECT CASE WHEN l_linenumber <= 3 THEN l_returnflag END AS u, l_extendedprice AS a FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01')
-SELECT coalesce(u, 'unspecified') AS usage_type, count(*) AS licenses, round(coalesce(sum(a), 0), 2) AS revenue, round(coalesce(avg(a), 0), 2) AS mean FROM l GROUP BY 1 UNION ALL SELECT NULL, count(*), round(coalesce(sum(a), 0), 2), round(coalesce(avg(a), 0), 2) FROM l""")
+WITH e AS (SELECT CASE WHEN l_linenumber <= 3 THEN l_returnflag END AS u, l_extendedprice AS a, l_shipdate FROM lineitem), l AS (SELECT * FROM e WHERE l_shipdate >= TIMESTAMP '2001-01-01')
+SELECT 'year' AS period, coalesce(u, 'unspecified') AS usage_type, count(*) AS licenses, round(coalesce(sum(a), 0), 2) AS revenue, round(coalesce(avg(a), 0), 2) AS mean FROM l GROUP BY 2 UNION ALL SELECT 'year', NULL, count(*), round(coalesce(sum(a), 0), 2), round(coalesce(avg(a), 0), 2) FROM l
+UNION ALL SELECT 'all_time', NULL, count(*), round(coalesce(sum(a), 0), 2), round(coalesce(avg(a), 0), 2) FROM e""")
 def agg_license_totals(spark, d):
     """AGG-42."""
     licenses = table(spark, d, "lineitem").withColumn("usage", F.when(c("l_linenumber") <= 3, c("l_returnflag")))
@@ -419,20 +429,11 @@ def _by(*order):
     return Window.partitionBy(F.lit(0)).orderBy(*order)
 
 
-@query("""
-WITH h AS (SELECT vec_id, label, embedding[1:24] AS e FROM embeddings), s AS (SELECT vec_id, label, lag(list_transform(e, lambda x: x > 0)) OVER (PARTITION BY label ORDER BY vec_id) AS b, list_transform(e, lambda x: x > 0) AS a FROM h),
-f AS (SELECT vec_id, label, CASE WHEN b IS NOT NULL AND len(list_filter(range(1, 25), lambda i: a[i] <> b[i])) <= 8 THEN 0 ELSE 1 END AS new FROM s)
-SELECT vec_id, sum(new) OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS burst FROM f""")
+@query(f"SELECT keeper AS burst, min(vec_id) AS first_id, max(vec_id) AS last_id, count(*) AS frames FROM ({KEEPERS_SQL}) GROUP BY keeper HAVING count(*) > 1")
 def str_bursts(spark, d):
-    """STR-10: frames of a camera that follow each other and look alike are one burst."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("label").orderBy("vec_id")
-    bits = F.transform(F.slice("embedding", 1, 24), lambda x: x > 0)
-    e = table(spark, d, "embeddings").select("vec_id", "label", bits.alias("a"), F.lag(bits).over(w).alias("b"))
-    apart = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x != y), lambda x: x))
-    new = F.when(c("b").isNotNull() & (apart <= 8), 0).otherwise(1)
-    return e.withColumn("new", new).select("vec_id", F.sum("new").over(w).alias("burst"))
+    """STR-10. A burst is a keeper and the images that are duplicates of it."""
+    found = J.hamming_keepers(bursts(spark, d).select("vec_id", "bits"), "vec_id", "bits", 8)
+    return J.burst_sizes(found, "vec_id")
 
 
 # Expressions
@@ -476,11 +477,12 @@ def fn_golden_hours(spark, d):
 
 
 @query(r"""
-SELECT page_id, replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE regexp_extract(html, '<h1>([^<]*)</h1>', 1) NOT LIKE '%&#%' AND regexp_extract(html, '<h1>([^<]*)</h1>', 1) NOT LIKE '%&quot;%'""")
+WITH t AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' &#8217;&#x1F600;&copy;&notit;&amp;lt;' AS t FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&#8217;', chr(8217)), '&#x1F600;', chr(128512)), '&copy;', chr(169)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS title FROM t""")
 def fn_html_unescape(spark, d):
-    """str-html."""
-    p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("t"))
-    return p.where("t NOT LIKE '%&#%' AND t NOT LIKE '%&quot;%'").select("page_id", T.unescaped(c("t")).alias("title"))
+    """str-html: all titles, with references by name and by number; a name that there isn't stays, and nothing is decoded twice."""
+    p = table(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit(" &#8217;&#x1F600;&copy;&notit;&amp;lt;")).alias("t"))
+    return p.select("page_id", T.unescaped(c("t")).alias("title"))
 
 
 @query("""

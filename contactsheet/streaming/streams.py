@@ -59,17 +59,25 @@ def stale_jobs(beats: DataFrame, job: str, ts: str, minutes: int = 5, watermark:
     return keyed.groupBy("job").applyInPandasWithState(watch, "job long, last_beat timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def due_posts(ticks: DataFrame, posts: DataFrame, ts: str, minutes: int = 15, watermark: str = WATERMARK) -> DataFrame:
-    """STR-06. Posts within so many minutes of a tick, each once. A genre that must not be published never is."""
-    ok = posts.where(F.lower("genre") != "boudoir")
-    near = F.abs(F.unix_timestamp(F.col(ts)) - F.unix_timestamp(F.col("scheduled_at"))) <= minutes * 60
-    return ticks.withWatermark(ts, watermark).join(ok, near).dropDuplicates(["post_id"])
+def due_posts(ticks: DataFrame, posts: DataFrame, ts: str, minutes: int = 15, watermark: str = "1 hour") -> DataFrame:
+    """STR-06. post_id, scheduled_at and genre of posts within so many minutes of a tick, each once. A genre that must not be published never is.
+
+    posts: post_id, scheduled_at, genre. An equi-join on buckets of time of that length: a tick asks its own and both neighbours. A post
+    is met by ticks of twice that time at most, so that the watermark, which must be longer, bounds the state that keeps it single.
+    """
+    length = minutes * 60
+    bucket = lambda c: F.floor(F.unix_timestamp(c) / length)
+    ok = posts.where(F.coalesce(F.lower("genre") != "boudoir", F.lit(True))).withColumn("bucket", bucket(F.col("scheduled_at")))
+    asked = ticks.withWatermark(ts, watermark).withColumn("bucket", F.explode(F.array(*(bucket(F.col(ts)) + i for i in (-1, 0, 1)))))
+    near = asked.join(ok, "bucket").where(F.abs(F.unix_timestamp(F.col(ts)) - F.unix_timestamp("scheduled_at")) <= length)
+    return near.dropDuplicatesWithinWatermark(["post_id"]).select("post_id", "scheduled_at", "genre")
 
 
 def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there and ends; the result is in parquet files. In complete mode the last one is whole."""
+    """Runs a stream over all that is there and ends; the result is in parquet files. In complete mode the last one is whole, in append
+    mode each batch has a folder of its own, which it replaces when it runs again."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(folder)
+        batch.write.mode("overwrite").parquet(folder if mode == "complete" else f"{folder}/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -6,7 +6,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from contactsheet.functions import kernels, scoring, text
+from contactsheet.functions import composition, kernels, scoring, text
 from contactsheet.operators import compare, filters, jobs, joins, windows
 from contactsheet.sources import files
 from contactsheet.streaming import streams
@@ -125,7 +125,7 @@ def test_kernels():
     image = np.random.default_rng(4).integers(0, 200, (64, 64)).astype(np.uint8)
     bits = lambda a, b: bin((kernels.perceptual_hash(a) ^ kernels.perceptual_hash(b)) % (1 << 64)).count("1")
     assert bits(image, image + 20) <= 2 and bits(image, image[:, ::-1]) > 8
-    assert abs(kernels.similarity(ramp, ramp) - 1) < 1e-9
+    assert abs(composition.similarity(ramp, ramp) - 1) < 1e-9
     step = np.zeros((40, 40), np.uint8)
     step[:, 20:] = 255
     assert 0 < kernels.edge_fraction(step) < 0.1

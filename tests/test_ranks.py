@@ -35,3 +35,11 @@ def test_ranked_shares_places(spark, rows):
 
 def test_empty(spark):
     assert ranks.numbered(spark.createDataFrame([], "id long, g string"), "n", [F.col("id")]).count() == 0
+
+
+def test_best_of_a_hot_group(spark, rows):
+    df = spark.createDataFrame(rows, "id long, g string, x int, v long").repartition(5)
+    got = {(r.g, r.place): r.id for r in ranks.best(df, ["g"], [F.desc_nulls_last("x"), F.col("id")], 7, salts=4).collect()}
+    for g in ("a", "b", None):
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (-(r[2] or 0), r[0]))[:7]
+        assert [got[g, i] for i in range(1, 8)] == [r[0] for r in mine]
