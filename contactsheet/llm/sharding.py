@@ -109,7 +109,36 @@ def pack_into(sizes: list[int], shards: int) -> list[int]:
         step = max(step, (capacity - low) // 8)
     for i, b in zip(rest, bins if bins and capacity < left else pack(mine, max(left, 1)), strict=True):
         out[i] = own + b
-    return out
+    return evened(sizes, out, shards)
+
+
+def evened(sizes: list[int], bins: list[int], shards: int) -> list[int]:
+    """The bins after moves that each bring two of them nearer to each other: an item goes from a fuller bin to the emptiest one, the one
+    that leaves the two most alike. The tightest bins are taken first in packing, so that some may have been left empty."""
+    out, held = list(bins), [[] for _ in range(shards)]
+    for i, b in enumerate(bins):
+        held[b].append((sizes[i], i))
+    load = [sum(s for s, _ in h) for h in held]
+    for h in held:
+        h.sort()
+    while True:
+        low = min(range(shards), key=lambda b: (load[b], b))
+        best = None
+        for b in range(shards):
+            gap = load[b] - load[low]
+            at = bisect_left(held[b], (gap // 2, -1))
+            for k in (at - 1, at):
+                if 0 <= k < len(held[b]) and 0 < held[b][k][0] < gap:
+                    # By how much the larger of the two falls, the fullest bin first.
+                    gain = (load[b], min(held[b][k][0], gap - held[b][k][0]))
+                    if best is None or gain > best[0]:
+                        best = (gain, b, k)
+        if best is None:
+            return out
+        _, b, k = best
+        item = held[b].pop(k)
+        insort(held[low], item)
+        load[b], load[low], out[item[1]] = load[b] - item[0], load[low] + item[0], low
 
 
 def _per_part(capacity: int):
@@ -153,7 +182,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", bundles: int = B
     """docs' doc_id with size long (UTF-8 bytes of the text and one), text_crc32, law, shard int, slot long and grown_shard (null).
 
     Rows of equal texts (null and empty are two texts) go to one shard, whatever their number. Slots count from 0 in each shard without
-    gaps, by doc_id, null ones first, then by text. Repeated rows each get a slot. The result is the same at every run up to the order
+    gaps, by doc_id, null ones first, then by text. Repeated rows each get a slot. A shard is empty only where there are fewer groups than shards. The result is the same at every run up to the order
     of wholly equal rows. An empty table gives an empty table. Other columns of docs are left out.
     """
     spark = docs.sparkSession

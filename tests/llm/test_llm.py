@@ -727,3 +727,17 @@ def test_pipeline_stage_by_stage(spark, tables):
     a, b = frames["sharding"]
     assert len(a) == len(b) and b.groupby("doc_id").shard.nunique().max() == 1
     assert p.run(spark, tables).count() == len(b)
+
+
+def test_packing_leaves_no_shard_empty():
+    for n in (8, 9, 12, 20, 33):
+        bins = sharding.pack_into([151] * n, 8)
+        counts = np.bincount(bins, minlength=8)
+        assert counts.min() >= 1 and counts.max() - counts.min() <= 1
+    rng = random.Random(6)
+    for _ in range(40):
+        sizes = [rng.choice([1, 2, 5, 9, 30, 100]) for _ in range(rng.randrange(3, 9))]
+        bins = sharding.pack_into(sizes, 3)
+        spread = lambda bs: (lambda c: max(c) - min(c))([sum(s for s, b in zip(sizes, bs, strict=True) if b == k) for k in range(3)])
+        least = min(spread([(x // 3**i) % 3 for i in range(len(sizes))]) for x in range(3 ** len(sizes)))
+        assert len(set(bins)) == 3 and spread(bins) <= least + sorted(sizes)[-2]
