@@ -80,6 +80,14 @@ FIRST_NAMES = COMMENT_NAMES | {
 }
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
+#: Names that articles also give to parts of their own: in one they count only as the whole of a class.
+OWN_NAMES = {
+    "share", "sharing", "social", "widget", "login", "signup", "menu", "header", "masthead", "notice", "banner", "overlay", "modal", "popup", "skip", "toolbar",
+    "subscription", "promotion", "navigation", "pager", "consent", "adv",
+}
+_CAPITALS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_COMMENTS = re.compile(r"(comment|reply|disqus)s?(list|thread|section|area|form|box|wrapper|container|block)")
+_HIDDEN = re.compile(r"(?i)\b(display\s*:\s*none|visibility\s*:\s*hidden)\b")
 #: What ends a tag, and the quoted values in which that means nothing; an attribute with its value.
 _END = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')|>")
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -152,13 +160,35 @@ class Page:
 NOTHING, OUT, HEADS, FORM = range(4)
 
 
-def _named(names: str, among: set[str], by_class: bool) -> bool:
-    """Whether a class (an id: only as a whole) is named so, or has such a last word, or such a first one of FIRST_NAMES."""
-    for name in names.lower().split():
-        words = _WORDS.findall(name)
-        if name in among or by_class and words and (words[-1] in among or words[0] in among & FIRST_NAMES):
-            return True
-    return False
+def _parts(name: str) -> list[str]:
+    """The words of a name, cut at signs and before capitals, in lower case."""
+    return [w.lower() for part in _WORDS.findall(name) for w in (_CAPITALS.findall(part) if part.isascii() else [part])]
+
+
+def _named(value: str, by_class: bool, in_article: bool, block: bool, comments_only: bool) -> int:
+    """What the names of a class or an id do to an element.
+
+    Comments are known by a name's first word too, in ids as in classes. Else outside of articles a name counts as a whole, by its last
+    word, and by its first one of FIRST_NAMES, an id only as a whole. In an article names are asked of blocks alone, words that articles
+    use for their own parts count only as the whole of a class, and what is named a header keeps its headings.
+    """
+    for name in value.split():
+        low, words = name.lower(), _parts(name)
+        if not words or in_article and not block:
+            continue
+        if low in COMMENT_NAMES or words[0] in COMMENT_NAMES or by_class and words[-1] in COMMENT_NAMES or _COMMENTS.fullmatch(low):
+            return OUT
+        if comments_only:
+            continue
+        whole, last, first = low in CHROME_NAMES, by_class and words[-1] in CHROME_NAMES, by_class and words[0] in FIRST_NAMES
+        if not in_article:
+            if whole or last or first:
+                return OUT
+        elif by_class and words[-1] == "header":
+            return HEADS
+        elif whole and (by_class or low not in OWN_NAMES) or last and words[-1] not in OWN_NAMES or first and words[0] not in OWN_NAMES:
+            return OUT
+    return NOTHING
 
 
 def _effect(name: str, attributes: str, in_article: bool) -> int:
@@ -166,15 +196,21 @@ def _effect(name: str, attributes: str, in_article: bool) -> int:
         return OUT
     if name == "header":
         return HEADS if in_article else OUT
-    if attributes and name not in ("html", "body") and name not in HEADINGS:
-        among = COMMENT_NAMES if name in ARTICLE else CHROME_NAMES
+    found = FORM if name == "form" else NOTHING
+    if attributes and name not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in CHROME_ROLES:
+            if key == "style" and _HIDDEN.search(value) or key == "hidden" and name not in HEADINGS:
                 return OUT
-            if key in ("class", "id") and _named(value, among, key == "class"):
+            if name in HEADINGS:
+                continue
+            if key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in CHROME_ROLES:
                 return OUT
-    return FORM if name == "form" else NOTHING
+            if key in ("class", "id") and (effect := _named(value, key == "class", in_article, name in BLOCKS, name in ARTICLE)) != NOTHING:
+                if effect == OUT:
+                    return OUT
+                found = effect
+    return found
 
 
 class Tags:
@@ -265,7 +301,7 @@ def parse(html: str | None) -> Page:
         elif name in SPACED:
             parts.append(" ")
         if name == "p" and not closing:
-            loose = _effect(name, attributes, article) != NOTHING
+            loose = _effect(name, attributes, article) == OUT
         if name in VOID or name == "p":
             continue
         place = opened.closed_by(name) if closing else opened.first_after(CLOSES[name][0], opened.last(CLOSES[name][1])) if name in CLOSES else -1

@@ -741,3 +741,21 @@ def test_packing_leaves_no_shard_empty():
         spread = lambda bs: (lambda c: max(c) - min(c))([sum(s for s, b in zip(sizes, bs, strict=True) if b == k) for k in range(3)])
         least = min(spread([(x // 3**i) % 3 for i in range(len(sizes))]) for x in range(3 ** len(sizes)))
         assert len(set(bins)) == 3 and spread(bins) <= least + sorted(sizes)[-2]
+
+
+@pytest.mark.parametrize(
+    ("html", "kept"),
+    [
+        ('<section class="how-to-login"><p>Text one.</p></section><section id="menu"><p>Two.</p></section>', ["Text one.", "Two."]),
+        ('<p class="market-share">Market share grew</p><div class="chart-widget">Chart</div>', ["Market share grew", "Chart"]),
+        ('<div class="entry-header"><h1>Title</h1><span>by me</span></div><p>B</p>', ["Title", "B"]),
+        ('<p>See <a class="share">shared link</a> and <span class="ad">AD</span> end.</p>', ["See shared link and AD end."]),
+        ('<p>A</p><section id="comments-list"><p>c1</p></section><div id="disqus_thread">c2</div><ul class="commentlist"><li>c3</li></ul>', ["A"]),
+        ('<p>A</p><div class="CommentThread">c4</div><p style="display: none">c5</p><div class="ad-slot">c6</div><div class="share">c7</div>', ["A"]),
+        ('<section class="commentary"><p>A view</p></section><div class="related-posts">r</div><div class="newsletter">n</div>', ["A view"]),
+    ],
+)
+def test_names_in_articles(html, kept):
+    page = html_extraction.parse(f"<nav>n</nav><article>{html}</article><div class='site-header'>h</div>")
+    assert [t for t, k in zip(page.texts, page.kinds, strict=True) if k == html_extraction.MARKED] == kept
+    assert "h" not in [t for t, k in zip(page.texts, page.kinds, strict=True) if k != html_extraction.CHROME]
