@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
+#: Rows of texts that go to a Python worker at once, at most.
+BATCH_ROWS = 2048
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +40,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on the session hands no more rows to a Python worker at once: texts of a batch are in memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

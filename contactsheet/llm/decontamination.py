@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import slices, tidy
+from contactsheet.llm.common import bounded_batches, slices, tidy
 from contactsheet.llm.fm_index import FMIndex
 from contactsheet.llm.words import LOWER, Lookup, hashes, spans, utf8, word_hashes
 
@@ -123,6 +123,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clea
     of docs is replaced. Items without words and an empty benchmark find nothing; an empty table gives an empty table. Items are
     broadcast in blocks of bounded size; a text is read once and its words are looked up in each block.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("id IS NOT NULL AND text <> ''")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first().n
     blocks, shared = max(1, math.ceil(total / block_bytes)), []

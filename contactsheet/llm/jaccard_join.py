@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm.common import checkpointed, slices, small, tidy
+from contactsheet.llm.common import bounded_batches, checkpointed, slices, small, tidy
 from contactsheet.llm.components import components
 from contactsheet.llm.words import word_hashes
 
 SHINGLE = 5
 #: Text of which signatures are made at once, signatures that one task groups on average.
-SLICE_BYTES, BUCKET_SETS = 2 << 20, 2 << 20
+SLICE_BYTES, BUCKET_SETS = 1 << 20, 2 << 20
 #: Cells of the filter for each candidate; cells at most, 32 MB of bits: with more than four million candidates it lets more other sets through.
 CANDIDATE_CELLS, MOST_CELLS = 64, 1 << 28
 #: Bytes of a signature that are kept: two different ones of a bucket may then be equal, two in a million, which only makes a candidate more.
@@ -405,6 +405,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     component. Rows with a null doc_id take part, but give no name to a component. Shingles and sets are told apart by 64-bit hashes:
     for n different ones the chance that some two are taken for one is about n * n / 2 ** 65; in the comparison of two sets by 48 bits. An empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     described = checkpointed(docs.select("doc_id", text).mapInArrow(_describe, "doc_id long, n_shingles long, set_id long, bits binary"))
     rows = described.where("n_shingles >= 0")
     top = described.where("n_shingles < 0").select("bits").mapInArrow(_elements, "element long").groupBy("element").agg(F.count(F.lit(1)).alias("n"))
