@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactsheet.operators.joins import checked
+from contactsheet.operators.ranks import best
+
 
 def _sum_where(cond: Column, value: Column) -> Column:
     return F.round(F.coalesce(F.sum(F.when(cond, value)), F.lit(0.0)), 2)
@@ -148,7 +151,8 @@ def tag_lift(rows: DataFrame, tags: Column, flag: Column, support: int = 3, floo
 def referral_shares(bookings: DataFrame, source: str, amount: Column, labels: list[str]) -> DataFrame:
     """AGG-22, AGG-25. Bookings and revenue by source, null and 'unknown' apart, with whether the lower-cased label is a referral and its share."""
     by = bookings.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("bookings"), F.round(F.sum(amount), 2).alias("revenue"))
-    total = F.sum("bookings").over(Window.partitionBy(F.lit(0)))
+    total = F.col("all_bookings")
+    by = by.crossJoin(F.broadcast(bookings.agg(F.count(F.lit(1)).alias("all_bookings"))))  # one row
     return by.select("source", "bookings", "revenue", F.coalesce(F.lower("source").isin(labels), F.lit(False)).alias("is_referral"), F.round(F.col("bookings") * 100.0 / total, 2).alias("pct"))
 
 
@@ -168,13 +172,12 @@ def turnaround(pairs: DataFrame, group: str, start: str, end: str) -> DataFrame:
 def estimate_completion(shoots: DataFrame, history: DataFrame, genre: str, windows: dict[str, int], default: int = 14) -> DataFrame:
     """AGG-31. Days to delivery of each shoot: its genre's rounded mean, else its delivery window, else the default."""
     window = F.coalesce(F.create_map(*(F.lit(x) for kv in windows.items() for x in kv))[F.col(genre)], F.lit(default)) if windows else F.lit(default)
-    return shoots.join(F.broadcast(history), genre, "left").withColumn("estimate_days", F.coalesce(F.round("avg_days").cast("int"), window))
+    return shoots.join(checked(history), genre, "left").withColumn("estimate_days", F.coalesce(F.round("avg_days").cast("int"), window))
 
 
 def median_recent(jobs: DataFrame, kind: str, ts: str, key: str, duration: str, last: int = 20) -> DataFrame:
     """AGG-39. The exact median of the positive durations among the last jobs of each kind; the limit comes before the filter."""
-    w = Window.partitionBy(kind).orderBy(F.desc(ts), F.desc(key))
-    recent = jobs.withColumn("r", F.row_number().over(w)).where((F.col("r") <= last) & (F.col(duration) > 0))
+    recent = best(jobs.select(kind, ts, key, duration), [kind], [F.desc(ts), F.desc(key)], last).where(F.col(duration) > 0)
     return recent.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(duration), 4).alias("median_duration"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactsheet.operators.joins import checked
 from contactsheet.operators.ranks import best
 
 #: States of jobs that aren't done, and of images that no pass takes up again.
@@ -102,7 +103,7 @@ def sequence_steps(bookings: DataFrame, sent: DataFrame, rules: DataFrame, as_of
     """
     now = F.lit(as_of).cast("timestamp")
     b = bookings.withColumn("days_until", F.datediff(F.col("shoot_date"), now))
-    hit = b.join(F.broadcast(rules.withColumnRenamed("status", "rule_status")), (F.col("status") == F.col("rule_status")) & F.col("days_until").between(F.col("from_days"), F.col("to_days")))
+    hit = b.join(checked(rules.withColumnRenamed("status", "rule_status")), (F.col("status") == F.col("rule_status")) & F.col("days_until").between(F.col("from_days"), F.col("to_days")))
     hit = hit.join(sent.select("booking_id", "sequence").distinct(), ["booking_id", "sequence"], "left_anti")
     steps = hit.select("booking_id", "sequence", "anchor", "shoot_date", F.posexplode("offsets").alias("step_index", "hours"))
     base = F.when(F.col("anchor") == "shoot", F.col("shoot_date").cast("timestamp")).otherwise(now)

@@ -213,6 +213,11 @@ def nearest_in_section(left: DataFrame, right: DataFrame, section: str, most: in
     return near.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", F.col("b").alias("other"))).alias("m")).select("id", "m.other", "m.distance")
 
 
+def checked(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has so many rows at most, and joined as Spark sees fit else; reads no more than that of it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, computed once, in the session's checkpoint folder; where none is set and Spark runs in this process alone, in its memory."""
     if df.sparkSession.sparkContext.getCheckpointDir() or (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):

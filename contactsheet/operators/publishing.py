@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from contactsheet.functions.scoring import combined, trust
 from contactsheet.functions.text import extension
 from contactsheet.operators.filters import blank
-from contactsheet.operators.joins import schedule_positions
+from contactsheet.operators.joins import checked, schedule_positions
 
 #: Extensions of raw files, and genres that are never published.
 RAW = [".arw", ".cr2", ".cr3", ".dng", ".nef", ".raf", ".orf", ".rw2", ".pef", ".srw", ".rwl", ".srf"]
@@ -53,7 +53,7 @@ def print_candidates(images: DataFrame, prices: DataFrame, tier: str | None = No
     for given, cond in ((tier, F.col("print_tier") == tier), (genre, F.col("genre") == genre), (tag, F.lower("tags").contains((tag or "").lower())), (unposted, blank(F.col("pixieset_url")))):
         where = where & cond if given else where
     of = F.when(F.col("print_tier") == "fine_art", "fine_art").otherwise("standard")
-    return images.where(where).withColumn("tier", of).join(F.broadcast(prices), "tier", "left")  # a row for each tier
+    return images.where(where).withColumn("tier", of).join(checked(prices), "tier", "left")
 
 
 def listed_errors(log: DataFrame, severity: str | None = None, resolved: bool | None = None) -> DataFrame:

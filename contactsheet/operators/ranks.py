@@ -69,7 +69,8 @@ def best(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
     """df's first k rows of each by, by order, with their place from 1. Each group is dealt to so many parts first, of which k rows go on,
     so that one group of all rows isn't one sort; order should end in a unique key."""
     salt = fresh("salt_of", df)
-    parts = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    parts = df.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(salts)))
     first = Window.partitionBy(*by, salt).orderBy(*order)
     few = parts.withColumn(name, F.row_number().over(first)).where(F.col(name) <= k).drop(name, salt)
     return few.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)

@@ -14,7 +14,9 @@ from contactsheet.operators import lineage as L
 from contactsheet.plans import media_more  # noqa: F401  (registers mut_upsert)
 from contactsheet.plans.media import KEEPERS_SQL, SQL, bursts, query, table
 from contactsheet.plans.media_ops import IMAGE_COLUMNS, PASS_COLUMNS
+from contactsheet.sources import files as R
 from contactsheet.sources import gallery as G
+from contactsheet.sources import imports as I
 from contactsheet.sources import tables as T
 from contactsheet.streaming import drain, keepers, streams
 
@@ -226,3 +228,101 @@ def src_gallery_round_trip(spark, d):
     assets = parts.selectExpr(*ASSETS, "n * 3 AS sort_index")
     pages = G.render_galleries(assets, True).withColumn("html", F.concat(F.lit("<html><body><figure>none</figure>"), "html", F.lit('<div class="x">\n </div></body></html>')))
     return G.parse_galleries(pages).where("error IS NULL").select("section", "slug", "file_name", "layout", "alt", "caption", "version", "width", "height", "sort_index")
+
+
+# Files
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, round(s_acctbal, 2) AS s_acctbal FROM supplier")
+def snk_csv_round_trip(spark, d):
+    """SNK-03, SRC-09: a table as CSV with a header, read again as a baseline with its schema given."""
+    folder = scratch(spark)
+    R.write_csv(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal")), folder)
+    return R.read_baseline(spark, folder, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+
+
+@query("SELECT day, n FROM (VALUES ('2001-06-01'), ('2001-06-02')) v(day), (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F')")
+def snk_report_snapshots(spark, d):
+    """SNK-02: the report of two days, each a row of JSON that is added; read back from it."""
+    folder = scratch(spark)
+    report = table(spark, d, "orders").where("o_orderstatus = 'F'").agg(F.count(F.lit(1)).alias("n"))
+    for day in ("2001-06-01", "2001-06-02"):
+        R.write_report(report, folder, day)
+    return spark.read.parquet(folder).select(F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.from_json("report_json", "n long")["n"].alias("n"))
+
+
+@query(f"""
+WITH i AS (SELECT {', '.join(IMAGE_COLUMNS)} FROM part)
+SELECT id, regexp_extract(file_path, '([^/]*?)(\\.[^./]*)?$', 1) || '_' || substr(md5(regexp_replace(file_path, '/[^/]*$', '')), 1, 8) AS cache_key, sha256(file_path) AS digest FROM i""")
+def src_cache_keys(spark, d):
+    """SRC-07's key, and str-hash: the digest of what a file holds, here its path."""
+    i = table(spark, d, "part").selectExpr(*IMAGE_COLUMNS)
+    return i.select("id", R.cache_key(c("file_path")).alias("cache_key"), F.sha2(c("file_path").cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT s_suppkey, NULL::VARCHAR AS note, s_name, NULL::DOUBLE AS score FROM supplier")
+def mut_ensure_columns(spark, d):
+    """MUT-19: a table brought to a wider schema."""
+    schema = spark.createDataFrame([], "s_suppkey long, note string, s_name string, score double").schema
+    return R.ensure_columns(table(spark, d, "supplier"), schema)
+
+
+@query("""
+WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, event_type, value FROM events)
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (WHERE event_type = 'signup' AND value > 150) AS critical, count(*) FILTER (WHERE event_type = 'error') AS errors,
+ CASE WHEN count(*) FILTER (WHERE event_type = 'signup' AND value > 150) > 0 THEN 'red' WHEN count(*) FILTER (WHERE event_type = 'error') > 3 THEN 'yellow' ELSE 'green' END AS health FROM e GROUP BY h""")
+def str_stream_health(spark, d):
+    """STR-05 as a stream that runs over all files there are and ends."""
+    e, folder = table(spark, d, "events"), scratch(spark)
+    s = streams.read_events(spark, d, "events.parquet", e.schema).withColumn("ts", c("ts").cast("timestamp"))
+    kinds = s.withColumn("kind", F.when((c("event_type") == "signup") & (c("value") > 150), "critical").when(c("event_type") == "error", "error"))
+    streams.run_once(streams.health(kinds, "ts", "kind"), f"{folder}/out", f"{folder}/state", "complete")
+    return spark.read.parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "critical", "errors", "health")
+
+
+@query(f"""
+WITH i AS (SELECT {', '.join(IMAGE_COLUMNS)}, p_size * 1000 AS length FROM part), f AS (SELECT regexp_replace(file_path, '/[^/]*$', '') AS folder, length FROM i WHERE file_path NOT LIKE '%.txt' AND id % 10 > 0)
+SELECT folder, count(*) AS images, sum(length)::BIGINT AS bytes FROM f GROUP BY 1 UNION ALL SELECT NULL, count(*), sum(length)::BIGINT FROM f""")
+def src_card_scan(spark, d):
+    """SRC-03. Parts are the files of a card; every tenth is no picture."""
+    i = table(spark, d, "part").selectExpr(*IMAGE_COLUMNS, "p_size * 1000 AS length")
+    files = i.select(F.when(c("id") % 10 == 0, F.concat("file_path", F.lit(".txt"))).otherwise(c("file_path")).alias("path"), c("length").cast("long").alias("length"))
+    return I.card_scan(files)
+
+
+IMPORTED_SQL = f"""i AS (SELECT {', '.join(IMAGE_COLUMNS)} FROM part), k AS (SELECT *, pass1_status AS s FROM i WHERE id % 3 = 0),
+f AS (SELECT DISTINCT file_path AS path FROM i WHERE id % 2 = 0 OR id % 3 = 0), a AS (SELECT path, CASE WHEN regexp_matches(lower(path), '\\.(arw|dng)$') THEN 'skipped_raw' WHEN NOT regexp_matches(lower(path), '\\.(jpg|tif)$') THEN 'skipped_other'
+ WHEN path IN (SELECT file_path FROM k) THEN 'update' ELSE 'insert' END AS action FROM f WHERE NOT regexp_matches(path, '/\\._[^/]*$'))"""
+
+
+@query(f"WITH {IMPORTED_SQL} SELECT path, action FROM a")
+def src_import_plan(spark, d):
+    """SRC-10."""
+    i = table(spark, d, "part").selectExpr(*IMAGE_COLUMNS)
+    return I.import_plan(i.where("id % 2 = 0 OR id % 3 = 0").select(c("file_path").alias("path")), i.where("id % 3 = 0"))
+
+
+@query(f"""
+WITH {IMPORTED_SQL} SELECT path AS file_path, action, coalesce(s, 'pass') AS pass1_status, CASE WHEN pass2_at IS NULL THEN '2001-06-01' ELSE '1999-01-01' END AS pass2_day, coalesce(genre, 'none') AS genre
+FROM a LEFT JOIN k ON k.file_path = a.path WHERE action IN ('insert', 'update')""")
+def mut_manual_import(spark, d):
+    """SRC-10, MUT-04."""
+    i = table(spark, d, "part").selectExpr(*IMAGE_COLUMNS)
+    at = lambda name: F.when(c(name).isNotNull(), F.lit("1999-01-01").cast("timestamp")).alias(name)
+    known = i.where("id % 3 = 0").select("file_path", "pass1_status", at("pass1_at"), at("pass2_at"), at("pass3_at"), "genre", F.lit(False).alias("content_ready"), F.lit(False).alias("manual_added"))
+    plan = I.import_plan(i.where("id % 2 = 0 OR id % 3 = 0").select(c("file_path").alias("path")), known)
+    out = I.imported(plan, known, "2001-06-01 00:00:00")
+    return out.select("file_path", "action", "pass1_status", F.date_format("pass2_at", "yyyy-MM-dd").alias("pass2_day"), F.coalesce("genre", F.lit("none")).alias("genre"))
+
+
+@query("""
+WITH o AS (SELECT p_brand AS section, p_partkey AS slug, p_size AS sort_index, CASE WHEN p_size % 2 = 0 THEN 'retired' ELSE 'live' END AS state FROM part WHERE p_partkey % 3 > 0), n AS (SELECT p_brand AS section, p_partkey AS slug, p_size + 1 AS sort_index FROM part WHERE p_partkey % 4 > 0)
+SELECT coalesce(o.section, n.section) AS section, coalesce(o.slug, n.slug) AS slug, coalesce(n.sort_index, o.sort_index) AS sort_index, CASE WHEN n.slug IS NOT NULL THEN 'live' ELSE state END AS state, CASE WHEN o.slug IS NOT NULL THEN '1999-05-05' ELSE '2001-06-01' END AS first_day
+FROM o FULL JOIN n ON o.section = n.section AND o.slug = n.slug""")
+def mut_seed_assets(spark, d):
+    """MUT-05."""
+    p = table(spark, d, "part").select(c("p_brand").alias("section"), c("p_partkey").alias("slug"), c("p_size").alias("sort_index"))
+    then = F.lit("1999-05-05").cast("timestamp")
+    old = p.where("slug % 3 > 0").select("*", F.when(c("sort_index") % 2 == 0, "retired").otherwise("live").alias("state"), then.alias("first_published_at"), then.alias("last_published_at"))
+    out = I.seeded_assets(old, p.where("slug % 4 > 0").withColumn("sort_index", c("sort_index") + 1), "2001-06-01")
+    return out.select("section", "slug", "sort_index", "state", F.date_format("first_published_at", "yyyy-MM-dd").alias("first_day"))

@@ -10,6 +10,8 @@ from contactsheet.functions.text import extension
 #: Extensions of raw and raster images.
 RAW = [".arw", ".cr2", ".cr3", ".crw", ".dng", ".nef", ".orf", ".pef", ".raf", ".raw", ".rw2", ".srw"]
 RASTER = [".jpg", ".jpeg", ".png", ".tif", ".tiff", ".heic", ".webp"]
+#: Parts of paths that hold no photographs.
+JUNK = ["Previews.lrdata", ".Trash", "@eaDir", "__MACOSX"]
 
 
 def listing(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
@@ -22,7 +24,7 @@ def classified(files: DataFrame, least_bytes: int = 200_000, junk: list[str] | N
     """SRC-02, SRC-10. files with reason: accepted, or why a file is skipped; the first reason that holds."""
     name, ext = F.element_at(F.split("path", "/"), -1), extension(F.col("path"))
     in_junk = F.lit(False)
-    for j in junk or ["Previews.lrdata", ".Trash", "@eaDir", "__MACOSX"]:
+    for j in junk or JUNK:
         in_junk = in_junk | F.col("path").contains(j)
     reason = F.when(name.startswith("."), "hidden").when(in_junk, "junk_path").when(~ext.isin(RAW + RASTER), "extension")
     return files.withColumn("reason", reason.when(ext.isin(RASTER) & (F.col("length") < least_bytes), "too_small").otherwise("accepted"))
