@@ -47,10 +47,13 @@ def having_any(images: DataFrame, key: str, other: DataFrame, other_key: str) ->
     return images.join(other.select(F.col(other_key).alias(key)), key, "left_semi")
 
 
-def due_within(posts: DataFrame, scheduled: str, as_of: str, minutes: int = 15) -> DataFrame:
-    """JOIN-27. Posts scheduled within so many minutes before or after as_of, both ends included."""
-    apart = F.abs(F.timestamp_diff("SECOND", F.col(scheduled), F.lit(as_of).cast("timestamp_ntz")))
-    return posts.where(apart <= minutes * 60)
+def due_within(posts: DataFrame, scheduled: str, as_of: str, minutes: int = 15, whole_seconds: bool = False) -> DataFrame:
+    """JOIN-27. Posts scheduled within so many minutes before or after as_of, a time in whole seconds, both ends included; whole_seconds:
+    by the second in which they are scheduled."""
+    apart = F.timestamp_diff("MICROSECOND", F.lit(as_of).cast("timestamp_ntz"), F.col(scheduled))
+    if whole_seconds:
+        apart -= F.pmod(apart, F.lit(1_000_000))
+    return posts.where(F.abs(apart) <= minutes * 60_000_000)
 
 
 def calendar_spine(posts: DataFrame, day: Column, start: str, end: str) -> DataFrame:
