@@ -153,7 +153,7 @@ def snk_append_log(spark, d):
 def tiled(spark, d, channels: int):
     """id, width, height and pixels of pictures of 64 x 64: 64 vectors are tiles of 8 x 8 each, of every channel in another order."""
     e = table(spark, d, "embeddings").select(F.expr("vec_id div 64 AS id"), F.expr("vec_id % 64 AS tile"), "embedding")
-    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.round(x * 400 + 128), F.lit(0)), F.lit(255)).cast("int")), 2, "0"))
+    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.round(x * F.lit(400).cast("float") + F.lit(128).cast("float")), F.lit(0)), F.lit(255)).cast("int")), 2, "0"))
     e = e.select("id", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).alias("channel"), "tile", grey.alias("g"))
     e = e.select("id", "channel", ((c("tile") + 21 * c("channel")) % 64).alias("tile"), F.posexplode("g").alias("i", "byte"))
     at = F.expr("(tile div 8 * 8 + i div 8) * 64 + tile % 8 * 8 + i % 8")

@@ -30,3 +30,10 @@ def test_fractions_of_seconds_at_both_ends(spark, tmp_path, name, table, at):
     rows = ", ".join(f"({i}, TIMESTAMP '{x}')" for i, x in enumerate([*times, f"{early} {first[:-1].replace('44:', '45:').replace('54:', '55:')}00"]))
     got, want = both(spark, tmp_path, name, **{"events" if "events" in oracle_sql()[name] else "orders": f"WITH t(i, ts) AS (VALUES {rows}) {table}"})
     assert got == want and 0 < len(want) < len(times)
+
+
+def test_shades_are_rounded_in_single_precision(spark, tmp_path):
+    """0.14125 is 56.49999976 at 400 times, and 56.5 as a float."""
+    tiles = "SELECT i AS vec_id, list_transform(range(64), lambda j: (CASE WHEN (i + j) % 3 > 0 THEN 0.14125 ELSE -0.16125 END)::FLOAT) AS embedding, 0 AS label FROM range(130) t(i)"
+    got, want = both(spark, tmp_path, "src_previews", embeddings=tiles)
+    assert got == want and len(want) == 2
