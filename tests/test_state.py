@@ -185,3 +185,41 @@ def test_drain_query(spark, name):
     want = sorted((q, *x) for q in range(5) for x in drained([(r.us, r.event_id, r.user_id, *kinds[r.event_type], r.event_id % 3) for r in rows if r.q == q], until))
     got = media.QUERIES[name](spark, d).select("queue", F.unix_micros("poll").alias("us"), "job_id", "job_type", "attempt").collect()
     assert sorted((r.queue, r.us, r.job_id, r.job_type, r.attempt) for r in got) == want and want
+
+
+def test_drain_state_by_blocks():
+    """Ten thousand rows of three periods and their waiting jobs are few calls to the state, and a poll doesn't look at what waits."""
+    import numpy as np
+    import pandas as pd
+
+    calls = []
+
+    class State(dict):
+        exists = lambda self: 0 in self
+        get = lambda self: self[0]
+        update = lambda self, v: self.updateValue(0, v)
+        getValue = dict.__getitem__
+        iterator = dict.items
+        removeKey = dict.__delitem__
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+    class Handle:
+        getMapState = lambda self, *a: State()
+        getValueState = lambda self, *a: State()
+        registerTimer = lambda self, ms: calls.append(ms)
+
+    class Watermark:
+        getCurrentWatermarkInMs = lambda self: 3000 * 1000
+
+    d = drain.Drain(900, 1800, 4, 3)
+    d.init(Handle())
+    i = np.arange(10_000)
+    frames = [pd.DataFrame({"us": i * 270_000, "event_id": i, "job_id": i, "kind": 0, "stage": i % 3, "priority": i % 7})]
+    assert list(d.handleInputRows((0,), iter(frames), None)) == [] and len(calls) < 10
+    (out,) = d.handleExpiredTimer((0,), Watermark(), None)
+    rows = [(int(k) * 270_000, int(k), int(k), "queued", drain.PASSES[k % 3], int(k % 7)) for k in i]
+    assert [(j, t, n) for j, t, n in zip(out["job_id"], out["job_type"], out["attempt"])] == [x[1:] for x in drained(rows, 3000 * US)]
+    assert len(calls) < 20
