@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from calendar import monthrange
+from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, comb
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words of a block and pairs of words that are looked at in one step, so that these stay in a processor's cache; tasks of a scan at most.
+BLOCK, SCANNED, TASKS = 16_384, 1 << 18, 1000
+
 
 def left_filtered_on(left: DataFrame, right: DataFrame, on: Column, keep: Column) -> DataFrame:
     """JOIN-03. A left join with a condition on the right side inside ON: left rows without a match stay."""
@@ -147,27 +154,113 @@ def band_rows(word: str, most: int, probe: bool) -> Column:
     return F.flatten(F.array(*rows))
 
 
-def near_words(left: DataFrame, right: DataFrame, most: int, also: list[str] | None = None) -> DataFrame:
-    """Rows a, b and distance: of left (a, x) and right (b, y), words of two 32-bit halves that differ in at most so many bits; also: equal columns.
+def blocks(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """by, block, blocks and items: the rows of each by in so many blocks of about BLOCK, each an array of structs in order of key."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(checked(sizes), by).withColumn("block", F.pmod(F.xxhash64(key, "w"), F.col("blocks")).cast("int"))
+    first = [key] + [c for c in rows.columns if c not in (*by, key)]
+    return dealt.groupBy(*by, "block", "blocks").agg(F.sort_array(F.collect_list(F.struct(*first))).alias("items"))
+
 
-    The left side asks for each value of a band within the radius, the right side has its own: an equi-join on (band, value).
+def grid(left: DataFrame, right: DataFrame, by: list[str], once: bool = False) -> DataFrame:
+    """by, i, j, xs and ys: each block of left beside each of right with equal by; once: the blocks are the same ones, each two meet once.
+
+    So many tasks as there are such pairs, and at most TASKS: none holds more than its pairs, one after the other.
     """
-    also = also or []
-    one = left.select("a", "x", *also, F.inline(band_rows("x", most, True)))
-    two = right.select("b", "y", *also, F.inline(band_rows("y", most, False)))
-    far = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in (0, 1)), F.lit(0))
-    return one.join(two, ["band", "part", *also]).where("a <> b").select("a", "b", *also, far.alias("distance")).where(F.col("distance") <= most).distinct()
+    if once:
+        one = left.withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
+        two = right.withColumn("i", F.explode(F.sequence(F.lit(0), "block")))
+    else:
+        of = lambda b: b.select(*by, F.col("blocks").alias("others")).distinct()
+        one = left.join(of(right), by).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        two = right.join(of(left), by).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    one = one.select(*by, F.col("block").alias("i"), "j", F.col("items").alias("xs"))
+    two = two.select(*by, "i", F.col("block").alias("j"), F.col("items").alias("ys"))
+    tasks = max(1, min(one.count(), TASKS))
+    keys = [*by, "i", "j"]
+    return one.repartition(tasks, *keys).join(two.repartition(tasks, *keys), keys)
+
+
+def columns_of(items: pa.Array) -> dict[str, np.ndarray]:
+    """An array of structs by field; nulls are -1."""
+    return {f.name: pc.fill_null(items.field(f.name), -1).to_numpy(zero_copy_only=False) for f in items.type}
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each few words of x the first place, and the number of bits in which each of them and each of y differ."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    step = max(1, SCANNED // max(len(y), 1))
+    for a in range(0, len(x), step):
+        yield a, np.bitwise_count(x[a : a + step, None] ^ y[None, :])
+
+
+def gathered(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """a, b and distance in batches of some size."""
+    parts, n = [], 0
+    for part in found:
+        parts.append(part)
+        n += len(part[0])
+        if n >= SCANNED:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["a", "b", "distance"])
+            parts, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["a", "b", "distance"])
+
+
+def scanned_pairs(most: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (i, j), (x, y) = (batch.column(c)[n].as_py() for c in ("i", "j")), (columns_of(batch.column(c)[n].values) for c in ("xs", "ys"))
+                for at, d in apart(x["w"], y["w"]):
+                    hits = np.flatnonzero(d <= most)
+                    r, c = hits // len(y["w"]), hits % len(y["w"])
+                    a, b, far = x["k"][at + r], y["k"][c], d.ravel()[hits].astype(np.int32)
+                    own = a < b if i == j else slice(None)
+                    yield np.minimum(a[own], b[own]), np.maximum(a[own], b[own]), far[own]
+
+    return lambda batches: gathered(found(batches))
+
+
+def scanned_nearest(most: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                x, y = (columns_of(batch.column(c)[n].values) for c in ("xs", "ys"))
+                has_next = ~batch.column("ys")[n].values.field("next").is_null().to_numpy(zero_copy_only=False)
+                for at, d in apart(x["w"], y["w"]):
+                    ids = x["k"][at : at + len(d)]
+                    lo, hi = np.searchsorted(y["k"], ids), np.searchsorted(y["k"], ids, "right")
+                    instead = []  # words whose least id is the row's own have the next one
+                    for r in np.flatnonzero(hi > lo):
+                        instead += [(r, int(d[r, p]), y["next"][p]) for p in range(lo[r], hi[r]) if has_next[p]]
+                        d[r, lo[r] : hi[r]] = 255
+                    best = d.argmin(axis=1)
+                    far, other = d[np.arange(len(d)), best].astype(np.int32), y["k"][best]
+                    for r, f, k in instead:
+                        if (f, k) < (far[r], other[r]):
+                            far[r], other[r] = f, k
+                    ok = far <= most
+                    yield ids[ok], other[ok], far[ok]
+
+    return lambda batches: gathered(found(batches))
+
+
+def word(bits: str) -> Column:
+    """Two halves of 32 bits as one long."""
+    return F.shiftleft(F.col(bits)[0], 32).bitwiseOR(F.col(bits)[1])
 
 
 def hamming_pairs(hashes: DataFrame, key: str, bits: str, most: int) -> DataFrame:
-    """JOIN-23. Pairs of hashes that differ in at most so many bits, a < b by key, with the distance.
+    """JOIN-23. Pairs of hashes that differ in at most so many bits, a < b by key, with the distance. Keys are whole numbers.
 
     Equal hashes are one representative first, so that a word that many images share makes no pairs of its own; its members are in
-    hash_classes().
+    hash_classes(). The words are scanned in blocks, all against all: that is quadratic, a nanosecond or two a pair, where bands send
+    far more through a shuffle and spare no time.
     """
-    reps = hashes.groupBy(bits).agg(F.min(key).alias("rep"))
-    words = lambda k, w: reps.select(F.col("rep").alias(k), F.col(bits).alias(w))
-    return near_words(words("a", "x"), words("b", "y"), most).where("a < b")
+    reps = hashes.groupBy(bits).agg(F.min(key).cast("long").alias("k")).select(F.lit(0).alias("all"), "k", word(bits).alias("w"))
+    words = kept(blocks(kept(reps.dropna()), ["all"], "k"))
+    return grid(words, words, ["all"], once=True).select("i", "j", "xs", "ys").mapInArrow(scanned_pairs(most), "a long, b long, distance int")
 
 
 def hamming_keepers(hashes: DataFrame, key: str, bits: str, most: int = 8) -> DataFrame:
@@ -210,9 +303,15 @@ def hash_classes(hashes: DataFrame, key: str, bits: str) -> DataFrame:
 def nearest_in_section(left: DataFrame, right: DataFrame, section: str, most: int) -> DataFrame:
     """JOIN-24. Of each left row the nearest right row of the section within so many bits: least distance, then least id.
 
-    left: id, bits and the section; right: other, bits and the section.
+    left: id, bits and the section; right: other, bits and the section; ids are whole numbers. Equal words of a section are one on the
+    right side, with their least id and the next, for the row that has the least one itself. Scanned in blocks as in hamming_pairs().
     """
-    near = near_words(left.select(F.col("id").alias("a"), F.col("bits").alias("x"), section), right.select(F.col("other").alias("b"), F.col("bits").alias("y"), section), most, [section])
+    x = left.select(section, F.col("id").cast("long").alias("k"), word("bits").alias("w")).dropna()
+    y = kept(right.select(section, F.col("other").cast("long").alias("k"), word("bits").alias("w")).dropna())
+    least = y.groupBy(section, "w").agg(F.min("k").alias("least"))
+    after = y.join(least, [section, "w"]).groupBy(section, "w").agg(F.min("k").alias("k"), F.min(F.when(F.col("k") > F.col("least"), F.col("k"))).alias("next"))
+    xs, ys = kept(blocks(kept(x), [section], "k")), kept(blocks(kept(after.select(section, "k", "w", "next")), [section], "k"))
+    near = grid(xs, ys, [section]).select("i", "j", "xs", "ys").mapInArrow(scanned_nearest(most), "a long, b long, distance int")
     return near.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", F.col("b").alias("other"))).alias("m")).select("id", "m.other", "m.distance")
 
 

@@ -4,8 +4,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from contactsheet.operators import joins
 
 
 def both(spark, folder, name, **tables):
@@ -48,3 +50,25 @@ def test_content_gaps_read_all_posts_and_brands(spark, tmp_path):
     assert got == want == {("Brand#1", 4, 45.0): 1}
     got, want = both(spark, tmp_path, "agg_content_gaps", part=parts, orders=orders)
     assert got == want and want
+
+
+def test_near_words_over_several_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of a few words, copies, and rows without a label, a pair or a match."""
+    monkeypatch.setattr(joins, "BLOCK", 7)
+    monkeypatch.setattr(joins, "SCANNED", 20)
+    e = """SELECT i AS vec_id, list_transform(range(64), lambda j: (CASE WHEN hash(i % 6, j) % 2 = (hash(i % 40, j, 1) % 7 = 0)::INT THEN 1 ELSE -1 END)::FLOAT) AS embedding,
+     CASE WHEN i % 11 > 0 THEN i % 3 END::INT AS label FROM range(90) t(i)"""
+    for name in ("join_hamming_pairs_k16", "join_hamming_nearest", "join_hamming_keepers"):
+        got, want = both(spark, tmp_path, name, embeddings=e)
+        assert got == want and want, name
+
+
+def test_near_words_shuffle_blocks_and_not_bands(spark):
+    """Each word goes out once for each block that it meets, and not for each value of a band."""
+    n = 3000
+    words = spark.range(n).select("id", F.array(F.hash("id").cast("long").bitwiseAND(F.lit(2**32 - 1)), F.hash("id", "id").cast("long").bitwiseAND(F.lit(2**32 - 1))).alias("bits"), F.lit(1).alias("label"))
+    xs = joins.blocks(words.select("label", F.col("id").alias("k"), joins.word("bits").alias("w")), ["label"], "k")
+    met = joins.grid(xs, xs, ["label"])
+    assert met.agg(F.sum(F.size("xs") + F.size("ys"))).first()[0] == 2 * n
+    plan = joins.nearest_in_section(words, words.withColumnRenamed("id", "other"), "label", 24)._jdf.queryExecution().toString()
+    assert "band" not in plan
