@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactsheet.operators.ranks import best, ranked
+from contactsheet.operators.joins import checked
+from contactsheet.operators.ranks import best, fresh, ranked
 
 
 def share_within(df: DataFrame, group: Column, name: str, value: str) -> DataFrame:
@@ -27,9 +28,17 @@ def flag_top(df: DataFrame, group: str, score: Column, key: str, top: int, flag:
 
 
 def stratified(df: DataFrame, tier: Column, key: str, k: int, seed: int = 0) -> DataFrame:
-    """WIN-04. So many rows of each tier, by a hash of key and seed: the same at every run. Rows without a tier are left out."""
-    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
-    return best(df.withColumn("tier", tier).where("tier IS NOT NULL"), ["tier"], order, k).drop("place")
+    """WIN-04. So many rows of each tier, by a hash of key and seed: the same at every run. Rows without a tier are left out.
+
+    The rows of each tier are counted by how their hashes begin, and only those that begin low enough are put in order.
+    """
+    digest, starts = fresh("digest_of", df), fresh("starts_of", df)
+    rows = df.withColumn("tier", tier).where("tier IS NOT NULL").withColumn(digest, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    counts = rows.groupBy("tier", F.substring(digest, 1, 3).alias(starts)).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("tier").orderBy(starts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before", before).where(F.col("before") < k).groupBy("tier").agg(F.max(starts).alias(starts))
+    few = rows.join(checked(last), "tier").where(F.substring(digest, 1, 3) <= F.col(starts)).drop(starts)
+    return best(few, ["tier"], [F.col(digest), F.col(key)], k).select(*[c for c in df.columns if c.lower() != "tier"], "tier")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:

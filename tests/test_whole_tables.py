@@ -1,5 +1,6 @@
 """Queries held against their SQL on rows that small tables lack."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
-from contactsheet.operators import joins
+from contactsheet.operators import joins, windows
 
 
 def both(spark, folder, name, **tables):
@@ -72,3 +73,20 @@ def test_near_words_shuffle_blocks_and_not_bands(spark):
     assert met.agg(F.sum(F.size("xs") + F.size("ys"))).first()[0] == 2 * n
     plan = joins.nearest_in_section(words, words.withColumnRenamed("id", "other"), "label", 24)._jdf.queryExecution().toString()
     assert "band" not in plan
+
+
+def test_a_sample_has_equal_lines(spark, tmp_path):
+    """Lines that are there twice are two rows of their tier, as in the SQL."""
+    lines = "SELECT i // 2 AS l_orderkey, 1::INT AS l_linenumber, CASE WHEN i < 6 THEN 5 WHEN i < 900 THEN 20 WHEN i % 9 > 0 THEN 40 END::DOUBLE AS l_quantity FROM range(3000) t(i)"
+    got, want = both(spark, tmp_path, "win_stratified_sample", lineitem=lines)
+    assert got == want and max(want.values()) == 2
+
+
+def test_a_sample_by_how_hashes_begin(spark):
+    rows = spark.range(20_000).selectExpr("id", "IF(id < 3, 'few', IF(id % 7 = 0, NULL, 'many')) AS t", "id % 5000 AS k")
+    for k in (1, 40, 6000):
+        got = windows.stratified(rows, F.col("t"), "k", k)
+        digest = lambda r: (hashlib.md5(f"0:{r.k}".encode()).hexdigest(), r.k)
+        for tier in ("few", "many"):
+            want = sorted((r for r in rows.collect() if r.t == tier), key=digest)[:k]
+            assert sorted(r.k for r in got.where(F.col("tier") == tier).collect()) == sorted(r.k for r in want)
