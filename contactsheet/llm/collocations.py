@@ -3,8 +3,9 @@
 A sketch has ROWS rows of counters; an n-gram adds to one counter of each row, so that the least of its counters is never below its
 count. Tasks send the counters they touched, sorted and packed, to the owners of slices of the sketch, who add them up and hand on
 which reach the threshold, a bit each. The first sketch is of words and pairs; the second of runs of three and four all of whose pairs
-survive, as a phrase is never more frequent than its parts. The last pass counts survivors exactly: nothing frequent is lost, and what
-a sketch let through by chance falls out there. Phrases are then scored, subsumed and ranked as tables.
+survive, as a phrase is never more frequent than its parts. The last pass counts survivors exactly: tasks send what they found in blocks
+to the owners of phrases, who add up and hand on what is frequent: nothing frequent is lost, and what a sketch let through by chance falls
+out there. Phrases are then scored, subsumed and ranked as tables.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,10 @@ U = np.uint64
 ROWS = 2
 #: Counters of a slice; counters of a row of a sketch at least and at most (a bit of each is broadcast, 2**29 are 64 MB); bytes of text a counter.
 SLICE, LEAST_COUNTERS, MOST_COUNTERS, TEXT_A_COUNTER = 1 << 22, 1 << 16, 1 << 29, 16
-#: Bytes of text that a task looks at together; counters that it sorts together; phrases that it counts before it hands them on.
-TOGETHER, SORTED, PHRASES = 4 << 20, 1 << 23, 400_000
+#: Bytes of text that a task looks at together; counters that it sorts together; phrases that it finds before it hands them on.
+TOGETHER, SORTED, PHRASES = 4 << 20, 1 << 23, 1 << 21
+#: Owners of phrases at most, unless there are more tasks; bytes of counted phrases that an owner's task adds up together; rows that it hands on at once.
+MOST_OWNERS, ADDED, BATCH_ROWS = 1024, 16 << 20, 10_000
 #: Langs whose word counts are broadcast at most.
 BROADCAST_LANGS = 10_000
 LONGEST = 4
@@ -64,8 +69,14 @@ class Grams:
             ok = ok[:-1] & self.joined[n - 2 :]
             yield n, g, ok
 
-    def phrase(self, i: int, n: int) -> str:
-        return " ".join(self.data[a:b].tobytes().decode() for a, b in zip(self.begin[i : i + n].tolist(), self.end[i : i + n].tolist(), strict=True))
+    def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes with one space between two words of a piece and one byte after the last word, and where in them each word begins and ends."""
+        keep = _INSIDE[self.data]
+        keep[1:] |= keep[:-1].copy()
+        place = np.cumsum(keep, dtype=np.int32)
+        data = np.append(self.data[keep], np.uint8(32))
+        data[data == 9] = 32
+        return data, place[self.begin] - 1, place[self.end - 1]
 
 
 def cells(g: np.ndarray, counters: int, row: int) -> np.ndarray:
@@ -170,35 +181,109 @@ def sketch(rows: DataFrame, counters: int, least: int, earlier: list) -> tuple[i
     return counters, [(r.slice, bytes(r.gaps)) for r in merged.collect()]  # no more than a bit for each counter, of which there are at most MOST_COUNTERS a row
 
 
-def _counted(earlier):
-    """(lang, phrase, words, n) of the survivors in a task; words 0 for all words of a lang."""
+def _apart(g: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, the place of one of each, and the sum of times of each; by default how often it is there."""
+    order = np.argsort(g)
+    g = g[order]
+    new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[new], order[new], np.diff(np.append(new, len(g))) if times is None else np.add.reduceat(times[order], new)
+
+
+def _runs(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of runs of data in a row."""
+    ends = np.cumsum(size, dtype=np.int64)
+    wide = np.int32 if max(ends[-1], len(data)) < 1 << 31 else np.int64
+    return data[np.repeat((start - ends + size).astype(wide), size) + np.arange(ends[-1], dtype=wide)]
+
+
+def _counted(earlier, owners: int, most: int):
+    """Blocks of the survivors in a task, one for each owner of phrases: the phrases, each with a line feed after it, which none has
+    inside, the places of their langs in langs, and how often they were found. The empty phrase stands for all words of a lang.
+
+    most: phrases that the slices of text find apart before they are put together and sent.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = [Heavy(*h.value) for h in earlier]
-        found: dict[int, list] = {}
+        langs: dict[str, int] = {}
+        total: dict[str, int] = {}
+        waiting: list[tuple[np.ndarray, ...]] = []  # hashes, how often, lang, bytes of each phrase; all their bytes
 
-        def send() -> pa.RecordBatch:
-            columns = [list(x) for x in zip(*found.values(), strict=True)] or [[]] * 4
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], names=["lang", "phrase", "words", "n"])
+        def block(owner: int, names: list[str], lang: np.ndarray, text: bytes, adds: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array([owner], pa.int32()), pa.array([names], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in (deflated(lang), zstandard.compress(text, 1), deflated(adds)))]
+            return pa.RecordBatch.from_arrays(columns, names=["owner", "langs", "lang", "phrases", "adds"])
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if not waiting:
+                return
+            g, times, lang, size, data = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            names, start = np.array(list(langs), object), np.cumsum(size, dtype=np.int64) - size
+            g, order, times = _apart(g, times)
+            edges = np.searchsorted((g >> U(40)).astype(np.int64) * owners >> 24, np.arange(owners + 1))
+            for owner in np.flatnonzero(np.diff(edges)).tolist():
+                mine = order[edges[owner] : edges[owner + 1]]
+                used, place = np.unique(lang[mine], return_inverse=True)
+                yield block(owner, names[used].tolist(), place, _runs(data, start[mine], size[mine]).tobytes(), times[edges[owner] : edges[owner + 1]])
 
         for batch in batches:
             for part in slices(batch, 1, TOGETHER):
                 grams = Grams(*part.columns)
                 for t, n in zip(*np.unique(grams.text, return_counts=True), strict=True):
-                    found.setdefault((grams.langs[t],), [grams.langs[t], "", 0, 0])[3] += int(n)
+                    total[grams.langs[t]] = total.get(grams.langs[t], 0) + int(n)
+                number = np.array([langs.setdefault(x, len(langs)) for x in grams.langs], np.int32)
+                data, begin, end = grams.spaced()
                 for n, g, ok in survivors(grams, heavy):
-                    at = np.flatnonzero(ok)
-                    keys, first, times = np.unique(g[at], return_index=True, return_counts=True)
-                    for key, i, k in zip(keys.tolist(), at[first].tolist(), times.tolist(), strict=True):
-                        if row := found.get((key, n)):
-                            row[3] += k
-                        else:
-                            found[key, n] = [grams.langs[grams.text[i]], grams.phrase(i, n), n, k]
-                    if len(found) > PHRASES:
-                        yield send()
-        yield send()
+                    if len(at := np.flatnonzero(ok)):
+                        keys, first, times = _apart(g[at])
+                        at = at[first]
+                        size = end[at + n - 1] - begin[at] + 1
+                        text = _runs(data, begin[at], size)
+                        text[np.cumsum(size, dtype=np.int64) - 1] = 10
+                        waiting.append((keys, times, number[grams.text[at]], size, text))
+                if sum(len(x[0]) for x in waiting) > most or sum(len(x[4]) for x in waiting) > 32 * most:
+                    yield from send()
+        yield from send()
+        for name, n in total.items():
+            yield block(xxhash.xxh64_intdigest(name.encode()) % owners, [name], np.zeros(1, np.int64), b"\n", np.array([n]))
+
+    return run
+
+
+def _lines(text: bytes) -> pa.Array:
+    """Texts with a line feed after each as a column."""
+    data = np.frombuffer(text, np.uint8)
+    feeds = np.flatnonzero(data == 10)
+    starts = np.append(0, feeds - np.arange(len(feeds))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(feeds), pa.py_buffer(starts.tobytes()), pa.py_buffer(data[data != 10].tobytes()))
+
+
+def _summed(least: int, together: int):
+    """(lang, phrase, words, n) from blocks of some owners: the phrases found least times or more; words 0 for all words of a lang."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
+        before = more = 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(waiting).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+        for batch in batches:
+            for part in slices(batch, 3, together):
+                for r in part.to_pylist():
+                    langs = pa.array(r["langs"], pa.string()).take(pa.array(inflated(r["lang"])))
+                    waiting.append(pa.table({"lang": langs, "phrase": _lines(zstandard.decompress(r["phrases"])), "n": inflated(r["adds"]).astype(np.int64)}))
+                    more += waiting[-1].nbytes
+                    if more > max(together, before):  # so that what is known already isn't added up again for little
+                        waiting[:] = [added()]
+                        before, more = waiting[0].nbytes, 0
+        if waiting:
+            out = added()
+            out = out.filter(pc.or_(pc.greater_equal(out["n"], least), pc.equal(out["phrase"], "")))
+            words = pc.if_else(pc.equal(out["phrase"], ""), 0, pc.add(pc.count_substring(out["phrase"], " "), 1))
+            yield from out.add_column(2, "words", words.cast(pa.int32())).to_batches(max_chunksize=BATCH_ROWS)
 
     return run
 
@@ -219,8 +304,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text: str = "text", lang:
         counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(size).bit_length()))
     heavy = [spark.sparkContext.broadcast(sketch(rows, counters, least, []))]
     heavy.append(spark.sparkContext.broadcast(sketch(rows, max(LEAST_COUNTERS, counters // 2), least, heavy)))
-    counted = rows.mapInArrow(_counted(heavy), "lang string, phrase string, words int, n long")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+    tasks = shuffle_partitions(spark)
+    counted = rows.mapInArrow(_counted(heavy, max(tasks, min(MOST_OWNERS, 4 * tasks)), PHRASES), "owner int, langs array<string>, lang binary, phrases binary, adds binary")
+    return counted.repartition(tasks, "owner").mapInArrow(_summed(least, ADDED), "lang string, phrase string, words int, n long")
 
 
 def scored(phrases: DataFrame, most: int = 2_000_000) -> DataFrame:

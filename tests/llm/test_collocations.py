@@ -56,6 +56,45 @@ def test_against_brute_force(frame, monkeypatch, least, top, counters):
     assert sorted(map(tuple, got)) == brute(edge_rows(), least, top) and len(got) > 10
 
 
+def made(plan):
+    """Rows that each MapInArrow of a plan that has run made, from the last one back."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from made(plan.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from made(plan.plan())
+    else:
+        if name == "MapInArrowExec":
+            yield plan.metrics().apply("pythonNumRowsReceived").value()
+        children = plan.children()
+        for i in range(children.size()):
+            yield from made(children.apply(i))
+
+
+def test_phrases_leave_tasks_in_blocks(spark):
+    """Each of 16 tasks finds all of 8,000 phrases twice; what it makes are blocks, no more than there are owners, and not rows of phrases."""
+    text = " ".join(f"w{i}" for i in range(2000))
+    rows = spark.range(32, numPartitions=16).selectExpr("'en' AS lang", f"'{text}' AS text")
+    got = collocations.frequent_phrases(rows)
+    counts = {r.phrase: (r.words, r.n) for r in got.collect()}
+    assert len(counts) == 7995 and counts.pop("") == (0, 64_000)
+    assert all(n == 32 and words == p.count(" ") + 1 for p, (words, n) in counts.items())
+    assert sum(made(got._jdf.queryExecution().executedPlan())) <= 7995 + 16 * 17
+
+
+@pytest.mark.parametrize(("phrases", "together"), [(1, 1), (50, 1), (1, 4 << 20)])
+def test_blocks_of_any_size(frame, monkeypatch, phrases, together):
+    monkeypatch.setattr(collocations, "PHRASES", phrases)
+    monkeypatch.setattr(collocations, "ADDED", together)
+    assert sorted(map(tuple, collocations.collocations(frame, least=3).collect())) == brute(edge_rows(), 3, 2000)
+
+
+def test_langs_and_white_space_in_blocks(spark):
+    rows = [(lang, text) for lang in ("a\nb", "a\tb", "", " ", "漢") for text in ["New\t \tYork\t", "new york", "é\u00a0x  É y", "no"] * 3]
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(7), least=3)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 2000)
+
+
 def test_large_counts_are_exact(spark):
     big = 10**13
     rows = [("en", "a", 1, big + 1), ("en", "b", 1, big + 3), ("en", "c", 1, big), ("en", "a b", 2, big - 1), ("en", "b c", 2, big - 7), ("en", "a b c", 3, big // 2)]
