@@ -169,7 +169,7 @@ def _named(value: str, by_class: bool, in_article: bool, block: bool, comments_o
     """What the names of a class or an id do to an element.
 
     Comments are known by a name's first word too, in ids as in classes. Else outside of articles a name counts as a whole, by its last
-    word, and by its first one of FIRST_NAMES, an id only as a whole. In an article names are asked of blocks alone, words that articles
+    word, and by its first one of FIRST_NAMES, an id only as a whole. In an article names are asked of blocks and cells alone, words that articles
     use for their own parts count only as the whole of a class, and what is named a header keeps its headings.
     """
     for name in value.split():
@@ -206,7 +206,7 @@ def _effect(name: str, attributes: str, in_article: bool) -> int:
                 continue
             if key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in CHROME_ROLES:
                 return OUT
-            if key in ("class", "id") and (effect := _named(value, key == "class", in_article, name in BLOCKS, name in ARTICLE)) != NOTHING:
+            if key in ("class", "id") and (effect := _named(value, key == "class", in_article, name in BLOCKS or name in _ROW, name in ARTICLE)) != NOTHING:
                 if effect == OUT:
                     return OUT
                 found = effect
