@@ -64,17 +64,25 @@ def unescaped(c: Column) -> Column:
 
     A reference ends in a semicolon; others, and names that there aren't, stay as they are. Numbers that are no character give U+FFFD.
     """
-    names = F.create_map(*(F.lit(x) for name, n in ({**name2codepoint, "apos": 39}).items() for x in (name, chr(n))))
+    signs = {"amp": 38, "lt": 60, "gt": 62, "quot": 34, "nbsp": 160, **name2codepoint, "apos": 39}  # a map is searched from its start
+    names = F.create_map(*(F.lit(x) for name, n in signs.items() for x in (name, chr(n))))
 
-    def decoded(part: Column, i: Column) -> Column:
-        ref = F.regexp_extract(part, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
-        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 9), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 9)).cast("long")
-        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        sign = F.when(number.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")).otherwise(F.element_at(names, ref))
-        rest = F.substr(part, F.length(ref) + 2)
-        return F.when(i == 0, part).when((ref == "") | sign.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(sign, rest))
+    # each step is asked for once: an expression that stands in several places of a lambda is computed in each
 
-    return F.array_join(F.transform(F.split(c, "&"), decoded), "")
+    def cut(part: Column, i: Column) -> Column:
+        return F.struct(part.alias("part"), F.when(i > 0, F.regexp_extract(part, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)).alias("ref"))
+
+    def numbered(x: Column) -> Column:
+        number = F.when(x["ref"].startswith("#"), F.when(x["ref"].rlike("^#[xX]"), F.conv(F.substring(x["ref"], 3, 9), 16, 10)).otherwise(F.substring(x["ref"], 2, 9)).cast("long"))
+        return F.struct(x["part"].alias("part"), x["ref"].alias("ref"), number.alias("number"))
+
+    def decoded(x: Column) -> Column:
+        valid = x["number"].between(1, 0x10FFFF) & ~x["number"].between(0xD800, 0xDFFF)
+        number = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, x["number"]).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        sign = F.when(x["number"].isNotNull(), number).when(x["ref"] != "", F.element_at(names, x["ref"]))
+        return F.when(x["ref"].isNull(), x["part"]).otherwise(F.coalesce(F.concat(sign, F.substr(x["part"], F.length(x["ref"]) + 2)), F.concat(F.lit("&"), x["part"])))
+
+    return F.array_join(F.transform(F.transform(F.transform(F.split(c, "&"), cut), numbered), decoded), "")
 
 
 def embedded_json(c: Column) -> Column:

@@ -12,6 +12,8 @@ LAYOUTS = ["wide", "tall", "reveal-x", "standard"]
 BLOCK = r'(?s)<div class="gallery">(.*?)\n\s*</div>'
 FIGURE = r'(?s)<figure(?:\s+class="([^"]*)")?><img\s+src="media/([^/]+)/([^"?]+)(?:\?v=([^"]*))?"\s+alt="([^"]*)"([^>]*?)><figcaption>(.*?)</figcaption></figure>'
 INDENT = "      "
+#: Numbers of sort_index whose figures are put in order and set side by side at once.
+PIECE = 4096
 PARTS = ["class", "in_section", "file_name", "version", "alt", "extra", "caption"]
 
 
@@ -22,11 +24,13 @@ def parse_galleries(pages: DataFrame) -> DataFrame:
     figure has none. error says what is wrong: another section's file or an unknown class; and a page without a gallery, or with an empty
     one, gives one row with that error alone.
     """
-    block = F.regexp_extract("html", BLOCK, 1)
-    found = F.regexp_extract_all(block, F.lit(FIGURE), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_extract("html", BLOCK, 1), F.lit(FIGURE), F.lit(0))
     has = F.coalesce(F.col("html").rlike(BLOCK), F.lit(False))
-    rows = pages.select("section", has.alias("has"), F.posexplode_outer(F.when(has, found)).alias("sort_index", "figure"))
-    part = {name: F.regexp_extract("figure", FIGURE, i + 1) for i, name in enumerate(PARTS)}
+    cut = pages.select("section", has.alias("has"), F.when(has, found).alias("figures"))  # once for a page: beside its figures it would be once for each
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut.select("section", "has", F.posexplode_outer("figures").alias("sort_index", "figure")).repartition(tasks, "section", "sort_index")
+    rows = rows.select("*", *(F.regexp_extract("figure", FIGURE, i + 1).alias(f"part_{name}") for i, name in enumerate(PARTS)))
+    part = {name: F.col(f"part_{name}") for name in PARTS}
     layout = F.when(part["class"] == "", "standard").otherwise(part["class"])
     size = lambda name: F.nullif(F.regexp_extract(part["extra"], rf'\b{name}="(\d+)"', 1), F.lit("")).cast("int")
     error = F.when(~F.col("has"), "no gallery").when(F.col("figure").isNull(), "no figures").when(part["in_section"] != F.col("section"), "another section's file").when(~layout.isin(LAYOUTS), "unknown class")
@@ -59,6 +63,8 @@ def figure(with_size: bool = False) -> Column:
 def render_galleries(assets: DataFrame, with_size: bool = False) -> DataFrame:
     """section and html: a gallery block of each section, figures by sort_index, then slug; what parse_galleries() gives, it takes."""
     lines = assets.select("section", "sort_index", "slug", figure(with_size).alias("line"))
-    by = lines.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("sort_index", "slug", "line"))).alias("f"))
-    block = F.array_join(F.transform("f", lambda x: x["line"]), "\n")
-    return by.select("section", F.concat(F.lit('<div class="gallery">\n'), block, F.lit("\n    </div>")).alias("html"))
+    of = F.floor(F.col("sort_index") / PIECE).alias("piece")  # so that a large section is sorted in many tasks, and its page made of a few texts
+    joined = lambda name: F.array_join(F.transform("f", lambda x: x[name]), "\n")
+    pieces = lines.groupBy("section", of).agg(F.sort_array(F.collect_list(F.struct("sort_index", "slug", "line"))).alias("f")).select("section", "piece", F.nullif(joined("line"), F.lit("")).alias("lines"))
+    by = pieces.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("piece", "lines"))).alias("f"))
+    return by.select("section", F.concat(F.lit('<div class="gallery">\n'), joined("lines"), F.lit("\n    </div>")).alias("html"))

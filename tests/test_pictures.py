@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from contactsheet.functions import composition as C
 from contactsheet.functions import kernels as K
@@ -136,6 +137,34 @@ def test_galleries_that_are_wrong(spark):
     assert got == {"a": (None, "2", "standard"), "b": ("another section's file", "2", "standard"), "c": ("no gallery", None, None), "d": ("no figures", None, None), "e": ("no gallery", None, None), "a2": ("unknown class", "2", "odd")}
 
 
+def test_large_galleries_there_and_back(spark):
+    """Indexes that are below 0, null, equal and far apart; sections of many pieces beside one of a single figure."""
+    index = lambda i: None if i % 500 == 7 else 5000 if i % 100 == 3 else i * 40 - 9000
+    rows = [("b" if i == 77 else "a", index(i), f"s{i}", f"s{i}.jpg", "tall", f"alt & {i}", "&lt;") for i in range(2000)]
+    df = spark.createDataFrame(rows, "section string, sort_index int, slug string, file_name string, layout string, alt string, caption string").withColumns({"version": F.lit("2"), "width": F.lit(3), "height": F.lit(4)})
+    got = G.parse_galleries(G.render_galleries(df.repartition(5))).orderBy("section", "sort_index").collect()
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    assert [(r.section, r.slug, r.alt, r.caption) for r in got] == [(r[0], r[2], r[5], r[6]) for r in want] and [r.sort_index for r in got] == [*range(1999), 0]
+    assert all(r.error is None for r in got)
+
+
+def test_pieces_without_lines_leave_none(spark):
+    rows = [("a", 0, "x", "x.jpg"), ("a", 9000, "gone", None), ("a", 99_000, "y", "y.jpg"), ("b", 1, "gone", None)]
+    df = spark.createDataFrame(rows, "section string, sort_index long, slug string, file_name string").selectExpr("*", "'standard' AS layout", "'' AS alt", "'' AS caption", "'2' AS version", "1 AS width", "1 AS height")
+    got = {r.section: r.html for r in G.render_galleries(df).collect()}
+    line = lambda x: f'      <figure><img src="media/a/{x}.jpg?v=2" alt="" loading="lazy"><figcaption></figcaption></figure>'
+    assert got == {"a": f'<div class="gallery">\n{line("x")}\n{line("y")}\n    </div>', "b": '<div class="gallery">\n\n    </div>'}
+
+
+def test_pages_are_searched_once_and_their_figures_in_many_tasks(spark):
+    figures = "\n".join(f'<figure><img src="media/a/{i}.jpg" alt="{i}"><figcaption></figcaption></figure>' for i in range(400))
+    pages = spark.createDataFrame([("a", f'<div class="gallery">\n{figures}\n</div>')], "section string, html string")
+    got = G.parse_galleries(pages)
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+    assert "html#" not in above and "figure#" in above
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_originals(spark):
     up = {i: i - 1 for i in range(1, 40)} | {0: None, 100: 999, 101: 100, 200: 201, 201: 200, 202: 200, 300: 300}
     got = {r.id: (r.original, r.steps) for r in L.originals(spark.createDataFrame(list(up.items()), "id long, up long"), "id", "up", rounds=8).collect()}
