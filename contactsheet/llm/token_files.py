@@ -43,6 +43,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKS = "".join(c for c in string.punctuation if c != "'")
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ODD = tuple("\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(map(chr, range(0x2000, 0x200B)))
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 _RUNS = tuple(a + b + c for a in " \n" for b in " \n" for c in " \n")
 
 
@@ -50,7 +51,8 @@ class Encoder:
     """Ids of texts as bytes, by a cache of chunks and the tokenizer for those it lacks.
 
     The tokenizer's pattern never matches across the place where white space begins after something else, and special strings have no
-    white space, so the ids of a text are those of its chunks in a row. Chunks that begin with one space are kept without it.
+    white space, so the ids of a text are those of its chunks in a row. Chunks that begin with one space are kept without it. Before a
+    special string the pattern's text ends, so that two white spaces there are one pre-token: such texts aren't cut between them.
     """
 
     def __init__(self, file: str):
@@ -84,7 +86,7 @@ class Encoder:
     def of(self, text: str) -> bytes:
         if not text:
             return b""
-        plain = text[0] not in " \n" and text[-1] not in " \n" and not any(r in text for r in _RUNS) and not any(o in text for o in (_ODD[:4] if text.isascii() else _ODD))
+        plain = text[0] not in " \n" and text[-1] not in " \n" and not (any(r in text for r in _PAIRS) and any(r in text for r in (*_RUNS, *self.special))) and not any(o in text for o in (_ODD[:4] if text.isascii() else _ODD))
         if not plain:
             return b"".join(map(self.as_is.__getitem__, _CHUNK.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")

@@ -43,6 +43,11 @@ def test_chunks_have_the_ids_of_the_whole(text):
     assert token_files.encoder(FILE).of(text) == np.array(whole().encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
+@pytest.mark.parametrize("text", ["don't\n\n<|endoftext|>", "a \n<|endoftext|>b", "a\n <|endoftext|>", "a  <|endoftext|><|endoftext|>\n\nb", "a\n\n<|endof", "a\n\nb<|endoftext|>"])
+def test_white_space_before_special_strings(text):
+    assert token_files.encoder(FILE).of(text) == np.array(whole().encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+
 def whole(made=[]):  # noqa: B006
     return made[0] if made else made.append(Tokenizer.from_file(FILE)) or made[0]
 
